@@ -37,3 +37,12 @@ def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_array import remove_repeats
 
     return remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {
+    "op7_suffix_tree": op7_suffix_tree,
+    "op8_suffix_array": op8_suffix_array,
+    "op9_simhash": op9_simhash,
+    "op10_packing": op10_packing,
+}
+ORACLE: dict[str, str] = {}
