@@ -1,14 +1,14 @@
 """Exact passage removal on words by prefix-partitioned suffix trees.
 
 Candidate suffixes (``windows.py`` drops those that cannot repeat) are cut at
-``width`` words and written as digits of a few words each. Suffixes are dealt
-by a prefix of variable length: a prefix that more than ``GROUP`` suffixes share
-is lengthened by a digit until its group fits. Each task sorts its prefixes'
-suffixes and walks them with a stack of open branches, which is the depth-first
-walk of these prefixes' subtrees; an internal node at full depth (two
-occurrences or more below it) is a maximal repeat in the depth-limited tree.
-Equal suffixes are counted into one leaf before they are dealt, so a passage in
-a third of all documents is one row.
+``width`` words and written as digits of a few words each. They are dealt by
+range of their digit sequences, whose boundaries are prefixes as long as it
+takes to give every task about as many suffixes. A task sorts its suffixes, so
+that its subtrees lie in depth-first order and a node is a run of suffixes with
+a common prefix; the nodes at full depth with two occurrences or more are the
+deep internal nodes, and all but their earliest occurrence repeat. Equal
+suffixes of one batch are merged before they are dealt, so a passage in a third
+of all documents is a row a batch.
 
 Defined cases. Null and empty texts have no word. A repeated row (same id and
 text) starts where its twin does, so neither removes the other. Texts of one
@@ -18,17 +18,17 @@ id count as documents ordered by hash. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WORD_BREAKS, cut
-from .windows import covered, keyed, mix, repeated
+from .common import WORD_BREAKS
+from .windows import BASES, RUN, RUN_SCHEMA, Rows, Sums, covered, keyed, mix, repeated, with_runs
 
-#: Suffixes of one prefix that a task takes before the prefix is lengthened.
-GROUP = 100_000
+#: Digits of a suffix.
 DIGITS = 5
 
 
@@ -38,42 +38,54 @@ def word_tokens(text: str) -> tuple[np.ndarray, np.ndarray]:
     return one, mix(one + np.uint64(1))
 
 
-def deep_nodes(leaves: DataFrame) -> DataFrame:
-    """``d0..d4, first`` of the subtree nodes at full depth with two
-    occurrences or more. ``leaves``: ``d0..d4, first, n``."""
-    names = [f"d{i}" for i in range(DIGITS)]
-    prefix = [F.col("d0")]
-    dealt = leaves.withColumn("prefix", F.xxhash64("d0"))
-    for i in range(1, DIGITS):
-        wide = dealt.groupBy("prefix").agg(F.count("*").alias("m")).where(F.col("m") > GROUP).select("prefix", F.lit(True).alias("wide"))
-        prefix.append(F.col(f"d{i}"))
-        longer = F.when(F.col("wide"), F.xxhash64(*prefix)).otherwise(F.col("prefix"))
-        if not wide.head(1):
-            break
-        dealt = dealt.join(wide, "prefix", "left").select(*names, "first", "n", longer.alias("prefix"))
+def opened(width: int, texts: DataFrame) -> DataFrame:
+    """The suffixes in the given runs that also occur earlier."""
+    part = -(-width // DIGITS)
+    digits = [f"d{i}" for i in range(DIGITS)]
+    names = (*RUN, *digits)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:  # sorted: a branch is a run of rows, its depth their common digits
-            deep = np.flatnonzero(b.column(DIGITS + 1).to_numpy() > 1)
-            yield b.take(pa.array(deep)).select([*names, "first"])
-
-    branch = dealt.repartition("prefix").sortWithinPartitions("prefix", *names).select(*names, "first", "n")
-    return branch.mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", first struct<doc:long,tag:long,start:long>")
-
-
-def later(windows: DataFrame) -> DataFrame:
-    names = [f"d{i}" for i in range(DIGITS)]
-    at = F.struct("doc", "tag", "start")
-    windows = cut(windows, "suffix-tree-suffixes")
-    leaves = cut(windows.groupBy(*names).agg(F.min(at).alias("first"), F.count("*").alias("n")), "suffix-tree-leaves")
-    return windows.join(deep_nodes(leaves), names).where(at != F.col("first")).select("doc", "tag", "start")
+    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Rows(names)
+        for batch in batches:
+            for doc, tag, text, found in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), batch.column(3), strict=True):
+                a, b = word_tokens(text.as_py())
+                spans = found.values.to_numpy()
+                first, sizes = spans >> 32, (spans & 0xFFFFFFFF) - (spans >> 32) + 1
+                start = np.repeat(first - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+                one, two = Sums(a, BASES[0]), Sums(b, BASES[1])
+                cuts = [start + min(width, i * part) for i in range(DIGITS + 1)]
+                values = [(one.of(lo, hi) + two.of(lo, hi) * np.uint64(3)).view(np.int64) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+                out.add(one.of(start, start + width).view(np.int64), two.of(start, start + width).view(np.int64), np.full(len(start), doc), np.full(len(start), tag), start << 32 | start, *values)
+                if out.held >= Rows.SIZE:
+                    yield out.batch()
+        if out.held:
+            yield out.batch()
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            later = b.column(0).to_numpy(zero_copy_only=False)
+            path = np.stack([b.column(4 + i).to_numpy() for i in range(DIGITS)])
+            depth = np.zeros(b.num_rows, np.int64)  # digits shared with the suffix before
+            depth[1:] = np.logical_and.accumulate(path[:, 1:] == path[:, :-1]).sum(0)
+            depth[0] = 0 if before is None else int(np.logical_and.accumulate(path[:, 0] == before).sum())
+            before = path[:, -1]
+            yield b.take(pa.array(np.flatnonzero((depth == DIGITS) | later))).select(["doc", "tag", "run"])
+
+    # a suffix that is merged away still needs its place in the order, but no company
+    rows = texts.mapInArrow(suffixes, RUN_SCHEMA + "".join(f", {d} long" for d in digits))
+    rows = rows.select("later", *["doc", "tag", "run"], F.when(F.col("later"), F.col("anchor")).otherwise(F.col("d0")).alias("d0"), *digits[1:])
+    dealt = rows.repartitionByRange(*digits).sortWithinPartitions(*digits, "doc", "tag", "run")
+    return dealt.mapInArrow(walk, "doc long, tag long, run long")
 
 
 def remove_repeats(docs: DataFrame, width: int = 20, gram: int = 6, text: str = "text", keep_spaces: bool = False) -> DataFrame:
     """``doc_id, n_words, n_removed, kept``: kept words joined by one space or,
     with ``keep_spaces``, each with the white space that followed it."""
     rows = keyed(docs, text)
-    found = repeated(rows, word_tokens, width, gram, later, DIGITS, "suffix-tree").groupBy("doc", "tag").agg(F.collect_list("run").alias("runs"))
+    found = repeated(rows, word_tokens, width, gram, partial(opened, width), "suffix-tree")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,7 +107,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, gram: int = 6, text: str =
                     kept.append(left.decode("utf-8", "surrogatepass"))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    joined = rows.join(found, ["doc", "tag"], "left").select(F.nullif("doc", F.lit(-(2**63))).alias("doc_id"), "text", "runs")
+    joined = with_runs(rows, found, "left").select(F.nullif("doc", F.lit(-(2**63))).alias("doc_id"), "text", "runs")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 

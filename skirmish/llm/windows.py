@@ -7,12 +7,13 @@ earlier start). Suffixes are not shipped one by one. Each window is filed under
 its anchor, the ``gram`` consecutive tokens inside it with the smallest hash:
 equal windows have equal anchors, and the run of neighbouring windows that
 share an anchor is one row, about ``2 / (width - gram + 2)`` rows a token.
-Rows whose anchor occurs once in the corpus hold no repeat and are dropped.
 
-Of the others, rows with equal text (``context``) repeat whole; only the first
-row of each distinct context can still hold windows that are new, and only
-these, where an anchor has several contexts, are opened into single windows.
-A context shared by any number of documents thus costs one row from then on.
+Rows are dealt by anchor and sorted (``settle``). An anchor that occurs once
+holds no repeat. Rows with equal text (``context``) repeat whole, all but the
+first; the first of each context can still hold windows that are new, and is
+opened further where its anchor has several contexts. Before rows are dealt,
+each batch keeps one row per context and marks the others as copies, so what
+any number of documents share is one row a batch.
 
 Hashes are polynomials over odd bases modulo 2^64, finished with a mixer; a
 window is compared by two of them (128 bits).
@@ -24,7 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import cut
 
@@ -102,86 +103,123 @@ def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(doc.alias("doc"), F.xxhash64(text).alias("tag"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
-def place() -> Column:
-    return F.struct("doc", "tag", "run")
+def combined(columns: list[np.ndarray]) -> np.ndarray:
+    """Which rows (``anchor, context, doc, tag, run, ..``) have an earlier row of their context in the batch."""
+    anchor, context, doc, tag, run = columns[:5]
+    order = np.lexsort((run, tag, doc, context, anchor))
+    later = np.zeros(len(run), bool)
+    a, c = anchor[order], context[order]
+    later[order[1:]] = (a[1:] == a[:-1]) & (c[1:] == c[:-1])
+    return later
 
 
-def runs(rows: DataFrame, tokens: Tokens, width: int, gram: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
-            held = 0
-            for doc, tag, text in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), strict=True):
-                a, b = tokens(text.as_py())
-                if len(a) < width:
-                    continue
-                anchor, context, first, last = anchored_runs(a, b, width, gram)
-                for col, v in zip(out, (anchor.view(np.int64), context.view(np.int64), np.full(len(first), doc), np.full(len(first), tag), first << 32 | last), strict=True):
-                    col.append(v)
-                held += len(first)
-                if held >= 100_000:
-                    yield _batch(out, ("anchor", "context", "doc", "tag", "run"))
-                    out, held = [[], [], [], [], []], 0
-            if held:
-                yield _batch(out, ("anchor", "context", "doc", "tag", "run"))
+class Rows:
+    """Gathers rows column by column and gives them out in batches."""
+
+    SIZE = 300_000
 
-    return rows.mapInArrow(run, "anchor long, context long, doc long, tag long, run long")
+    def __init__(self, names: tuple[str, ...]):
+        self.names, self.columns, self.held = names, [[] for _ in names], 0
 
+    def add(self, *columns: np.ndarray) -> None:
+        for held, c in zip(self.columns, columns, strict=True):
+            held.append(c)
+        self.held += len(columns[0])
 
-def _batch(columns: list[list[np.ndarray]], names: tuple[str, ...]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=list(names))
+    def batch(self) -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in self.columns]
+        later = combined(columns)
+        # a copy needs no company: it is dealt by a key of its own, so that a hot anchor is not
+        columns[0] = np.where(later, mix((columns[2] * 31 + columns[4]).view(np.uint64)).view(np.int64), columns[0])
+        columns[1] = np.where(later, 0, columns[1])
+        self.columns, self.held = [[] for _ in self.names], 0
+        return pa.RecordBatch.from_arrays([pa.array(later), *[pa.array(c) for c in columns]], names=["later", *self.names])
 
 
-def opened(rows: DataFrame, wanted: DataFrame, tokens: Tokens, width: int, digits: int) -> DataFrame:
-    """``d0.., doc, tag, start``: the windows that ``wanted(doc, tag, run)``
-    names, each as ``digits`` hashes of its equal parts, in text order."""
-    part = -(-width // digits)
+RUN = ("anchor", "context", "doc", "tag", "run")
+RUN_SCHEMA = "later boolean, anchor long, context long, doc long, tag long, run long"
+
+
+def runs(rows: DataFrame, tokens: Tokens, width: int, gram: int) -> DataFrame:
+    """Every window of every text, as runs that share an anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = (*[f"d{i}" for i in range(digits)], "doc", "tag", "start")
+        out = Rows(RUN)
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in names]
-            held = 0
-            for doc, tag, text, wants in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), batch.column(3), strict=True):
+            for doc, tag, text in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), strict=True):
                 a, b = tokens(text.as_py())
                 if len(a) < width:
                     continue
-                spans = np.array(wants.values.to_numpy())
-                first, last = spans >> 32, spans & 0xFFFFFFFF
-                sizes = last - first + 1
-                start = np.repeat(first - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-                one, two = Sums(a, BASES[0]), Sums(b, BASES[1])
-                for i in range(digits):
-                    lo, hi = start + i * part, start + min(width, (i + 1) * part)
-                    out[i].append((one.of(lo, hi) + two.of(lo, hi) * np.uint64(3)).view(np.int64))
-                for col, v in zip(out[digits:], (np.full(len(start), doc), np.full(len(start), tag), start), strict=True):
-                    col.append(v)
-                held += len(start)
-                if held >= 100_000:
-                    yield _batch(out, names)
-                    out, held = [[] for _ in names], 0
-            if held:
-                yield _batch(out, names)
-
-    per_doc = wanted.groupBy("doc", "tag").agg(F.collect_list("run").alias("runs"))
-    schema = ", ".join([*[f"d{i} long" for i in range(digits)], "doc long", "tag long", "start long"])
-    return rows.join(per_doc, ["doc", "tag"]).select("doc", "tag", "text", "runs").mapInArrow(run, schema)
-
-
-def repeated(rows: DataFrame, tokens: Tokens, width: int, gram: int, later: Callable[[DataFrame], DataFrame], digits: int, name: str) -> DataFrame:
-    """``doc, tag, run``: the repeated windows, as runs of starts.
-
-    ``later`` takes single windows (``d0.., doc, tag, start``) and returns
-    ``doc, tag, start`` of those whose digits also occur earlier."""
-    all_runs = runs(rows, tokens, width, gram)
-    shared = all_runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    kept = cut(all_runs.join(shared, "anchor"), f"{name}-runs")
-    contexts = cut(kept.groupBy("anchor", "context").agg(F.min(place()).alias("first"), F.count("*").alias("n")), f"{name}-contexts")
-    copies = kept.join(contexts.where("n > 1"), ["anchor", "context"]).where(place() != F.col("first")).select("doc", "tag", "run")
-    several = contexts.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
-    firsts = contexts.join(several, "anchor").select("first.*")
-    single = later(opened(rows, firsts, tokens, width, digits)).select("doc", "tag", F.col("start").bitwiseOR(F.shiftleft("start", 32)).alias("run"))
-    return copies.unionByName(single)
+                anchor, context, first, last = anchored_runs(a, b, width, gram)
+                out.add(anchor.view(np.int64), context.view(np.int64), np.full(len(first), doc), np.full(len(first), tag), first << 32 | last)
+                if out.held >= Rows.SIZE:
+                    yield out.batch()
+        if out.held:
+            yield out.batch()
+
+    return rows.mapInArrow(run, RUN_SCHEMA)
+
+
+def settle(rows: DataFrame, more: str = "") -> DataFrame:
+    """``copy, doc, tag, run`` and the columns of ``more``: copies (true), and
+    firsts of contexts whose anchor has another context too (false). Other
+    rows hold no repeat and are left out. The scan keeps one row of state."""
+    extra = [c.split()[0] for c in more.split(", ")] if more else []
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchor_before = context_before = pending = None
+        for b in batches:
+            later = b.column(0).to_numpy(zero_copy_only=False)
+            anchor, context = b.column(1).to_numpy(), b.column(2).to_numpy()
+            n = len(anchor)
+            if not n:
+                continue
+            near = np.zeros(n, bool)
+            near[1:] = (anchor[1:] == anchor[:-1]) & ~later[1:]
+            near[0] = anchor_before is not None and anchor[0] == anchor_before and not later[0]
+            equal = near.copy()
+            equal[1:] &= context[1:] == context[:-1]
+            equal[0] &= context[0] == context_before
+            second = near & ~equal  # another context of an anchor seen before
+            group = np.cumsum(~near)
+            several = np.bincount(group, weights=second, minlength=group[-1] + 1) > 0
+            opens = second | (~near & ~later & several[group])
+            copies = equal | later
+            out = [b] if pending is None or not several[0] else [pending, b]
+            if pending is not None and several[0]:
+                opens, copies = np.concatenate([[True], opens]), np.concatenate([[False], copies])
+            if group[0] != group[-1] or not near[0] or several[0]:
+                pending = None
+            if not later[-1]:
+                start = int(np.flatnonzero(group == group[-1])[0])
+                if not near[start] and not several[group[-1]]:
+                    pending = b.slice(start, 1)
+                anchor_before, context_before = anchor[-1], context[-1]
+            else:
+                anchor_before = pending = None
+            table = pa.Table.from_batches(out)
+            keep = pa.array(np.flatnonzero(opens | copies))
+            table = table.append_column("copy", pa.array(copies)).take(keep).select(["copy", "doc", "tag", "run", *extra])
+            yield from table.combine_chunks().to_batches()
+
+    dealt = rows.repartition("anchor").sortWithinPartitions("later", "anchor", "context", "doc", "tag", "run")
+    return dealt.mapInArrow(scan, "copy boolean, doc long, tag long, run long" + (f", {more}" if more else ""))
+
+
+def with_runs(rows: DataFrame, found: DataFrame, how: str = "inner") -> DataFrame:
+    """``doc, tag, text, runs``: the texts with what was found in them (a list
+    no longer than the text)."""
+    per_doc = found.groupBy("doc", "tag").agg(F.collect_list("run").alias("runs"))
+    return rows.join(per_doc, ["doc", "tag"], how).select("doc", "tag", "text", "runs")
+
+
+def repeated(rows: DataFrame, tokens: Tokens, width: int, gram: int, opened: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """``doc, tag, run``: the repeated windows, as runs of starts. ``opened``
+    takes texts with the runs to look into and returns the windows among them
+    that also occur earlier."""
+    first = cut(settle(runs(rows, tokens, width, gram)), name)
+    copies = first.where("copy").select("doc", "tag", "run")
+    return copies.unionByName(opened(with_runs(rows, first.where("not copy"))))
 
 
 def covered(run_list: np.ndarray, width: int, n: int) -> np.ndarray:
