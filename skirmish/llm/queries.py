@@ -46,3 +46,13 @@ QUERIES = {
     "op10_packing": op10_packing,
 }
 ORACLE: dict[str, str] = {}
+
+
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order MinHash of every document and of its edit."""
+    from .order_minhash import compare_edits
+
+    return compare_edits(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op4_order_minhash"] = op4_order_minhash
