@@ -78,3 +78,17 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op3_html_text"] = op3_html_text
 QUERIES["op6_url_rules"] = op6_url_rules
+
+
+def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    from .quality_crf import held_out, learned, scored
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = learned(docs, _table(spark, sf_dir, "labels"))
+    predicted = F.when(F.col("score") >= 0.7, 1).otherwise(0)
+    slim = scored(docs.withColumn("held_out", held_out(F.col("doc_id"))), model)
+    return slim.select("doc_id", "held_out", "score", predicted.alias("predicted"))
+
+
+QUERIES["op5_quality_crf"] = op5_quality_crf
