@@ -92,3 +92,45 @@ def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_quality_crf"] = op5_quality_crf
+
+
+#: Times that op1 may read a source, within a budget of all words.
+REPETITION = 2.0
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sources mixed as evenly as two epochs of any of them allow."""
+    from .mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"), repetition=REPETITION).select("doc_id", "source", "epoch", "block", "position")
+
+
+def op2_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest codes of every hundredth vector."""
+    from .hamming_topk import top_k
+
+    rows = _table(spark, sf_dir, "embeddings")
+    return top_k(rows, rows.where("vec_id % 100 = 0"))
+
+
+QUERIES["op1_mixing"] = op1_mixing
+QUERIES["op2_hamming_topk"] = op2_hamming_topk
+ORACLE["op2_hamming_topk"] = """
+WITH q AS (SELECT DISTINCT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0),
+d AS (
+  SELECT q.vec_id AS query_id, e.vec_id AS neighbour_id,
+         list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: CAST((q.embedding[i] >= 0) <> (e.embedding[i] >= 0) AS INTEGER))) AS distance
+  FROM q JOIN embeddings e ON e.vec_id <> q.vec_id
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS rank FROM d)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbour_id, CAST(distance AS INTEGER) AS distance FROM r WHERE rank <= 10
+"""
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline.py."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline

@@ -73,20 +73,15 @@ def _again(h: np.ndarray, seed: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def _variants(classes: DataFrame, words: int, per_word: int) -> DataFrame:
-    """``key, rep``: one row per segment and masked position; ``key`` is a hash,
-    whose rare collisions only add candidates that are verified away."""
-    width = 64 // per_word
+def _variants(classes: DataFrame, width: int, per_word: int) -> DataFrame:
+    """``key, rep``: one row per segment of ``width`` bits and masked position;
+    ``key`` is a hash, whose rare collisions only add candidates that are
+    verified away."""
     mask = (1 << width) - 1
-
-    def signed(x: int) -> int:
-        return x - (1 << 64) if x >= 1 << 63 else x
-
-    segment = F.col("w").bitwiseAND(F.lit(signed(mask)))
-    pieces = F.flatten(F.transform("fp", lambda w: F.array(*[F.shiftrightunsigned(w, width * i) for i in range(per_word)])))
+    pieces = F.flatten(F.transform("fp", lambda w: F.array(*[F.shiftrightunsigned(w, width * i).bitwiseAND(mask) for i in range(per_word)])))
     base = classes.select("rep", F.posexplode(pieces).alias("seg", "w"))
-    masks = F.array(*[F.lit(signed(mask & ~(1 << i))) for i in range(width)])
-    wild = base.select("rep", "seg", segment.alias("w"), F.posexplode(masks).alias("at", "m"))
+    masks = F.array(*[F.lit(mask & ~(1 << i)).cast("long") for i in range(width)])
+    wild = base.select("rep", "seg", "w", F.posexplode(masks).alias("at", "m"))
     return wild.select(F.xxhash64(F.col("seg") * width + F.col("at"), F.col("w").bitwiseAND(F.col("m"))).alias("key"), "rep")
 
 
@@ -103,7 +98,7 @@ def links(classes: DataFrame, radius: int, words: int = 1, per_word: int = 2) ->
     than ``DIRECT_BUCKET`` classes is joined on one more exact piece of the
     fingerprint instead: of ``radius + 1`` pieces of the whole fingerprint, one
     at least is equal in any pair that counts, so no link is lost."""
-    index = _variants(classes, words, per_word)
+    index = _variants(classes, 64 // per_word, per_word)
     sizes = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     found = cut(index.join(sizes, "key").join(classes, "rep"), "simhash-buckets")
 
@@ -131,3 +126,84 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: in
     linked = components(links(classes, radius, 1, max(1, (radius + 2) // 2)), "simhash-links")
     labelled = classes.join(linked, classes.rep == linked.id, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(labelled, "fp").select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Near duplicates by similarity: segments of the fingerprint, bits of each, and words of the shingles it is made of.
+SEGMENTS, WIDTH, FEATURE = 8, 24, 2
+#: Share of differing bits up to which a candidate's shingles are compared.
+NEAR = 0.17
+
+
+def _sliced(prints: DataFrame) -> DataFrame:
+    """64-bit words cut to the ``WIDTH`` bits of a segment each."""
+    return prints.withColumn("fp", F.transform("fp", lambda w: w.bitwiseAND((1 << WIDTH) - 1)))
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` that agree in a segment but for one bit and differ in at
+    most ``NEAR`` of all bits. In a bucket of more than ``DIRECT_BUCKET`` classes
+    every member is paired with the medoid, the member nearest to the bucket's
+    majority of each bit, so pairs grow with members, not with their square."""
+    index = _variants(classes, WIDTH, 1)
+    sizes = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    found = cut(index.join(sizes, "key").join(classes, "rep"), "simhash-buckets")
+    small, large = found.where(F.col("n") <= DIRECT_BUCKET), found.where(F.col("n") > DIRECT_BUCKET)
+    right = lambda rows: rows.select("key", F.col("rep").alias("b"), F.col("fp").alias("fb"))
+    near = distance("fa", "fb", SEGMENTS) <= int(NEAR * SEGMENTS * WIDTH)
+    direct = small.select("key", F.col("rep").alias("a"), F.col("fp").alias("fa")).join(right(small), "key").where("a < b").where(near).select("a", "b")
+    votes = large.groupBy("key").agg(*[F.sum(F.shiftright(F.col("fp")[s], i).bitwiseAND(1)).alias(f"v{s}_{i}") for s in range(SEGMENTS) for i in range(WIDTH)], F.count("*").alias("m"))
+    centre = votes.select("key", F.array(*[sum((F.when(2 * F.col(f"v{s}_{i}") > F.col("m"), 1 << i).otherwise(0) for i in range(WIDTH)), F.lit(0)).cast("long") for s in range(SEGMENTS)]).alias("fb"))
+    ranked = large.withColumnRenamed("fp", "fa").join(centre, "key").groupBy("key").agg(F.min(F.struct(distance("fa", "fb", SEGMENTS).alias("d"), "rep", "fa")).alias("best"))
+    medoid = ranked.select("key", F.col("best.rep").alias("a"), F.col("best.fa").alias("fa"))
+    star = right(large).join(medoid, "key").where("a <> b").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return direct.unionByName(star).distinct()
+
+
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """``id, shingles``: the distinct shingle hashes of a text, sorted, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                b = batch.slice(at, 500)
+                sets = [np.unique(shingle_hashes(t.as_py(), shingle, 42)).tobytes() for t in b.column(1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+
+    return docs.mapInArrow(run, "id long, shingles binary")
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``a, b`` whose sets have a Jaccard similarity of at least ``similarity``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for i, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                total = len(x) + len(y) - both
+                if total == 0 or both >= similarity * total:
+                    keep.append(i)
+            yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
+    """``doc_id, component_id``: classes of texts that are equal or linked by
+    shingle sets of at least that similarity. Candidates come from a fingerprint
+    of short shingles; pairs within ``2 * SEGMENTS - 1`` of its bits are all
+    found, farther ones with a chance that the README gives."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    hashed = rows.select("doc_id", F.md5("text").alias("same"))
+    equal = cut(hashed.groupBy("same").agg(F.min("doc_id").alias("rep")), "simhash-equal")
+    prints = cut(fingerprints(rows, FEATURE, tuple(range(42, 42 + SEGMENTS))), "simhash-prints")
+    classes = cut(_sliced(prints.join(equal.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep"), "simhash-classes")
+    pairs = cut(candidates(classes), "simhash-candidates")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = cut(shingle_sets(rows.join(wanted, "doc_id", "left_semi"), shingle).dropDuplicates(["id"]), "simhash-sets")
+    linked = components(similar_pairs(pairs, sets, similarity), "simhash-links")
+    label = equal.join(linked, equal.rep == linked.id, "left").select("same", F.coalesce("component", "rep").alias("component_id"))
+    return hashed.join(label, "same").select("doc_id", "component_id")

@@ -81,11 +81,12 @@ def opened(width: int, texts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(walk, "doc long, tag long, run long")
 
 
-def remove_repeats(docs: DataFrame, width: int = 20, gram: int = 6, text: str = "text", keep_spaces: bool = False) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept``: kept words joined by one space or,
-    with ``keep_spaces``, each with the white space that followed it."""
-    rows = keyed(docs, text)
-    found = repeated(rows, word_tokens, width, gram, partial(opened, width), "suffix-tree")
+def remove_repeats(docs: DataFrame, width: int = 20, gram: int = 6, text: str = "text", keep_spaces: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept`` and the columns of ``carry``: kept
+    words joined by one space or, with ``keep_spaces``, each with the white
+    space that followed it."""
+    rows = keyed(docs, text, carry)
+    found = repeated(rows.select("doc", "tag", "text"), word_tokens, width, gram, partial(opened, width), "suffix-tree")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,10 +106,11 @@ def remove_repeats(docs: DataFrame, width: int = 20, gram: int = 6, text: str =
                     else:
                         left = raw
                     kept.append(left.decode("utf-8", "surrogatepass"))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), *b.columns[3:]], names=["doc_id", "n_words", "n_removed", "kept", *carry])
 
-    joined = with_runs(rows, found, "left").select(F.nullif("doc", F.lit(-(2**63))).alias("doc_id"), "text", "runs")
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    joined = with_runs(rows, found, "left").select(F.nullif("doc", F.lit(-(2**63))).alias("doc_id"), "text", "runs", *[f"carried_{c}" for c in carry])
+    schema = joined.select("doc_id", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.col("text").alias("kept"), *[F.col(f"carried_{c}").alias(c) for c in carry]).schema
+    return joined.mapInArrow(run, schema)
 
 
 def _without(raw: bytes, gone: np.ndarray) -> bytes:

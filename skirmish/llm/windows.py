@@ -96,11 +96,11 @@ def anchored_runs(a: np.ndarray, b: np.ndarray, width: int, gram: int) -> tuple[
     return grams[at[first]], two.of(first, last + width), first, last
 
 
-def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
+def keyed(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc, tag, text``: what orders documents. Rows of one ``doc_id`` with
     different texts are told apart by ``tag``; null ids come before all."""
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    return docs.select(doc.alias("doc"), F.xxhash64(text).alias("tag"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return docs.select(doc.alias("doc"), F.xxhash64(text).alias("tag"), F.coalesce(F.col(text), F.lit("")).alias("text"), *[F.col(c).alias(f"carried_{c}") for c in carry])
 
 
 def combined(columns: list[np.ndarray]) -> np.ndarray:
@@ -210,7 +210,7 @@ def with_runs(rows: DataFrame, found: DataFrame, how: str = "inner") -> DataFram
     """``doc, tag, text, runs``: the texts with what was found in them (a list
     no longer than the text)."""
     per_doc = found.groupBy("doc", "tag").agg(F.collect_list("run").alias("runs"))
-    return rows.join(per_doc, ["doc", "tag"], how).select("doc", "tag", "text", "runs")
+    return rows.join(per_doc, ["doc", "tag"], how).select("doc", "tag", "text", "runs", *[c for c in rows.columns if c.startswith("carried_")])
 
 
 def repeated(rows: DataFrame, tokens: Tokens, width: int, gram: int, opened: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
@@ -219,7 +219,7 @@ def repeated(rows: DataFrame, tokens: Tokens, width: int, gram: int, opened: Cal
     that also occur earlier."""
     first = cut(settle(runs(rows, tokens, width, gram)), name)
     copies = first.where("copy").select("doc", "tag", "run")
-    return copies.unionByName(opened(with_runs(rows, first.where("not copy"))))
+    return copies.unionByName(opened(with_runs(rows.select("doc", "tag", "text"), first.where("not copy"))))
 
 
 def covered(run_list: np.ndarray, width: int, n: int) -> np.ndarray:
