@@ -17,11 +17,13 @@ bounded by one block and one document.
 
 Defined cases. A null or empty text is packed as its end id alone. Repeated
 rows are packed once each, ties of ``doc_id`` in any order; null ids come
-first. Extra columns are ignored. An empty table gives no pieces.
+first. Extra columns are ignored. An empty table gives no pieces. The names of
+special tokens in a text are ordinary text.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -39,6 +41,9 @@ INSIDE_PENALTY = 4
 #: Entries of a worker's word cache; it starts anew when full.
 CACHE_ENTRIES = 1 << 19
 PUNCTUATION = ".,;:!?%*#&$|"
+#: Separators that Python counts as white space and the tokenizer doesn't.
+_CONTROL = re.compile(r"[\x1c-\x1f]")
+_BREAK = re.compile(r"[^\S\x1c-\x1f]+")
 
 
 class WordCache(dict):
@@ -87,7 +92,7 @@ class WordCache(dict):
 
     def encode(self, text: str) -> tuple[bytes, np.ndarray]:
         """Ids as little-endian 32-bit words, and the token counts up to each sentence end."""
-        words = text.split()
+        words = [w for w in _BREAK.split(text) if w] if _CONTROL.search(text) else text.split()
         parts = [self[w] for w in words]
         ends = np.fromiter((w[-1] in ".!?" for w in words), bool, len(words))
         counts = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))

@@ -12,8 +12,9 @@ source and id are no inputs of a score.
 
 Defined cases. Null and empty texts, and texts of white space, have no line:
 their score is 0. A repeated row is scored again, to the same value. Very long
-lines and texts are read whole. With no labelled row of both classes the fit
-raises ``ValueError``. Extra columns are ignored.
+lines and texts are read whole. Without labelled rows of both classes every
+line is neutral and the score is the smoothed share of label 1 (0.5 with no
+label). Extra columns are kept; ``score`` takes the place of any such column.
 """
 
 from __future__ import annotations
@@ -167,7 +168,8 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str
     got = rows.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), "text").mapInArrow(run, "doc_id long, quality int, features binary, sizes binary").collect()
     got = sorted((r for r in got if r.features), key=lambda r: (r.doc_id, r.features))
     if len({r.quality for r in got}) < 2:
-        raise ValueError("labelled documents of both classes are needed")
+        good = sum(r.quality for r in got)
+        return {"w": np.zeros(WIDTH), "t": np.zeros((2, 2)), "slope": 0.0, "bias": float(np.log((good + 1) / (len(got) - good + 1)))}
     every = [np.frombuffer(r.features, "<f4").reshape(-1, WIDTH).astype(float) for r in got]
     truth = np.array([r.quality for r in got])
     chains = [(f[i : i + CHAIN], q) for f, q in zip(every, truth, strict=True) for i in range(0, len(f), CHAIN)]
