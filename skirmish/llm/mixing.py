@@ -107,16 +107,18 @@ def mix(
     last = epochs.where("epoch = full and rest > 0").withColumn("__slot", slot)
     sums = last.groupBy("__source", "__slot").agg(F.sum("__tokens").alias("t"), F.first("rest").alias("rest"))
     running = sums.withColumn("before", F.coalesce(F.sum("t").over(Window.partitionBy("__source").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    edge = cut(running.where("before < rest").select(F.col("__source").alias("__e"), F.col("__slot").alias("__es"), "before", (F.col("before") + F.col("t") > F.col("rest")).alias("cuts")), "mixing-slices")
+    edge = cut(running.where("before < rest").select(F.col("__source").alias("__e"), F.col("__slot").alias("__es"), "before", "t", (F.col("before") + F.col("t") > F.col("rest")).alias("cuts")), "mixing-slices")
     inside = last.join(edge, F.col("__source").eqNullSafe(F.col("__e")) & (F.col("__slot") == F.col("__es")))
     ahead = Window.partitionBy("__source", "__slot").orderBy("__rank", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     crossing = inside.where("cuts").withColumn("__ahead", F.col("before") + F.coalesce(F.sum("__tokens").over(ahead), F.lit(0))).where("__ahead < rest")
-    columns = [*kept, "epoch", "__rank", "__slot", "full", "rest", "goal", "__all"]
-    part = inside.where("not cuts").select(*columns).unionByName(crossing.select(*columns))
-    chosen = whole.withColumn("__slot", slot).select(*columns).unionByName(part)
 
-    # a source's stream runs once through all blocks; its place is the epoch and the slice within it
-    along = F.col("epoch") * F.col("__all") + (F.col("__slot") + F.pmod(F.xxhash64("__rank"), F.lit(1 << 20)) / (1 << 20)) / slices * F.col("__all")
+    # a source's stream runs once through all blocks; __ahead is the tokens of the epoch before a document, about so within a slice
+    within = F.pmod(F.xxhash64("__rank"), F.lit(1 << 20)) / (1 << 20)
+    columns = [*kept, "epoch", "__rank", "__ahead", "goal", "__all"]
+    uncut = inside.where("not cuts").withColumn("__ahead", F.col("before") + within * F.col("t"))
+    full = whole.withColumn("__ahead", (slot + within) / slices * F.col("__all"))
+    chosen = full.select(*columns).unionByName(uncut.select(*columns)).unionByName(crossing.select(*columns))
+    along = F.col("epoch") * F.col("__all") + F.col("__ahead")
     block = F.least(F.lit(blocks - 1), F.floor(blocks * along / F.col("goal"))).cast("int")
     out = chosen.withColumn("block", F.greatest(F.lit(0), block))
     return out.select(*kept, "epoch", "block", F.xxhash64(F.lit(seed), "__rank", "block").alias("position"))
