@@ -72,34 +72,40 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "ve
     index = cut(split.groupBy("segment", "value", "part").agg(F.collect_list("code").alias("codes")), "topk-index")
 
     bit_distance = lambda a, b: sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(-(-bits // 32))), F.lit(0))
-    open_queries, best, radius = asked, None, 0
+    # rows with one code ask once, for k + 1, as each of them may be its own neighbour
+    open_queries, best, radius = cut(asked.select("query").distinct(), "topk-open"), None, 0
     while True:
         probes = None
         for s, (low, size) in enumerate(parts):
             masks = [sum(1 << i for i in c) for c in combinations(range(size), radius)] if radius <= size else []
             if masks:
-                p = open_queries.select("query_id", "query", F.lit(s).alias("segment"), F.explode(F.array(*[F.lit(m).cast("long") for m in masks]) if len(masks) <= 64 else F.from_json(F.lit(str(masks)), "array<bigint>")).alias("mask"))
-                p = p.select("query_id", "query", "segment", segment_value(F.col("query"), low, size).bitwiseXOR(F.col("mask")).alias("value"))
+                p = open_queries.select("query", F.lit(s).alias("segment"), F.explode(F.array(*[F.lit(m).cast("long") for m in masks]) if len(masks) <= 64 else F.from_json(F.lit(str(masks)), "array<bigint>")).alias("mask"))
+                p = p.select("query", "segment", segment_value(F.col("query"), low, size).bitwiseXOR(F.col("mask")).alias("value"))
                 probes = p if probes is None else probes.unionByName(p)
         if probes is not None:
+            # probes grow with the radius, which no estimate of their size knows: never broadcast them
+            hit = index.join(probes.hint("merge"), ["segment", "value"])
             # verify inside the bucket; only its own k + 1 nearest codes can matter
-            hit = probes.join(index, ["segment", "value"])
             near = F.slice(F.sort_array(F.transform("codes", lambda c: F.struct(bit_distance(c, F.col("query")).alias("distance"), c.alias("code")))), 1, k + 1)
             # a tie at the cut may hide a smaller id behind a greater code: all codes at that distance stay
             limit = F.element_at(near, -1)["distance"]
             kept = F.filter(F.transform("codes", lambda c: F.struct(bit_distance(c, F.col("query")).alias("distance"), c.alias("code"))), lambda x: x["distance"] <= limit)
-            new = hit.select("query_id", F.inline(kept)).distinct()
+            new = hit.select("query", F.inline(kept)).distinct()
             met = cut((new if best is None else new.unionByName(best)).distinct(), "topk-met")
-            with_ids = met.join(distinct, "code").select("query_id", "distance", "code", F.explode("ids").alias("id")).where("id <> query_id")
-            first = Window.partitionBy("query_id").orderBy("distance", "id")
-            ranked = cut(with_ids.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k), "topk-ranked")
-            worst = ranked.groupBy("query_id").agg(F.max("distance").alias("kth"), F.count("*").alias("have"))
-            best = met.join(worst, "query_id", "left").where(F.col("kth").isNull() | (F.col("have") < k) | (F.col("distance") <= F.col("kth"))).select("query_id", "distance", "code")
-        covered = segments * (radius + 1) - 1
+            with_ids = met.join(distinct, "code").select("query", "distance", F.explode("ids").alias("id"))
+            first = Window.partitionBy("query").orderBy("distance", "id")
+            ranked = cut(with_ids.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k + 1), "topk-ranked")
+            worst = ranked.groupBy("query").agg(F.max("distance").alias("kth"), F.count("*").alias("have"))
+            best = met.join(worst, "query", "left").where(F.col("kth").isNull() | (F.col("have") <= k) | (F.col("distance") <= F.col("kth"))).select("query", "distance", "code")
         if radius >= max(size for _, size in parts):
-            return ranked.select("query_id", "rank", F.col("id").alias("neighbour_id"), "distance")
-        done = worst.where((F.col("have") >= k) & (F.col("kth") <= covered)).select("query_id")
-        open_queries = cut(open_queries.join(done, "query_id", "left_anti"), "topk-open")
+            break
+        covered = segments * (radius + 1) - 1
+        done = worst.where((F.col("have") > k) & (F.col("kth") <= covered)).select("query")
+        open_queries = cut(open_queries.join(done, "query", "left_anti"), "topk-open")
         if not open_queries.head(1):
-            return ranked.select("query_id", "rank", F.col("id").alias("neighbour_id"), "distance")
+            break
         radius += 1
+    answers = ranked.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("distance", "id"))).alias("found"))
+    others = F.slice(F.filter("found", lambda x: x["id"] != F.col("query_id")), 1, k)
+    listed = asked.join(answers, "query").select("query_id", F.posexplode(others).alias("at", "x"))
+    return listed.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.id").alias("neighbour_id"), F.col("x.distance").alias("distance"))
