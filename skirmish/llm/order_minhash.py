@@ -53,7 +53,7 @@ def _let(value: Column, body) -> Column:
 
 
 def signature(text: Column, k: int = 2, tuple_size: int = 2, sketches: int = 64) -> Column:
-    """Array of ``sketches`` ints."""
+    """Array of ``sketches`` 16-bit numbers."""
     low = (1 << PLACE_BITS) - 1
     top = 64 - (sketches - 1).bit_length()
 
@@ -65,7 +65,7 @@ def signature(text: Column, k: int = 2, tuple_size: int = 2, sketches: int = 64)
         def entry(at: Column) -> Column:
             picked = F.transform(F.sequence(F.lit(0), F.least(F.size(s), F.lit(tuple_size)) - 1), lambda j: F.get(s, F.pmod(at + j, F.size(s)).cast("int")))
             ordered = F.transform(F.sort_array(F.transform(picked, lambda x: F.struct(x.bitwiseAND(low).alias("p"), F.shiftright(x, PLACE_BITS).alias("h")))), lambda x: x["h"])
-            return F.xxhash64(ordered).bitwiseAND(0xFFFF).cast("int")
+            return (F.xxhash64(ordered).bitwiseAND(0xFFFF) - 0x8000).cast("smallint")
 
         def spread(f: Column) -> Column:
             # for each point the first rank at or after it; past the last one, the first of all
@@ -83,7 +83,7 @@ def signature(text: Column, k: int = 2, tuple_size: int = 2, sketches: int = 64)
 
 
 def fingerprint(sig: Column) -> Column:
-    return F.array_join(F.transform(sig, lambda x: F.lower(F.lpad(F.hex(x), 4, "0"))), "")
+    return F.array_join(F.transform(sig, lambda x: F.lower(F.lpad(F.hex(x.cast("int") + 0x8000), 4, "0"))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -105,20 +105,26 @@ def next_ids(ids: DataFrame) -> DataFrame:
 
 def compare_edits(docs: DataFrame, k: int = 2, tuple_size: int = 2, sketches: int = 64, text: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edit: the last half replaced by as
-    much of the next document's opening."""
+    much of the next document's opening. A whole text is dealt once, to learn
+    how much of its opening is wanted; then only halves travel."""
     sig = lambda c: signature(F.col(c), k, tuple_size, sketches)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    prints = cut(rows.select("doc_id", F.xxhash64("text").alias("tag"), sig("text").alias("sig")), "order-minhash-signatures")
-    following = rows.where("doc_id is not null").groupBy("doc_id").agg(F.max_by("text", F.xxhash64("text")).alias("next_text"))
-    next_prints = prints.where("doc_id is not null").groupBy("doc_id").agg(F.max_by("sig", "tag").alias("next_sig"))
-    order = next_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id")))
-    ahead = order.join(next_prints.withColumnRenamed("doc_id", "next_id"), "next_id")
-    text_ahead = order.join(following.withColumnRenamed("doc_id", "next_id"), "next_id").select("doc_id", "next_text")
-    both = rows.join(text_ahead, "doc_id", "left").withColumn("next_text", F.coalesce("next_text", "text"))
+    known = rows.where("doc_id is not null")
     half = F.floor(F.length("text") / 2).cast("int")
-    edit = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 2) as int))"), F.substring("next_text", F.lit(1), half))
-    edited = both.select("doc_id", F.xxhash64("text").alias("tag"), F.length("text").cast("long").alias("n_chars"), edit.alias("edited"))
-    edited = edited.select("doc_id", "tag", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sig("edited").alias("edited_sig"))
-    known = prints.dropDuplicates(["doc_id", "tag"]).join(ahead, "doc_id", "left").select(F.col("doc_id").alias("id"), F.col("tag").alias("t"), "sig", F.coalesce("next_sig", "sig").alias("next_sig"))
-    out = edited.join(known, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tag") == F.col("t")))
+    halves = cut(known.groupBy("doc_id").agg(F.max(half).alias("wanted")), "order-minhash-halves")
+    order = cut(next_ids(halves), "order-minhash-order")
+    asked = order.join(halves, "doc_id").select(F.col("doc_id").alias("before"), F.col("next_id").alias("doc_id"), "wanted")
+    opening = F.substring("text", F.lit(1), F.col("wanted"))
+    openings = known.join(asked, "doc_id").groupBy("before").agg(F.max_by(opening, F.xxhash64("text")).alias("opening"))
+    # a text is sketched where it is read; only its first half waits for the opening
+    head = F.substring("text", F.lit(1), F.length("text") - half)
+    read = lambda r, *more: r.select("doc_id", F.xxhash64("text").alias("tag"), F.length("text").cast("long").alias("n_chars"), sig("text").alias("sig"), head.alias("head"), *more)
+    both = read(known).join(openings.withColumnRenamed("before", "doc_id"), "doc_id").unionByName(read(rows.where("doc_id is null"), F.col("text").alias("opening")))
+    tail = F.substring("opening", F.lit(1), F.floor(F.col("n_chars") / 2).cast("int"))
+    edited = both.select("doc_id", "tag", "n_chars", "sig", F.concat("head", tail).alias("edited"))
+    edited = edited.select("doc_id", "tag", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sig", sig("edited").alias("edited_sig"))
+    prints = cut(edited, "order-minhash-signatures")
+    next_prints = prints.where("doc_id is not null").groupBy(F.col("doc_id").alias("next_id")).agg(F.max_by("sig", "tag").alias("next_sig"))
+    ahead = order.join(next_prints, "next_id").select("doc_id", "next_sig")
+    out = prints.join(ahead, "doc_id", "left").withColumn("next_sig", F.coalesce("next_sig", "sig"))
     return out.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("sig")).alias("fingerprint"), fingerprint(F.col("edited_sig")).alias("edited_fingerprint"), likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"), likeness(F.col("sig"), F.col("next_sig")).alias("near_next"))
