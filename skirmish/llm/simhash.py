@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import components, cut
 
-#: Rows of one signature bucket that are compared directly; a larger bucket is first cut further (``_spread``).
+#: Rows of one signature bucket that are compared directly; a larger bucket is first cut by the bits outside its segment (``links``).
 DIRECT_BUCKET = 64
 
 
@@ -74,7 +74,7 @@ def _again(h: np.ndarray, seed: int) -> np.ndarray:
 
 
 def _variants(classes: DataFrame, width: int, per_word: int) -> DataFrame:
-    """``key, rep``: one row per segment of ``width`` bits and masked position;
+    """``key, rep, seg``: one row per segment of ``width`` bits and masked position;
     ``key`` is a hash, whose rare collisions only add candidates that are
     verified away."""
     mask = (1 << width) - 1
@@ -82,7 +82,7 @@ def _variants(classes: DataFrame, width: int, per_word: int) -> DataFrame:
     base = classes.select("rep", F.posexplode(pieces).alias("seg", "w"))
     masks = F.array(*[F.lit(mask & ~(1 << i)).cast("long") for i in range(width)])
     wild = base.select("rep", "seg", "w", F.posexplode(masks).alias("at", "m"))
-    return wild.select(F.xxhash64(F.col("seg") * width + F.col("at"), F.col("w").bitwiseAND(F.col("m"))).alias("key"), "rep")
+    return wild.select(F.xxhash64(F.col("seg") * width + F.col("at"), F.col("w").bitwiseAND(F.col("m"))).alias("key"), "rep", "seg")
 
 
 def distance(a: str, b: str, words: int):
@@ -90,28 +90,38 @@ def distance(a: str, b: str, words: int):
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(words)), F.lit(0))
 
 
-def links(classes: DataFrame, radius: int, words: int = 1, per_word: int = 2) -> DataFrame:
-    """Pairs ``a < b`` of class representatives whose fingerprints differ in
-    at most ``radius`` bits, found through the variant index.
+def links(classes: DataFrame, radius: int, per_word: int = 2) -> DataFrame:
+    """Pairs ``a < b`` of class representatives whose 64-bit fingerprints differ
+    in at most ``radius`` bits, found through the variant index.
 
     Keys that one class alone has are dropped before the join. A key with more
-    than ``DIRECT_BUCKET`` classes is joined on one more exact piece of the
-    fingerprint instead: of ``radius + 1`` pieces of the whole fingerprint, one
-    at least is equal in any pair that counts, so no link is lost."""
-    index = _variants(classes, 64 // per_word, per_word)
+    than ``DIRECT_BUCKET`` classes says nothing about the bits outside its
+    segment, so these are cut into as many segments again and joined on the
+    key and a one-wildcard variant of them: they differ in at most ``radius``
+    bits too, so no link is lost."""
+    width = 64 // per_word
+    index = _variants(classes, width, per_word)
     sizes = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     found = cut(index.join(sizes, "key").join(classes, "rep"), "simhash-buckets")
 
     def pairs(rows: DataFrame, on: list[str]) -> DataFrame:
         left, right = rows.select(*on, F.col("rep").alias("a"), F.col("fp").alias("fa")), rows.select(*on, F.col("rep").alias("b"), F.col("fp").alias("fb"))
-        return left.join(right, on).where("a < b").where(distance("fa", "fb", words) <= radius).select("a", "b")
+        return left.join(right, on).where("a < b").where(distance("fa", "fb", 1) <= radius).select("a", "b")
 
-    step = -(-64 * words // (radius + 1))
-    bits = [[i for i in range(p, min(p + step, 64 * words))] for p in range(0, 64 * words, step)]
-    pieces = F.array(*[F.concat_ws("", *[F.shiftrightunsigned(F.col("fp")[i // 64], i % 64).bitwiseAND(F.lit(1)).cast("string") for i in p]) for p in bits])
     small, large = found.where(F.col("n") <= DIRECT_BUCKET), found.where(F.col("n") > DIRECT_BUCKET)
-    spread = large.select("key", "rep", "fp", F.posexplode(pieces).alias("piece", "value"))
-    return pairs(small, ["key"]).unionByName(pairs(spread, ["key", "piece", "value"])).distinct()
+    near = pairs(small, ["key"])
+    outside = 64 - width
+    if outside:  # one segment alone holds two fingerprints a key at most
+        bits = lambda low, size: F.shiftrightunsigned(F.col("fp")[0], low).bitwiseAND((1 << size) - 1)
+        # of the bits outside segment s: those below it, and above them those that stood over it
+        rest = F.array(*[F.shiftleft(bits(width * (s + 1), 64 - width * (s + 1)) if s + 1 < 64 / width else F.lit(0).cast("long"), width * s).bitwiseOR(bits(0, width * s)) for s in range(per_word)])
+        edges = [i * outside // per_word for i in range(per_word + 1)]
+        cuts = [(low, high - low) for low, high in zip(edges[:-1], edges[1:], strict=True)]
+        piece = lambda r, low, n: F.shiftrightunsigned(r, low).bitwiseAND((1 << n) - 1)
+        variants = lambda r: F.array(*[F.xxhash64(F.lit(low + i), piece(r, low, n).bitwiseAND(((1 << n) - 1) & ~(1 << i))) for low, n in cuts for i in range(n)])
+        spread = large.select("key", "rep", "fp", F.get(rest, F.col("seg")).alias("rest")).select("key", "rep", "fp", F.explode(variants(F.col("rest"))).alias("variant"))
+        near = near.unionByName(pairs(spread, ["key", "variant"]))
+    return near.distinct()
 
 
 def classes_of(prints: DataFrame) -> DataFrame:
@@ -123,7 +133,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: in
     """``doc_id, fingerprint, component_id`` for every row of ``docs``."""
     prints = cut(fingerprints(docs, shingle, (seed,)), "simhash-prints")
     classes = cut(classes_of(prints), "simhash-classes")
-    linked = components(links(classes, radius, 1, max(1, (radius + 2) // 2)), "simhash-links")
+    linked = components(links(classes, radius, max(1, (radius + 2) // 2)), "simhash-links")
     labelled = classes.join(linked, classes.rep == linked.id, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(labelled, "fp").select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -144,7 +154,7 @@ def candidates(classes: DataFrame) -> DataFrame:
     most ``NEAR`` of all bits. In a bucket of more than ``DIRECT_BUCKET`` classes
     every member is paired with the medoid, the member nearest to the bucket's
     majority of each bit, so pairs grow with members, not with their square."""
-    index = _variants(classes, WIDTH, 1)
+    index = _variants(classes, WIDTH, 1).drop("seg")
     sizes = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     found = cut(index.join(sizes, "key").join(classes, "rep"), "simhash-buckets")
     small, large = found.where(F.col("n") <= DIRECT_BUCKET), found.where(F.col("n") > DIRECT_BUCKET)
