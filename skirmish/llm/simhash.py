@@ -7,6 +7,9 @@ bit masked, and equal (piece, position, masked value) keys are joined and the
 whole distance verified. That is exact for every radius up to
 ``2 * segments - 1``.
 
+``similar_classes`` links by the similarity of shingle sets instead, which no
+fixed radius covers; it finds its pairs through a prefix filter.
+
 Defined cases. A null or empty text has no shingle: its fingerprint is zero and
 is linked like any other. Repeated rows and equal fingerprints share one class
 representative (the smallest ``doc_id``), so a group of any size costs one row.
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import components, cut
 
@@ -138,35 +141,56 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: in
     return prints.join(labelled, "fp").select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Near duplicates by similarity: segments of the fingerprint, bits of each, and words of the shingles it is made of.
-SEGMENTS, WIDTH, FEATURE = 8, 24, 2
-#: Share of differing bits up to which a candidate's shingles are compared.
-NEAR = 0.17
+#: Share of texts, one in so many, whose shingles are counted to tell frequent ones.
+SAMPLED = 50
+#: Frequent shingles that the order knows, at most.
+FREQUENT = 200_000
 
 
-def _sliced(prints: DataFrame) -> DataFrame:
-    """64-bit words cut to the ``WIDTH`` bits of a segment each."""
-    return prints.withColumn("fp", F.transform("fp", lambda w: w.bitwiseAND((1 << WIDTH) - 1)))
+def frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and counts of shingles that several sampled texts hold.
+    They only set the order of shingles, which no result depends on."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), shingle, 42)).view(np.int64))], names=["key"])
+
+    counted = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    rows = counted.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
+    keys, n = rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], n[order]
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` that agree in a segment but for one bit and differ in at
-    most ``NEAR`` of all bits. In a bucket of more than ``DIRECT_BUCKET`` classes
-    every member is paired with the medoid, the member nearest to the bucket's
-    majority of each bit, so pairs grow with members, not with their square."""
-    index = _variants(classes, WIDTH, 1).drop("seg")
-    sizes = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    found = cut(index.join(sizes, "key").join(classes, "rep"), "simhash-buckets")
-    small, large = found.where(F.col("n") <= DIRECT_BUCKET), found.where(F.col("n") > DIRECT_BUCKET)
-    right = lambda rows: rows.select("key", F.col("rep").alias("b"), F.col("fp").alias("fb"))
-    near = distance("fa", "fb", SEGMENTS) <= int(NEAR * SEGMENTS * WIDTH)
-    direct = small.select("key", F.col("rep").alias("a"), F.col("fp").alias("fa")).join(right(small), "key").where("a < b").where(near).select("a", "b")
-    votes = large.groupBy("key").agg(*[F.sum(F.shiftright(F.col("fp")[s], i).bitwiseAND(1)).alias(f"v{s}_{i}") for s in range(SEGMENTS) for i in range(WIDTH)], F.count("*").alias("m"))
-    centre = votes.select("key", F.array(*[sum((F.when(2 * F.col(f"v{s}_{i}") > F.col("m"), 1 << i).otherwise(0) for i in range(WIDTH)), F.lit(0)).cast("long") for s in range(SEGMENTS)]).alias("fb"))
-    ranked = large.withColumnRenamed("fp", "fa").join(centre, "key").groupBy("key").agg(F.min(F.struct(distance("fa", "fb", SEGMENTS).alias("d"), "rep", "fa")).alias("best"))
-    medoid = ranked.select("key", F.col("best.rep").alias("a"), F.col("best.fa").alias("fa"))
-    star = right(large).join(medoid, "key").where("a <> b").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return direct.unionByName(star).distinct()
+
+def prefixes(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``key, rep, size, at``: the first shingles of each text in one order of all
+    shingles, rare ones first. Sets of sizes m and n that are similar share
+    ``similarity * max(m, n)`` shingles at least, so the first shared one is among the
+    first ``n - similarity * n + 1`` of both (prefix filter): no similar pair is lost."""
+    held = texts.sparkSession.sparkContext.broadcast(frequent(texts, shingle))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = held.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                b = batch.slice(at, 200)
+                keys, sizes = [], []
+                for t in b.column(1):
+                    x = np.unique(shingle_hashes(t.as_py(), shingle, 42))
+                    sizes.append(len(x))
+                    if len(known) and len(x):
+                        i = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                        x = x[np.argsort(np.where(known[i] == x, counts[i], 0), kind="stable")]
+                    # texts without shingles are alike and share a key
+                    keys.append(x[: len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1] if len(x) else np.zeros(1, np.uint64))
+                n = [len(k) for k in keys]
+                places = np.concatenate([np.arange(k, dtype=np.int32) for k in n])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(np.repeat(np.array(sizes, np.int32), n)), pa.array(places)], names=["key", "rep", "size", "at"]
+                )
+
+    return texts.select("rep", "text").mapInArrow(run, "key long, rep long, size int, at int")
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -201,19 +225,42 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def similar_links(texts: DataFrame, sets_of, shingle: int, similarity: float) -> DataFrame:
+    """``id, component`` of all texts (``rep, text``) that are linked. Every bucket
+    of the index first pairs its members with its smallest and largest one; then
+    all pairs that share a bucket and are not linked yet are compared too. So a
+    group of near copies costs rows in proportion, and no link is left out."""
+    alone = Window.partitionBy("key")
+    index = prefixes(texts, shingle, similarity).withColumn("low", F.min("rep").over(alone)).withColumn("high", F.max("rep").over(alone)).where("low < high")
+    index = cut(index.distinct(), "similar-index")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = cut(pairs.distinct(), f"similar-{name}")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        return cut(similar_pairs(pairs, cut(sets_of(wanted), "similar-sets"), similarity), f"similar-{name}-links")
+
+    ends = index.select("rep", F.explode(F.array("low", "high")).alias("end")).where("rep <> end")
+    stars = verified(ends.select(F.least("rep", "end").alias("a"), F.greatest("rep", "end").alias("b")), "stars")
+    label = components(stars, "similar-components")
+    named = index.select("key", "rep", "size", "at").join(label, F.col("rep") == F.col("id"), "left").select("key", "rep", "size", "at", F.coalesce("component", "rep").alias("part"))
+    mixed = cut(named.withColumn("first", F.min("part").over(alone)).withColumn("last", F.max("part").over(alone)).where("first < last").drop("first", "last"), "similar-mixed")
+    x, y = mixed.toDF("key", "a", "m", "i", "p"), mixed.toDF("key", "b", "n", "j", "q")
+    # what is left of both sets from a first shared shingle on must suffice
+    enough = (1 + similarity) * F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) >= similarity * (F.col("m") + F.col("n")) - 1e-6
+    rest = x.join(y, (x.key == y.key) & (F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & enough).select("a", "b")
+    return components(stars.unionByName(verified(rest, "rest")), "similar-components")
+
+
 def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
     """``doc_id, component_id``: classes of texts that are equal or linked by
-    shingle sets of at least that similarity. Candidates come from a fingerprint
-    of short shingles; pairs within ``2 * SEGMENTS - 1`` of its bits are all
-    found, farther ones with a chance that the README gives."""
+    shingle sets of at least that similarity, all of them. ``same`` tells the
+    texts apart."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     hashed = rows.select("doc_id", F.md5("text").alias("same"))
     equal = cut(hashed.groupBy("same").agg(F.min("doc_id").alias("rep")), "simhash-equal")
-    prints = cut(fingerprints(rows, FEATURE, tuple(range(42, 42 + SEGMENTS))), "simhash-prints")
-    classes = cut(_sliced(prints.join(equal.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep"), "simhash-classes")
-    pairs = cut(candidates(classes), "simhash-candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = cut(shingle_sets(rows.join(wanted, "doc_id", "left_semi"), shingle).dropDuplicates(["id"]), "simhash-sets")
-    linked = components(similar_pairs(pairs, sets, similarity), "simhash-links")
+    firsts = equal.where("rep is not null").select(F.col("rep").alias("doc_id"))
+    texts = rows.join(firsts.distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
+    sets_of = lambda wanted: shingle_sets(texts.join(wanted, "rep", "left_semi"), shingle).dropDuplicates(["id"])
+    linked = similar_links(texts, sets_of, shingle, similarity)
     label = equal.join(linked, equal.rep == linked.id, "left").select("same", F.coalesce("component", "rep").alias("component_id"))
     return hashed.join(label, "same").select("doc_id", "component_id")

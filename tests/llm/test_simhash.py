@@ -93,3 +93,19 @@ def test_similar_classes_find_near_copies(spark):
     want = grouped(list(sets), near)
     got = {x.doc_id: x.component_id for x in simhash.similar_classes(table(spark, rows)).collect()}
     assert got == want
+
+
+def test_similar_classes_lose_no_pair_with_a_passage_more_or_less(spark):
+    r = random.Random(11)
+    rows, want, ids = [], {}, iter(range(10_000))
+    for _ in range(150):
+        base = [f"w{r.randrange(10**9)}" for _ in range(200)]
+        cutoff = r.randint(4, 39)
+        at = r.randrange(200 - cutoff)
+        more, less = next(ids), next(ids)
+        rows += [(more, " ".join(base)), (less, " ".join(base[:at] + base[at + cutoff :]))]
+    sets = {i: set(zip(*[t.split()[j:] for j in range(5)])) for i, t in rows}
+    want = grouped(list(sets), [(a, a + 1) for a in range(0, 300, 2) if len(sets[a] & sets[a + 1]) >= 0.8 * len(sets[a] | sets[a + 1])])
+    got = {x.doc_id: x.component_id for x in simhash.similar_classes(table(spark, rows)).collect()}
+    assert len(set(want.values())) < 200
+    assert got == want
