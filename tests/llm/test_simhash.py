@@ -109,3 +109,15 @@ def test_similar_classes_lose_no_pair_with_a_passage_more_or_less(spark):
     got = {x.doc_id: x.component_id for x in simhash.similar_classes(table(spark, rows)).collect()}
     assert len(set(want.values())) < 200
     assert got == want
+
+
+def test_similar_classes_lose_no_pair_in_large_buckets(spark):
+    r = random.Random(12)
+    common, rows = [f"c{i}" for i in range(150)], []
+    for k in range(120):  # all share most of their text, and only pairs are near
+        own = [f"k{k}x{i}" for i in range(50)]
+        rows += [(2 * k, " ".join(common + own)), (2 * k + 1, " ".join(common + own[: r.randint(14, 24)]))]
+    sets = {i: set(zip(*[t.split()[j:] for j in range(5)])) for i, t in rows}
+    want = grouped(list(sets), [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    got = {x.doc_id: x.component_id for x in simhash.similar_classes(table(spark, rows)).collect()}
+    assert got == want
