@@ -103,14 +103,17 @@ def keyed(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ()) -> D
     return docs.select(doc.alias("doc"), F.xxhash64(text).alias("tag"), F.coalesce(F.col(text), F.lit("")).alias("text"), *[F.col(c).alias(f"carried_{c}") for c in carry])
 
 
-def combined(columns: list[np.ndarray]) -> np.ndarray:
-    """Which rows (``anchor, context, doc, tag, run, ..``) have an earlier row of their context in the batch."""
+def combined(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows (``anchor, context, doc, tag, run, ..``) have an earlier row of
+    their context in the batch, and which only repeat a row (of a repeated text)."""
     anchor, context, doc, tag, run = columns[:5]
     order = np.lexsort((run, tag, doc, context, anchor))
     later = np.zeros(len(run), bool)
     a, c = anchor[order], context[order]
     later[order[1:]] = (a[1:] == a[:-1]) & (c[1:] == c[:-1])
-    return later
+    twin = np.zeros(len(run), bool)
+    twin[order[1:]] = later[order[1:]] & np.logical_and.reduce([x[order[1:]] == x[order[:-1]] for x in (doc, tag, run)])
+    return later, twin
 
 
 class Rows:
@@ -128,7 +131,8 @@ class Rows:
 
     def batch(self) -> pa.RecordBatch:
         columns = [np.concatenate(c) for c in self.columns]
-        later = combined(columns)
+        later, twin = combined(columns)
+        later, columns = later[~twin], [c[~twin] for c in columns]
         # a copy needs no company: it is dealt by a key of its own, so that a hot anchor is not
         columns[0] = np.where(later, mix((columns[2] * 31 + columns[4]).view(np.uint64)).view(np.int64), columns[0])
         columns[1] = np.where(later, 0, columns[1])
@@ -167,8 +171,18 @@ def settle(rows: DataFrame, more: str = "") -> DataFrame:
     extra = [c.split()[0] for c in more.split(", ")] if more else []
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchor_before = context_before = pending = None
+        anchor_before = context_before = pending = row_before = None
         for b in batches:
+            if not b.num_rows:
+                continue
+            # a repeated text has each of its rows again; these are no copies
+            row = np.stack([b.column(i).to_numpy() for i in range(1, 6)])
+            twin = ~b.column(0).to_numpy(zero_copy_only=False)
+            twin[1:] &= (row[:, 1:] == row[:, :-1]).all(0) & twin[:-1]
+            twin[0] &= row_before is not None and (row[:, 0] == row_before).all()
+            row_before = None if b.column(0)[-1].as_py() else row[:, -1].copy()
+            if twin.any():
+                b = b.filter(pa.array(~twin))
             later = b.column(0).to_numpy(zero_copy_only=False)
             anchor, context = b.column(1).to_numpy(), b.column(2).to_numpy()
             n = len(anchor)
@@ -219,7 +233,8 @@ def repeated(rows: DataFrame, tokens: Tokens, width: int, gram: int, opened: Cal
     that also occur earlier."""
     first = cut(settle(runs(rows, tokens, width, gram)), name)
     copies = first.where("copy").select("doc", "tag", "run")
-    return copies.unionByName(opened(with_runs(rows.select("doc", "tag", "text"), first.where("not copy"))))
+    # a repeated row would find itself in its twin
+    return copies.unionByName(opened(with_runs(rows.select("doc", "tag", "text"), first.where("not copy")).dropDuplicates(["doc", "tag"])))
 
 
 def covered(run_list: np.ndarray, width: int, n: int) -> np.ndarray:

@@ -85,3 +85,18 @@ def test_kept_spaces(spark):
     passage = " ".join(f"w{i}" for i in range(25))
     got = {r.doc_id: r.kept for r in suffix_tree.remove_repeats(table(spark, [(1, f"one\n\n{passage}\ttwo"), (2, f"three\n{passage}\n\nfour  five")]), keep_spaces=True).collect()}
     assert got == {1: f"one\n\n{passage}\ttwo", 2: "three\nfour  five"}
+
+
+def test_repeated_rows_do_not_remove_each_other(spark):
+    alone, shared = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    near = " ".join(f"a{i}" for i in range(20, 45)) + " " + " ".join(f"c{i}" for i in range(60))
+    rows = [(2, alone), (2, alone), (None, shared), (None, shared), (5, near), (5, near), (7, shared)]
+    for spread in (1, 7):  # twins in one batch and in different ones
+        frame = table(spark, rows).repartition(spread)
+        for removed, split, width in ((suffix_tree.remove_repeats, words, 20), (suffix_array.remove_repeats, lambda t: list(t.encode()), 100)):
+            want = brute(rows, split, width)
+            got = removed(frame).collect()
+            assert len(got) == len(rows)
+            for r in got:
+                key = next(k for k in want if k[0] == (-1 if r.doc_id is None else r.doc_id))
+                assert r.n_removed == sum(want[key][1]), r.doc_id
