@@ -32,9 +32,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (of the smallest id) of each class of near copies; null ids stay."""
-    kept = similar_classes(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """One document (of the smallest id) of each class of near copies, which keep
+    unlike texts of one id apart; null ids stay."""
+    kept = similar_classes(docs).where("first and doc_id is not null").select("doc_id", "same").distinct()
+    named = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("same", F.md5(F.coalesce("text", F.lit(""))))
+    return named.join(kept, ["doc_id", "same"], "left_semi").dropDuplicates(["doc_id", "same"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -252,15 +252,19 @@ def similar_links(texts: DataFrame, sets_of, shingle: int, similarity: float) ->
 
 
 def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
-    """``doc_id, component_id``: classes of texts that are equal or linked by
-    shingle sets of at least that similarity, all of them. ``same`` tells the
-    texts apart."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    hashed = rows.select("doc_id", F.md5("text").alias("same"))
-    equal = cut(hashed.groupBy("same").agg(F.min("doc_id").alias("rep")), "simhash-equal")
-    firsts = equal.where("rep is not null").select(F.col("rep").alias("doc_id"))
-    texts = rows.join(firsts.distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
-    sets_of = lambda wanted: shingle_sets(texts.join(wanted, "rep", "left_semi"), shingle).dropDuplicates(["id"])
+    """``doc_id, component_id, same, first``: classes of texts that are equal or
+    linked by shingle sets of at least that similarity, all of them. ``same``
+    tells texts of one id apart; ``first`` marks the one (id, text) of each class
+    that stands for it, of the smallest id. Null ids link nothing."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("same", F.md5("text"))
+    hashed = rows.select("doc_id", "same")
+    # an id may have several texts, so each distinct text has a number of its own
+    equal = cut(hashed.groupBy("same").agg(F.min("doc_id").alias("id_of")).withColumn("rep", F.monotonically_increasing_id()), "simhash-equal")
+    chosen = equal.where("id_of is not null").select(F.col("id_of").alias("doc_id"), "same", "rep")
+    texts = rows.join(chosen, ["doc_id", "same"]).select("rep", "text")
+    sets_of = lambda wanted: shingle_sets(rows.join(chosen.join(wanted, "rep", "left_semi"), ["doc_id", "same"]).select("rep", "text"), shingle).dropDuplicates(["id"])
     linked = similar_links(texts, sets_of, shingle, similarity)
-    label = equal.join(linked, equal.rep == linked.id, "left").select("same", F.coalesce("component", "rep").alias("component_id"))
-    return hashed.join(label, "same").select("doc_id", "component_id")
+    members = equal.join(linked, equal.rep == linked.id, "left").select("same", "id_of", F.coalesce("component", "rep").alias("part"))
+    heads = members.groupBy("part").agg(F.min(F.struct("id_of", "same")).alias("head"))
+    label = members.join(heads, "part").select("same", F.col("head.id_of").alias("component_id"), F.col("head.same").alias("head"))
+    return hashed.join(label, "same").select("doc_id", "component_id", "same", (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("same") == F.col("head"))).alias("first"))

@@ -82,3 +82,11 @@ def test_odd_and_empty_documents(spark, odd_rows, tmp_path):
 
 
 assert public_tokenizers.path("word_bpe_49k.json")
+
+
+def test_unlike_texts_of_one_id_both_stay(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(9, one, None, None, None), (9, two, None, None, None), (9, two, None, None, None), (12, two + " end", None, None, None), (None, one, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in got) == [(-1, one), (9, one), (9, two)]
