@@ -156,7 +156,7 @@ def frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
             for t in b.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), shingle, 42)).view(np.int64))], names=["key"])
 
-    counted = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    counted = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select("text").distinct().mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     rows = counted.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
     keys, n = rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy()
     order = np.argsort(keys)
@@ -164,7 +164,7 @@ def frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``key, rep, size, at``: the first shingles of each text in one order of all
+    """``doc_id, same, size, keys``: the first shingles of each text in one order of all
     shingles, rare ones first. Sets of sizes m and n that are similar share
     ``similarity * max(m, n)`` shingles at least, so the first shared one is among the
     first ``n - similarity * n + 1`` of both (prefix filter): no similar pair is lost."""
@@ -176,21 +176,17 @@ def prefixes(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
             for at in range(0, batch.num_rows, 200):
                 b = batch.slice(at, 200)
                 keys, sizes = [], []
-                for t in b.column(1):
+                for t in b.column(2):
                     x = np.unique(shingle_hashes(t.as_py(), shingle, 42))
                     sizes.append(len(x))
                     if len(known) and len(x):
                         i = np.minimum(np.searchsorted(known, x), len(known) - 1)
                         x = x[np.argsort(np.where(known[i] == x, counts[i], 0), kind="stable")]
                     # texts without shingles are alike and share a key
-                    keys.append(x[: len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1] if len(x) else np.zeros(1, np.uint64))
-                n = [len(k) for k in keys]
-                places = np.concatenate([np.arange(k, dtype=np.int32) for k in n])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(np.repeat(np.array(sizes, np.int32), n)), pa.array(places)], names=["key", "rep", "size", "at"]
-                )
+                    keys.append((x[: len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1] if len(x) else np.zeros(1, np.uint64)).view(np.int64))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "same", "size", "keys"])
 
-    return texts.select("rep", "text").mapInArrow(run, "key long, rep long, size int, at int")
+    return texts.select("doc_id", "same", "text").mapInArrow(run, "doc_id long, same string, size int, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -225,30 +221,41 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def similar_links(texts: DataFrame, sets_of, shingle: int, similarity: float) -> DataFrame:
-    """``id, component`` of all texts (``rep, text``) that are linked. Every bucket
+def similar_links(rows: DataFrame, chosen: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``id, component`` of all texts that are linked. ``rows``: ``doc_id, same,
+    text``; ``chosen``: ``doc_id, same, rep``, one for each text. Every bucket
     of the index first pairs its members with its smallest and largest one; then
     all pairs that share a bucket and are not linked yet are compared too. So a
     group of near copies costs rows in proportion, and no link is left out."""
     alone = Window.partitionBy("key")
-    index = prefixes(texts, shingle, similarity).withColumn("low", F.min("rep").over(alone)).withColumn("high", F.max("rep").over(alone)).where("low < high")
+    member = F.struct("rep", "size", "at")
+    # texts are long, so only their keys are joined to numbers
+    index = prefixes(rows, shingle, similarity).join(chosen, ["doc_id", "same"]).select("rep", "size", F.posexplode("keys").alias("at", "key"))
+    index = index.withColumn("low", F.min(member).over(alone)).withColumn("high", F.max(member).over(alone)).where("low.rep < high.rep")
     index = cut(index.distinct(), "similar-index")
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = cut(pairs.distinct(), f"similar-{name}")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        return cut(similar_pairs(pairs, cut(sets_of(wanted), "similar-sets"), similarity), f"similar-{name}-links")
+    def enough(m: str, i: str, n: str, j: str):
+        """What is left of both sets from a first shared shingle on suffices."""
+        return (1 + similarity) * F.least(F.col(m) - F.col(i), F.col(n) - F.col(j)) >= similarity * (F.col(m) + F.col(n)) - 1e-6
 
-    ends = index.select("rep", F.explode(F.array("low", "high")).alias("end")).where("rep <> end")
-    stars = verified(ends.select(F.least("rep", "end").alias("a"), F.greatest("rep", "end").alias("b")), "stars")
+    def sets_of(pairs: DataFrame, but: DataFrame | None = None) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        if but is not None:
+            wanted = wanted.join(but.select(F.col("id").alias("rep")), "rep", "left_anti")
+        named = cut(chosen.join(wanted, "rep", "left_semi"), "similar-wanted")
+        return cut(shingle_sets(rows.join(named, ["doc_id", "same"]).select("rep", "text"), shingle).dropDuplicates(["id"]), "similar-sets")
+
+    ends = index.select("rep", "size", "at", F.explode(F.array("low", "high")).alias("end")).where("rep <> end.rep").where(enough("size", "at", "end.size", "end.at"))
+    pairs = cut(ends.select(F.least("rep", "end.rep").alias("a"), F.greatest("rep", "end.rep").alias("b")).distinct(), "similar-stars")
+    sets = sets_of(pairs)
+    stars = cut(similar_pairs(pairs, sets, similarity), "similar-star-links")
     label = components(stars, "similar-components")
     named = index.select("key", "rep", "size", "at").join(label, F.col("rep") == F.col("id"), "left").select("key", "rep", "size", "at", F.coalesce("component", "rep").alias("part"))
     mixed = cut(named.withColumn("first", F.min("part").over(alone)).withColumn("last", F.max("part").over(alone)).where("first < last").drop("first", "last"), "similar-mixed")
     x, y = mixed.toDF("key", "a", "m", "i", "p"), mixed.toDF("key", "b", "n", "j", "q")
-    # what is left of both sets from a first shared shingle on must suffice
-    enough = (1 + similarity) * F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) >= similarity * (F.col("m") + F.col("n")) - 1e-6
-    rest = x.join(y, (x.key == y.key) & (F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & enough).select("a", "b")
-    return components(stars.unionByName(verified(rest, "rest")), "similar-components")
+    rest = x.join(y, (x.key == y.key) & (F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & enough("m", "i", "n", "j")).select("a", "b").distinct()
+    rest = cut(rest.join(pairs, ["a", "b"], "left_anti"), "similar-rest")
+    return components(stars.unionByName(similar_pairs(rest, sets.unionByName(sets_of(rest, sets)), similarity)), "similar-components")
 
 
 def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
@@ -261,9 +268,7 @@ def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     # an id may have several texts, so each distinct text has a number of its own
     equal = cut(hashed.groupBy("same").agg(F.min("doc_id").alias("id_of")).withColumn("rep", F.monotonically_increasing_id()), "simhash-equal")
     chosen = equal.where("id_of is not null").select(F.col("id_of").alias("doc_id"), "same", "rep")
-    texts = rows.join(chosen, ["doc_id", "same"]).select("rep", "text")
-    sets_of = lambda wanted: shingle_sets(rows.join(chosen.join(wanted, "rep", "left_semi"), ["doc_id", "same"]).select("rep", "text"), shingle).dropDuplicates(["id"])
-    linked = similar_links(texts, sets_of, shingle, similarity)
+    linked = similar_links(rows, chosen, shingle, similarity)
     members = equal.join(linked, equal.rep == linked.id, "left").select("same", "id_of", F.coalesce("component", "rep").alias("part"))
     heads = members.groupBy("part").agg(F.min(F.struct("id_of", "same")).alias("head"))
     label = members.join(heads, "part").select("same", F.col("head.id_of").alias("component_id"), F.col("head.same").alias("head"))
