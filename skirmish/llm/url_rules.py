@@ -3,9 +3,10 @@
 Hosts whose pages the rules allow are trusted seeds, hosts whose pages they
 block are distrusted seeds, each in the share of its pages. Trust flows along
 links by personalised PageRank; distrust flows against them, to hosts that link
-to distrusted ones. A host is blocked when its distrust passes its trust by
-``margin`` or more. Both ranks move in one join a round, over distinct host
-edges; each round is a written table of hosts.
+to distrusted ones. A host is blocked when its distrust passes its trust by more
+than the share ``margin`` of that trust, whatever the size of the graph. Both ranks move in one join a round, over distinct host
+edges; each round is a written table of hosts, and rounds go on
+until ``tolerance`` is met; a walk that does not meet it within ``rounds`` fails.
 
 Defined cases. A null url, or one without ``://``, has empty host and path and
 fits no rule; with no evidence the verdict is ``allow``. Null pages have no
@@ -66,11 +67,11 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float, rounds: int, t
         change = after.alias("a").join(rank.alias("b"), ["kind", "host"], "full").agg(F.sum(F.abs(F.coalesce("a.rank", F.lit(0.0)) - F.coalesce("b.rank", F.lit(0.0))))).first()[0]
         rank = after
         if (change or 0.0) < tolerance:
-            break
-    return rank
+            return rank
+    raise RuntimeError(f"ranks not within {tolerance} after {rounds} rounds")
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-6, margin: float = 1e-9) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]], damping: float = 0.85, rounds: int = 200, tolerance: float = 1e-6, margin: float = 1e-9) -> DataFrame:
     """``page_id, host, path, rule, verdict, trust, distrust``."""
     named = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = matched(F.col("host"), F.col("path"), rules)
@@ -84,6 +85,6 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], damping: float = 0.85,
     edges = both.join(both.groupBy("kind", "src").agg(F.count("*").alias("n")), ["kind", "src"]).select("kind", "src", "dst", (1 / F.col("n")).alias("weight"))
     rank = propagate(seeds, edges, damping, rounds, tolerance)
     scores = rank.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("rank")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("rank")).otherwise(0.0)).alias("distrust"))
-    blocked = F.coalesce("distrust", F.lit(0.0)) >= F.coalesce("trust", F.lit(0.0)) + margin
+    blocked = F.coalesce("distrust", F.lit(0.0)) > F.coalesce("trust", F.lit(0.0)) * (1 + margin)
     own = F.when(blocked, F.lit("block")).otherwise(F.lit("allow"))
     return ruled.join(scores, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

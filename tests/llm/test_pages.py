@@ -104,3 +104,18 @@ def test_trust_and_distrust_spread(spark):
     got = {r.page_id: r for r in url_rules.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), URL_RULES).collect()}
     assert [got[i].verdict for i in range(1, 6)] == ["allow", "block", "block", "allow", "allow"]
     assert got[4].trust > 0 and got[3].distrust > 0 and got[5].trust == got[5].distrust == 0
+
+
+def test_small_ranks_and_long_walks_count(spark):
+    seeds = spark.createDataFrame([("distrust", "h0", 1.0)], "kind string, host string, seed double")
+    edges = spark.createDataFrame([("distrust", "h0", "h1", 1.0), ("distrust", "h1", "h0", 1.0)], "kind string, src string, dst string, weight double")
+    with pytest.raises(RuntimeError):
+        url_rules.propagate(seeds, edges, 0.85, 3, 1e-6)
+    # one link of many to a host among many: a distrust of far less than 1e-9, and no trust
+    many = [(i, f"http://a{i}.net/es/", "") for i in range(2000)]
+    to = lambda n: [(10**6 + i, f"http://s{i}.org/", "<a href='http://a0.net/'>x</a>") for i in range(n)]
+    far = [(2 * 10**6 + i, f"http://t{i}.org/", "<a href='http://s0.org/'>x</a>") for i in range(600)] + [(3 * 10**6, "http://u.org/", "<a href='http://t0.org/'>x</a>")]
+    rows = many + to(600) + far
+    got = {r.page_id: r for r in url_rules.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), URL_RULES).collect()}
+    assert got[3 * 10**6].trust == 0 and 0 < got[3 * 10**6].distrust < 1e-9
+    assert got[3 * 10**6].verdict == "block"
