@@ -7,8 +7,9 @@ bit masked, and equal (piece, position, masked value) keys are joined and the
 whole distance verified. That is exact for every radius up to
 ``2 * segments - 1``.
 
-``similar_classes`` links by the similarity of shingle sets instead, which no
-fixed radius covers; it finds its pairs through a prefix filter.
+``similar_classes`` links by the similarity of shingle sets. It takes the pairs of
+the variant index first and verifies them by their sets; as no fixed radius covers
+all sets of a given similarity, a prefix filter over the shingles gives the rest.
 
 Defined cases. A null or empty text has no shingle: its fingerprint is zero and
 is linked like any other. Repeated rows and equal fingerprints share one class
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import components, cut
 
@@ -164,10 +165,11 @@ def frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``doc_id, same, size, keys``: the first shingles of each text in one order of all
-    shingles, rare ones first. Sets of sizes m and n that are similar share
-    ``similarity * max(m, n)`` shingles at least, so the first shared one is among the
-    first ``n - similarity * n + 1`` of both (prefix filter): no similar pair is lost."""
+    """``doc_id, same, size, fp, keys``: the number of distinct shingles of each text, its
+    fingerprint, and its first shingles in one order of all shingles, rare ones first. Sets
+    of sizes m and n that are similar share ``similarity * max(m, n)`` shingles at least, so
+    the first shared one is among the first ``n - similarity * n + 1`` of both (prefix
+    filter): no similar pair is lost."""
     held = texts.sparkSession.sparkContext.broadcast(frequent(texts, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,18 +177,22 @@ def prefixes(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 b = batch.slice(at, 200)
-                keys, sizes = [], []
+                keys, sizes, fps = [], [], []
                 for t in b.column(2):
-                    x = np.unique(shingle_hashes(t.as_py(), shingle, 42))
+                    every = shingle_hashes(t.as_py(), shingle, 42)
+                    fps.append([int(np.uint64(majority(every)).view(np.int64))])
+                    x = np.unique(every)
                     sizes.append(len(x))
                     if len(known) and len(x):
                         i = np.minimum(np.searchsorted(known, x), len(known) - 1)
                         x = x[np.argsort(np.where(known[i] == x, counts[i], 0), kind="stable")]
                     # texts without shingles are alike and share a key
                     keys.append((x[: len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1] if len(x) else np.zeros(1, np.uint64)).view(np.int64))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "same", "size", "keys"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(fps, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "same", "size", "fp", "keys"]
+                )
 
-    return texts.select("doc_id", "same", "text").mapInArrow(run, "doc_id long, same string, size int, keys array<long>")
+    return texts.select("doc_id", "same", "text").mapInArrow(run, "doc_id long, same string, size int, fp array<long>, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -221,18 +227,23 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def similar_links(rows: DataFrame, chosen: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def similar_links(rows: DataFrame, chosen: DataFrame, shingle: int, similarity: float, radius: int = 3) -> DataFrame:
     """``id, component`` of all texts that are linked. ``rows``: ``doc_id, same,
-    text``; ``chosen``: ``doc_id, same, rep``, one for each text. Every bucket
-    of the index first pairs its members with its smallest and largest one; then
-    all pairs that share a bucket and are not linked yet are compared too. So a
-    group of near copies costs rows in proportion, and no link is left out."""
-    alone = Window.partitionBy("key")
-    member = F.struct("rep", "size", "at")
+    text``; ``chosen``: ``doc_id, same, rep``, one for each text.
+
+    First the deletion-variant index of the fingerprints (``links``) gives pairs,
+    and so does every bucket of the prefix index: each member with the bucket's
+    centre, the member that has the fewest shingles rarer than the bucket's (of
+    a group of edits that is the text all were made from), and with its smallest
+    one. Then all pairs that share a bucket and are not linked yet are compared
+    too. So a group of near copies costs rows in proportion, and no link is left
+    out."""
     # texts are long, so only their keys are joined to numbers
-    index = prefixes(rows, shingle, similarity).join(chosen, ["doc_id", "same"]).select("rep", "size", F.posexplode("keys").alias("at", "key"))
-    index = index.withColumn("low", F.min(member).over(alone)).withColumn("high", F.max(member).over(alone)).where("low.rep < high.rep")
-    index = cut(index.distinct(), "similar-index")
+    drawn = cut(prefixes(rows, shingle, similarity).dropDuplicates(["doc_id", "same"]).join(chosen, ["doc_id", "same"]).select("rep", "size", "fp", "keys"), "similar-prefixes")
+    buckets = drawn.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    before = F.coalesce(F.get("keys", F.col("at") - 1), F.lit(0))
+    placed = drawn.select("rep", "size", "keys", F.posexplode("keys").alias("at", "key")).select("rep", "size", "at", "key", before.alias("before"))
+    index = cut(placed.join(buckets, "key", "left_semi"), "similar-index")
 
     def enough(m: str, i: str, n: str, j: str):
         """What is left of both sets from a first shared shingle on suffices."""
@@ -245,17 +256,26 @@ def similar_links(rows: DataFrame, chosen: DataFrame, shingle: int, similarity:
         named = cut(chosen.join(wanted, "rep", "left_semi"), "similar-wanted")
         return cut(shingle_sets(rows.join(named, ["doc_id", "same"]).select("rep", "text"), shingle).dropDuplicates(["id"]), "similar-sets")
 
-    ends = index.select("rep", "size", "at", F.explode(F.array("low", "high")).alias("end")).where("rep <> end.rep").where(enough("size", "at", "end.size", "end.at"))
-    pairs = cut(ends.select(F.least("rep", "end.rep").alias("a"), F.greatest("rep", "end.rep").alias("b")).distinct(), "similar-stars")
+    sort = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    classes = cut(drawn.groupBy("fp").agg(F.min("rep").alias("rep")), "similar-prints")
+    equal = drawn.select("rep", "fp").join(classes.withColumnRenamed("rep", "head"), "fp").where("rep <> head").select(*sort("rep", "head"))
+    prints = links(classes, radius, max(1, (radius + 2) // 2)).unionByName(equal)
+    ends = index.groupBy("key").agg(F.min(F.struct("at", "size", "rep")).alias("centre"), F.min(F.struct("rep", "size", "at")).alias("low"))
+    ends = ends.select("key", F.explode(F.array(F.struct("centre.rep", "centre.size", "centre.at"), "low")).alias("end"))
+    stars = index.join(ends, "key").where("rep <> end.rep").where(enough("size", "at", "end.size", "end.at")).select(*sort("rep", "end.rep"))
+    pairs = cut(stars.unionByName(prints).distinct(), "similar-stars")
     sets = sets_of(pairs)
-    stars = cut(similar_pairs(pairs, sets, similarity), "similar-star-links")
-    label = components(stars, "similar-components")
-    named = index.select("key", "rep", "size", "at").join(label, F.col("rep") == F.col("id"), "left").select("key", "rep", "size", "at", F.coalesce("component", "rep").alias("part"))
-    mixed = cut(named.withColumn("first", F.min("part").over(alone)).withColumn("last", F.max("part").over(alone)).where("first < last").drop("first", "last"), "similar-mixed")
-    x, y = mixed.toDF("key", "a", "m", "i", "p"), mixed.toDF("key", "b", "n", "j", "q")
-    rest = x.join(y, (x.key == y.key) & (F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & enough("m", "i", "n", "j")).select("a", "b").distinct()
+    found = cut(similar_pairs(pairs, sets, similarity), "similar-star-links")
+    label = components(found, "similar-components")
+    named = index.join(label, F.col("rep") == F.col("id"), "left").select("key", "rep", "size", "at", F.coalesce("component", "rep").alias("part"), "before")
+    mixed = named.groupBy("key").agg(F.min("part").alias("first"), F.max("part").alias("last")).where("first < last").select("key")
+    mixed = cut(named.join(mixed, "key", "left_semi"), "similar-mixed")
+    x, y = mixed.toDF("key", "a", "m", "i", "p", "s"), mixed.toDF("key", "b", "n", "j", "q", "t")
+    # a pair whose shingles before this one are the same, too, meets there
+    first = (F.col("s") != F.col("t")) | (F.col("i") == 0) | (F.col("j") == 0)
+    rest = x.join(y, (x.key == y.key) & (F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & first & enough("m", "i", "n", "j")).select("a", "b").distinct()
     rest = cut(rest.join(pairs, ["a", "b"], "left_anti"), "similar-rest")
-    return components(stars.unionByName(similar_pairs(rest, sets.unionByName(sets_of(rest, sets)), similarity)), "similar-components")
+    return components(found.unionByName(similar_pairs(rest, sets.unionByName(sets_of(rest, sets)), similarity)), "similar-components")
 
 
 def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
