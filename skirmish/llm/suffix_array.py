@@ -4,8 +4,9 @@ Suffixes are ordered only through ``width`` bytes, by most-significant-digit
 passes, each a shuffle in which groups of one suffix end. The first digit of a
 window is its anchor (``windows.py``), the second the core around it that
 neighbouring windows share, the third the bytes beside that core; the groups
-that agree in every digit are exactly the repeated windows. All but the earliest
-member of such a group are removed, byte by covered byte.
+that agree in every digit are exactly the repeated windows. Digits longer than
+eight bytes are compared by two 64-bit hashes. All but the earliest member of
+such a group are removed, byte by covered byte.
 
 Defined cases. A null or empty text is zero bytes. A repeated row (same id and
 text) starts where its twin does, so neither removes the other. Texts of one
@@ -34,6 +35,8 @@ def byte_tokens(text: str) -> tuple[np.ndarray, np.ndarray]:
     return _TABLES[0][raw], _TABLES[1][raw]
 
 
+#: Odd factors of the bytes beside a core.
+ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 #: Windows of one anchor that are compared together: their common core, then eight bytes to either side.
 TOGETHER = 9
 
@@ -44,7 +47,7 @@ def opened(width: int, gram: int, texts: DataFrame) -> DataFrame:
     windows hold, is the second digit; the bytes left and right of it are the
     third, and tell the windows apart."""
     core = width - TOGETHER + 1
-    names = (*RUN, "left", "right", "reach")
+    names = (*RUN, "left", "right", "reach", "core")
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Rows(names)
@@ -69,9 +72,9 @@ def opened(width: int, gram: int, texts: DataFrame) -> DataFrame:
                     continue
                 start, left, right, reach, run = (np.array(c, np.uint64) for c in zip(*rows, strict=True))
                 start = start.astype(np.int64)
-                key = one.of(start, start + core) + two.of(start, start + core) * np.uint64(3)
-                context = mix(mix(left * np.uint64(3) + reach) + right)
-                out.add(key.view(np.int64), context.view(np.int64), np.full(len(run), doc), np.full(len(run), tag), run.astype(np.int64), left.view(np.int64), right.view(np.int64), reach.astype(np.int64))
+                key, second = one.of(start, start + core), two.of(start, start + core)
+                context = mix(mix(mix(left * np.uint64(3) + reach) + right) + second)
+                out.add(key.view(np.int64), context.view(np.int64), np.full(len(run), doc), np.full(len(run), tag), run.astype(np.int64), left.view(np.int64), right.view(np.int64), reach.astype(np.int64), second.view(np.int64))
                 if out.held >= Rows.SIZE:
                     yield out.batch()
         if out.held:
@@ -80,21 +83,22 @@ def opened(width: int, gram: int, texts: DataFrame) -> DataFrame:
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Rows(RUN)
         for b in batches:
-            doc, tag, run, key, left, right, reach = (b.column(i).to_numpy() for i in range(1, 8))
+            doc, tag, run, key, left, right, reach, second = (b.column(i).to_numpy() for i in range(1, 9))
             left, right = left.view(np.uint64), right.view(np.uint64)
             for t in range(TOGETHER):
                 on = np.flatnonzero((reach >> 8 <= t) & (t <= (reach & 255)))
                 kept = [v[on] & np.uint64((1 << 8 * size) - 1) for v, size in ((left, t), (right, TOGETHER - 1 - t))]
                 at = (run[on] & 0xFFFFFFFF) + (reach[on] >> 8) - t
-                window = mix(mix(key[on].view(np.uint64) + kept[0] * np.uint64(TOGETHER) + np.uint64(t)) + kept[1]).view(np.int64)
-                out.add(window, window, doc[on], tag[on], at << 32 | at)
+                # the sides enter both halves of the 128 bits in different ways
+                high, low = (mix(mix(mix(v[on].view(np.uint64) + np.uint64(t)) + kept[0] * f) + kept[1] * g).view(np.int64) for v, f, g in ((key, ODD[0], ODD[1]), (second, ODD[2], ODD[3])))
+                out.add(high, low, doc[on], tag[on], at << 32 | at)
             if out.held >= Rows.SIZE:
                 yield out.batch()
         if out.held:
             yield out.batch()
 
-    more = "anchor long, left long, right long, reach long"
-    second = cut(settle(texts.mapInArrow(groups, f"{RUN_SCHEMA}, left long, right long, reach long"), more), "suffix-array-groups")
+    more = "anchor long, left long, right long, reach long, core long"
+    second = cut(settle(texts.mapInArrow(groups, f"{RUN_SCHEMA}, left long, right long, reach long, core long"), more), "suffix-array-groups")
     third = settle(second.where("not copy").mapInArrow(windows, RUN_SCHEMA)).where("copy")
     return second.where("copy").select("doc", "tag", "run").unionByName(third.select("doc", "tag", "run"))
 

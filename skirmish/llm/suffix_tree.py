@@ -1,14 +1,19 @@
 """Exact passage removal on words by prefix-partitioned suffix trees.
 
-Candidate suffixes (``windows.py`` drops those that cannot repeat) are cut at
-``width`` words and written as digits of a few words each. They are dealt by
-range of their digit sequences, whose boundaries are prefixes as long as it
-takes to give every task about as many suffixes. A task sorts its suffixes, so
-that its subtrees lie in depth-first order and a node is a run of suffixes with
-a common prefix; the nodes at full depth with two occurrences or more are the
-deep internal nodes, and all but their earliest occurrence repeat. Equal
-suffixes of one batch are merged before they are dealt, so a passage in a third
-of all documents is a row a batch.
+Suffixes that cannot repeat are sieved out first (``windows.py``), and runs of
+suffixes whose whole texts are equal are merged to one chain. The rest are cut at
+``width`` words and written as a path of ``DIGITS`` symbols, each of a few words.
+
+Suffixes are dealt to groups by prefix (``grouped``). A group starts as a bin of
+one-symbol prefixes; where a bin counts more than ``GROUP`` suffixes, the prefixes
+in it grow by a symbol and are binned again, and so on, so prefixes are as
+long as it takes for every group to fit the memory of a task. A group that is
+still larger at full depth holds equal suffixes and is read as a stream. A task
+sorts its group and builds its subtree (``internal_nodes``): suffixes in order are
+leaves, a node is a longest run of leaves with a common prefix. The deep nodes,
+``width`` words down, are the repeats: all but their earliest leaf occur earlier.
+Equal suffixes of one batch are merged before they are dealt, so a passage in a
+third of all documents is a row a batch.
 
 Defined cases. Null and empty texts have no word. A repeated row (same id and
 text) starts where its twin does, so neither removes the other. Texts of one
@@ -25,13 +30,85 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WORD_BREAKS
+from .common import WORD_BREAKS, cut
 from .windows import BASES, RUN, RUN_SCHEMA, Rows, Sums, covered, keyed, mix, repeated, with_runs
 
 #: Digits of a suffix.
 DIGITS = 5
 
 
+#: Suffixes that a group holds at most, unless they are equal.
+GROUP = 100_000
+
+
+def grouped(leaves: DataFrame, digits: list[str], most: int = GROUP) -> DataFrame:
+    """``leaves`` with ``part``, the group of each: a bin of prefixes, as many symbols
+    long as it takes to have no more than ``most`` leaves. The driver sees one count a level."""
+    bins = max(1, -(-2 * leaves.count() // most))
+    bin_of = lambda depth: F.pmod(F.xxhash64(*digits[:depth]), F.lit(bins))
+    out = leaves.withColumn("part", F.xxhash64(F.lit(1), bin_of(1)))
+    for depth in range(2, len(digits) + 1):
+        # at most one large group for ``most`` leaves; Spark takes the join that its size allows
+        large = cut(out.groupBy("part").agg(F.count("*").alias("held")).where(F.col("held") > most).select("part", F.lit(True).alias("grows")), "suffix-tree-large")
+        if not large.head(1):
+            break
+        deeper = F.xxhash64(F.lit(depth), "part", bin_of(depth))
+        out = out.join(large, "part", "left").select(*leaves.columns, F.when(F.col("grows"), deeper).otherwise(F.col("part")).alias("part"))
+    return out
+
+
+def internal_nodes(path: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``depth, first, last`` of the internal nodes of the tree whose leaves, in order,
+    are the columns of ``path``: runs of leaves that share ``depth`` symbols and no more."""
+    n = path.shape[1]
+    shared = np.zeros(n + 1, np.int64)  # with the leaf before
+    shared[1:n] = np.logical_and.accumulate(path[:, 1:] == path[:, :-1]).sum(0)
+    depths, firsts, lasts = [], [], []
+    for depth in range(1, len(path) + 1):
+        inside = shared >= depth
+        first = np.flatnonzero(~inside[:-1] & inside[1:])
+        last = np.flatnonzero(inside[:-1] & ~inside[1:])
+        # a run that shares more is the node of a greater depth
+        lowest = np.minimum.reduceat(shared[: n + 1], np.stack([first + 1, last + 1], axis=1).ravel())[::2] if len(first) else first
+        own = lowest == depth
+        depths.append(np.full(own.sum(), depth)), firsts.append(first[own]), lasts.append(last[own])
+    return np.concatenate(depths), np.concatenate(firsts), np.concatenate(lasts)
+
+
+def repeats(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Leaves of the deep nodes of each group but their earliest, from leaves sorted by
+    group and path: ``doc, tag, run, digits, part``."""
+
+    def read(held: list[pa.RecordBatch], before: np.ndarray | None) -> tuple[pa.RecordBatch, np.ndarray]:
+        b = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        path = np.stack([b.column(3 + i).to_numpy() for i in range(b.num_columns - 4)])
+        depth, first, last = internal_nodes(path)
+        deep = depth == len(path)
+        size = last[deep] - first[deep]
+        leaf = np.repeat(first[deep] + 1 - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        if before is not None and (path[:, 0] == before).all():  # goes on with the path that the part before ended with
+            leaf = np.concatenate([[0], leaf])
+        return b.take(pa.array(leaf)).select(["doc", "tag", "run"]), path[:, -1].copy()
+
+    held, size, part, before = [], 0, None, None
+    for b in batches:
+        parts = b.column(b.num_columns - 1).to_numpy()
+        edges = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(parts)]
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            if low == high:
+                continue
+            # small groups are read together, as a path lies in one group; a group of equal suffixes in pieces
+            if (parts[low] != part and size > most // 4) or size > most:
+                found, before = read(held, before)
+                yield found
+                held, size = [], 0
+            part = parts[low]
+            held.append(b.slice(low, high - low))
+            size += high - low
+    if held:
+        yield read(held, before)[0]
+
+
 def word_tokens(text: str) -> tuple[np.ndarray, np.ndarray]:
     words = text.encode("utf-8", "surrogatepass").split()
     one = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
@@ -61,24 +138,11 @@ def opened(width: int, texts: DataFrame) -> DataFrame:
         if out.held:
             yield out.batch()
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            later = b.column(0).to_numpy(zero_copy_only=False)
-            path = np.stack([b.column(4 + i).to_numpy() for i in range(DIGITS)])
-            depth = np.zeros(b.num_rows, np.int64)  # digits shared with the suffix before
-            depth[1:] = np.logical_and.accumulate(path[:, 1:] == path[:, :-1]).sum(0)
-            depth[0] = 0 if before is None else int(np.logical_and.accumulate(path[:, 0] == before).sum())
-            before = path[:, -1]
-            yield b.take(pa.array(np.flatnonzero((depth == DIGITS) | later))).select(["doc", "tag", "run"])
-
-    # a suffix that is merged away still needs its place in the order, but no company
-    rows = texts.mapInArrow(suffixes, RUN_SCHEMA + "".join(f", {d} long" for d in digits))
-    rows = rows.select("later", *["doc", "tag", "run"], F.when(F.col("later"), F.col("anchor")).otherwise(F.col("d0")).alias("d0"), *digits[1:])
-    dealt = rows.repartitionByRange(*digits).sortWithinPartitions(*digits, "doc", "tag", "run")
-    return dealt.mapInArrow(walk, "doc long, tag long, run long")
+    # a suffix that was merged away is a copy and needs no company
+    rows = cut(texts.mapInArrow(suffixes, RUN_SCHEMA + "".join(f", {d} long" for d in digits)).select("later", "doc", "tag", "run", *digits), "suffix-tree-suffixes")
+    leaves = grouped(rows.where("not later").drop("later"), digits)
+    found = leaves.repartition("part").sortWithinPartitions("part", *digits, "doc", "tag", "run").mapInArrow(partial(repeats, most=GROUP), "doc long, tag long, run long")
+    return rows.where("later").select("doc", "tag", "run").unionByName(found)
 
 
 def remove_repeats(docs: DataFrame, width: int = 20, gram: int = 6, text: str = "text", keep_spaces: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:

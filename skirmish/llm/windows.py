@@ -116,6 +116,24 @@ def combined(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return later, twin
 
 
+def joined(later: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Copies of one document whose runs follow each other, as one row each."""
+    doc, tag, run = columns[2:5]
+    copies = np.flatnonzero(later)
+    copies = copies[np.lexsort((run[copies], tag[copies], doc[copies]))]
+    if len(copies) < 2:
+        return later, columns
+    d, t, r = doc[copies], tag[copies], run[copies]
+    opens = np.ones(len(copies), bool)
+    opens[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | ((r[1:] >> 32) > (r[:-1] & 0xFFFFFFFF) + 1)
+    heads, lasts = np.flatnonzero(opens), np.append(np.flatnonzero(opens)[1:] - 1, len(copies) - 1)
+    run = run.copy()
+    run[copies[heads]] = (r[heads] >> 32 << 32) | (r[lasts] & 0xFFFFFFFF)
+    stays = ~later
+    stays[copies[heads]] = True
+    return later[stays], [(run if i == 4 else c)[stays] for i, c in enumerate(columns)]
+
+
 class Rows:
     """Gathers rows column by column and gives them out in batches."""
 
@@ -133,6 +151,7 @@ class Rows:
         columns = [np.concatenate(c) for c in self.columns]
         later, twin = combined(columns)
         later, columns = later[~twin], [c[~twin] for c in columns]
+        later, columns = joined(later, columns)
         # a copy needs no company: it is dealt by a key of its own, so that a hot anchor is not
         columns[0] = np.where(later, mix((columns[2] * 31 + columns[4]).view(np.uint64)).view(np.int64), columns[0])
         columns[1] = np.where(later, 0, columns[1])

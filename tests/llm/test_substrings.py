@@ -1,8 +1,12 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from skirmish.llm import suffix_array, suffix_tree
 from skirmish.llm.queries import QUERIES
 from tests.llm.conftest import SF, table
@@ -100,3 +104,45 @@ def test_repeated_rows_do_not_remove_each_other(spark):
             for r in got:
                 key = next(k for k in want if k[0] == (-1 if r.doc_id is None else r.doc_id))
                 assert r.n_removed == sum(want[key][1]), r.doc_id
+
+
+def test_large_groups_are_split_by_longer_prefixes(spark):
+    digits = [f"d{i}" for i in range(5)]
+    r = random.Random(3)
+    # half of all paths begin alike for two symbols, a tenth for three, and one path is there 90 times
+    paths = [(7, 7, r.randrange(50), r.randrange(9), i) for i in range(500)] + [(7, 7, 7, i, i) for i in range(100)] + [(1, 2, 3, 4, 5)] * 90 + [tuple(r.randrange(999) for _ in digits) for _ in range(300)]
+    rows = spark.createDataFrame([(i, 0, i, *p) for i, p in enumerate(paths)], "doc long, tag long, run long, " + ", ".join(f"{d} long" for d in digits))
+    grouped = suffix_tree.grouped(rows, digits, most=40)
+    sizes = grouped.groupBy("part").agg(F.count("*").alias("n"), F.countDistinct(*digits).alias("paths")).collect()
+    assert sum(s.n for s in sizes) == len(paths)
+    assert all(s.n <= 40 or s.n >= 90 for s in sizes)  # only equal suffixes (and a few of their bin) stay together
+    assert grouped.groupBy(*digits).agg(F.countDistinct("part").alias("n")).where("n > 1").count() == 0
+
+
+def test_nodes_equal_brute_force():
+    for seed in range(60):
+        r = random.Random(seed)
+        leaves = sorted(tuple(r.randint(0, 1) for _ in range(4)) for _ in range(r.randint(1, 30)))
+        want = {}
+        for a in leaves:
+            for depth in range(1, 5):
+                same = [i for i, b in enumerate(leaves) if b[:depth] == a[:depth]]
+                if len(same) > 1:
+                    want[same[0], same[-1]] = max(depth, want.get((same[0], same[-1]), 0))
+        depth, first, last = suffix_tree.internal_nodes(np.array(leaves).T)
+        assert dict(zip(zip(first.tolist(), last.tolist()), depth.tolist())) == want
+
+
+def test_a_group_in_pieces_and_groups_read_together():
+    r = random.Random(1)
+    rows = sorted((part, *[r.randint(0, 1) if part else 5 for _ in range(3)], i) for i, part in enumerate([0] * 50 + [r.randrange(1, 9) for _ in range(200)]))
+    seen, want = set(), set()
+    for part, *path, i in rows:
+        want |= {i} if (part, *path) in seen else set()
+        seen.add((part, *path))
+    columns = [np.array(c) for c in zip(*[(i, 0, i, *path, part) for part, *path, i in rows])]
+    whole = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "tag", "run", "d0", "d1", "d2", "part"])
+    for size in (1, 7, 300):
+        for most in (3, 20, 1000):
+            got = suffix_tree.repeats((whole.slice(at, size) for at in range(0, len(rows), size)), most)
+            assert {x for b in got for x in b.column(0).to_pylist()} == want
