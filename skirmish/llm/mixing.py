@@ -77,8 +77,9 @@ def exponent(sources: DataFrame, budget: float, entropy: float | None = None, re
 def mix(
     docs: DataFrame, budget: float | None = None, entropy: float | None = None, repetition: float | None = None, blocks: int = 64, seed: int = 0, text: str = "text", source: str = "source"
 ) -> DataFrame:
-    """``docs`` as mixed, with ``epoch``, ``block`` and ``position`` (rank
-    within the block). ``budget`` in words, all by default."""
+    """``docs`` as mixed, with ``epoch``, ``block`` and ``position`` (a random
+    number: a block is its rows in ascending order of it). ``budget`` in words,
+    all by default."""
     if (entropy is None) == (repetition is None):
         raise ValueError("one of entropy and repetition")
     kept = [c for c in docs.columns if c not in ("epoch", "block", "position")]

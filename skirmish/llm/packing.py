@@ -24,6 +24,7 @@ special tokens in a text are ordinary text.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -38,14 +39,18 @@ BLOCK = 1 << 18
 LONGEST_GAP = 256
 SENTENCE_PENALTY = 1
 INSIDE_PENALTY = 4
-#: Entries of a worker's word cache; it starts anew when full.
-CACHE_ENTRIES = 1 << 19
+#: Entries of a worker's word cache; when full, it starts anew beside the full one, which takes the place of the one before.
+CACHE_ENTRIES = 1 << 18
 PUNCTUATION = ".,;:!?%*#&$|"
 #: Separators that Python counts as white space and the tokenizer doesn't.
 _CONTROL = re.compile(r"[\x1c-\x1f]")
 _BREAK = re.compile(r"[^\S\x1c-\x1f]+")
 
 
+#: Packs n ids.
+_FOUR = [struct.Struct(f"<{n}I") for n in range(32)]
+
+
 class WordCache(dict):
     """White-space separated word -> its ids as bytes. The tokenizer drops
     white space and splits there, so a text's ids are its words' ids in turn;
@@ -60,19 +65,29 @@ class WordCache(dict):
         self.whole.encode_special_tokens = True
         self.model = self.whole.model
         self.pieces: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}  # lower-cased words without their punctuation
+        self.older: dict[str, bytes] = {}
+        self.older_cores: dict[str, bytes] = {}
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         odd = [b for b in range(256) if b not in set(plain)]
         self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(odd)}
 
     def __missing__(self, word: str) -> bytes:
-        core = word.rstrip(PUNCTUATION)
-        if core and core.isalpha() and max(core) < "Ā":
-            ids = self._piece(core.lower())
-            if core != word:
-                ids += self._other(word[len(core) :])
-        else:
-            ids = self._other(word)
+        ids = self.older.get(word)
+        if ids is None:
+            core = word.rstrip(PUNCTUATION)
+            if core.isalpha() and max(core) < "Ā":
+                low = core.lower()
+                ids = self.cores.get(low) or self.older_cores.get(low) or self._piece(low)
+                if len(self.cores) >= CACHE_ENTRIES:
+                    self.older_cores, self.cores = self.cores, {}
+                self.cores[low] = ids
+                if core != word:
+                    ids += self._other(word[len(core) :])
+            else:
+                ids = self._other(word)
         if len(self) >= CACHE_ENTRIES:
+            self.older = dict(self)
             self.clear()
         self[word] = ids
         return ids
@@ -80,7 +95,7 @@ class WordCache(dict):
     def _piece(self, core: str) -> bytes:
         letters = self.letters
         found = self.model.tokenize("".join([letters[b] for b in core.encode()]))
-        return np.array([t.id for t in found], "<u4").tobytes()
+        return _FOUR[len(found)].pack(*[t.id for t in found]) if len(found) < len(_FOUR) else np.array([t.id for t in found], "<u4").tobytes()
 
     def _other(self, word: str) -> bytes:
         ids = self.pieces.get(word)
@@ -145,9 +160,9 @@ def allowed_cuts(sizes: list[int], sentences: list[np.ndarray], length: int, las
     ends = np.cumsum([0, *sizes])
     inner = np.concatenate([np.zeros(0, np.int64), *[s + o for s, o in zip(sentences, ends[:-1], strict=True)]])
     known = np.unique(np.concatenate([ends, inner]))
-    gaps = np.diff(known)
-    wide = np.flatnonzero(gaps > LONGEST_GAP)
-    extra = [np.arange(known[i] + LONGEST_GAP, known[i + 1], LONGEST_GAP) for i in wide]
+    gaps, longest = np.diff(known), min(LONGEST_GAP, length)
+    wide = np.flatnonzero(gaps > longest)
+    extra = [np.arange(known[i] + longest, known[i + 1], longest) for i in wide]
     if last:  # the rest of the stream can be cut into powers of two
         rest, tail = int(ends[-1] % length), []
         for k in range(length.bit_length()):
@@ -161,9 +176,10 @@ def allowed_cuts(sizes: list[int], sentences: list[np.ndarray], length: int, las
     return places, penalties
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, text: str = "text", ordered: bool = False) -> DataFrame:
     """Pieces of sequences, one row each (``SCHEMA``). ``tokenizer`` is the
-    path of a `tokenizers` file whose pre-tokenizer splits at white space."""
+    path of a `tokenizers` file whose pre-tokenizer splits at white space.
+    With ``ordered``, documents keep the order of their partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _caches.get(tokenizer) or _caches.setdefault(tokenizer, WordCache(tokenizer))
@@ -207,4 +223,4 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, t
             yield settle(True)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.sortWithinPartitions("doc_id").mapInArrow(run, SCHEMA)
+    return (rows if ordered else rows.sortWithinPartitions("doc_id")).mapInArrow(run, SCHEMA)

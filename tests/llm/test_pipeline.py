@@ -90,3 +90,20 @@ def test_unlike_texts_of_one_id_both_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
     assert sorted((r.doc_id or -1, r.text) for r in got) == [(-1, one), (9, one), (9, two)]
+
+
+def test_columns_of_the_operators_names_pass(spark, tmp_path):
+    clash = "kept string, n_removed long, n_words long, score double, block int, epoch int, position long, same string, rep long, carried_kept string, tag long, part string"
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{passage} {' '.join(f'x{i}_{j}' for j in range(200))}", "en", None, 7, "k", 1, 2, 0.5, 3, 4, 5, "s", 6, "c", 8, "p") for i in range(4)] + [(None, None, *[None] * 15), (5, "", *[None] * 15)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {clash}")
+    folder = str(tmp_path / "clash")
+    spark.createDataFrame([(4, 1, 0), (5, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, folder)
+        assert got.columns == docs.columns, name
+        for r in got.collect():
+            if r.doc_id is not None and r.doc_id < 4:
+                assert tuple(r)[5:] == rows[0][5:], name
+    assert corpus_pipeline.passages(spark, docs, folder).where("n_chars <> length(text)").count() == 0
+    assert corpus_pipeline.packing(spark, docs, folder).select("doc_id").distinct().count() == 6
