@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import components, cut
 
@@ -165,8 +165,9 @@ def frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``doc_id, same, size, fp, keys``: the number of distinct shingles of each text, its
-    fingerprint, and its first shingles in one order of all shingles, rare ones first. Sets
+    """``doc_id, same, size, fp, keys, cold``: the number of distinct shingles of each text,
+    its fingerprint, and its first shingles in one order of all shingles, rare ones first
+    (``cold`` of them not known to be frequent). Sets
     of sizes m and n that are similar share ``similarity * max(m, n)`` shingles at least, so
     the first shared one is among the first ``n - similarity * n + 1`` of both (prefix
     filter): no similar pair is lost."""
@@ -177,22 +178,48 @@ def prefixes(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 b = batch.slice(at, 200)
-                keys, sizes, fps = [], [], []
+                keys, sizes, fps, cold = [], [], [], []
                 for t in b.column(2):
                     every = shingle_hashes(t.as_py(), shingle, 42)
                     fps.append([int(np.uint64(majority(every)).view(np.int64))])
                     x = np.unique(every)
                     sizes.append(len(x))
+                    cold.append(len(x))
                     if len(known) and len(x):
                         i = np.minimum(np.searchsorted(known, x), len(known) - 1)
-                        x = x[np.argsort(np.where(known[i] == x, counts[i], 0), kind="stable")]
+                        held_by = np.where(known[i] == x, counts[i], 0)
+                        x, cold[-1] = x[np.argsort(held_by, kind="stable")], int((held_by == 0).sum())
                     # texts without shingles are alike and share a key
                     keys.append((x[: len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1] if len(x) else np.zeros(1, np.uint64)).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(fps, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "same", "size", "fp", "keys"]
+                    [b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(fps, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())), pa.array(cold, pa.int32())],
+                    names=["doc_id", "same", "size", "fp", "keys", "cold"],
                 )
 
-    return texts.select("doc_id", "same", "text").mapInArrow(run, "doc_id long, same string, size int, fp array<long>, keys array<long>")
+    return texts.select("doc_id", "same", "text").mapInArrow(run, "doc_id long, same string, size int, fp array<long>, keys array<long>, cold int")
+
+
+def company(rows: DataFrame) -> DataFrame:
+    """``rep, size, at, key``: the rows whose ``key`` others have too, and those of
+    frequent keys, which are salted. Rows meet sorted and pass as a stream, so a bucket of
+    any size costs no memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending, last = None, None  # a row that the next may join, and the key before
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, salt = b.column(3).to_numpy(), b.column(4).to_numpy()
+            met = np.zeros(len(key) + 1, bool)  # with the row before
+            met[1:-1] = key[1:] == key[:-1]
+            met[0] = last is not None and key[0] == last
+            if pending is not None and met[0]:
+                yield pending
+            keep = met[:-1] | met[1:] | (salt > 0)
+            last, pending = key[-1], None if keep[-1] else b.slice(len(key) - 1, 1).select(["rep", "size", "at", "key"])
+            yield b.filter(pa.array(keep)).select(["rep", "size", "at", "key"])
+
+    return rows.repartition("key", "salt").sortWithinPartitions("key").mapInArrow(run, "rep long, size int, at int, key long")
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -239,11 +266,11 @@ def similar_links(rows: DataFrame, chosen: DataFrame, shingle: int, similarity:
     too. So a group of near copies costs rows in proportion, and no link is left
     out."""
     # texts are long, so only their keys are joined to numbers
-    drawn = cut(prefixes(rows, shingle, similarity).dropDuplicates(["doc_id", "same"]).join(chosen, ["doc_id", "same"]).select("rep", "size", "fp", "keys"), "similar-prefixes")
-    buckets = drawn.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    before = F.coalesce(F.get("keys", F.col("at") - 1), F.lit(0))
-    placed = drawn.select("rep", "size", "keys", F.posexplode("keys").alias("at", "key")).select("rep", "size", "at", "key", before.alias("before"))
-    index = cut(placed.join(buckets, "key", "left_semi"), "similar-index")
+    drawn = cut(prefixes(rows, shingle, similarity).dropDuplicates(["doc_id", "same"]).join(chosen, ["doc_id", "same"]).select("rep", "size", "fp", "keys", "cold"), "similar-prefixes")
+    salt = F.when(F.col("at") >= F.col("cold"), 1 + F.pmod("rep", F.lit(64))).otherwise(F.lit(0)).cast("int")
+    placed = drawn.select("rep", "size", "cold", F.posexplode("keys").alias("at", "key")).select("rep", "size", "at", "key", salt.alias("salt"))
+    before = F.lag("key").over(Window.partitionBy("rep").orderBy("at"))
+    index = cut(company(placed).withColumn("before", before), "similar-index")
 
     def enough(m: str, i: str, n: str, j: str):
         """What is left of both sets from a first shared shingle on suffices."""
@@ -254,7 +281,8 @@ def similar_links(rows: DataFrame, chosen: DataFrame, shingle: int, similarity:
         if but is not None:
             wanted = wanted.join(but.select(F.col("id").alias("rep")), "rep", "left_anti")
         named = cut(chosen.join(wanted, "rep", "left_semi"), "similar-wanted")
-        return cut(shingle_sets(rows.join(named, ["doc_id", "same"]).select("rep", "text"), shingle).dropDuplicates(["id"]), "similar-sets")
+        # repeated rows meet by this join's keys already
+        return cut(shingle_sets(rows.join(named, ["doc_id", "same"]).dropDuplicates(["doc_id", "same"]).select("rep", "text"), shingle), "similar-sets")
 
     sort = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     classes = cut(drawn.groupBy("fp").agg(F.min("rep").alias("rep")), "similar-prints")
@@ -271,8 +299,8 @@ def similar_links(rows: DataFrame, chosen: DataFrame, shingle: int, similarity:
     mixed = named.groupBy("key").agg(F.min("part").alias("first"), F.max("part").alias("last")).where("first < last").select("key")
     mixed = cut(named.join(mixed, "key", "left_semi"), "similar-mixed")
     x, y = mixed.toDF("key", "a", "m", "i", "p", "s"), mixed.toDF("key", "b", "n", "j", "q", "t")
-    # a pair whose shingles before this one are the same, too, meets there
-    first = (F.col("s") != F.col("t")) | (F.col("i") == 0) | (F.col("j") == 0)
+    # a pair whose keys before this one are the same, too, meets there
+    first = ~F.coalesce(F.col("s") == F.col("t"), F.lit(False))
     rest = x.join(y, (x.key == y.key) & (F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & first & enough("m", "i", "n", "j")).select("a", "b").distinct()
     rest = cut(rest.join(pairs, ["a", "b"], "left_anti"), "similar-rest")
     return components(found.unionByName(similar_pairs(rest, sets.unionByName(sets_of(rest, sets)), similarity)), "similar-components")
