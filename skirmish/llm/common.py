@@ -7,6 +7,7 @@ edge table without gathering edges or members on the driver.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -28,13 +29,20 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back: lost
-    executors then cost no recomputation of what stands above."""
-    spark = df.sparkSession
+    executors then cost no recomputation of what stands above. With ``free``,
+    Spark is told to drop the shuffle files of what was written, which it else
+    keeps until the driver happens to collect its garbage; worth it where whole
+    texts or an index were shuffled."""
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if free:
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def with_columns_of(docs: DataFrame, *names: str) -> DataFrame:

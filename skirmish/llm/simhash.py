@@ -164,9 +164,19 @@ def frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], n[order]
 
 
+#: Bits of a parity sketch.
+SKETCH = 2048
+
+
+def parity(hashes: np.ndarray) -> bytes:
+    """One bit for each residue of the hashes: whether an odd number of them has it. Of two
+    sets, the bits that differ are no more than the elements that only one of them has."""
+    return np.packbits(np.bincount((hashes % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).tobytes()
+
+
 def prefixes(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``doc_id, same, size, fp, keys, cold``: the number of distinct shingles of each text,
-    its fingerprint, and its first shingles in one order of all shingles, rare ones first
+    """``doc_id, same, size, fp, odd, keys, cold``: the number of distinct shingles of each
+    text, its fingerprint, its parity sketch (``parity``), and its first shingles in one order of all shingles, rare ones first
     (``cold`` of them not known to be frequent). Sets
     of sizes m and n that are similar share ``similarity * max(m, n)`` shingles at least, so
     the first shared one is among the first ``n - similarity * n + 1`` of both (prefix
@@ -178,12 +188,13 @@ def prefixes(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 b = batch.slice(at, 200)
-                keys, sizes, fps, cold = [], [], [], []
+                keys, sizes, fps, odd, cold = [], [], [], [], []
                 for t in b.column(2):
                     every = shingle_hashes(t.as_py(), shingle, 42)
                     fps.append([int(np.uint64(majority(every)).view(np.int64))])
                     x = np.unique(every)
                     sizes.append(len(x))
+                    odd.append(parity(x))
                     cold.append(len(x))
                     if len(known) and len(x):
                         i = np.minimum(np.searchsorted(known, x), len(known) - 1)
@@ -192,11 +203,11 @@ def prefixes(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
                     # texts without shingles are alike and share a key
                     keys.append((x[: len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1] if len(x) else np.zeros(1, np.uint64)).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(fps, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())), pa.array(cold, pa.int32())],
-                    names=["doc_id", "same", "size", "fp", "keys", "cold"],
+                    [b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(fps, pa.list_(pa.int64())), pa.array(odd, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(cold, pa.int32())],
+                    names=["doc_id", "same", "size", "fp", "odd", "keys", "cold"],
                 )
 
-    return texts.select("doc_id", "same", "text").mapInArrow(run, "doc_id long, same string, size int, fp array<long>, keys array<long>, cold int")
+    return texts.select("doc_id", "same", "text").mapInArrow(run, "doc_id long, same string, size int, fp array<long>, odd binary, keys array<long>, cold int")
 
 
 def company(rows: DataFrame) -> DataFrame:
@@ -235,6 +246,22 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, shingles binary")
 
 
+def possible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``a, b`` that their parity sketches (``rep, size, odd``) do not rule out:
+    sets of sizes m and n of that similarity differ in ``(1 - s) / (1 + s) * (m + n)``
+    elements at most. A sketch is much smaller than a set, so few sets travel."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH // 8) for i in (3, 4))
+            most = (1 - similarity) / (1 + similarity) * b.column(2).to_numpy() + 1e-6
+            yield b.select(["a", "b"]).filter(pa.array(np.bitwise_count(x ^ y).sum(1) <= most))
+
+    left = sketches.select(F.col("rep").alias("a"), F.col("size").alias("m"), F.col("odd").alias("x"))
+    right = sketches.select(F.col("rep").alias("b"), F.col("size").alias("n"), F.col("odd").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("m") + F.col("n")).alias("total"), "x", "y").mapInArrow(run, "a long, b long")
+
+
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``a, b`` whose sets have a Jaccard similarity of at least ``similarity``."""
 
@@ -266,11 +293,11 @@ def similar_links(rows: DataFrame, chosen: DataFrame, shingle: int, similarity:
     too. So a group of near copies costs rows in proportion, and no link is left
     out."""
     # texts are long, so only their keys are joined to numbers
-    drawn = cut(prefixes(rows, shingle, similarity).dropDuplicates(["doc_id", "same"]).join(chosen, ["doc_id", "same"]).select("rep", "size", "fp", "keys", "cold"), "similar-prefixes")
+    drawn = cut(prefixes(rows, shingle, similarity).dropDuplicates(["doc_id", "same"]).join(chosen, ["doc_id", "same"]).select("rep", "size", "fp", "odd", "keys", "cold"), "similar-prefixes", free=True)
     salt = F.when(F.col("at") >= F.col("cold"), 1 + F.pmod("rep", F.lit(64))).otherwise(F.lit(0)).cast("int")
     placed = drawn.select("rep", "size", "cold", F.posexplode("keys").alias("at", "key")).select("rep", "size", "at", "key", salt.alias("salt"))
     before = F.lag("key").over(Window.partitionBy("rep").orderBy("at"))
-    index = cut(company(placed).withColumn("before", before), "similar-index")
+    index = cut(company(placed).withColumn("before", before), "similar-index", free=True)
 
     def enough(m: str, i: str, n: str, j: str):
         """What is left of both sets from a first shared shingle on suffices."""
@@ -282,7 +309,7 @@ def similar_links(rows: DataFrame, chosen: DataFrame, shingle: int, similarity:
             wanted = wanted.join(but.select(F.col("id").alias("rep")), "rep", "left_anti")
         named = cut(chosen.join(wanted, "rep", "left_semi"), "similar-wanted")
         # repeated rows meet by this join's keys already
-        return cut(shingle_sets(rows.join(named, ["doc_id", "same"]).dropDuplicates(["doc_id", "same"]).select("rep", "text"), shingle), "similar-sets")
+        return cut(shingle_sets(rows.join(named, ["doc_id", "same"]).dropDuplicates(["doc_id", "same"]).select("rep", "text"), shingle), "similar-sets", free=True)
 
     sort = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     classes = cut(drawn.groupBy("fp").agg(F.min("rep").alias("rep")), "similar-prints")
@@ -291,7 +318,8 @@ def similar_links(rows: DataFrame, chosen: DataFrame, shingle: int, similarity:
     ends = index.groupBy("key").agg(F.min(F.struct("at", "size", "rep")).alias("centre"), F.min(F.struct("rep", "size", "at")).alias("low"))
     ends = ends.select("key", F.explode(F.array(F.struct("centre.rep", "centre.size", "centre.at"), "low")).alias("end"))
     stars = index.join(ends, "key").where("rep <> end.rep").where(enough("size", "at", "end.size", "end.at")).select(*sort("rep", "end.rep"))
-    pairs = cut(stars.unionByName(prints).distinct(), "similar-stars")
+    tried = cut(stars.unionByName(prints).distinct(), "similar-stars", free=True)
+    pairs = cut(possible(tried, drawn, similarity), "similar-possible")
     sets = sets_of(pairs)
     found = cut(similar_pairs(pairs, sets, similarity), "similar-star-links")
     label = components(found, "similar-components")
@@ -302,7 +330,7 @@ def similar_links(rows: DataFrame, chosen: DataFrame, shingle: int, similarity:
     # a pair whose keys before this one are the same, too, meets there
     first = ~F.coalesce(F.col("s") == F.col("t"), F.lit(False))
     rest = x.join(y, (x.key == y.key) & (F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & first & enough("m", "i", "n", "j")).select("a", "b").distinct()
-    rest = cut(rest.join(pairs, ["a", "b"], "left_anti"), "similar-rest")
+    rest = cut(possible(rest.join(tried, ["a", "b"], "left_anti"), drawn, similarity), "similar-rest", free=True)
     return components(found.unionByName(similar_pairs(rest, sets.unionByName(sets_of(rest, sets)), similarity)), "similar-components")
 
 
