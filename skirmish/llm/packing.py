@@ -26,7 +26,6 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,11 +38,11 @@ BLOCK = 1 << 18
 LONGEST_GAP = 256
 SENTENCE_PENALTY = 1
 INSIDE_PENALTY = 4
-#: Entries of a worker's word cache; when full, it starts anew beside the full one, which takes the place of the one before.
-CACHE_ENTRIES = 1 << 18
+#: Entries of a worker's word cache; it starts anew when full.
+CACHE_ENTRIES = 1 << 20
 PUNCTUATION = ".,;:!?%*#&$|"
 #: Separators that Python counts as white space and the tokenizer doesn't.
-_CONTROL = re.compile(r"[\x1c-\x1f]")
+_CONTROL = "\x1c\x1d\x1e\x1f"
 _BREAK = re.compile(r"[^\S\x1c-\x1f]+")
 
 
@@ -66,28 +65,25 @@ class WordCache(dict):
         self.model = self.whole.model
         self.pieces: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}  # lower-cased words without their punctuation
-        self.older: dict[str, bytes] = {}
-        self.older_cores: dict[str, bytes] = {}
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         odd = [b for b in range(256) if b not in set(plain)]
         self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(odd)}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            core = word.rstrip(PUNCTUATION)
-            if core.isalpha() and max(core) < "Ā":
-                low = core.lower()
-                ids = self.cores.get(low) or self.older_cores.get(low) or self._piece(low)
-                if len(self.cores) >= CACHE_ENTRIES:
-                    self.older_cores, self.cores = self.cores, {}
+        core = word.rstrip(PUNCTUATION)
+        if core.isalpha() and (core.isascii() or max(core) < "Ā"):
+            low = core.lower()
+            ids = self.cores.get(low)
+            if ids is None:
+                ids = self._piece(low)
+                if len(self.cores) >= CACHE_ENTRIES // 2:
+                    self.cores.clear()
                 self.cores[low] = ids
-                if core != word:
-                    ids += self._other(word[len(core) :])
-            else:
-                ids = self._other(word)
+            if core != word:
+                ids += self._other(word[len(core) :])
+        else:
+            ids = self._other(word)
         if len(self) >= CACHE_ENTRIES:
-            self.older = dict(self)
             self.clear()
         self[word] = ids
         return ids
@@ -107,11 +103,11 @@ class WordCache(dict):
 
     def encode(self, text: str) -> tuple[bytes, np.ndarray]:
         """Ids as little-endian 32-bit words, and the token counts up to each sentence end."""
-        words = [w for w in _BREAK.split(text) if w] if _CONTROL.search(text) else text.split()
+        words = [w for w in _BREAK.split(text) if w] if any(c in text for c in _CONTROL) else text.split()
         parts = [self[w] for w in words]
-        ends = np.fromiter((w[-1] in ".!?" for w in words), bool, len(words))
+        ends = [i for i, w in enumerate(words) if w[-1] in ".!?"]
         counts = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
-        return b"".join(parts), counts[ends] >> 2
+        return b"".join(parts), counts[ends] >> 2 if ends else counts[:0]
 
 
 _caches: dict[str, WordCache] = {}
@@ -123,27 +119,32 @@ def cut_positions(places: np.ndarray, penalties: np.ndarray, length: int, last:
     cheapest place within the last window ends the settled part."""
     at, n = places.tolist(), len(places)
     cost, back, pen = [0] * n, [0] * n, penalties.tolist()
-    jumps: dict[int, list[int]] = {}
+    jumps: list[list[int] | tuple] = [()] * n
     for k in range(length.bit_length()):
-        source = np.searchsorted(places, places - (1 << k))
-        hit = np.flatnonzero((places >= 1 << k) & (places[np.minimum(source, n - 1)] == places - (1 << k)))
-        for j in hit.tolist():
-            jumps.setdefault(j, []).append(int(source[j]))
-    queue: deque[tuple[int, int]] = deque([(0, 0)])
+        step = 1 << k
+        source = np.searchsorted(places, places - step)
+        hit = np.flatnonzero((places >= step) & (places[source] == places - step))
+        for j, i in zip(hit.tolist(), source[hit].tolist(), strict=True):
+            if jumps[j]:
+                jumps[j].append(i)
+            else:
+                jumps[j] = [i]
+    # the queue: place, key and index of each candidate, keys ascending from ``head`` on
+    starts, keys, index, head = [0], [0], [0], 0
     for j in range(1, n):
         here = at[j]
-        while at[queue[0][1]] < here - length:
-            queue.popleft()
-        best, source = queue[0]
-        best += length - here
-        for i in jumps.get(j, ()):
+        while starts[head] < here - length:
+            head += 1
+        best, source = keys[head] + length - here, index[head]
+        for i in jumps[j]:
             if cost[i] < best:
                 best, source = cost[i], i
-        cost[j], back[j] = best + pen[j], source
-        key = cost[j] + here
-        while queue and queue[-1][0] >= key:
-            queue.pop()
-        queue.append((key, j))
+        best += pen[j]
+        cost[j], back[j] = best, source
+        key = best + here
+        while len(keys) > head and keys[-1] >= key:
+            keys.pop(), starts.pop(), index.pop()
+        keys.append(key), starts.append(here), index.append(j)
     end = n - 1
     if not last:
         near = [j for j in range(1, n) if at[j] >= at[-1] - length]
