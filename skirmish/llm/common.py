@@ -18,11 +18,14 @@ WORD_BREAKS = "\t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a temporary one where none is set (tests)."""
+    """The checkpoint folder of the session; a temporary one where none is set and
+    all runs in one process (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = at.get() if at.isDefined() else None
+    if not at and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
     if not at:
         at = tempfile.mkdtemp(prefix="skirmish-checkpoint-")
         spark.sparkContext.setCheckpointDir(at)

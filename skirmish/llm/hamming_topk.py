@@ -12,7 +12,7 @@ is several rows), and a code stands for its ``k + 1`` smallest ids, which is all
 that a top-k by (distance, id) can use.
 
 Defined cases. A null id or vector, or a vector of another length than the
-first, is not indexed and asks nothing; null components count as negative.
+commonest (of ties the greatest), is not indexed and asks nothing; null components count as negative.
 Repeated ids are one row. A query is no neighbour of itself. Fewer than k other rows give as many. Extra
 columns are ignored.
 """
@@ -48,7 +48,7 @@ def segment_value(words: Column, low: int, size: int) -> Column:
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id, rank, neighbour_id, distance`` for each row of ``queries``."""
     sized = rows.where(F.col(id_column).isNotNull() & F.col(vector).isNotNull())
-    one = sized.select(F.size(vector).alias("n")).head(1)
+    one = sized.groupBy(F.size(vector).alias("n")).count().where("n > 0").orderBy(F.desc("count"), F.desc("n")).head(1)
     bits = one[0].n if one else 1
 
     def coded(df: DataFrame) -> DataFrame:

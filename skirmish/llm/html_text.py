@@ -23,7 +23,11 @@ from pyspark.sql import DataFrame, functions as F
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _HINT = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s*=\s*\"\"|(?=[\s/]|$))|(?:^|\s)aria-hidden\s*=\s*(?:\"\"|true)", re.I)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_NO_DISPLAY = re.compile(r"style\s*=\s*[\"'][^\"']*display\s*:\s*none|aria-hidden\s*=\s*[\"']true", re.I)
+#: Class names that say what a block has or is like, not what it is.
+_STATE = re.compile(r"(?:has|with|without|no|is|show|hide)-")
 _FURNITURE = re.compile(
     r"(?:^|[^a-z])(?:ads?|advert\w*|adverti[sz]ement|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|side-?bar|widget|related|recommend\w*|share|sharing|social|comments?|replies|disqus|respond|subscribe|newsletter|signup|login|search|pagination|pager|tags?-list|copyright|legal|toolbar|complementary|contentinfo|navigation)(?:[^a-z]|$)"
 )
@@ -130,10 +134,16 @@ def keeps(tree: dict, features: tuple) -> bool:
     return tree["keep"]
 
 
+def hidden(attributes: str) -> bool:
+    """Whether the attributes hide an element: ``hidden`` itself, not a value that says so of something else."""
+    return bool(_HIDDEN.search(_QUOTED.sub('""', attributes)) or _NO_DISPLAY.search(attributes))
+
+
 def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
     """``text, link density, furniture, article, heading`` of each text block."""
     out, parts = [], []
     stack: list[tuple[str, bool, bool]] = []
+    inside = [0, 0]  # open elements that are furniture, and that name an article
     linked = in_link = 0
     heading = False
     at, n = 0, len(page)
@@ -143,7 +153,7 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
         text = " ".join(references.unescape("".join(parts)).split()) if parts else ""
         if text:
             size = sum(len(p.strip()) for p in parts) or 1
-            out.append((text, min(1.0, linked / size), any(s[1] for s in stack), any(s[2] for s in stack), heading))
+            out.append((text, min(1.0, linked / size), inside[0] > 0, inside[1] > 0, heading))
         parts.clear()
         linked = 0
 
@@ -178,12 +188,16 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
                 if closing:
                     for i in range(len(stack) - 1, -1, -1):
                         if stack[i][0] == name:
+                            inside[0] -= sum(s[1] for s in stack[i:])
+                            inside[1] -= sum(s[2] for s in stack[i:])
                             del stack[i:]
                             break
                 else:
-                    hint = " ".join(h.strip("\"'") for h in _HINT.findall(m[3] or "")).lower()
-                    furniture = name in FURNITURE_TAGS or (name not in ("body", "html", "article", "main") and bool(_FURNITURE.search(hint))) or bool(_HIDDEN.search(m[3] or ""))
+                    hint = " ".join(x for h in _HINT.findall(m[3] or "") for x in h.strip("\"'").lower().split() if not _STATE.match(x))
+                    furniture = name in FURNITURE_TAGS or (name not in ("body", "html", "article", "main") and bool(_FURNITURE.search(hint))) or hidden(m[3] or "")
                     stack.append((name, furniture, name in ("article", "main") or bool(_MAIN.search(hint))))
+                    inside[0] += stack[-1][1]
+                    inside[1] += stack[-1][2]
     close()
     return out
 

@@ -119,3 +119,29 @@ def test_small_ranks_and_long_walks_count(spark):
     got = {r.page_id: r for r in url_rules.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), URL_RULES).collect()}
     assert got[3 * 10**6].trust == 0 and 0 < got[3 * 10**6].distrust < 1e-9
     assert got[3 * 10**6].verdict == "block"
+
+
+def test_state_classes_and_overflow_keep_the_article():
+    from skirmish.llm.html_text import main_text, trained
+
+    tree = trained()
+    text = " ".join(["This is a long sentence of the article body, with many words in it."] * 6)
+    kept = ('<div style="overflow:hidden">', '<div class="layout has-sidebar"><article>', '<div data-x="hidden">', '<section class="no-sidebar">')
+    gone = ("<div hidden>", '<div hidden="">', '<div style="display: none">', '<div aria-hidden="true">', '<div class="sidebar">')
+    for open_tags in kept:
+        assert main_text(f"<html><body>{open_tags}<p>{text}</p>", tree) == text, open_tags
+    for open_tags in gone:
+        assert main_text(f"<html><body>{open_tags}<p>{text}</p></div>", tree) == "", open_tags
+
+
+def test_deep_nesting_is_read_in_proportion():
+    import time
+
+    from skirmish.llm.html_text import main_text, trained
+
+    tree, took = trained(), []
+    for n in (10_000, 80_000):
+        began = time.process_time()
+        main_text("<div>word word" * n, tree)
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * took[0]

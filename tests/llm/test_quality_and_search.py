@@ -89,3 +89,12 @@ def test_top_k_of_few_or_no_rows(spark):
     assert {q: len(v) for q, v in found(hamming_topk.top_k(frame, frame, k=10)).items()} == {i: 3 for i in range(4)}
     assert hamming_topk.top_k(frame.limit(0), frame.limit(0)).count() == 0
     assert hamming_topk.top_k(frame, frame.limit(0)).count() == 0
+
+
+def test_an_empty_first_vector_does_not_empty_the_table(spark):
+    from skirmish.llm.hamming_topk import top_k
+
+    rows = spark.createDataFrame([(0, []), *[(i, [1.0 if i >> b & 1 else -1.0 for b in range(8)]) for i in range(1, 40)]], "vec_id long, embedding array<double>").coalesce(1)
+    got = top_k(rows, rows.where("vec_id = 7"), k=3).orderBy("rank").collect()
+    want = sorted((bin(i ^ 7).count("1"), i) for i in range(1, 40) if i != 7)[:3]
+    assert [(r.distance, r.neighbour_id) for r in got] == want
