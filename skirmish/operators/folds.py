@@ -45,7 +45,8 @@ def current_ratings(rated: DataFrame) -> DataFrame:
 
 def kalman(observed: DataFrame, a: float = 0.995, q: float = 0.05, r0: float = 1.0, per: float = 24.0) -> DataFrame:
     """Filtered and smoothed level of each player. ``observed``: ``player_id,
-    event_id, day, moment, y, rounds``; a missing ``y`` moves time only."""
+    event_id, day, moment, y, rounds``; a missing ``y`` moves time
+    only, missing rounds count as one."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["moment", "event_id"])
@@ -58,8 +59,10 @@ def kalman(observed: DataFrame, a: float = 0.995, q: float = 0.05, r0: float = 1
             m, v = decay[i] * m, decay[i] ** 2 * v + noise[i]
             mean_p[i], var_p[i] = m, v
             if y == y and y is not None:
-                gain = v / (v + r0 * per / max(rounds, 1.0))
-                m, v = m + gain * (y - m), (1 - gain) * v
+                noise_of_y = r0 * per / max(rounds if rounds is not None and rounds == rounds else 1.0, 1.0)
+                if math.isfinite(noise_of_y):
+                    gain = v / (v + noise_of_y)
+                    m, v = m + gain * (y - m), (1 - gain) * v
             mean[i], var[i] = m, v
         smooth, smooth_var = mean.copy(), var.copy()
         for i in range(n - 2, -1, -1):

@@ -35,7 +35,7 @@ def ridge_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def map_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mean = arena.frame(spark, sf_dir, "ratings").where("team_id < 8").groupBy("team_id", "arena").agg(F.avg("rating").alias("rating"))
+    mean = arena.frame(spark, sf_dir, "ratings").groupBy("team_id", "arena").agg(F.avg("rating").alias("rating"))
     other = mean.select(F.col("team_id").alias("opponent_id"), "arena", F.col("rating").alias("other"))
     pairs = mean.join(other, "arena").where("team_id <> opponent_id").groupBy("team_id", "opponent_id")
     pool = pairs.agg(F.array_sort(F.collect_list(F.struct(win_chance(F.col("rating"), F.col("other")).alias("p"), "arena"))).alias("pool"))

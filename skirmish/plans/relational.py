@@ -23,7 +23,7 @@ PLANS: dict[str, str] = {
         JOIN seasons s ON g.played_at >= s.begins AND (s.ends IS NULL OR g.played_at < s.ends) GROUP BY s.season_id, g.arena""",
     "asof_strict": """SELECT r.game_id, r.team_id, r.arena, coalesce(lag(r.rating) OVER (PARTITION BY r.team_id, r.arena, r.season ORDER BY r.played_at, r.game_id), 1000) AS rating_before FROM ratings r""",
     "asof_inclusive": """SELECT m.match_id, r.arena, max_by(r.rating, r.played_at * 1000000000 + r.game_id) AS rating FROM matches m
-        JOIN ratings r ON r.team_id = m.cust_id % 100 AND r.season = m.season AND r.played_at <= m.completed_at WHERE m.match_id % 10 = 0 GROUP BY m.match_id, r.arena""",
+        JOIN ratings r ON r.team_id = m.cust_id % 100 AND r.season = m.season AND r.played_at <= m.completed_at GROUP BY m.match_id, r.arena""",
     "case_key_opponent": """SELECT g.game_id, t.team AS opponent FROM games g
         JOIN teams t ON CASE WHEN g.winner_id = 3 THEN g.loser_id ELSE g.winner_id END = t.team_id WHERE g.winner_id = 3 OR g.loser_id = 3""",
     "self_join_opponent": """SELECT a.game_id, a.team_id, b.team_id AS opponent_id, a.rating - b.rating AS ahead FROM ratings a
@@ -45,8 +45,8 @@ PLANS: dict[str, str] = {
     "radar_pivot": """SELECT arena, coalesce(max(CASE WHEN team_id = 1 THEN rating END), 0) AS team_1, coalesce(max(CASE WHEN team_id = 2 THEN rating END), 0) AS team_2 FROM ratings GROUP BY arena""",
     "first_pick_ban": """WITH firsts AS (SELECT match_id, side, action, arena, row_number() OVER (PARTITION BY match_id, side, action ORDER BY step) AS rn FROM veto_steps WHERE side IS NOT NULL)
         SELECT side, action, arena, count(*) AS times, round(CAST(count(*) AS DOUBLE) * 100 / sum(count(*)) OVER (PARTITION BY side, action), 6) AS share FROM firsts WHERE rn = 1 GROUP BY side, action, arena""",
-    "distinct_events_ordered": """SELECT event_name, place FROM (SELECT DISTINCT event_name FROM matches) e
-        JOIN (SELECT * FROM (VALUES ('1-URGENT', 5), ('2-HIGH', 4), ('3-MEDIUM', 3), ('4-NOT SPECIFIED', 2), ('5-LOW', 1)) AS t(name, place)) o ON e.event_name = o.name ORDER BY place DESC""",
+    "distinct_events_ordered": """SELECT e.event_name, coalesce(o.place, 0) AS place FROM (SELECT DISTINCT event_name FROM matches) e
+        LEFT JOIN (SELECT * FROM (VALUES ('1-URGENT', 5), ('2-HIGH', 4), ('3-MEDIUM', 3), ('4-NOT SPECIFIED', 2), ('5-LOW', 1)) AS t(name, place)) o ON e.event_name = o.name ORDER BY 2 DESC, 1""",
     "teams_by_region": "SELECT region, count(*) AS teams, min(team) AS first_team, CAST(sum(CASE WHEN is_active THEN 1 ELSE 0 END) AS BIGINT) AS active FROM teams GROUP BY region",
     "regions_of_arena": "SELECT g.arena, t.region, count(DISTINCT t.team_id) AS teams FROM games g JOIN teams t ON g.winner_id = t.team_id GROUP BY g.arena, t.region",
     "null_side_report": "SELECT v.match_id, v.step, v.action, m.event_name FROM veto_steps v JOIN matches m ON v.match_id = m.match_id WHERE v.side IS NULL AND v.action <> 'decider'",
@@ -61,5 +61,5 @@ PLANS: dict[str, str] = {
         SELECT team_id, arena, rating, played_at FROM (SELECT *, row_number() OVER (PARTITION BY team_id, arena ORDER BY played_at DESC, game_id DESC) AS rn FROM versions) WHERE rn = 1""",
     "event_links": "SELECT page_id, regexp_extract(html, 'href=\"(/[^\"]*)\"', 1) AS first_link, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages",
     "json_props": "SELECT role, count(kills) AS games, CAST(sum(kills) AS BIGINT) AS kills, round(avg(value), 6) AS value FROM stats GROUP BY role",
-    "text_identifiers": "SELECT doc_id, upper(substr(text, 1, 1)) AS initial, lower(trim(substr(text, 1, 20))) AS head, CAST(length(replace(text, ' ', '')) AS BIGINT) AS letters FROM documents",
+    "text_identifiers": "SELECT doc_id, upper(substr(text, 1, 1)) AS initial, md5(lower(trim(text))) AS folded, CAST(length(replace(text, ' ', '')) AS BIGINT) AS letters FROM documents",
 }

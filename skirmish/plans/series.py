@@ -55,8 +55,8 @@ PLANS: dict[str, str] = {
         FROM (SELECT w.game_id, w.rating AS wr, l.rating AS lr, w.margin FROM ratings w JOIN ratings l ON w.game_id = l.game_id AND w.won = 1 AND l.won = 0 WHERE w.season = 2000)""",
     "series_probability": """WITH p AS (SELECT team_id, opponent_id, max(CASE WHEN arena = 'AF' THEN q END) AS a, max(CASE WHEN arena = 'NO' THEN q END) AS b, max(CASE WHEN arena = 'RF' THEN q END) AS c FROM (
           SELECT x.team_id, y.team_id AS opponent_id, x.arena, 1 / (1 + power(10, (y.rating - x.rating) / 1000.0)) AS q FROM
-          (SELECT team_id, arena, avg(rating) AS rating FROM ratings WHERE team_id < 8 GROUP BY team_id, arena) x JOIN (SELECT team_id, arena, avg(rating) AS rating FROM ratings WHERE team_id < 8 GROUP BY team_id, arena) y ON x.arena = y.arena AND x.team_id <> y.team_id) GROUP BY team_id, opponent_id)
-        SELECT team_id, opponent_id, round(a * b + a * (1 - b) * c + (1 - a) * b * c, 6) AS best_of_3, round(a*a*b + 3*a*a*b*(1-c)*0 + a*b*c, 6) AS first_three FROM p""",
+          (SELECT team_id, arena, avg(rating) AS rating FROM ratings GROUP BY team_id, arena) x JOIN (SELECT team_id, arena, avg(rating) AS rating FROM ratings GROUP BY team_id, arena) y ON x.arena = y.arena AND x.team_id <> y.team_id) GROUP BY team_id, opponent_id)
+        SELECT team_id, opponent_id, round(a * b + a * (1 - b) * c + (1 - a) * b * c, 6) AS best_of_3, round(a * b * c, 6) AS clean_sweep FROM p""",
     "player_components": "SELECT event_id, player_id, round(kills / greatest(1, value), 6) AS per_round, round(kills / nullif(kills + value, 0), 6) AS duel_share FROM stats",
     "decayed_means": """WITH d AS (SELECT event_id, player_id, moment, value, kills, day - max(day) OVER () AS ago FROM stats)
         SELECT event_id, player_id, round(sum(kills * value * power(0.985, -ago)) OVER w / sum(value * power(0.985, -ago)) OVER w, 6) AS pre FROM d WINDOW w AS (PARTITION BY player_id ORDER BY moment, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
@@ -67,7 +67,7 @@ PLANS: dict[str, str] = {
     "centred_by_date": "SELECT event_id, day, round(value - avg(value) OVER (PARTITION BY day), 6) AS centred FROM stats",
     "veto_scores": """SELECT v.match_id, v.step, v.side, v.action, CAST(CASE WHEN v.action = 'pick' THEN max(o.edge) - v.edge ELSE v.edge - min(o.edge) END AS BIGINT) AS lost FROM veto_steps v
         JOIN veto_steps o ON o.match_id = v.match_id AND (o.step >= v.step OR o.side IS NULL OR o.action = 'decider') WHERE v.side IS NOT NULL AND v.action <> 'decider' GROUP BY v.match_id, v.step, v.side, v.action, v.edge""",
-    "pairwise_matrix": """WITH r AS (SELECT team_id, avg(rating) AS rating FROM ratings WHERE team_id < 12 GROUP BY team_id)
+    "pairwise_matrix": """WITH r AS (SELECT team_id, avg(rating) AS rating FROM ratings GROUP BY team_id)
         SELECT a.team_id, b.team_id AS opponent_id, round(1 / (1 + power(10, (b.rating - a.rating) / 1000.0)), 6) AS chance FROM r a JOIN r b ON a.team_id <> b.team_id""",
 }
 
