@@ -5,6 +5,7 @@ in turn; groups are (arena, season) or one player, and are independent."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,33 +14,53 @@ from pyspark.sql import DataFrame, functions as F
 from skirmish.functions.ratings import K, MARGIN, SCALE, START
 
 
-def rate_games(games: DataFrame) -> DataFrame:
+def rate_games(games: DataFrame, gate: bool = True) -> DataFrame:
     """Ratings of both sides before and after each game, reset every season.
-    A game without a time is not rated and fails the job, as a gate."""
+
+    Games are rated in the order of their time, then id. Those without a time are
+    never rated: with ``gate`` the job fails before it rates, without it the rest
+    is rated and ``require_times`` may fail the job afterwards. Each (arena,
+    season) is a run of one sorted partition, so a task holds the ratings of one
+    run's teams and a batch, never a whole season."""
+    if gate:
+        require_times(games)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, {}
+        for pdf in batches:
+            before_w, before_l, gains = [], [], []
+            for arena, season, w, l, ahead in zip(pdf.arena, pdf.season, pdf.winner_id, pdf.loser_id, pdf.winner_rounds - pdf.loser_rounds, strict=True):
+                if (arena, season) != at:
+                    at, held = (arena, season), {}
+                a, b = held.get(w, START), held.get(l, START)
+                gain = K * math.log(MARGIN * math.sqrt(max(ahead, 0) + 1)) * (1 - 1 / (1 + 10 ** ((b - a) / SCALE)))
+                before_w.append(a), before_l.append(b), gains.append(gain)
+                held[w], held[l] = a + gain, b - gain
+            yield pdf[["game_id", "arena", "season", "winner_id", "loser_id", "played_at"]].assign(winner_before=before_w, loser_before=before_l, gain=gains)
+
+    columns = ["game_id", "arena", "season", "winner_id", "loser_id", "played_at", "winner_rounds", "loser_rounds"]
+    dealt = games.where("played_at is not null").select(*columns).repartition("arena", "season").sortWithinPartitions("arena", "season", "played_at", "game_id")
+    return dealt.mapInPandas(fold, "game_id long, arena string, season long, winner_id long, loser_id long, played_at long, winner_before double, loser_before double, gain double")
+
+
+def require_times(games: DataFrame) -> None:
+    """Fails where a game has no time."""
     if games.where("played_at is null").head(1):
         raise ValueError("a game has no time")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["played_at", "game_id"])
-        held: dict[int, float] = {}
-        before_w, before_l, gains = [], [], []
-        for w, l, ahead in zip(pdf.winner_id, pdf.loser_id, pdf.winner_rounds - pdf.loser_rounds, strict=True):
-            a, b = held.get(w, START), held.get(l, START)
-            gain = K * math.log(MARGIN * math.sqrt(max(ahead, 0) + 1)) * (1 - 1 / (1 + 10 ** ((b - a) / SCALE)))
-            before_w.append(a), before_l.append(b), gains.append(gain)
-            held[w], held[l] = a + gain, b - gain
-        return pd.DataFrame({"game_id": pdf.game_id, "arena": pdf.arena, "season": pdf.season, "winner_id": pdf.winner_id, "loser_id": pdf.loser_id, "played_at": pdf.played_at, "winner_before": before_w, "loser_before": before_l, "gain": gains})
 
-    columns = ["game_id", "arena", "season", "winner_id", "loser_id", "played_at", "winner_rounds", "loser_rounds"]
-    return games.select(*columns).groupBy("arena", "season").applyInPandas(fold, "game_id long, arena string, season long, winner_id long, loser_id long, played_at long, winner_before double, loser_before double, gain double")
+def rated_sides(rated: DataFrame) -> DataFrame:
+    """One row a side: the rating before and after the game."""
+    side = lambda me, other, won, sign: F.struct(
+        "game_id", "arena", "season", "played_at", F.col(f"{me}_id").alias("team_id"), F.col(f"{other}_id").alias("opponent_id"), F.lit(won).cast("long").alias("won"),
+        F.col(f"{me}_before").alias("before"), (F.col(f"{me}_before") + sign * F.col("gain")).alias("rating"),
+    )
+    return rated.select(F.inline(F.array(side("winner", "loser", 1, 1), side("loser", "winner", 0, -1))))
 
 
 def current_ratings(rated: DataFrame) -> DataFrame:
     """Latest rating of each (team, arena, season)."""
-    sides = rated.select(F.inline(F.array(
-        F.struct(F.col("winner_id").alias("team_id"), "arena", "season", "played_at", "game_id", (F.col("winner_before") + F.col("gain")).alias("rating")),
-        F.struct(F.col("loser_id").alias("team_id"), "arena", "season", "played_at", "game_id", (F.col("loser_before") - F.col("gain")).alias("rating")),
-    )))
+    sides = rated_sides(rated)
     return sides.groupBy("team_id", "arena", "season").agg(F.max_by("rating", F.struct("played_at", "game_id")).alias("rating"))
 
 

@@ -5,18 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skirmish.functions.ratings import best_of_3, best_of_5, rating_gain, win_chance
+from skirmish.plans.ranked import REFERENCE
 from skirmish.sources import arena
 
 from . import folds, models
 
 
+def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.rate_games(arena.frame(spark, sf_dir, "games"))
+
+
 def elo_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every game with both ratings before it and the change."""
-    return folds.rate_games(arena.frame(spark, sf_dir, "games"))
+    return _rated(spark, sf_dir).withColumns({c: F.round(c, 4) for c in ("winner_before", "loser_before", "gain")})
 
 
 def elo_current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.current_ratings(elo_ratings(spark, sf_dir))
+    return folds.current_ratings(_rated(spark, sf_dir)).withColumn("rating", F.round("rating", 4))
 
 
 def player_kalman(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +67,8 @@ def fold_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (elo_ratings, elo_current, player_kalman, thinned_series, ridge_weights, map_selection, monte_carlo, bracket_exact, fold_gain)}
 ORACLE = {
+    "elo_ratings": arena.duck_sql(REFERENCE + """ SELECT game_id, arena, season, winner_id, loser_id, played_at, round(winner_before, 4) AS winner_before, round(loser_before, 4) AS loser_before, round(gain, 4) AS gain FROM rated""", recursive=True),
+    "elo_current": arena.duck_sql(REFERENCE + """ SELECT team_id, arena, season, round(rating, 4) AS rating FROM (SELECT *, row_number() OVER (PARTITION BY team_id, arena, season ORDER BY played_at DESC, game_id DESC) AS rn FROM elo_sides) WHERE rn = 1""", recursive=True),
     "fold_gain": arena.duck_sql("""SELECT arena, season, game_id, round(74 * ln(5.95 * sqrt(winner_rounds - loser_rounds + 1)) * 0.5, 6) AS gain
         FROM (SELECT *, row_number() OVER (PARTITION BY arena, season ORDER BY played_at, game_id) AS rn FROM games) WHERE rn = 1"""),
 }

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages", "documents")
 
@@ -64,8 +64,20 @@ def _with_base(query: str, recursive: bool) -> str:
     return head + BASE.strip() + (",\n" + rest if rest is not None else "\n" + body)
 
 
-def duck_sql(query: str, recursive: bool = False) -> str:
+def literal(value) -> str:
+    """A value as SQL text, for the reference SQL; Spark gets parameters."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, (list, tuple)):
+        return "[" + ", ".join(literal(v) for v in value) + "]"
+    return str(value) if isinstance(value, (int, float)) else "'" + str(value).replace("'", "''") + "'"
+
+
+def duck_sql(query: str, recursive: bool = False, args: dict | None = None) -> str:
     sql = _with_base(query, recursive)
+    # tables that a statement names more than once are computed once
+    sql = re.sub(r"^(numbered|games|sides|ratings) AS \(", r"\1 AS MATERIALIZED (", sql, flags=re.M)
+    sql = re.sub(r"(?<!:):([a-z_]+)\b", lambda m: literal(args[m[1]]) if args and m[1] in args else m[0], sql)
     sql = re.sub(r"JSONINT\(([^,()]+), (\w+)\)", r"json_extract_string(\1, '$.\2')", sql)
     sql = re.sub(r"\bEPOCH\(((?:[^()]|\([^()]*\))*)\)", r"CAST(floor(epoch(\1)) AS BIGINT)", sql)
     return sql
@@ -81,14 +93,16 @@ def tables(spark: SparkSession, sf_dir: str, sql: str) -> dict[str, DataFrame]:
     return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b{t}\b", sql)}
 
 
-def run(spark: SparkSession, sf_dir: str, query: str, recursive: bool = False) -> DataFrame:
-    """The query over the tables of ``sf_dir``; names are bound to DataFrames,
-    so no view is registered in the session."""
+def run(spark: SparkSession, sf_dir: str, query: str, recursive: bool = False, args: dict | None = None, **given: DataFrame) -> DataFrame:
+    """The query over the tables of ``sf_dir`` and the ``given`` ones; names are
+    bound to DataFrames, so no view is registered in the session. ``args`` fill
+    the statement's ``:name`` parameters."""
     sql = spark_sql(query, recursive)
-    frames = tables(spark, sf_dir, sql)
+    frames = tables(spark, sf_dir, sql) | given
     for t in frames:
         sql = re.sub(rf"(?<=FROM ){t}\b|(?<=JOIN ){t}\b", "{" + t + "}", sql)
-    return spark.sql(sql, **frames)
+    bound = {k: F.array(*map(F.lit, v)) if isinstance(v, (list, tuple)) else v for k, v in (args or {}).items()}
+    return spark.sql(sql, args=bound or None, **frames)
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
