@@ -14,14 +14,19 @@ from pyspark.sql import DataFrame, functions as F
 from skirmish.functions.ratings import K, MARGIN, SCALE, START
 
 
-def rate_games(games: DataFrame, gate: bool = True) -> DataFrame:
+_RATED = "game_id long, arena string, season long, winner_id long, loser_id long, played_at long, winner_before double, loser_before double, gain double"
+
+
+def rate_games(games: DataFrame, gate: bool = True, rated: DataFrame | None = None) -> DataFrame:
     """Ratings of both sides before and after each game, reset every season.
 
     Games are rated in the order of their time, then id. Those without a time are
     never rated: with ``gate`` the job fails before it rates, without it the rest
-    is rated and ``require_times`` may fail the job afterwards. Each (arena,
-    season) is a run of one sorted partition, so a task holds the ratings of one
-    run's teams and a batch, never a whole season."""
+    is rated and ``require_times`` may fail the job afterwards. Where earlier
+    results are given as ``rated``, they stand: a game that comes late is rated
+    from the ratings as of its time, and games after it are not rated again. Only
+    new rows are returned. Each (arena, season) is a run of one sorted partition,
+    so a task holds the ratings of one run's teams and a batch, never a season."""
     if gate:
         require_times(games)
 
@@ -29,18 +34,28 @@ def rate_games(games: DataFrame, gate: bool = True) -> DataFrame:
         at, held = None, {}
         for pdf in batches:
             before_w, before_l, gains = [], [], []
-            for arena, season, w, l, ahead in zip(pdf.arena, pdf.season, pdf.winner_id, pdf.loser_id, pdf.winner_rounds - pdf.loser_rounds, strict=True):
+            for arena, season, w, l, ahead, was_w, was_l, known in zip(pdf.arena, pdf.season, pdf.winner_id, pdf.loser_id, pdf.ahead, pdf.winner_before, pdf.loser_before, pdf.gain, strict=True):
                 if (arena, season) != at:
                     at, held = (arena, season), {}
-                a, b = held.get(w, START), held.get(l, START)
-                gain = K * math.log(MARGIN * math.sqrt(max(ahead, 0) + 1)) * (1 - 1 / (1 + 10 ** ((b - a) / SCALE)))
+                if known == known:
+                    a, b, gain = was_w, was_l, known
+                else:
+                    a, b = held.get(w, START), held.get(l, START)
+                    gain = K * math.log(MARGIN * math.sqrt(max(ahead, 0) + 1)) * (1 - 1 / (1 + 10 ** ((b - a) / SCALE)))
                 before_w.append(a), before_l.append(b), gains.append(gain)
                 held[w], held[l] = a + gain, b - gain
-            yield pdf[["game_id", "arena", "season", "winner_id", "loser_id", "played_at"]].assign(winner_before=before_w, loser_before=before_l, gain=gains)
-
-    columns = ["game_id", "arena", "season", "winner_id", "loser_id", "played_at", "winner_rounds", "loser_rounds"]
-    dealt = games.where("played_at is not null").select(*columns).repartition("arena", "season").sortWithinPartitions("arena", "season", "played_at", "game_id")
-    return dealt.mapInPandas(fold, "game_id long, arena string, season long, winner_id long, loser_id long, played_at long, winner_before double, loser_before double, gain double")
+            out = pdf[["game_id", "arena", "season", "winner_id", "loser_id", "played_at"]].assign(winner_before=before_w, loser_before=before_l, gain=gains)
+            yield out[pdf.gain.isna()]
+
+    keys = ["game_id", "arena", "season", "winner_id", "loser_id", "played_at"]
+    nothing = F.lit(None).cast("double")
+    rows = games.where("played_at is not null").select(*keys, (F.col("winner_rounds") - F.col("loser_rounds")).cast("double").alias("ahead"), nothing.alias("winner_before"), nothing.alias("loser_before"), nothing.alias("gain"))
+    if rated is not None:
+        touched = rows.select("arena", "season").distinct()
+        old = rated.join(touched, ["arena", "season"], "left_semi").select(*keys, nothing.alias("ahead"), "winner_before", "loser_before", "gain")
+        rows = rows.join(rated.select("game_id"), "game_id", "left_anti").select(*old.columns).unionByName(old)
+    dealt = rows.repartition("arena", "season").sortWithinPartitions("arena", "season", "played_at", "game_id")
+    return dealt.mapInPandas(fold, _RATED)
 
 
 def require_times(games: DataFrame) -> None:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from itertools import combinations
 
-from skirmish.functions.ratings import best_of_3, best_of_5, rating_gain, win_chance
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from skirmish.functions.ratings import rating_gain, win_chance
+from skirmish.plans import players, ranked
 from skirmish.plans.ranked import REFERENCE
 from skirmish.sources import arena
 
@@ -26,36 +29,107 @@ def elo_current(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def player_kalman(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = arena.frame(spark, sf_dir, "stats")
-    return folds.kalman(stats.select("player_id", "event_id", "day", "moment", F.col("value").alias("y"), F.col("kills").cast("double").alias("rounds")))
+    levels = folds.kalman(stats.select("player_id", "event_id", "day", "moment", F.col("value").alias("y"), F.col("kills").cast("double").alias("rounds")))
+    return levels.select("player_id", "event_id", F.col("game_num").cast("long").alias("game_num"), *[F.round(c, 5).alias(c) for c in ("kf_mean", "kf_std", "smooth_mean", "smooth_std")])
 
 
 def thinned_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.thin(arena.frame(spark, sf_dir, "ratings").where("season = 1996"))
+    return folds.thin(arena.frame(spark, sf_dir, "ratings"))
 
 
 def ridge_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of two features of a player's game, over folds in the order of time."""
     stats = arena.frame(spark, sf_dir, "stats").where("kills is not null")
-    rows = stats.select((F.col("kills") / 50).alias("kills"), (F.length("role") / 10).alias("role"), F.col("value").alias("y"), F.pow(F.lit(0.998), 19800 - F.col("day")).alias("w"), (F.col("event_id") % 6).alias("fold"))
-    return models.ridge(spark, rows, ["kills", "role"], "y", "w", "fold")
+    rows = stats.select("day", "moment", "event_id", (F.col("kills") / 50).alias("kills"), (F.length("role") / 10).alias("role"), F.col("value").alias("y"), F.pow(F.lit(0.998), 19800 - F.col("day")).alias("w"))
+    return models.ridge(spark, models.time_folds(rows, "day", ["moment", "event_id"]), ["kills", "role"], "y", "w", "fold")
 
 
-def map_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mean = arena.frame(spark, sf_dir, "ratings").groupBy("team_id", "arena").agg(F.avg("rating").alias("rating"))
+def _model(spark: SparkSession, sf_dir: str, today: int) -> DataFrame:
+    rows = ranked.ask(spark, sf_dir, "vpm_training_rows", today=today)
+    features = [f"pre_{n}" for n in players.BETAS]
+    return models.ridge(spark, models.time_folds(rows.withColumn("day", F.floor(F.col("game_id") / 100)), "day", ["game_id", "team_id"]), features, "y24", "weight", "fold")
+
+
+def vpm_weights(spark: SparkSession, sf_dir: str, today: int = 11000) -> DataFrame:
+    """The model's weights, learned from all training rows, with a version that
+    changes with them."""
+    found = _model(spark, sf_dir, today)
+    version = F.substring(F.sha1(F.to_json(F.sort_array(F.collect_list(F.struct("feature", F.round("weight", 9).alias("weight")))))), 1, 12)
+    return found.crossJoin(F.broadcast(found.agg(version.alias("version"))))
+
+
+def player_levels(spark: SparkSession, sf_dir: str, today: int = 11000) -> DataFrame:
+    """The whole chain: weights, adjusted observations, then filter and smoother."""
+    weights = {r.feature: r.weight for r in _model(spark, sf_dir, today).collect()}
+    given = {f"w_{n}": weights[f"pre_{n}"] for n in players.BETAS}
+    seen = ranked.ask(spark, sf_dir, "vpm_observations", **given)
+    games = arena.frame(spark, sf_dir, "player_games").select("row_id", "day", "rounds")
+    return folds.kalman(seen.join(games, "row_id").select("player_id", F.col("row_id").alias("event_id"), "day", F.col("day").alias("moment"), F.col("dpm").alias("y"), F.col("rounds").cast("double").alias("rounds")))
+
+
+#: A pool of arenas by game of the match, large enough for every kind of series.
+POOL = "pool AS (SELECT team_id, concat(arena, CAST(game_id % 2 AS VARCHAR(20))) AS arena, avg(rating) AS rating FROM ratings GROUP BY team_id, concat(arena, CAST(game_id % 2 AS VARCHAR(20))))"
+
+
+def _selection(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Arenas and chances of a series for every ordered pair of teams. Pairs grow
+    with the square of teams, not with games."""
+    mean = arena.run(spark, sf_dir, f"WITH {POOL} SELECT * FROM pool")
     other = mean.select(F.col("team_id").alias("opponent_id"), "arena", F.col("rating").alias("other"))
     pairs = mean.join(other, "arena").where("team_id <> opponent_id").groupBy("team_id", "opponent_id")
-    pool = pairs.agg(F.array_sort(F.collect_list(F.struct(win_chance(F.col("rating"), F.col("other")).alias("p"), "arena"))).alias("pool"))
-    chosen = pool.where(F.size("pool") >= 5).select("team_id", "opponent_id", models.select_maps(F.col("pool"), "bbpp").alias("maps"))
-    p = [F.col("maps")[i]["p"] for i in range(3)]
-    return chosen.select("team_id", "opponent_id", F.array_join(F.transform("maps", lambda m: m["arena"]), ",").alias("maps"), F.round(best_of_3(*p), 6).alias("best_of_3"), F.round(best_of_5([*p, p[0], p[1]]), 6).alias("best_of_5"))
+    pool = pairs.agg(F.array_sort(F.collect_list(F.struct(F.round(win_chance(F.col("rating"), F.col("other")), 9).alias("p"), "arena"))).alias("pool"))
+    chosen = pool.select("team_id", "opponent_id", models.select_maps(F.col("pool"), models.SERIES[kind]).alias("maps"))
+    return chosen.select("team_id", "opponent_id", F.array_join(F.transform("maps", lambda m: m["arena"]), ",").alias("maps"), F.round(models.series_chance(F.col("maps"), kind), 6).alias("chance"))
+
+
+def _selection_sql(kind: str) -> str:
+    """The same acts as steps of SQL, each over what the one before left."""
+    steps, picks, left = [], [], "s0"
+    for i, act in enumerate(models.SERIES[kind].split()):
+        key = "0" if act == "d" else "p" if act in ("1b", "2p") else "-p"
+        steps.append(f"c{i} AS (SELECT team_id, opponent_id, arena, p FROM (SELECT *, row_number() OVER (PARTITION BY team_id, opponent_id ORDER BY {key}, arena) AS rn FROM {left}) WHERE rn = 1)")
+        steps.append(f"s{i + 1} AS (SELECT s.* FROM {left} s ANTI JOIN c{i} c ON s.team_id = c.team_id AND s.opponent_id = c.opponent_id AND s.arena = c.arena)")
+        left = f"s{i + 1}"
+        if act[-1] != "b":
+            picks.append(f"SELECT *, {i} AS act FROM c{i}")
+    n = 3 if kind == "bo3" else 5
+    p = [f"max(CASE WHEN rn = {i + 1} THEN p END)" for i in range(n)]
+    if n == 3:
+        chance = f"{p[0]} * {p[1]} + {p[0]} * (1 - {p[1]}) * {p[2]} + (1 - {p[0]}) * {p[1]} * {p[2]}"
+    else:
+        ways = [[i in won for i in range(5)] for size in (3, 4, 5) for won in combinations(range(5), size)]
+        chance = " + ".join("(" + " * ".join(p[i] if w else f"(1 - {p[i]})" for i, w in enumerate(way)) + ")" for way in ways)
+    return arena.duck_sql(f"""WITH {POOL}, s0 AS (SELECT a.team_id, b.team_id AS opponent_id, a.arena, round(1 / (1 + pow(10, (b.rating - a.rating) / 1000)), 9) AS p FROM pool a JOIN pool b ON a.arena = b.arena AND a.team_id <> b.team_id),
+        {", ".join(steps)}, taken AS (SELECT *, row_number() OVER (PARTITION BY team_id, opponent_id ORDER BY act) AS rn FROM ({" UNION ALL ".join(picks)}))
+        SELECT team_id, opponent_id, string_agg(arena, ',' ORDER BY rn) AS maps, round(CASE WHEN count(*) >= {n} THEN {chance} ELSE 0.5 END, 6) AS chance FROM taken GROUP BY team_id, opponent_id""")
+
+
+def map_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _selection(spark, sf_dir, "bo3")
+
+
+def map_selection_bo5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _selection(spark, sf_dir, "bo5")
+
+
+def map_selection_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _selection(spark, sf_dir, "bo5_advantage")
+
+
+def _leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four teams of the highest mean rating as seeds 0 to 3."""
+    top = ranked.elo_sides(spark, sf_dir).groupBy("team_id").agg(F.round(F.avg("rating"), 6).alias("rating")).orderBy(F.desc("rating"), "team_id").limit(4)
+    return top.select((F.row_number().over(Window.orderBy(F.desc("rating"), "team_id")) - 1).alias("seed"), "rating")
 
 
 def monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.monte_carlo(spark, [1300.0, 1200.0, 1100.0, 1000.0])
+    """Sampled title chances of the four leading teams."""
+    return models.monte_carlo(spark, [r.rating for r in _leaders(spark, sf_dir).orderBy("seed").collect()])
 
 
 def bracket_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = spark.createDataFrame([(i, 1300.0 - 100 * i) for i in range(4)], "seed int, rating double")
-    return models.exact_bracket(seeds)
+    """Exact title chances of the four leading teams."""
+    return models.exact_bracket(_leaders(spark, sf_dir))
 
 
 def fold_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +139,38 @@ def fold_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("arena", "season", "g.game_id", F.round(rating_gain(F.lit(1000.0), F.lit(1000.0), F.col("g.winner_rounds") - F.col("g.loser_rounds")), 6).alias("gain"))
 
 
-QUERIES = {f.__name__: f for f in (elo_ratings, elo_current, player_kalman, thinned_series, ridge_weights, map_selection, monte_carlo, bracket_exact, fold_gain)}
+QUERIES = {f.__name__: f for f in (elo_ratings, elo_current, player_kalman, thinned_series, ridge_weights, map_selection, map_selection_bo5, map_selection_advantage, vpm_weights, player_levels, monte_carlo, bracket_exact, fold_gain)}
+_KALMAN = """WITH numbered_stats AS MATERIALIZED (SELECT player_id, event_id, day, value AS y, CAST(kills AS DOUBLE) AS rounds, row_number() OVER (PARTITION BY player_id ORDER BY moment, event_id) AS n, greatest(1, coalesce(day - lag(day) OVER (PARTITION BY player_id ORDER BY moment, event_id), 1)) AS step FROM stats),
+ahead AS (
+  SELECT DISTINCT player_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(1 AS BIGINT) AS step, CAST(0 AS DOUBLE) AS mp, CAST(0 AS DOUBLE) AS vp, CAST(0 AS DOUBLE) AS m, CAST(10 AS DOUBLE) AS v FROM numbered_stats
+  UNION ALL
+  SELECT player_id, n, event_id, step, mp, vp, CASE WHEN y IS NULL THEN mp ELSE mp + vp / (vp + r) * (y - mp) END, CASE WHEN y IS NULL THEN vp ELSE (1 - vp / (vp + r)) * vp END FROM (
+    SELECT s.player_id, s.n, s.event_id, s.step, pow(0.995, s.step) * a.m AS mp, pow(0.995, s.step) * pow(0.995, s.step) * a.v + 0.05 * s.step AS vp, s.y, 24 / greatest(coalesce(s.rounds, 1), 1) AS r
+    FROM ahead a JOIN numbered_stats s ON s.player_id = a.player_id AND s.n = a.n + 1)
+),
+filtered AS MATERIALIZED (SELECT * FROM ahead WHERE n > 0),
+back AS (
+  SELECT f.player_id, f.n, f.m AS sm, f.v AS sv FROM filtered f JOIN (SELECT player_id, max(n) AS n FROM filtered GROUP BY player_id) l ON f.player_id = l.player_id AND f.n = l.n
+  UNION ALL
+  SELECT f.player_id, f.n, f.m + c * (b.sm - x.mp), greatest(0, f.v + c * c * (b.sv - x.vp)) FROM back b JOIN filtered x ON x.player_id = b.player_id AND x.n = b.n
+    JOIN (SELECT f.*, f.v * pow(0.995, nx.step) / greatest(nx.vp, 1e-12) AS c FROM filtered f JOIN filtered nx ON nx.player_id = f.player_id AND nx.n = f.n + 1) f ON f.player_id = b.player_id AND f.n = b.n - 1
+)
+SELECT f.player_id, f.event_id, f.n AS game_num, round(f.m, 5) AS kf_mean, round(sqrt(f.v), 5) AS kf_std, round(b.sm, 5) AS smooth_mean, round(sqrt(b.sv), 5) AS smooth_std FROM filtered f JOIN back b ON b.player_id = f.player_id AND b.n = f.n"""
+_THIN = """WITH points AS MATERIALIZED (SELECT team_id, game_id, played_at, rating, row_number() OVER (PARTITION BY team_id ORDER BY played_at, game_id) AS n FROM ratings),
+walk AS (
+  SELECT team_id, n, game_id, played_at, rating, 1 AS kept, played_at AS last_at, rating AS last_rating FROM points WHERE n = 1
+  UNION ALL
+  SELECT p.team_id, p.n, p.game_id, p.played_at, p.rating, CASE WHEN p.played_at - w.last_at > 2700 AND p.rating <> w.last_rating THEN 1 ELSE 0 END,
+         CASE WHEN p.played_at - w.last_at > 2700 AND p.rating <> w.last_rating THEN p.played_at ELSE w.last_at END, CASE WHEN p.played_at - w.last_at > 2700 AND p.rating <> w.last_rating THEN p.rating ELSE w.last_rating END
+  FROM walk w JOIN points p ON p.team_id = w.team_id AND p.n = w.n + 1
+)
+SELECT team_id, game_id, played_at, rating FROM walk WHERE kept = 1"""
 ORACLE = {
+    "player_kalman": arena.duck_sql(_KALMAN, recursive=True),
+    "thinned_series": arena.duck_sql(_THIN, recursive=True),
+    "map_selection": _selection_sql("bo3"),
+    "map_selection_bo5": _selection_sql("bo5"),
+    "map_selection_advantage": _selection_sql("bo5_advantage"),
     "elo_ratings": arena.duck_sql(REFERENCE + """ SELECT game_id, arena, season, winner_id, loser_id, played_at, round(winner_before, 4) AS winner_before, round(loser_before, 4) AS loser_before, round(gain, 4) AS gain FROM rated""", recursive=True),
     "elo_current": arena.duck_sql(REFERENCE + """ SELECT team_id, arena, season, round(rating, 4) AS rating FROM (SELECT *, row_number() OVER (PARTITION BY team_id, arena, season ORDER BY played_at DESC, game_id DESC) AS rn FROM elo_sides) WHERE rn = 1""", recursive=True),
     "fold_gain": arena.duck_sql("""SELECT arena, season, game_id, round(74 * ln(5.95 * sqrt(winner_rounds - loser_rounds + 1)) * 0.5, 6) AS gain

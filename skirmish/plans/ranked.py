@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skirmish.operators import folds
+from skirmish.plans import players
 from skirmish.sources import arena
 
 #: The same ratings for the reference engine: the fold as a recursive statement.
@@ -83,6 +84,7 @@ ASKED: dict[str, tuple[str, dict]] = {
         JOIN elo_sides w ON w.game_id = v.match_id * 100 + v.step AND w.won = 1 JOIN elo_sides l ON l.game_id = w.game_id AND l.won = 0 WHERE :action IS NULL OR v.action = :action""", {"action": None}),
     "elo_matrix": ("""SELECT t.slug, e.arena, round(min(e.rating), 4) AS rating FROM (SELECT team_id, arena, season, rating FROM (SELECT *, row_number() OVER (PARTITION BY team_id, arena, season ORDER BY played_at DESC, game_id DESC) AS rn FROM elo_sides) WHERE rn = 1) e JOIN teams t ON e.team_id = t.team_id GROUP BY t.slug, e.arena""", {}),
 }
+ASKED |= players.ASKED
 
 
 def elo_sides(spark: SparkSession, sf_dir: str) -> DataFrame:

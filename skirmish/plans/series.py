@@ -38,9 +38,15 @@ PLANS: dict[str, str] = {
     "day_gaps": "SELECT event_id, greatest(1, day - lag(day) OVER (PARTITION BY player_id ORDER BY moment, event_id)) AS gap FROM stats",
     "cumulative_edge": "SELECT match_id, step, side, CAST(sum(edge) OVER (PARTITION BY match_id, side ORDER BY step ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM veto_steps WHERE side IS NOT NULL",
     "rating_change": "SELECT game_id, team_id, rating - lag(rating, 1, 1000) OVER (PARTITION BY team_id, arena, season ORDER BY played_at, game_id) AS change FROM ratings",
-    "rank_players": "SELECT player_id, total, CAST(row_number() OVER (ORDER BY total DESC NULLS LAST, player_id) AS BIGINT) AS place FROM (SELECT player_id, round(sum(value), 4) AS total FROM stats GROUP BY player_id)",
-    "cv_folds": """SELECT event_id, CAST(CASE WHEN rn <= n - 5 * test THEN 0 ELSE 1 + floor((rn - 1 - (n - 5 * test)) / test) END AS BIGINT) AS fold FROM (
-        SELECT event_id, row_number() OVER (ORDER BY moment, event_id) AS rn, count(*) OVER () AS n, CAST(floor(count(*) OVER () / 6) AS BIGINT) AS test FROM stats)""",
+    "rank_players": """WITH totals AS (SELECT player_id, round(sum(value), 4) AS total FROM stats GROUP BY player_id),
+        steps AS (SELECT *, coalesce(CAST(floor(total) AS BIGINT), -1) AS step FROM totals),
+        ahead AS (SELECT step, coalesce(sum(count(*)) OVER (ORDER BY step DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM steps GROUP BY step)
+        SELECT s.player_id, s.total, CAST(a.ahead + row_number() OVER (PARTITION BY s.step ORDER BY s.total DESC, s.player_id) AS BIGINT) AS place FROM steps s JOIN ahead a ON s.step = a.step""",
+    "cv_folds": """WITH per_day AS (SELECT day, count(*) AS games FROM stats GROUP BY day),
+        before_day AS (SELECT day, coalesce(sum(games) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM per_day),
+        whole AS (SELECT sum(games) AS n, CAST(floor(sum(games) / 6) AS BIGINT) AS test FROM per_day),
+        placed AS (SELECT s.event_id, b.earlier + row_number() OVER (PARTITION BY s.day ORDER BY s.moment, s.event_id) AS rn FROM stats s JOIN before_day b ON s.day = b.day)
+        SELECT event_id, CAST(CASE WHEN rn <= n - 5 * test THEN 0 ELSE 1 + floor((rn - 1 - (n - 5 * test)) / test) END AS BIGINT) AS fold FROM placed CROSS JOIN whole""",
     "season_axis": """WITH spans AS (SELECT season, min(day) AS begins, max(day) AS ends FROM games GROUP BY season)
         SELECT season, begins, ends, CAST(coalesce(sum(ends - begins + 1) OVER (ORDER BY season ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS shift FROM spans""",
     "map_popularity": """WITH daily AS (SELECT day, arena, count(*) AS games FROM games WHERE season = 1997 GROUP BY day, arena),
@@ -58,7 +64,7 @@ PLANS: dict[str, str] = {
           (SELECT team_id, arena, avg(rating) AS rating FROM ratings GROUP BY team_id, arena) x JOIN (SELECT team_id, arena, avg(rating) AS rating FROM ratings GROUP BY team_id, arena) y ON x.arena = y.arena AND x.team_id <> y.team_id) GROUP BY team_id, opponent_id)
         SELECT team_id, opponent_id, round(a * b + a * (1 - b) * c + (1 - a) * b * c, 6) AS best_of_3, round(a * b * c, 6) AS clean_sweep FROM p""",
     "player_components": "SELECT event_id, player_id, round(kills / greatest(1, value), 6) AS per_round, round(kills / nullif(kills + value, 0), 6) AS duel_share FROM stats",
-    "decayed_means": """WITH d AS (SELECT event_id, player_id, moment, value, kills, day - max(day) OVER () AS ago FROM stats)
+    "decayed_means": """WITH last_day AS (SELECT max(day) AS last FROM stats), d AS (SELECT event_id, player_id, moment, value, kills, day - last AS ago FROM stats CROSS JOIN last_day)
         SELECT event_id, player_id, round(sum(kills * value * power(0.985, -ago)) OVER w / sum(value * power(0.985, -ago)) OVER w, 6) AS pre FROM d WINDOW w AS (PARTITION BY player_id ORDER BY moment, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
     "training_rows": """WITH side AS (SELECT game_id, team_id, CAST(sum(rating) AS DOUBLE) AS feature, max(margin) AS margin, max(day) AS day FROM ratings WHERE season = 1998 GROUP BY game_id, team_id)
         SELECT a.game_id, a.team_id, a.feature - b.feature AS x, CAST(a.margin AS DOUBLE) / 24 AS y_raw, round(power(0.998, 11000 - a.day) * 24, 9) AS weight FROM side a JOIN side b ON a.game_id = b.game_id AND a.team_id <> b.team_id""",

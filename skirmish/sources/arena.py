@@ -45,6 +45,15 @@ veto_steps AS (
          CASE WHEN game_number % 7 = 0 OR winner_id % 5 = 0 THEN NULL ELSE game_number % 2 END AS side, CAST(winner_rounds - loser_rounds AS BIGINT) AS edge
   FROM games
 ),
+player_games AS (
+  SELECT s.game_id * 10 + s.won * 5 + slot AS row_id, s.game_id, s.match_id, s.arena, s.season, s.day, s.played_at, s.team_id * 5 + slot AS player_id, s.team_id, s.opponent_id, s.won, 26 - abs(s.margin) AS rounds,
+         concat('role', CAST((s.game_id + s.team_id * 3 + slot * slot) % 9 AS VARCHAR(20))) AS role,
+         (s.game_id * 7 + s.team_id * 13 + slot * 5) % 30 + s.won * 3 AS kills, (s.game_id * 11 + s.team_id * 5 + slot * 3) % 25 AS deaths, (s.game_id * 3 + s.team_id + slot) % 12 AS assists,
+         (s.game_id + s.team_id + slot) % 4 AS fk, (s.game_id + 2 * s.team_id + slot) % 3 AS fd,
+         CASE WHEN (s.game_id + s.team_id + slot) % 17 = 0 THEN NULL ELSE 80 + (s.game_id * 19 + s.team_id * 31 + slot) % 120 END AS adr,
+         CASE WHEN (s.game_id + s.team_id * 2 + slot) % 23 = 0 THEN NULL ELSE 40 + (s.game_id * 5 + s.team_id * 7 + slot) % 60 END AS kast
+  FROM sides s CROSS JOIN (SELECT CAST(slot AS BIGINT) AS slot FROM (VALUES (0), (1), (2), (3), (4)) AS t(slot)) five
+),
 stats AS (
   SELECT event_id, user_id AS player_id, event_type AS role, CAST(floor(EPOCH(ts) / 86400) AS BIGINT) AS day, EPOCH(ts) AS moment, value, CAST(JSONINT(props, k) AS BIGINT) AS kills FROM events
 )
@@ -77,7 +86,8 @@ def duck_sql(query: str, recursive: bool = False, args: dict | None = None) -> s
     sql = _with_base(query, recursive)
     # tables that a statement names more than once are computed once
     sql = re.sub(r"^(numbered|games|sides|ratings) AS \(", r"\1 AS MATERIALIZED (", sql, flags=re.M)
-    sql = re.sub(r"(?<!:):([a-z_]+)\b", lambda m: literal(args[m[1]]) if args and m[1] in args else m[0], sql)
+    sql = re.sub(r"\bDAYS\(([^()]*)\)", r"unnest(generate_series(\1))", sql)
+    sql = re.sub(r"(?<!:):([a-z_0-9]+)\b", lambda m: literal(args[m[1]]) if args and m[1] in args else m[0], sql)
     sql = re.sub(r"JSONINT\(([^,()]+), (\w+)\)", r"json_extract_string(\1, '$.\2')", sql)
     sql = re.sub(r"\bEPOCH\(((?:[^()]|\([^()]*\))*)\)", r"CAST(floor(epoch(\1)) AS BIGINT)", sql)
     return sql
@@ -86,6 +96,7 @@ def duck_sql(query: str, recursive: bool = False, args: dict | None = None) -> s
 def spark_sql(query: str, recursive: bool = False) -> str:
     sql = _with_base(query, recursive)
     sql = re.sub(r"JSONINT\(([^,()]+), (\w+)\)", r"get_json_object(\1, '$.\2')", sql)
+    sql = re.sub(r"\bDAYS\(([^()]*)\)", r"explode(sequence(\1))", sql)
     return _filled(sql, {"EPOCH": "unix_timestamp"})
 
 
