@@ -10,8 +10,8 @@ PLANS: dict[str, str] = {
     "date_between": "SELECT event_id, player_id, day FROM stats WHERE day BETWEEN 19725 AND 19730",
     "ilike_search": "SELECT player_id, player FROM (SELECT c_custkey AS player_id, c_name AS player FROM customer) WHERE player ILIKE '%#00000001%' ORDER BY player, player_id LIMIT 10",
     "ilike_exact": "SELECT c_custkey AS player_id, c_name AS player FROM customer WHERE c_name ILIKE 'customer#000000042' ORDER BY c_custkey LIMIT 1",
-    "tuple_pairs_semi": """WITH pairs AS (SELECT DISTINCT winner_id AS team_id, arena FROM games WHERE match_id < 20)
-        SELECT r.game_id, r.team_id, r.arena, r.rating FROM ratings r LEFT SEMI JOIN pairs p ON r.team_id = p.team_id AND r.arena = p.arena WHERE r.season = 1996""",
+    "tuple_pairs_semi": """WITH pairs AS (SELECT DISTINCT winner_id AS team_id, arena FROM games WHERE loser_rounds = 0)
+        SELECT r.game_id, r.team_id, r.arena, r.rating FROM ratings r LEFT SEMI JOIN pairs p ON r.team_id = p.team_id AND r.arena = p.arena""",
     "semi_event": "SELECT g.game_id, g.match_id FROM games g WHERE g.match_id IN (SELECT match_id FROM matches WHERE event_name = '1-URGENT' AND season = 1998)",
     "anti_unprocessed": "SELECT m.match_id, m.event_name FROM matches m WHERE NOT EXISTS (SELECT 1 FROM games g WHERE g.match_id = m.match_id AND g.arena = 'RF')",
     "join_winner_loser": """SELECT g.game_id, w.team AS winner, w.region AS winner_region, l.team AS loser, l.region AS loser_region
@@ -22,12 +22,15 @@ PLANS: dict[str, str] = {
         SELECT s.season_id, g.arena, count(*) AS games, CAST(sum(g.loser_rounds) AS BIGINT) AS rounds FROM games g
         JOIN seasons s ON g.played_at >= s.begins AND (s.ends IS NULL OR g.played_at < s.ends) GROUP BY s.season_id, g.arena""",
     "asof_strict": """SELECT r.game_id, r.team_id, r.arena, coalesce(lag(r.rating) OVER (PARTITION BY r.team_id, r.arena, r.season ORDER BY r.played_at, r.game_id), 1000) AS rating_before FROM ratings r""",
-    "asof_inclusive": """SELECT m.match_id, r.arena, max_by(r.rating, r.played_at * 1000000000 + r.game_id) AS rating FROM matches m
-        JOIN ratings r ON r.team_id = m.cust_id % 100 AND r.season = m.season AND r.played_at <= m.completed_at GROUP BY m.match_id, r.arena""",
+    "asof_inclusive": """WITH arenas AS (SELECT DISTINCT arena FROM games),
+        line AS (SELECT team_id, season, arena, played_at AS moment, 0 AS kind, game_id AS id, rating FROM ratings
+          UNION ALL SELECT m.cust_id % 100, m.season, a.arena, m.completed_at, 1, m.match_id, NULL FROM matches m JOIN arenas a ON m.match_id IS NOT NULL),
+        filled AS (SELECT id, arena, kind, LASTKNOWN(rating) OVER (PARTITION BY team_id, season, arena ORDER BY moment, kind, id ROWS UNBOUNDED PRECEDING) AS rating FROM line)
+        SELECT id AS match_id, arena, rating FROM filled WHERE kind = 1 AND rating IS NOT NULL""",
     "case_key_opponent": """SELECT g.game_id, t.team AS opponent FROM games g
         JOIN teams t ON CASE WHEN g.winner_id = 3 THEN g.loser_id ELSE g.winner_id END = t.team_id WHERE g.winner_id = 3 OR g.loser_id = 3""",
     "self_join_opponent": """SELECT a.game_id, a.team_id, b.team_id AS opponent_id, a.rating - b.rating AS ahead FROM ratings a
-        JOIN ratings b ON a.game_id = b.game_id AND a.team_id <> b.team_id WHERE a.season = 1999""",
+        JOIN ratings b ON a.game_id = b.game_id AND a.team_id <> b.team_id""",
     "perspective_union": "SELECT team_id, arena, count(*) AS games, CAST(sum(won) AS BIGINT) AS wins FROM sides GROUP BY team_id, arena",
     "team_map_record": """SELECT s.team_id, t.team, s.arena, CAST(sum(s.won) AS BIGINT) AS wins, CAST(sum(1 - s.won) AS BIGINT) AS losses, round(avg(s.won) * 100, 6) AS win_rate, max_by(s.rating, s.played_at * 1000000000 + s.game_id) AS rating
         FROM ratings s JOIN teams t ON s.team_id = t.team_id GROUP BY s.team_id, t.team, s.arena""",

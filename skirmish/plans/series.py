@@ -22,7 +22,7 @@ def _extreme(order: str) -> str:
 PLANS: dict[str, str] = {
     "win_streaks": _streaks(1),
     "lose_streaks": _streaks(0),
-    "team_streaks": """WITH marked AS (SELECT team_id, arena, won, played_at, game_id, CASE WHEN won = lag(won) OVER (PARTITION BY team_id, arena ORDER BY played_at, game_id) THEN 0 ELSE 1 END AS turn FROM sides WHERE season = 1999),
+    "team_streaks": """WITH marked AS (SELECT team_id, arena, won, played_at, game_id, CASE WHEN won = lag(won) OVER (PARTITION BY team_id, arena ORDER BY played_at, game_id) THEN 0 ELSE 1 END AS turn FROM sides),
         islands AS (SELECT *, sum(turn) OVER (PARTITION BY team_id, arena ORDER BY played_at, game_id ROWS UNBOUNDED PRECEDING) AS island FROM marked),
         runs AS (SELECT team_id, arena, island, max(won) AS won, count(*) AS streak, max(played_at) AS ended FROM islands GROUP BY team_id, arena, island)
         SELECT team_id, arena, coalesce(max(CASE WHEN won = 1 THEN streak END), 0) AS longest_win, coalesce(max(CASE WHEN won = 0 THEN streak END), 0) AS longest_loss, max_by(streak, island) AS current_streak, max_by(won, island) AS current_won FROM runs GROUP BY team_id, arena""",
@@ -49,16 +49,16 @@ PLANS: dict[str, str] = {
         SELECT event_id, CAST(CASE WHEN rn <= n - 5 * test THEN 0 ELSE 1 + floor((rn - 1 - (n - 5 * test)) / test) END AS BIGINT) AS fold FROM placed CROSS JOIN whole""",
     "season_axis": """WITH spans AS (SELECT season, min(day) AS begins, max(day) AS ends FROM games GROUP BY season)
         SELECT season, begins, ends, CAST(coalesce(sum(ends - begins + 1) OVER (ORDER BY season ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS shift FROM spans""",
-    "map_popularity": """WITH daily AS (SELECT day, arena, count(*) AS games FROM games WHERE season = 1997 GROUP BY day, arena),
+    "map_popularity": """WITH daily AS (SELECT day, arena, count(*) AS games FROM games GROUP BY day, arena),
         days AS (SELECT DISTINCT day FROM daily), arenas AS (SELECT DISTINCT arena FROM daily),
         grid AS (SELECT d.day, a.arena, coalesce(g.games, 0) AS games FROM days d CROSS JOIN arenas a LEFT JOIN daily g ON g.day = d.day AND g.arena = a.arena),
         totals AS (SELECT day, sum(games) OVER (ORDER BY day RANGE BETWEEN 30 PRECEDING AND CURRENT ROW) AS total FROM (SELECT day, sum(games) AS games FROM daily GROUP BY day)),
         rolling AS (SELECT day, arena, sum(games) OVER (PARTITION BY arena ORDER BY day RANGE BETWEEN 30 PRECEDING AND CURRENT ROW) AS games FROM grid)
         SELECT r.day, r.arena, CAST(r.games AS BIGINT) AS games, round(CAST(r.games AS DOUBLE) * 100 / nullif(t.total, 0), 6) AS share FROM rolling r JOIN totals t ON r.day = t.day""",
-    "step_series": """WITH points AS (SELECT team_id, game_id, played_at * 1000 AS moment, rating, lag(rating) OVER (PARTITION BY team_id ORDER BY played_at, game_id) AS before, lag(played_at) OVER (PARTITION BY team_id ORDER BY played_at, game_id) AS earlier FROM ratings WHERE season = 1996)
+    "step_series": """WITH points AS (SELECT team_id, game_id, played_at * 1000 AS moment, rating, lag(rating) OVER (PARTITION BY team_id ORDER BY played_at, game_id) AS before, lag(played_at) OVER (PARTITION BY team_id ORDER BY played_at, game_id) AS earlier FROM ratings)
         SELECT team_id, moment, rating FROM points UNION ALL SELECT team_id, moment - 1 AS moment, before AS rating FROM points WHERE before IS NOT NULL AND earlier * 1000 <> moment""",
     "win_probability": """SELECT game_id, round(1 / (1 + power(10, (lr - wr) / 1000.0)), 6) AS expected, round(74 * ln(5.95 * sqrt(greatest(margin, 0) + 1)) * (1 - 1 / (1 + power(10, (lr - wr) / 1000.0))), 6) AS delta
-        FROM (SELECT w.game_id, w.rating AS wr, l.rating AS lr, w.margin FROM ratings w JOIN ratings l ON w.game_id = l.game_id AND w.won = 1 AND l.won = 0 WHERE w.season = 2000)""",
+        FROM (SELECT w.game_id, w.rating AS wr, l.rating AS lr, w.margin FROM ratings w JOIN ratings l ON w.game_id = l.game_id AND w.won = 1 AND l.won = 0)""",
     "series_probability": """WITH p AS (SELECT team_id, opponent_id, max(CASE WHEN arena = 'AF' THEN q END) AS a, max(CASE WHEN arena = 'NO' THEN q END) AS b, max(CASE WHEN arena = 'RF' THEN q END) AS c FROM (
           SELECT x.team_id, y.team_id AS opponent_id, x.arena, 1 / (1 + power(10, (y.rating - x.rating) / 1000.0)) AS q FROM
           (SELECT team_id, arena, avg(rating) AS rating FROM ratings GROUP BY team_id, arena) x JOIN (SELECT team_id, arena, avg(rating) AS rating FROM ratings GROUP BY team_id, arena) y ON x.arena = y.arena AND x.team_id <> y.team_id) GROUP BY team_id, opponent_id)
@@ -66,7 +66,7 @@ PLANS: dict[str, str] = {
     "player_components": "SELECT event_id, player_id, round(kills / greatest(1, value), 6) AS per_round, round(kills / nullif(kills + value, 0), 6) AS duel_share FROM stats",
     "decayed_means": """WITH last_day AS (SELECT max(day) AS last FROM stats), d AS (SELECT event_id, player_id, moment, value, kills, day - last AS ago FROM stats CROSS JOIN last_day)
         SELECT event_id, player_id, round(sum(kills * value * power(0.985, -ago)) OVER w / sum(value * power(0.985, -ago)) OVER w, 6) AS pre FROM d WINDOW w AS (PARTITION BY player_id ORDER BY moment, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
-    "training_rows": """WITH side AS (SELECT game_id, team_id, CAST(sum(rating) AS DOUBLE) AS feature, max(margin) AS margin, max(day) AS day FROM ratings WHERE season = 1998 GROUP BY game_id, team_id)
+    "training_rows": """WITH side AS (SELECT game_id, team_id, CAST(sum(rating) AS DOUBLE) AS feature, max(margin) AS margin, max(day) AS day FROM ratings GROUP BY game_id, team_id)
         SELECT a.game_id, a.team_id, a.feature - b.feature AS x, CAST(a.margin AS DOUBLE) / 24 AS y_raw, round(power(0.998, 11000 - a.day) * 24, 9) AS weight FROM side a JOIN side b ON a.game_id = b.game_id AND a.team_id <> b.team_id""",
     "gram_matrix": """SELECT round(sum(w * x * x), 2) AS xx, round(sum(w * x * y), 2) AS xy, round(sum(w * x), 3) AS sx, round(sum(w * y), 3) AS sy, round(sum(w), 3) AS sw FROM (
         SELECT CAST(kills AS DOUBLE) AS x, value AS y, power(0.998, 19800 - day) AS w FROM stats)""",

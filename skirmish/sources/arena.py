@@ -32,9 +32,9 @@ games AS (
 ),
 matches AS (SELECT o_orderkey AS match_id, o_orderpriority AS event_name, EPOCH(o_orderdate) AS completed_at, CAST(year(o_orderdate) AS BIGINT) AS season, o_custkey AS cust_id, o_totalprice AS prize FROM orders),
 sides AS (
-  SELECT game_id, match_id, arena, season, day, played_at, winner_id AS team_id, loser_id AS opponent_id, CAST(1 AS BIGINT) AS won, winner_rounds - loser_rounds AS margin FROM games
-  UNION ALL
-  SELECT game_id, match_id, arena, season, day, played_at, loser_id, winner_id, CAST(0 AS BIGINT), loser_rounds - winner_rounds FROM games
+  SELECT game_id, match_id, arena, season, day, played_at, CASE WHEN won = 1 THEN winner_id ELSE loser_id END AS team_id, CASE WHEN won = 1 THEN loser_id ELSE winner_id END AS opponent_id, won,
+         CASE WHEN won = 1 THEN winner_rounds - loser_rounds ELSE loser_rounds - winner_rounds END AS margin
+  FROM games CROSS JOIN (SELECT CAST(won AS BIGINT) AS won FROM (VALUES (1), (0)) AS t(won)) both_sides
 ),
 ratings AS (
   SELECT *, 1000 + CAST(sum(margin) OVER (PARTITION BY team_id, arena, season ORDER BY played_at, game_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS rating FROM sides
@@ -87,6 +87,7 @@ def duck_sql(query: str, recursive: bool = False, args: dict | None = None) -> s
     # tables that a statement names more than once are computed once
     sql = re.sub(r"^(numbered|games|sides|ratings) AS \(", r"\1 AS MATERIALIZED (", sql, flags=re.M)
     sql = re.sub(r"\bDAYS\(([^()]*)\)", r"unnest(generate_series(\1))", sql)
+    sql = re.sub(r"\bLASTKNOWN\((\w+)\)", r"last_value(\1 IGNORE NULLS)", sql)
     sql = re.sub(r"(?<!:):([a-z_0-9]+)\b", lambda m: literal(args[m[1]]) if args and m[1] in args else m[0], sql)
     sql = re.sub(r"JSONINT\(([^,()]+), (\w+)\)", r"json_extract_string(\1, '$.\2')", sql)
     sql = re.sub(r"\bEPOCH\(((?:[^()]|\([^()]*\))*)\)", r"CAST(floor(epoch(\1)) AS BIGINT)", sql)
@@ -97,6 +98,7 @@ def spark_sql(query: str, recursive: bool = False) -> str:
     sql = _with_base(query, recursive)
     sql = re.sub(r"JSONINT\(([^,()]+), (\w+)\)", r"get_json_object(\1, '$.\2')", sql)
     sql = re.sub(r"\bDAYS\(([^()]*)\)", r"explode(sequence(\1))", sql)
+    sql = re.sub(r"\bLASTKNOWN\((\w+)\)", r"last_value(\1) IGNORE NULLS", sql)
     return _filled(sql, {"EPOCH": "unix_timestamp"})
 
 
