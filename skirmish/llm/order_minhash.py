@@ -12,7 +12,8 @@ distance, not only with set difference (Marcais et al. 2019).
 Ranks are sorted as longs that carry the place in their low ``PLACE_BITS`` bits.
 
 Defined cases. Null and empty texts have the one empty word as their k-mer.
-A text with fewer k-mers than ``tuple_size`` hashes those that it has. Equal
+A text with fewer k-mers than ``tuple_size`` hashes those that it has. Places
+beyond ``2**PLACE_BITS`` start over, so only order is lost in such a text. Equal
 texts have equal fingerprints. The next document of a row is the one of the
 next greater ``doc_id`` (of several rows with that id, the one of the greatest
 text hash); a null id has no place in the order and is compared with itself.
@@ -36,7 +37,7 @@ def _numbered_ranks(text: Column, k: int) -> Column:
     def with_words(w: Column) -> Column:
         last = F.greatest(F.size(w) - k, F.lit(0))
         kmer = lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)])
-        return F.transform(F.sequence(F.lit(0), last), lambda i: kmer(i).bitwiseAND(~low).bitwiseOR(i.cast("long")))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: kmer(i).bitwiseAND(~low).bitwiseOR(i.cast("long").bitwiseAND(low)))
 
     def numbered(s: Column) -> Column:
         high = lambda x: F.shiftright(x, PLACE_BITS)

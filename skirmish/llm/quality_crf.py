@@ -7,7 +7,9 @@ the mean of these, weighted by line length.
 
 The chain is fitted on at most ``SAMPLE`` labelled documents (whose lines all
 take the document's label), drawn by hash from the rows that may be learned
-from; the logistic link is fitted on the same documents. Labels, language,
+from, and on at most ``LINES`` consecutive lines of each, from a place drawn by
+hash; of rows that share an id one enters. The logistic link is fitted on the
+same lines, so what reaches the driver has a bound. Labels, language,
 source and id are no inputs of a score.
 
 Defined cases. Null and empty texts, and texts of white space, have no line:
@@ -19,6 +21,7 @@ label). Extra columns are kept; ``score`` takes the place of any such column.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +30,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: Labelled documents that the chain is fitted on, at most.
 SAMPLE = 2000
+#: Consecutive lines of one document that the chain is fitted on, at most.
+LINES = 1000
 #: Steps of the fit, and weight of its squared penalty.
 STEPS, PENALTY = 150, 1e-4
 #: Lines of a document that enter one training chain; longer documents give several chains.
@@ -155,11 +160,16 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str
     """The model, as plain numbers. Only rows outside the held-out fold enter."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    every_row = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = every_row.groupBy("doc_id").agg(F.min_by(F.struct("quality", "text"), F.xxhash64("text")).alias("r")).select("doc_id", "r.quality", "r.text")
+
+    def bounded(doc_id: int, features: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = zlib.crc32(str(doc_id).encode()) % (len(sizes) - LINES + 1) if len(sizes) > LINES else 0
+        return features[at : at + LINES], sizes[at : at + LINES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(int(q), *line_features(t)) for q, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            found = [(int(q), *bounded(i, *line_features(t))) for i, q, t in zip(*(c.to_pylist() for c in b.columns), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([f[0] for f in found], pa.int32()), pa.array([f[1].astype("<f4").tobytes() for f in found], pa.binary()), pa.array([f[2].astype("<f4").tobytes() for f in found], pa.binary())],
                 names=["doc_id", "quality", "features", "sizes"],

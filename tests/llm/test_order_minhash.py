@@ -1,5 +1,9 @@
+import collections
 import hashlib
+import re
+import struct
 
+import xxhash
 from pyspark.sql import functions as F
 
 from skirmish.llm import order_minhash
@@ -16,6 +20,40 @@ def likeness(a, b):
     return sum(x == y for x, y in zip(a, b, strict=True)) / len(a)
 
 
+def chained(values):
+    """The 64-bit hash of several values, each seeded by the one before; nulls are passed over."""
+    seed = 42
+    for v in values:
+        if v is not None:
+            seed = xxhash.xxh64_intdigest(v if isinstance(v, bytes) else v.encode(), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def plain_signature(text, k=2, tuple_size=2, sketches=64, place_bits=26):
+    words = re.split("[\x20\x09-\x0d]", text)
+    keep = ~((1 << place_bits) - 1)
+    seen, ranked = collections.Counter(), []
+    for at in range(max(1, len(words) - k + 1)):
+        kmer = chained(words[at : at + k]) >> place_bits
+        rank = chained([struct.pack("<q", kmer), struct.pack("<i", seen[kmer])])
+        seen[kmer] += 1
+        ranked.append(((rank & keep) >> place_bits, at))
+    ranked.sort()
+    step, out = 1 << (64 - place_bits), []
+    for j in range(sketches):
+        point = (j - sketches // 2) * step // sketches
+        first = next((i for i, (rank, _) in enumerate(ranked) if rank >= point), 0)
+        taken = [ranked[(first + i) % len(ranked)] for i in range(min(tuple_size, len(ranked)))]
+        out.append((chained([struct.pack("<q", rank) for rank, _ in sorted(taken, key=lambda r: (r[1], r[0]))]) & 0xFFFF) - 0x8000)
+    return out
+
+
+def test_signatures_equal_a_plain_version(spark):
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(40).collect()]
+    texts += ["", "one", "a a a a a", "a b a b a b", "x  y\tz\n", "é " * 30]
+    assert prints(spark, texts) == [plain_signature(t) for t in texts]
+
+
 def test_query_contract(spark):
     rows = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
     got = {r.doc_id: r for r in QUERIES["op4_order_minhash"](spark, SF).collect()}
