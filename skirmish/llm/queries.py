@@ -134,3 +134,15 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["pipeline"] = pipeline
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a plain or a fill-in-the-middle row, with the text rebuilt from it."""
+    from .fill_in_middle import arranged, restored
+
+    rows = arranged(_table(spark, sf_dir, "documents"))
+    back = F.sha2(restored(F.col("form"), F.col("output")), 256).alias("restored_sha256")
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), back)
+
+
+QUERIES["op13_fill_in_middle"] = op13_fill_in_middle
