@@ -146,3 +146,13 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op13_fill_in_middle"] = op13_fill_in_middle
+
+
+def op11_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose sets of word pairs are alike to 0.8."""
+    from .lsh_forest import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op11_lsh_forest"] = op11_lsh_forest
