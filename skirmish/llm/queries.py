@@ -156,3 +156,17 @@ def op11_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op11_lsh_forest"] = op11_lsh_forest
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers over every document."""
+    import public_tokenizers
+
+    from .token_alignment import align
+
+    rows = align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
+
+
+QUERIES["op12_token_alignment"] = op12_token_alignment
