@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import components, cut
-from .simhash import parity, possible, shingle_hashes, shingle_sets, similar_pairs
+from .simhash import SKETCH, parity, shingle_hashes, shingle_sets, similar_pairs
 
 TREES, DEPTH, LEAST, REGION = 40, 6, 3, 16
 #: One-bit MinHash values of a set, and how many may differ between candidates: at a
@@ -71,15 +71,15 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                     high.append((label[:, :4] << np.arange(48, -1, -16, dtype=np.uint64)).sum(1, dtype=np.uint64).view(np.int64))
                     low.append((label[:, 4:] << np.arange(16, -1, -16, dtype=np.uint64)).sum(1, dtype=np.uint64).view(np.int64))
                     bits.append(np.packbits((s[TREES * DEPTH :] >> np.uint32(31)).astype(np.uint8)).view(np.int64))
-                    odd.append(parity(x))
+                    odd.append(np.frombuffer(parity(x), np.int64))
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(sizes, pa.int32()), pa.array(same, pa.binary()), pa.array(high, longs), pa.array(low, longs), pa.array(bits, longs), pa.array(odd, pa.binary())],
+                    [b.column(0), pa.array(sizes, pa.int32()), pa.array(same, pa.binary()), pa.array(high, longs), pa.array(low, longs), pa.array(bits, longs), pa.array(odd, longs)],
                     names=["doc_id", "size", "same", "high", "low", "bits", "odd"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    return rows.mapInArrow(run, "doc_id long, size int, same binary, high array<long>, low array<long>, bits array<long>, odd binary")
+    return rows.mapInArrow(run, "doc_id long, size int, same binary, high array<long>, low array<long>, bits array<long>, odd array<long>")
 
 
 def near(x, y, similarity: float) -> Column:
@@ -88,6 +88,14 @@ def near(x, y, similarity: float) -> Column:
     return (F.least(x["size"], y["size"]) >= similarity * F.greatest(x["size"], y["size"]) - 1e-6) & (apart <= APART)
 
 
+def possible(x, y, similarity: float) -> Column:
+    """Whether parity sketches allow the similarity: sets of sizes m and n that have it
+    differ in ``(1 - s) / (1 + s) * (m + n)`` elements at most, and so do their sketches.
+    Nothing alike is ruled out, and of small sets hardly anything else is let through."""
+    differ = reduce(lambda a, b: a + b, (F.bit_count(F.get(x["odd"], i).bitwiseXOR(F.get(y["odd"], i))) for i in range(SKETCH // 64)))
+    return differ <= (1 - similarity) / (1 + similarity) * (x["size"] + y["size"]) + 1e-6
+
+
 def forest(classes: DataFrame, similarity: float) -> DataFrame:
     """``rep, size, s1, s2, region, large, next``: for each set and tree the sets after it
     in the tree's order that may be similar, nearest first, and the region of its
@@ -132,7 +140,8 @@ def linked(classes: DataFrame, sets_of, similarity: float) -> DataFrame:
     slim = classes.select("rep", "size", "odd")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        likely = cut(possible(pairs, slim, similarity), "forest-pairs")
+        x, y = slim.select(F.col("rep").alias("a"), F.struct("size", "odd").alias("x")), slim.select(F.col("rep").alias("b"), F.struct("size", "odd").alias("y"))
+        likely = cut(pairs.join(x, "a").join(y, "b").where(possible(F.col("x"), F.col("y"), similarity)).select("a", "b"), "forest-pairs")
         wanted = likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
         # a share of exactly the similarity counts, whatever its product rounds to
         return cut(similar_pairs(likely, sets_of(wanted), similarity - 1e-9), "forest-links", free=True)
@@ -144,13 +153,15 @@ def linked(classes: DataFrame, sets_of, similarity: float) -> DataFrame:
     label = components(found, "forest-components")
     part = label.select(F.col("id").alias("a"), F.col("component").alias("p")), label.select(F.col("id").alias("b"), F.col("component").alias("q"))
     apart = lambda pairs: pairs.join(part[0], "a", "left").join(part[1], "b", "left").where("coalesce(p, a) <> coalesce(q, b)").select("a", "b")
-    others = apart(met.select("rep", F.explode(F.slice("next", 2, REGION)).alias("other")).select(*_sorted("rep", "other")).distinct())
+    # large regions are joined by themselves
+    others = apart(met.where("not large").select("rep", F.explode(F.slice("next", 2, REGION)).alias("other")).select(*_sorted("rep", "other")).distinct())
     named = large.join(label, F.col("rep") == F.col("id"), "left").select("region", "rep", "size", "s1", "s2", F.coalesce("component", "rep").alias("part"))
     mixed = named.groupBy("region").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("region")
-    mixed = cut(named.join(mixed, "region", "left_semi"), "forest-mixed")
+    mixed = cut(named.join(mixed, "region", "left_semi").join(classes.select("rep", "odd"), "rep"), "forest-mixed")
     x, y = mixed.alias("x"), mixed.alias("y")
-    fields = lambda t: {c: F.col(f"{t}.{c}") for c in ("s1", "s2", "size")}
-    crossed = x.join(y, (F.col("x.region") == F.col("y.region")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.part") != F.col("y.part")) & near(fields("x"), fields("y"), similarity))
+    fields = lambda t: {c: F.col(f"{t}.{c}") for c in ("s1", "s2", "size", "odd")}
+    met_by = (F.col("x.region") == F.col("y.region")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.part") != F.col("y.part"))
+    crossed = x.join(y, met_by & near(fields("x"), fields("y"), similarity) & possible(fields("x"), fields("y"), similarity))
     others = others.unionByName(crossed.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))).distinct().join(tried, ["a", "b"], "left_anti")
     return components(found.unionByName(confirmed(others)), "forest-components")
 
