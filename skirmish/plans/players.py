@@ -1,4 +1,4 @@
-"""The player model in steps, team pages and vetoes, with arguments.
+"""The player model in steps and team pages, with arguments.
 
 ``player_games`` (see ``sources.arena``) holds one row a player of a game. The
 steps are seven per-round components, their decayed means before the game, team
@@ -54,12 +54,6 @@ dpm AS (
 )"""
 _WEIGHTS = {"w_kpr": 2.5, "w_dpr": -2.0, "w_apr": 0.8, "w_fk_att_rate": 0.3, "w_fk_win_rate": 0.4, "w_adr_pr": 0.01, "w_kast01": 1.2}
 
-_VETO = """WITH own AS (SELECT match_id, step, side, action, choice, CASE WHEN side = 1 THEN edge ELSE -edge END AS edge, edge AS for_first FROM veto_steps),
-    open AS (SELECT v.match_id, v.step, v.side, v.action, v.choice, v.edge, o.step AS nth, o.choice AS other, CASE WHEN v.side = 1 THEN o.for_first ELSE -o.for_first END AS other_edge
-      FROM own v JOIN own o ON o.match_id = v.match_id AND (o.step >= v.step OR o.side IS NULL OR o.action = 'decider') WHERE v.side IS NOT NULL AND v.action <> 'decider'),
-    best AS (SELECT *, row_number() OVER (PARTITION BY match_id, step ORDER BY CASE WHEN action = 'pick' THEN -other_edge ELSE other_edge END, nth) AS rn FROM open),
-    scored AS (SELECT match_id, step, side, action, choice, other AS best_choice, CASE WHEN action = 'pick' THEN other_edge - edge ELSE edge - other_edge END AS lost FROM best WHERE rn = 1)"""
-
 ASKED: dict[str, tuple[str, dict]] = {
     "vpm_components": (f"WITH {COMPONENTS} SELECT row_id, player_id, {', '.join(f'round({n}, 6) AS {n}' for n in BETAS)} FROM components WHERE :season IS NULL OR season = :season", {"season": None}),
     "vpm_pre_means": (f"WITH {PRE} SELECT row_id, player_id, {', '.join(f'round({f}, 6) AS {f}' for f in _FEATURES)} FROM pre", {}),
@@ -86,12 +80,6 @@ ASKED: dict[str, tuple[str, dict]] = {
         SELECT r.day, r.arena, CAST(r.games AS BIGINT) AS games, round(CAST(r.games AS DOUBLE) * 100 / nullif(t.total, 0), 2) AS share FROM rolling r JOIN totals t ON r.day = t.day""", {"since": 9862, "until": 10226}),
     "popularity_pivot": ("""SELECT day, CAST(sum(CASE WHEN arena = 'AF' THEN 1 ELSE 0 END) AS BIGINT) AS af, CAST(sum(CASE WHEN arena = 'NO' THEN 1 ELSE 0 END) AS BIGINT) AS no_, CAST(sum(CASE WHEN arena = 'RF' THEN 1 ELSE 0 END) AS BIGINT) AS rf, count(*) AS total
         FROM games WHERE :season IS NULL OR season = :season GROUP BY day""", {"season": None}),
-    "veto_optimality": (_VETO + " SELECT match_id, step, side, action, choice, best_choice, CAST(lost AS BIGINT) AS lost, CAST(sum(lost) OVER (PARTITION BY match_id, side ORDER BY step ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM scored", {}),
-    "veto_leaderboard": (_VETO + """, worst AS (SELECT s.match_id, s.side, max(s.lost) AS worst FROM scored s JOIN matches m ON m.match_id = s.match_id WHERE :event IS NULL OR m.event_name = :event GROUP BY s.match_id, s.side)
-        SELECT side, round(avg(worst), 6) AS average_loss, count(*) AS matches FROM worst GROUP BY side HAVING count(*) >= :least""", {"event": None, "least": 2}),
-    "veto_deciders": (_VETO + """, last_step AS (SELECT match_id, max(step) AS step FROM scored GROUP BY match_id),
-        rest AS (SELECT o.match_id, min(o.nth) AS nth FROM open o JOIN last_step l ON o.match_id = l.match_id AND o.step = l.step WHERE o.nth <> o.step GROUP BY o.match_id)
-        SELECT r.match_id, r.nth AS step, v.choice AS decider, CASE WHEN v.action = 'decider' THEN 0 ELSE 1 END AS inferred FROM rest r JOIN veto_steps v ON v.match_id = r.match_id AND v.step = r.nth""", {}),
     "event_winners": ("""WITH ended AS (SELECT event_name, season, max_by(match_id, completed_at * 1000000000 + match_id) AS match_id FROM matches WHERE :season IS NULL OR season = :season GROUP BY event_name, season),
         score AS (SELECT s.match_id, s.team_id, CAST(sum(s.won) AS BIGINT) AS won FROM sides s JOIN ended e ON e.match_id = s.match_id GROUP BY s.match_id, s.team_id),
         top AS (SELECT match_id, team_id, won, row_number() OVER (PARTITION BY match_id ORDER BY won DESC, team_id DESC) AS rn FROM score)

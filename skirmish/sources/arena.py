@@ -88,6 +88,7 @@ def duck_sql(query: str, recursive: bool = False, args: dict | None = None) -> s
     sql = re.sub(r"^(numbered|games|sides|ratings) AS \(", r"\1 AS MATERIALIZED (", sql, flags=re.M)
     sql = re.sub(r"\bDAYS\(([^()]*)\)", r"unnest(generate_series(\1))", sql)
     sql = re.sub(r"\bLASTKNOWN\((\w+)\)", r"last_value(\1 IGNORE NULLS)", sql)
+    sql = _filled(sql, {"struct": "row", "collect_list": "list", "array_join": "array_to_string"})
     sql = re.sub(r"(?<!:):([a-z_0-9]+)\b", lambda m: literal(args[m[1]]) if args and m[1] in args else m[0], sql)
     sql = re.sub(r"JSONINT\(([^,()]+), (\w+)\)", r"json_extract_string(\1, '$.\2')", sql)
     sql = re.sub(r"\bEPOCH\(((?:[^()]|\([^()]*\))*)\)", r"CAST(floor(epoch(\1)) AS BIGINT)", sql)
