@@ -32,15 +32,16 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def cut(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+def cut(df: DataFrame, name: str, free: bool = False, codec: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back: lost
     executors then cost no recomputation of what stands above. With ``free``,
     Spark is told to drop the shuffle files of what was written, which it else
     keeps until the driver happens to collect its garbage; worth it where whole
-    texts or an index were shuffled."""
+    texts or an index were shuffled. ``codec`` compresses the files otherwise than
+    the session says."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     if free:
         del df
         gc.collect()

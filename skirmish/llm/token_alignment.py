@@ -26,15 +26,16 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import cut
 
 #: Frequent units that are broadcast, at most, and their length in characters.
-HEAD, LONGEST = 200_000, 48
+HEAD, LONGEST = 300_000, 48
 #: Share of texts, one in so many, in which frequent units are counted. Only the way
 #: that a unit takes depends on it, no result does.
-SAMPLED = 20
+SAMPLED = 4
 #: Rows of linked id pairs up to which their counts are broadcast; beyond, they are joined by key.
 PAIRS = 2_000_000
 
@@ -182,10 +183,9 @@ def _by_unit(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-def aligned(tokens: DataFrame) -> DataFrame:
-    """``number, groups, n_a, n_b, n_groups, links``: the alignment of each unit of
-    ``tokens`` (``number, a, a_long, b, b_long``). Everything is dealt by unit once."""
-    dealt = tokens.repartition("number")
+def aligned(dealt: DataFrame) -> DataFrame:
+    """``unit, n, common, groups, n_a, n_b, n_groups, links``: the alignment of each unit
+    of ``dealt`` (``number, unit, n, common, a, a_long, b, b_long``, dealt by number)."""
     order = Window.partitionBy("number").orderBy("at")
 
     def placed(side: str) -> DataFrame:
@@ -204,7 +204,7 @@ def aligned(tokens: DataFrame) -> DataFrame:
     text = lambda c: F.split(F.array_join(F.transform(c, lambda t: F.concat(t["id"].cast("string"), F.when(t["other"].isNotNull(), ";").otherwise(","))), ""), ";")
     pieces = F.zip_with(text("a_rows"), text("b_rows"), lambda x, y: F.concat(x, F.lit("|"), y))
     links = F.transform(F.filter("a_rows", lambda t: t["other"].isNotNull()), lambda t: F.struct(t["id"].alias("a"), t["other"].alias("b")))
-    return both.select("number", F.array_join(F.slice(pieces, 1, F.size(pieces) - 1), ";").alias("groups"), F.size("a_rows").alias("n_a"), F.size("b_rows").alias("n_b"),
+    return both.join(dealt.select("number", "unit", "n", "common"), "number").select("unit", "n", "common", F.array_join(F.slice(pieces, 1, F.size(pieces) - 1), ";").alias("groups"), F.size("a_rows").alias("n_a"), F.size("b_rows").alias("n_b"),
                        (F.element_at("a_rows", -1)["group"] + 1).alias("n_groups"), links.alias("links"))
 
 
@@ -216,24 +216,32 @@ def pair_counts(units_of: DataFrame) -> DataFrame:
 
 
 def valued(units_of: DataFrame, counts: DataFrame) -> DataFrame:
-    """Each unit's row with what its links are worth."""
+    """``unit, row``: each unit's groups and what its links are worth, as one text that
+    is small to ship."""
     found = units_of.select("unit", F.explode("links").alias("l")).join(counts, (F.col("l.a") == F.col("a")) & (F.col("l.b") == F.col("b")))
     worth = found.groupBy("unit").agg(F.count("*").alias("n_links"), F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
-    return units_of.join(worth, "unit").select("unit", "groups", F.array(*[F.col(c).cast("long") for c in NUMBERS]).alias("numbers"))
+    return units_of.join(worth, "unit").select("unit", F.concat_ws(" ", "groups", *NUMBERS).alias("row"))
 
 
 #: What is summed over the units of a text.
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
+def parted(rows: list[str]) -> tuple[list[str], np.ndarray]:
+    """The groups and the numbers of unit rows."""
+    parts = [r.split(" ") for r in rows]
+    return [p[0] for p in parts], np.array([p[1:] for p in parts], np.int64).reshape(-1, len(NUMBERS))
+
+
 def gathered(docs: DataFrame, own: DataFrame, head, paths: tuple[str, str]) -> DataFrame:
     """A row for each text: its units' groups in order, and their numbers summed.
     ``own``: ``key, own``, the rows of a text's units that are not in ``head``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = tokenizers(*paths).units
-        names, groups, numbers = head.value
+        names, rows = head.value
         place = {u: i for i, u in enumerate(names)}
+        groups, numbers = parted(rows)
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 b = batch.slice(at, 100)
@@ -247,9 +255,9 @@ def gathered(docs: DataFrame, own: DataFrame, head, paths: tuple[str, str]) -> D
                     found = np.array([place[u] if u in place else local[u] for u in split(" " + t)], np.int64)
                     rare = found >= len(names)
                     sums[row] = numbers[found[~rare]].sum(0)
-                    if rare.any():
-                        sums[row] += np.array([m["numbers"] for m in mine], np.int64)[found[rare] - len(names)].sum(0)
-                    texts.append(";".join([groups[i] if i < len(names) else mine[i - len(names)]["groups"] for i in found.tolist()]))
+                    own_groups, own_numbers = parted([m["row"] for m in mine])
+                    sums[row] += own_numbers[found[rare] - len(names)].sum(0)
+                    texts.append(";".join([groups[i] if i < len(names) else own_groups[i - len(names)] for i in found.tolist()]))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), *[pa.array(x) for x in np.ascontiguousarray(sums.T)]], names=["doc_id", "groups", *NUMBERS])
 
     rows = docs.join(own, "key", "left").select("doc_id", "text", "own")
@@ -263,20 +271,20 @@ def align(docs: DataFrame, first: str, second: str) -> DataFrame:
     spark, paths = docs.sparkSession, (first, second)
     keyed = _keyed(docs)
     common = spark.sparkContext.broadcast(frequent(keyed, paths))
-    held = cut(units(keyed, common, paths), "align-units")
+    held = cut(units(keyed, common, paths), "align-units", codec="zstd")
     vocabulary = held.where("unit is not null").groupBy("unit").agg(F.sum("n").alias("n"), F.max(F.col("key").isNull()).alias("common"))
-    tokens = cut(encoded(vocabulary, paths).withColumn("number", F.monotonically_increasing_id()), "align-tokens")
+    tokens = cut(encoded(vocabulary, paths).withColumn("number", F.monotonically_increasing_id()), "align-tokens", free=True, codec="zstd")
+    dealt = tokens.repartition("number").persist(StorageLevel.MEMORY_AND_DISK)
     with _by_unit(spark):
-        found = cut(aligned(tokens.drop("unit", "n", "common")), "align-groups", free=True)
-    units_of = cut(tokens.select("number", "unit", "n", "common").join(found, "number").drop("number"), "align-vocabulary", free=True)
-    counts = cut(pair_counts(units_of), "align-pairs")
+        units_of = cut(aligned(dealt), "align-vocabulary", codec="zstd")
+    dealt.unpersist()
+    counts = cut(pair_counts(units_of), "align-pairs", free=True)
     if counts.count() <= PAIRS:
         counts = F.broadcast(counts)
     table = valued(units_of.where("common"), counts).toArrow()
-    numbers = np.array(table["numbers"].to_pylist(), np.int64).reshape(-1, len(NUMBERS))
-    head = spark.sparkContext.broadcast((table["unit"].to_pylist(), table["groups"].to_pylist(), numbers))
+    head = spark.sparkContext.broadcast((table["unit"].to_pylist(), table["row"].to_pylist()))
     rare = held.where("key is not null").select("unit", "key")
-    own = rare.where("unit is not null").join(valued(units_of.where("not common"), counts), "unit").select("key", "unit", "groups", "numbers")
-    void = rare.where("unit is null").select("key", "unit", F.lit("").alias("groups"), F.array().cast("array<long>").alias("numbers"))
-    own = own.unionByName(void).groupBy("key").agg(F.collect_list(F.struct("unit", "groups", "numbers")).alias("own"))
+    own = rare.where("unit is not null").join(valued(units_of.where("not common"), counts), "unit").select("key", "unit", "row")
+    void = rare.where("unit is null").select("key", "unit", F.lit("").alias("row"))
+    own = own.unionByName(void).groupBy("key").agg(F.collect_list(F.struct("unit", "row")).alias("own"))
     return gathered(keyed, own, head, paths)
