@@ -2,24 +2,51 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, functions as F
 
 # fixed values of the rating model
 K, SCALE, START, MARGIN = 74.0, 1000.0, 1000.0, 5.95
 
 
-def win_chance(own: Column, other: Column) -> Column:
+@dataclass(frozen=True)
+class RatingModel:
+    """The model's constants, and its update for one game; a fold, a stream, a function
+    of the session and the reference SQL can each be given one."""
+
+    k: float = K
+    scale: float = SCALE
+    start: float = START
+    margin: float = MARGIN
+
+    def __post_init__(self) -> None:
+        if self.k <= 0 or self.scale <= 0 or self.margin <= 1:
+            raise ValueError("k and scale must be above 0, margin above 1")
+
+    def chance(self, own: float, other: float) -> float:
+        return 1 / (1 + 10 ** ((other - own) / self.scale))
+
+    def gain(self, winner: float, loser: float, rounds_ahead: float) -> float:
+        return self.k * math.log(self.margin * math.sqrt(max(rounds_ahead, 0) + 1)) * (1 - self.chance(winner, loser))
+
+
+DEFAULT = RatingModel()
+
+
+def win_chance(own: Column, other: Column, model: RatingModel = DEFAULT) -> Column:
     """Chance of the side rated ``own``."""
-    return 1 / (1 + F.pow(F.lit(10.0), (other - own) / SCALE))
+    return 1 / (1 + F.pow(F.lit(10.0), (other - own) / model.scale))
 
 
-def margin_factor(rounds_ahead: Column) -> Column:
-    return F.ln(F.lit(MARGIN) * F.sqrt(F.greatest(rounds_ahead, F.lit(0)) + 1))
+def margin_factor(rounds_ahead: Column, model: RatingModel = DEFAULT) -> Column:
+    return F.ln(F.lit(model.margin) * F.sqrt(F.greatest(rounds_ahead, F.lit(0)) + 1))
 
 
-def rating_gain(winner: Column, loser: Column, rounds_ahead: Column) -> Column:
+def rating_gain(winner: Column, loser: Column, rounds_ahead: Column, model: RatingModel = DEFAULT) -> Column:
     """What the winner gains and the loser loses."""
-    return K * margin_factor(rounds_ahead) * (1 - win_chance(winner, loser))
+    return model.k * margin_factor(rounds_ahead, model) * (1 - win_chance(winner, loser, model))
 
 
 def best_of_3(a: Column, b: Column, c: Column) -> Column:

@@ -11,13 +11,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from skirmish.functions.ratings import K, MARGIN, SCALE, START
+from skirmish.functions.ratings import DEFAULT, RatingModel
 
 
 _RATED = "game_id long, arena string, season long, winner_id long, loser_id long, played_at long, winner_before double, loser_before double, gain double"
+RATED_COLUMNS = [c.split()[0] for c in _RATED.split(", ")]
 
 
-def rate_games(games: DataFrame, gate: bool = True, rated: DataFrame | None = None) -> DataFrame:
+def rate_games(games: DataFrame, gate: bool = True, rated: DataFrame | None = None, model: RatingModel = DEFAULT) -> DataFrame:
     """Ratings of both sides before and after each game, reset every season.
 
     Games are rated in the order of their time, then id. Those without a time are
@@ -40,8 +41,8 @@ def rate_games(games: DataFrame, gate: bool = True, rated: DataFrame | None = No
                 if known == known:
                     a, b, gain = was_w, was_l, known
                 else:
-                    a, b = held.get(w, START), held.get(l, START)
-                    gain = K * math.log(MARGIN * math.sqrt(max(ahead, 0) + 1)) * (1 - 1 / (1 + 10 ** ((b - a) / SCALE)))
+                    a, b = held.get(w, model.start), held.get(l, model.start)
+                    gain = model.gain(a, b, ahead)
                 before_w.append(a), before_l.append(b), gains.append(gain)
                 held[w], held[l] = a + gain, b - gain
             out = pdf[["game_id", "arena", "season", "winner_id", "loser_id", "played_at"]].assign(winner_before=before_w, loser_before=before_l, gain=gains)
@@ -105,9 +106,9 @@ def kalman(observed: DataFrame, a: float = 0.995, q: float = 0.05, r0: float = 1
             back = var[i] * decay[i + 1] / max(var_p[i + 1], 1e-12)
             smooth[i] = mean[i] + back * (smooth[i + 1] - mean_p[i + 1])
             smooth_var[i] = max(0.0, var[i] + back**2 * (smooth_var[i + 1] - var_p[i + 1]))
-        return pd.DataFrame({"player_id": pdf.player_id, "event_id": pdf.event_id, "game_num": np.arange(1, n + 1), "kf_mean": mean, "kf_std": np.sqrt(var), "smooth_mean": smooth, "smooth_std": np.sqrt(smooth_var)})
+        return pd.DataFrame({"player_id": pdf.player_id, "event_id": pdf.event_id, "game_num": np.arange(1, n + 1), "kf_mean": mean, "kf_std": np.sqrt(var), "smooth_mean": smooth, "smooth_std": np.sqrt(smooth_var), "day": pdf.day, "y": pdf.y})
 
-    return observed.groupBy("player_id").applyInPandas(fold, "player_id long, event_id long, game_num long, kf_mean double, kf_std double, smooth_mean double, smooth_std double")
+    return observed.groupBy("player_id").applyInPandas(fold, "player_id long, event_id long, game_num long, kf_mean double, kf_std double, smooth_mean double, smooth_std double, day long, y double")
 
 
 def thin(points: DataFrame, seconds: int = 45 * 60) -> DataFrame:

@@ -1,15 +1,11 @@
-"""Ridge regression from one aggregation, map selection, and tournaments by
-Monte Carlo and exactly."""
+"""Ridge regression from one aggregation, and map selection."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from skirmish.functions.ratings import best_of_3, best_of_5, win_chance
+from skirmish.functions.ratings import best_of_3, best_of_5
 
 
 def gram(rows: DataFrame, features: list[str], target: str, weight: str, by: list[str] | None = None) -> DataFrame:
@@ -125,51 +121,3 @@ def series_chance(maps: Column, kind: str) -> Column:
 def fallback_maps(pool: Column, kind: str) -> Column:
     """The first arenas of the pool by name, for sides without ratings."""
     return F.slice(F.array_sort(pool), 1, 3 if kind == "bo3" else 5)
-
-
-#: Double elimination of four: match, what its two places take, and the best of five or three.
-FOUR = (("U1", 0, 3), ("U2", 1, 2), ("UF", "wU1", "wU2"), ("L1", "lU1", "lU2"), ("LF", "lUF", "wL1"), ("GF", "wUF", "wLF"))
-
-
-def play(seeds: np.ndarray, draws: np.ndarray, chance: np.ndarray) -> dict[str, np.ndarray]:
-    """All runs of the bracket at once: ``draws`` is runs x matches, uniform."""
-    slot: dict[str, np.ndarray] = {}
-    n = len(draws)
-    for k, (name, a, b) in enumerate(FOUR):
-        x, y = (np.full(n, seeds[s]) if isinstance(s, int) else slot[s] for s in (a, b))
-        first = draws[:, k] < chance[x, y]
-        slot["w" + name], slot["l" + name] = np.where(first, x, y), np.where(first, y, x)
-    return slot
-
-
-def monte_carlo(spark: SparkSession, ratings: list[float], runs: int = 10_000, seed: int = 7, parts: int = 8) -> DataFrame:
-    """Shares of titles, finals and top-three places. Draws depend on the run's
-    number and the seed, not on the partitioning."""
-    r = np.array(ratings)
-    chance = 1 / (1 + 10 ** ((r[None, :] - r[:, None]) / 1000))
-
-    def simulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            draws = np.stack([np.random.Generator(np.random.Philox(key=seed, counter=[0, 0, 0, int(i)])).random(len(FOUR)) for i in b["id"]]) if len(b) else np.zeros((0, len(FOUR)))
-            s = play(np.arange(4), draws, chance)
-            yield pd.DataFrame({"champion": s["wGF"], "runner_up": s["lGF"], "third": s["lLF"]})
-
-    places = spark.range(0, runs, 1, parts).mapInPandas(simulate, "champion long, runner_up long, third long")
-    long = places.select(F.inline(F.array(*[F.struct(F.col(c).alias("team"), F.lit(i).alias("place")) for i, c in enumerate(("champion", "runner_up", "third"))])))
-    share = lambda most: F.round(F.sum((F.col("place") <= most).cast("int")) * 100.0 / runs, 4)
-    return long.groupBy("team").agg(share(0).alias("champion"), share(1).alias("finalist"), share(2).alias("top3"))
-
-
-def exact_bracket(teams: DataFrame) -> DataFrame:
-    """The same bracket without sampling: each match splits every state in two,
-    and equal states are added up. ``teams``: ``seed`` 0..3 and ``rating``."""
-    rated = teams.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("seed", "rating"))).alias("r"))
-    state = rated.select("r", F.lit(1.0).alias("p"))
-    for name, a, b in FOUR:
-        x, y = (F.lit(s) if isinstance(s, int) else F.col(s) for s in (a, b))
-        p = win_chance(F.element_at("r", x), F.element_at("r", y))
-        both = F.array(F.struct(x.alias("w"), y.alias("l"), p.alias("q")), F.struct(y.alias("w"), x.alias("l"), (1 - p).alias("q")))
-        state = state.select("*", F.explode(both).alias("e")).withColumns({"w" + name: F.col("e.w"), "l" + name: F.col("e.l"), "p": F.col("p") * F.col("e.q")}).drop("e")
-    places = state.select("p", F.inline(F.array(*[F.struct(F.col(c).alias("team"), F.lit(i).alias("place")) for i, c in enumerate(("wGF", "lGF", "lLF"))])))
-    share = lambda most: F.round(F.sum(F.when(F.col("place") <= most, F.col("p")).otherwise(0.0)) * 100, 6)
-    return places.groupBy("team").agg(share(0).alias("champion"), share(1).alias("finalist"), share(2).alias("top3"))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skirmish.functions.ratings import rating_gain, win_chance
 from skirmish.plans import players, ranked
 from skirmish.plans.ranked import REFERENCE
 from skirmish.sources import arena
 
-from . import folds, models
+from . import folds, levels, models
 
 
 def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,10 +44,28 @@ def ridge_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.ridge(spark, models.time_folds(rows, "day", ["moment", "event_id"]), ["kills", "role"], "y", "w", "fold")
 
 
+FEATURES = [f"pre_{n}" for n in players.BETAS]
+
+
+def _folds(spark: SparkSession, sf_dir: str, today: int) -> DataFrame:
+    """The training rows of the player model, in folds of time."""
+    return models.time_folds(ranked.ask(spark, sf_dir, "vpm_training_rows", today=today), "day", ["game_id", "team_id"])
+
+
 def _model(spark: SparkSession, sf_dir: str, today: int) -> DataFrame:
-    rows = ranked.ask(spark, sf_dir, "vpm_training_rows", today=today)
-    features = [f"pre_{n}" for n in players.BETAS]
-    return models.ridge(spark, models.time_folds(rows.withColumn("day", F.floor(F.col("game_id") / 100)), "day", ["game_id", "team_id"]), features, "y24", "weight", "fold")
+    return models.ridge(spark, _folds(spark, sf_dir, today), FEATURES, "y24", "weight", "fold")
+
+
+def vpm_folds(spark: SparkSession, sf_dir: str, today: int = 11000) -> DataFrame:
+    """All that the fit of the player model sees: the days of each fold and its weighted
+    normal equations, an entry a row."""
+    rows = _folds(spark, sf_dir, today)
+    names = ["1", *FEATURES, "y24"]
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    sums = models.gram(rows, FEATURES, "y24", "weight", ["fold"])
+    days = rows.groupBy("fold").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("*").alias("n"))
+    entries = F.inline(F.array(*[F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"), F.round(f"{i}_{j}", 3).alias("value")) for i, j in pairs]))
+    return sums.join(days, "fold").select("fold", "first_day", "last_day", "n", entries)
 
 
 def vpm_weights(spark: SparkSession, sf_dir: str, today: int = 11000) -> DataFrame:
@@ -61,10 +79,7 @@ def vpm_weights(spark: SparkSession, sf_dir: str, today: int = 11000) -> DataFra
 def player_levels(spark: SparkSession, sf_dir: str, today: int = 11000) -> DataFrame:
     """The whole chain: weights, adjusted observations, then filter and smoother."""
     weights = {r.feature: r.weight for r in _model(spark, sf_dir, today).collect()}
-    given = {f"w_{n}": weights[f"pre_{n}"] for n in players.BETAS}
-    seen = ranked.ask(spark, sf_dir, "vpm_observations", **given)
-    games = arena.frame(spark, sf_dir, "player_games").select("row_id", "day", "rounds")
-    return folds.kalman(seen.join(games, "row_id").select("player_id", F.col("row_id").alias("event_id"), "day", F.col("day").alias("moment"), F.col("dpm").alias("y"), F.col("rounds").cast("double").alias("rounds")))
+    return levels.of_players(spark, sf_dir, {f"w_{n}": weights[f"pre_{n}"] for n in players.BETAS})
 
 
 #: A pool of arenas by game of the match, large enough for every kind of series.
@@ -116,22 +131,6 @@ def map_selection_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _selection(spark, sf_dir, "bo5_advantage")
 
 
-def _leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The four teams of the highest mean rating as seeds 0 to 3."""
-    top = ranked.elo_sides(spark, sf_dir).groupBy("team_id").agg(F.round(F.avg("rating"), 6).alias("rating")).orderBy(F.desc("rating"), "team_id").limit(4)
-    return top.select((F.row_number().over(Window.orderBy(F.desc("rating"), "team_id")) - 1).alias("seed"), "rating")
-
-
-def monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sampled title chances of the four leading teams."""
-    return models.monte_carlo(spark, [r.rating for r in _leaders(spark, sf_dir).orderBy("seed").collect()])
-
-
-def bracket_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact title chances of the four leading teams."""
-    return models.exact_bracket(_leaders(spark, sf_dir))
-
-
 def fold_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The update formula alone, on the first game of each (arena, season)."""
     games = arena.frame(spark, sf_dir, "games")
@@ -139,7 +138,7 @@ def fold_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("arena", "season", "g.game_id", F.round(rating_gain(F.lit(1000.0), F.lit(1000.0), F.col("g.winner_rounds") - F.col("g.loser_rounds")), 6).alias("gain"))
 
 
-QUERIES = {f.__name__: f for f in (elo_ratings, elo_current, player_kalman, thinned_series, ridge_weights, map_selection, map_selection_bo5, map_selection_advantage, vpm_weights, player_levels, monte_carlo, bracket_exact, fold_gain)}
+QUERIES = {f.__name__: f for f in (elo_ratings, elo_current, player_kalman, thinned_series, ridge_weights, vpm_folds, map_selection, map_selection_bo5, map_selection_advantage, vpm_weights, player_levels, fold_gain)}
 _KALMAN = """WITH numbered_stats AS MATERIALIZED (SELECT player_id, event_id, day, value AS y, CAST(kills AS DOUBLE) AS rounds, row_number() OVER (PARTITION BY player_id ORDER BY moment, event_id) AS n, greatest(1, coalesce(day - lag(day) OVER (PARTITION BY player_id ORDER BY moment, event_id), 1)) AS step FROM stats),
 ahead AS (
   SELECT DISTINCT player_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(1 AS BIGINT) AS step, CAST(0 AS DOUBLE) AS mp, CAST(0 AS DOUBLE) AS vp, CAST(0 AS DOUBLE) AS m, CAST(10 AS DOUBLE) AS v FROM numbered_stats
@@ -165,7 +164,15 @@ walk AS (
   FROM walk w JOIN points p ON p.team_id = w.team_id AND p.n = w.n + 1
 )
 SELECT team_id, game_id, played_at, rating FROM walk WHERE kept = 1"""
+_NAMES = ["1.0", *FEATURES, "y24"]
+_GRAM = f"""WITH {players.TRAINING}, rounded AS (SELECT game_id, team_id, day, {", ".join(f"round({f}, 5) AS {f}" for f in FEATURES)}, round(y24, 6) AS y24, round(weight, 6) AS weight FROM training),
+numbered_rows AS (SELECT *, row_number() OVER (ORDER BY day, game_id, team_id) AS rn FROM rounded), whole AS (SELECT count(*) AS n, CAST(floor(count(*) / 6) AS BIGINT) AS test FROM rounded),
+folded AS MATERIALIZED (SELECT r.*, CAST(CASE WHEN rn <= n - 5 * test THEN 0 ELSE 1 + floor((rn - 1 - (n - 5 * test)) / test) END AS BIGINT) AS fold FROM numbered_rows r CROSS JOIN whole)
+""" + " UNION ALL ".join(
+    f"SELECT fold, min(day) AS first_day, max(day) AS last_day, count(*) AS n, '{a.replace('1.0', '1')}' AS a, '{b.replace('1.0', '1')}' AS b, round(sum(weight * {a} * {b}), 3) AS value FROM folded GROUP BY fold"
+    for i, a in enumerate(_NAMES) for b in _NAMES[i:])
 ORACLE = {
+    "vpm_folds": arena.duck_sql(_GRAM, args={"today": 11000}),
     "player_kalman": arena.duck_sql(_KALMAN, recursive=True),
     "thinned_series": arena.duck_sql(_THIN, recursive=True),
     "map_selection": _selection_sql("bo3"),

@@ -45,21 +45,27 @@ training AS (
 _RAW = " + ".join(f"coalesce({f}, 0) * :w_{n}" for f, n in zip(_FEATURES, BETAS, strict=True))
 DPM = f"""{PRE},
 raw AS (SELECT row_id, game_id, arena, day, player_id, team_id, opponent_id, won, rounds, {_RAW} AS raw FROM pre),
-day_means AS (SELECT day, avg(raw) AS mean FROM raw GROUP BY day),
-league AS (SELECT percentile_disc(0.5) WITHIN GROUP (ORDER BY rating) AS median FROM elo_sides),
+league AS (MEDIAN_RATING),
 dpm AS (
-  SELECT r.row_id, r.game_id, r.day, r.player_id, r.team_id, r.rounds, r.raw, r.raw - m.mean AS centred,
-         r.raw - m.mean + {OPPONENT_BONUS} * (coalesce(e.rating, l.median) - l.median) / 100 + CASE WHEN r.won = 1 THEN {RESULT_BONUS} ELSE -{RESULT_BONUS} END AS dpm
-  FROM raw r JOIN day_means m ON r.day = m.day LEFT JOIN elo_sides e ON e.game_id = r.game_id AND e.team_id = r.opponent_id CROSS JOIN league l
+  SELECT r.row_id, r.game_id, r.day, r.player_id, r.team_id, r.rounds, r.raw, r.raw - avg(r.raw) OVER (PARTITION BY r.day) AS centred,
+         r.raw - avg(r.raw) OVER (PARTITION BY r.day) + {OPPONENT_BONUS} * (coalesce(e.rating, l.median) - l.median) / 100 + CASE WHEN r.won = 1 THEN {RESULT_BONUS} ELSE -{RESULT_BONUS} END AS dpm
+  FROM raw r LEFT JOIN elo_sides e ON e.game_id = r.game_id AND e.team_id = r.opponent_id CROSS JOIN league l
 )"""
-_WEIGHTS = {"w_kpr": 2.5, "w_dpr": -2.0, "w_apr": 0.8, "w_fk_att_rate": 0.3, "w_fk_win_rate": 0.4, "w_adr_pr": 0.01, "w_kast01": 1.2}
+#: The lower median of all ratings: counted by thousandths first (as many as the range
+#: of ratings has, whatever their number), so that only those of one are sorted.
+DPM = DPM.replace("MEDIAN_RATING", """
+  WITH counted AS (SELECT floor(rating * 1000) AS bin, count(*) AS n FROM elo_sides GROUP BY floor(rating * 1000)),
+  passed AS (SELECT bin, n, sum(n) OVER (ORDER BY bin ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER () AS total FROM counted),
+  holding AS (SELECT bin, floor((total + 1) / 2) - (upto - n) AS nth FROM passed WHERE upto >= floor((total + 1) / 2) AND upto - n < floor((total + 1) / 2)),
+  placed AS (SELECT e.rating, h.nth, row_number() OVER (ORDER BY e.rating) AS rn FROM elo_sides e JOIN holding h ON floor(e.rating * 1000) = h.bin)
+  SELECT rating AS median FROM placed WHERE rn = nth""")
+WEIGHTS = {"w_kpr": 2.5, "w_dpr": -2.0, "w_apr": 0.8, "w_fk_att_rate": 0.3, "w_fk_win_rate": 0.4, "w_adr_pr": 0.01, "w_kast01": 1.2}
 
 ASKED: dict[str, tuple[str, dict]] = {
     "vpm_components": (f"WITH {COMPONENTS} SELECT row_id, player_id, {', '.join(f'round({n}, 6) AS {n}' for n in BETAS)} FROM components WHERE :season IS NULL OR season = :season", {"season": None}),
     "vpm_pre_means": (f"WITH {PRE} SELECT row_id, player_id, {', '.join(f'round({f}, 6) AS {f}' for f in _FEATURES)} FROM pre", {}),
-    "vpm_training_rows": (f"WITH {TRAINING} SELECT game_id, team_id, {', '.join(f'round({f}, 5) + 0.0 AS {f}' for f in _FEATURES)}, round(y24, 6) AS y24, round(weight, 6) AS weight FROM training", {"today": 11000}),
-    "vpm_observations": (f"WITH {DPM} SELECT row_id, player_id, round(raw, 5) + 0.0 AS raw, round(centred, 5) + 0.0 AS centred, round(dpm, 5) + 0.0 AS dpm FROM dpm", _WEIGHTS),
-    "top_players": (f"WITH {DPM} SELECT player_id, round(avg(dpm), 5) AS mean_dpm, count(*) AS games FROM dpm GROUP BY player_id HAVING count(*) >= :least ORDER BY 2 DESC, 1 LIMIT {{limit}}", _WEIGHTS | {"least": 10, "limit": 25}),
+    "vpm_training_rows": (f"WITH {TRAINING} SELECT game_id, team_id, day, {', '.join(f'round({f}, 5) + 0.0 AS {f}' for f in _FEATURES)}, round(y24, 6) AS y24, round(weight, 6) AS weight FROM training", {"today": 11000}),
+    "vpm_observations": (f"WITH {DPM} SELECT row_id, player_id, round(raw, 5) + 0.0 AS raw, round(centred, 5) + 0.0 AS centred, round(dpm, 5) + 0.0 AS dpm FROM dpm", WEIGHTS),
     "team_roster": ("""WITH mine AS (SELECT g.player_id, g.role, g.played_at, g.game_id FROM player_games g JOIN teams t ON g.team_id = t.team_id WHERE t.slug = :team),
         recent AS (SELECT player_id, count(*) AS games, max(played_at) AS last_at FROM mine GROUP BY player_id ORDER BY 3 DESC, 1 LIMIT {limit}),
         uses AS (SELECT player_id, role, row_number() OVER (PARTITION BY player_id ORDER BY count(*) DESC, role) AS rn FROM mine GROUP BY player_id, role)

@@ -110,8 +110,11 @@ def ask(spark: SparkSession, sf_dir: str, name: str, elo: DataFrame | None = Non
 
 def reference(name: str, **args) -> str:
     sql, filled = _split(name, args)
-    if "elo_sides" not in sql:
-        return arena.duck_sql(sql, args=filled)
+    return joined_reference(sql, filled) if "elo_sides" in sql else arena.duck_sql(sql, args=filled)
+
+
+def joined_reference(sql: str, args: dict | None = None) -> str:
+    """A statement over ``elo_sides`` for the reference engine."""
     body = sql.strip()
     joined = REFERENCE + (",\n" + body[4:].lstrip() if body[:4].upper() == "WITH" else "\n" + body)
-    return arena.duck_sql(joined, recursive=True, args=filled)
+    return arena.duck_sql(joined, recursive=True, args=args)

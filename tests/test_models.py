@@ -1,12 +1,11 @@
-"""Ridge, folds in time, map selection, brackets and the player chain against plain versions."""
+"""Ridge, folds in time, map selection and the player chain against plain versions."""
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from skirmish import catalog
-from skirmish.operators import folds, models, queries
+from skirmish.operators import folds, levels, models, queries
 from skirmish.plans import players, ranked
 
 SF = "/root/testdata/sf0.001"
@@ -64,13 +63,6 @@ def test_selection(spark):
     assert spark.range(1).select(models.fallback_maps(F.array(F.lit("c"), F.lit("a"), F.lit("b"), F.lit("d")), "bo3").alias("m")).first().m == ["a", "b", "c"]
 
 
-def test_sampled_and_exact_brackets_agree(spark):
-    sampled = {r.team: r.champion for r in catalog.QUERIES["monte_carlo"](spark, SF).collect()}
-    exact = {r.team: r.champion for r in catalog.QUERIES["bracket_exact"](spark, SF).collect()}
-    assert sum(exact.values()) == pytest.approx(100, abs=1e-3)
-    assert all(abs(sampled[t] - exact[t]) < 2.5 for t in exact)
-
-
 def test_the_chain_of_the_player_model(spark):
     weights = {r.feature: r for r in queries.vpm_weights(spark, SF).collect()}
     assert set(weights) == {"intercept", *(f"pre_{n}" for n in players.BETAS)}
@@ -79,9 +71,19 @@ def test_the_chain_of_the_player_model(spark):
     names = [f"pre_{n}" for n in players.BETAS]
     want = plain_ridge(rows[names].to_numpy(float), rows.y24.to_numpy(float), rows.weight.to_numpy(float), weights["intercept"].alpha)
     assert [weights[n].weight for n in ("intercept", *names)] == pytest.approx(want, rel=1e-6, abs=1e-7)
-    levels = queries.player_levels(spark, SF)
-    games = ranked.arena.frame(spark, SF, "player_games")
-    assert levels.count() == games.count()
+    folds_of = spark.createDataFrame(rows).transform(lambda df: models.time_folds(df, "day", ["game_id", "team_id"])).groupBy("fold").agg(F.min("day").alias("first"), F.max("day").alias("last"), F.count("*").alias("n")).orderBy("fold").collect()
+    assert [r.n for r in folds_of[1:]] == [len(rows) // 6] * 5 and all(a.last <= b.first for a, b in zip(folds_of, folds_of[1:], strict=False))
+    # the chain with learned weights: its observations filtered by a plain loop
+    given = {f"w_{n}": weights[f"pre_{n}"].weight for n in players.BETAS}
+    seen = levels.observed(spark, SF, given).where("player_id = 5").orderBy("day", "event_id").collect()
+    got = queries.player_levels(spark, SF).where("player_id = 5").orderBy("game_num").collect()
+    m, v, before = 0.0, 10.0, seen[0].day - 1
+    for r, g in zip(seen, got, strict=True):
+        step, before = max(1, r.day - before), r.day
+        m, v = 0.995**step * m, 0.995 ** (2 * step) * v + 0.05 * step
+        k = v / (v + 24 / max(r.rounds, 1))
+        m, v = m + k * (r.y - m), (1 - k) * v
+        assert (g.kf_mean, g.kf_std, g.y) == pytest.approx((m, v**0.5, r.y), rel=1e-6, abs=1e-7)
 
 
 def test_ridge_of_the_events(spark):
@@ -108,3 +110,14 @@ def test_untimed_games_do_not_stop_the_rest(spark):
     rows = [(1, "A", 1, 10, 20, None, 13, 5), (2, "A", 1, 10, 20, 7, 13, 5)]
     games = spark.createDataFrame(rows, "game_id long, arena string, season long, winner_id long, loser_id long, played_at long, winner_rounds long, loser_rounds long")
     assert [r.game_id for r in folds.rate_games(games, gate=False).collect()] == [2]
+
+
+def test_levels_kept_by_player(spark, tmp_path):
+    kept = levels.stored(levels.of_players(spark, SF), str(tmp_path / "levels"))
+    one = levels.series(kept, [5, 12])
+    assert "folder" in one._jdf.queryExecution().executedPlan().toString() and one.select("player_id").distinct().count() == 2
+    assert levels.current(kept, least=1, limit=3).count() == 3 and levels.current(kept, until=0).count() == 0
+    assert levels.peaks(kept, after=25, limit=4).count() == 4
+    for wrong in ([], [1, 2, 3, 4, 5, 6]):
+        with pytest.raises(ValueError):
+            levels.series(kept, wrong)
