@@ -1,11 +1,13 @@
 """Tables that change: keyed writes as rewrites, versions, JSON, and page feeds.
 
 Parquet has no row updates, so each change gives the new table as a DataFrame;
-``publish`` writes it as a version and moves the pointer only when it is whole.
+``commit`` makes several of them current at once.
 """
 
 from __future__ import annotations
 
+import json
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -21,12 +23,13 @@ def inserted_new(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return inserted(old, new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti"))
 
 
-def updated(old: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """``old`` with the values of ``changes`` (one row a key) where these aren't
-    null. Rows without a change stay; changes without a row are dropped."""
+def updated(old: DataFrame, changes: DataFrame, keys: list[str], nulls: bool = False) -> DataFrame:
+    """``old`` with the values of ``changes`` (one row a key): those that aren't null, or
+    with ``nulls`` all. Rows without a change stay; changes without a row are dropped."""
     values = [c for c in changes.columns if c not in keys]
-    named = changes.select(*keys, *[F.col(c).alias(f"__new_{c}") for c in values])
-    return old.join(named, keys, "left").select(*[F.coalesce(f"__new_{c}", c).alias(c) if c in values else F.col(c) for c in old.columns])
+    named = changes.select(*keys, F.lit(True).alias("__changed"), *[F.col(c).alias(f"__new_{c}") for c in values])
+    new = lambda c: F.when(F.col("__changed"), F.col(f"__new_{c}")).otherwise(F.col(c)) if nulls else F.coalesce(f"__new_{c}", c)
+    return old.join(named, keys, "left").select(*[new(c).alias(c) if c in values else F.col(c) for c in old.columns])
 
 
 def deleted(old: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
@@ -59,20 +62,57 @@ def merged_registry(old: DataFrame, feed: DataFrame, key: str = "id") -> tuple[D
     return inserted(updated(old, now, [key]), deleted(now, old, [key])), both.where(held).select(key, "status")
 
 
-def publish(table: DataFrame, root: str) -> str:
-    """Write a version, then point to it. A reader sees the old or the new table;
-    a job that fails leaves the pointer. A table may be derived from the version
-    that it replaces."""
-    version = f"v-{uuid.uuid4().hex}"
-    table.write.parquet(f"{root}/{version}")
-    table.sparkSession.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at")).coalesce(1).write.mode("append").parquet(f"{root}/pointer")
-    return version
+class Conflict(RuntimeError):
+    """Another writer has committed since the state that a commit was based on."""
 
 
-def published(spark: SparkSession, root: str) -> DataFrame:
-    """The version last pointed to."""
-    at = spark.read.parquet(f"{root}/pointer").orderBy(F.desc("at"), F.desc("version")).first()
-    return spark.read.parquet(f"{root}/{at.version}")
+def _manifests(spark: SparkSession, root: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/manifests")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def version(spark: SparkSession, root: str) -> int:
+    """Number of the last commit; 0 before the first."""
+    fs, path = _manifests(spark, root)
+    if not fs.exists(path):
+        return 0
+    return max((int(f.getPath().getName()) for f in fs.listStatus(path) if f.getPath().getName().isdigit()), default=0)
+
+
+def commit(tables: dict[str, DataFrame], root: str, base: int | None = None) -> int:
+    """Write several tables, then make all of them current at once: the next manifest,
+    which one writer alone can create, names a folder for each table, unchanged ones
+    included. A job that dies before leaves the old set; one whose ``base`` is no longer
+    the last commit fails (``Conflict``). Tables may be derived from those they replace."""
+    spark = next(iter(tables.values())).sparkSession
+    last = version(spark, root)
+    if base is not None and base != last:
+        raise Conflict(f"{root} is at {last}, not at {base}")
+    folders = {} if not last else dict(_folders(spark, root, last))
+    for name, table in tables.items():
+        folders[name] = f"{name}-{uuid.uuid4().hex}"
+        table.write.parquet(f"{root}/{folders[name]}")
+    fs, path = _manifests(spark, root)
+    jvm = spark._jvm
+    # written aside and renamed, so that no reader sees half a manifest
+    aside = jvm.org.apache.hadoop.fs.Path(path, f"part-{uuid.uuid4().hex}")
+    out = fs.create(aside, False)
+    out.write(bytearray(json.dumps(folders).encode()))
+    out.close()
+    final = jvm.org.apache.hadoop.fs.Path(path, str(last + 1))
+    if fs.exists(final) or not fs.rename(aside, final):
+        fs.delete(aside, False)
+        raise Conflict(f"{root} has a commit {last + 1} already")
+    return last + 1
+
+
+def _folders(spark: SparkSession, root: str, number: int) -> dict[str, str]:
+    return json.loads(spark.read.text(f"{root}/manifests/{number}", wholetext=True).first()[0])
+
+
+def current(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The tables of the last commit."""
+    return {name: spark.read.parquet(f"{root}/{folder}") for name, folder in _folders(spark, root, version(spark, root)).items()}
 
 
 def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -85,6 +125,15 @@ def write_json(table: DataFrame, path: str) -> None:
     table.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share: below ``spark.checkpoint.dir``, or a
+    temporary one where all runs in one process."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+    return f"{(at or tempfile.mkdtemp(prefix='skirmish-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def links(pages: DataFrame, pattern: str = r"^/\d+/", backfill: bool = True) -> DataFrame:
     """``page_id, at, href, status, age``: links whose address fits, in page order.
     A link whose text says "completed" is completed. Without ``backfill`` links

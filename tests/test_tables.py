@@ -2,9 +2,10 @@
 
 import pytest
 
+from skirmish.functions.ratings import RatingModel
 from skirmish.operators import folds
 from skirmish.sources import tables
-from skirmish.streaming import incremental
+from skirmish.streaming import incremental, keyed
 
 GAMES = "game_id long, arena string, season long, winner_id long, loser_id long, played_at long, winner_rounds long, loser_rounds long"
 
@@ -35,12 +36,31 @@ def test_a_completed_event_waits(spark):
     assert pairs(tables.updated(now, held, ["id"]))[0] == (1, "completed")
 
 
-def test_versions_and_json(spark, tmp_path):
+def test_an_update_can_set_null(spark):
+    old = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "id long, name string, n int")
+    new = spark.createDataFrame([(2, None, 5)], "id long, name string, n int")
+    assert pairs(tables.updated(old, new, ["id"], nulls=True)) == [(1, "a", 1), (2, None, 5)]
+
+
+def test_commits_and_json(spark, tmp_path, monkeypatch):
     root = str(tmp_path / "t")
-    tables.publish(spark.createDataFrame([(1, "a")], "id long, name string"), root)
-    seen = tables.published(spark, root)
-    tables.publish(tables.inserted(seen, seen.selectExpr("id + 1 AS id", "name")), root)
-    assert pairs(tables.published(spark, root)) == [(1, "a"), (2, "a")]
+    assert tables.version(spark, root) == 0
+    first = spark.createDataFrame([(1, "a")], "id long, name string")
+    assert tables.commit({"x": first, "y": first}, root) == 1
+    seen = tables.current(spark, root)
+    assert tables.commit({"x": tables.inserted(seen["x"], seen["x"].selectExpr("id + 1 AS id", "name"))}, root, base=1) == 2
+    assert {n: pairs(t) for n, t in tables.current(spark, root).items()} == {"x": [(1, "a"), (2, "a")], "y": [(1, "a")]}
+    # a writer that started from an older state fails, and so does one that dies between two tables
+    with pytest.raises(tables.Conflict):
+        tables.commit({"x": first}, root, base=1)
+    broken = first.selectExpr("raise_error('stop') AS id", "name")
+    with pytest.raises(Exception, match="stop"):
+        tables.commit({"x": first, "y": broken}, root)
+    assert tables.version(spark, root) == 2 and tables.current(spark, root)["x"].count() == 2
+    # two that began together: the second to end finds the place taken
+    monkeypatch.setattr(tables, "version", lambda *_: 1)
+    with pytest.raises(tables.Conflict):
+        tables.commit({"x": first}, root)
     tables.write_json(spark.createDataFrame([(1, None)], "id long, name string"), str(tmp_path / "j"))
     assert pairs(tables.read_json(spark, str(tmp_path / "j"), "id long, name string")) == [(1, None)]
 
@@ -89,3 +109,31 @@ def test_daily_roles_and_merge(spark, tmp_path):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "id long, name string, at int")
     new = spark.createDataFrame([(1, "c", 2)], "id long, name string, at int")
     assert pairs(incremental.merge_latest(old, new, ["id"], ["at"])) == [(1, "c", 2), (2, "b", 1)]
+
+
+def test_keyed_state(spark, tmp_path):
+    """Restarts read only new files; late games are rated as of their time; a new season starts anew."""
+    source, store, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    first = [(1, "A", 1, 10, 20, 100, 13, 5), (3, "A", 1, 20, 10, 300, 13, 2), (7, "A", 2, 20, 10, 900, 13, 2)]
+    late = [(2, "A", 1, 10, 20, 200, 13, 8), (4, "A", 1, 10, 20, 400, 13, 0), (1, "A", 1, 10, 20, 100, 13, 5), (9, "B", 1, 10, 20, None, 13, 5)]
+    spark.createDataFrame(first, GAMES).coalesce(1).write.parquet(source)
+    keyed.rate_keyed(spark, source, store, checkpoint)
+    spark.createDataFrame(late, GAMES).coalesce(1).write.mode("append").parquet(source)
+    for _ in range(2):
+        with pytest.raises(ValueError):
+            keyed.rate_keyed(spark, source, store, checkpoint)
+    rows = keyed.rated_rows(spark, store).collect()
+    got = {r.game_id: r for r in rows}
+    whole = {r.game_id: r for r in folds.rate_games(spark.createDataFrame(first, GAMES)).collect()}
+    assert len(rows) == 5 and got[3].gain == pytest.approx(whole[3].gain) and got[7].winner_before == 1000
+    assert got[2].winner_before == pytest.approx(1000 + got[1].gain) and got[2].loser_before == pytest.approx(1000 - got[1].gain)
+    assert got[4].winner_before == pytest.approx(got[3].loser_before - got[3].gain)
+
+
+def test_models_of_ratings(spark):
+    games = spark.createDataFrame([(1, "A", 1, 10, 20, 100, 13, 5)], GAMES)
+    mild = RatingModel(k=10, start=500)
+    row = folds.rate_games(games, model=mild).first()
+    assert row.winner_before == 500 and row.gain == pytest.approx(mild.gain(500, 500, 8)) and folds.rate_games(games).first().winner_before == 1000
+    with pytest.raises(ValueError):
+        RatingModel(k=0)
