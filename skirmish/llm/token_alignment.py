@@ -44,7 +44,8 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 
 class Cutter:
-    """Splits a text where neither tokenizer has a token across.
+    """Splits a text where neither tokenizer has a token across: into words first, each
+    with the space before it, and where a word is rare into smaller units.
 
     The byte-level one ends a token wherever white space follows something else, at
     a single line end, and between a letter and a punctuation mark. The other may
@@ -64,6 +65,11 @@ class Cutter:
         if marks:
             ways.append(f"(?<={_LETTER.pattern})(?=[{re.escape(''.join(marks))}])")
         self.split = re.compile("|".join(ways) or "(?!)").split
+        self.unsafe = re.compile(f"[{_BLANK}] | [{_BLANK}]| \\Z").search if not spaced else lambda text: True
+
+    def words(self, text: str) -> list[str] | None:
+        """The text's words, where each space before one may be cut; else None."""
+        return None if self.unsafe(" " + text) else text.split(" ")
 
 
 class Tokenizers:
@@ -79,7 +85,7 @@ class Tokenizers:
         self.second = sentencepiece.SentencePieceProcessor(model_file=second)
         n = self.second.piece_size()
         plain = [i for i in range(n) if not (self.second.is_byte(i) or self.second.is_control(i) or self.second.is_unknown(i))]
-        self.units = Cutter([self.second.id_to_piece(i) for i in plain]).split
+        self.cutter = Cutter([self.second.id_to_piece(i) for i in plain])
         self.second_bytes = [bytes([int(self.second.id_to_piece(i)[3:5], 16)]) if self.second.is_byte(i) else self.second.id_to_piece(i).replace("▁", " ").encode() for i in range(n)]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         odd = [b for b in range(256) if b not in set(shown)]
@@ -111,11 +117,19 @@ def frequent(docs: DataFrame, paths: tuple[str, str]) -> list[str]:
     """The units that sampled texts hold most often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = tokenizers(*paths).units
+        cutter = tokenizers(*paths).cutter
         for b in batches:
-            c = Counter()
+            words, c = Counter(), Counter()
             for t in b.column(0).to_pylist():
-                c.update(split(" " + t))
+                whole = cutter.words(t)
+                if whole is None:
+                    c.update(cutter.split(" " + t))
+                else:
+                    words.update(whole)
+            for w, n in words.items():
+                parts = cutter.split(" " + w)
+                for u in parts if len(parts) == 1 else [" " + w, *parts]:
+                    c[u] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["unit", "n"])
 
     texts = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).where("text <> ''").select("text")
@@ -135,7 +149,10 @@ def units(docs: DataFrame, head, paths: tuple[str, str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = tokenizers(*paths)
-        common, held = set(head.value), Counter()
+        split = both.cutter.split
+        words = {u[1:] for u in head.value if u[0] == " "}
+        others = {u for u in head.value if u[0] != " "}
+        held, parts = Counter(), Counter()  # frequent words, and other frequent units
         pack = lambda u, k, n: pa.RecordBatch.from_arrays([pa.array(u, pa.string()), pa.array(k, pa.int64()), pa.array(n, pa.int64())], names=["unit", "key", "n"])
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
@@ -144,13 +161,25 @@ def units(docs: DataFrame, head, paths: tuple[str, str]) -> DataFrame:
                     if not both.exact(t):
                         unit.append(None), of.append(key), times.append(0)
                         continue
-                    for u, n in Counter(both.units(" " + t)).items():
-                        if u in common:
-                            held[u] += n
+                    rare = Counter()
+                    whole = both.cutter.words(t)
+                    if whole is None:
+                        rare.update(split(" " + t))
+                    else:
+                        held.update(whole)
+                        for w in set(whole) - words:
+                            n = held.pop(w)
+                            for u in split(" " + w):
+                                rare[u] += n
+                    for u, n in rare.items():
+                        if u in others or (u[0] == " " and u[1:] in words):
+                            parts[u] += n
                         else:
                             unit.append(u), of.append(key), times.append(n)
                 yield pack(unit, of, times)
-        yield pack(list(held), [None] * len(held), list(held.values()))
+        for w, n in held.items():
+            parts[" " + w] += n
+        yield pack(list(parts), [None] * len(parts), list(parts.values()))
 
     return docs.where("text <> ''").select("text", "key").mapInArrow(run, "unit string, key long, n long")
 
@@ -238,9 +267,10 @@ def gathered(docs: DataFrame, own: DataFrame, head, paths: tuple[str, str]) -> D
     ``own``: ``key, own``, the rows of a text's units that are not in ``head``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = tokenizers(*paths).units
+        cutter = tokenizers(*paths).cutter
         names, rows = head.value
-        place = {u: i for i, u in enumerate(names)}
+        of_word = {u[1:]: i for i, u in enumerate(names) if u[0] == " "}.get
+        place = {u: i for i, u in enumerate(names) if u[0] != " "}.get
         groups, numbers = parted(rows)
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
@@ -252,12 +282,19 @@ def gathered(docs: DataFrame, own: DataFrame, head, paths: tuple[str, str]) -> D
                         texts.append("")
                         continue
                     local = {m["unit"]: i for i, m in enumerate(mine, len(names))}
-                    found = np.array([place[u] if u in place else local[u] for u in split(" " + t)], np.int64)
-                    rare = found >= len(names)
-                    sums[row] = numbers[found[~rare]].sum(0)
+                    inside = lambda text: [i if (i := of_word(u[1:]) if u[0] == " " else place(u)) is not None else local[u] for u in cutter.split(text)]  # noqa: B023, E731
+                    words = cutter.words(t)
+                    if words is None:
+                        found = inside(" " + t)
+                    else:
+                        found = list(map(of_word, words))
+                        if None in found:
+                            found = [i for w, known in zip(words, found, strict=True) for i in ([known] if known is not None else inside(" " + w))]
                     own_groups, own_numbers = parted([m["row"] for m in mine])
-                    sums[row] += own_numbers[found[rare] - len(names)].sum(0)
-                    texts.append(";".join([groups[i] if i < len(names) else own_groups[i - len(names)] for i in found.tolist()]))
+                    where = np.array(found, np.int64)
+                    rare = where >= len(names)
+                    sums[row] = numbers[where[~rare]].sum(0) + own_numbers[where[rare] - len(names)].sum(0)
+                    texts.append(";".join([groups[i] if i < len(names) else own_groups[i - len(names)] for i in found]))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), *[pa.array(x) for x in np.ascontiguousarray(sums.T)]], names=["doc_id", "groups", *NUMBERS])
 
     rows = docs.join(own, "key", "left").select("doc_id", "text", "own")

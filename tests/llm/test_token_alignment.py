@@ -99,6 +99,12 @@ def test_no_rows(spark, nothing):
     assert token_alignment.align(nothing, A, B).count() == 0
 
 
+def test_words_only_where_each_space_may_be_cut():
+    words = token_alignment.Cutter(["ab"]).words
+    assert words("a b.\nC d") == ["a", "b.\nC", "d"]
+    assert [words(t) for t in ("a  b", " a", "a ", "a\n b", "a \tb", "a\xa0 b", "a \x1c")] == [None] * 7
+
+
 def test_cutter_keeps_pairs_of_a_piece_together():
     split = token_alignment.Cutter(["ab", "e.", "▁a"]).split
     assert split(" e.x a, b") == [" e.x", " a", ",", " b"]
