@@ -18,7 +18,7 @@ bounded by one block and one document.
 Defined cases. A null or empty text is packed as its end id alone. Repeated
 rows are packed once each, ties of ``doc_id`` in any order; null ids come
 first. Extra columns are ignored. An empty table gives no pieces. The names of
-special tokens in a text are ordinary text.
+special tokens in a text become these tokens, as the tokenizer has it.
 """
 
 from __future__ import annotations
@@ -61,7 +61,6 @@ class WordCache(dict):
 
         super().__init__()
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.model = self.whole.model
         self.pieces: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}  # lower-cased words without their punctuation
