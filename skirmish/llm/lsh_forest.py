@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import components, cut
-from .simhash import SKETCH, parity, shingle_hashes, shingle_sets, similar_pairs
+from .simhash import parity, possible, possible_pairs, shingle_hashes, shingle_sets, similar_pairs
 
 TREES, DEPTH, LEAST, REGION = 40, 6, 3, 16
 #: One-bit MinHash values of a set, and how many may differ between candidates: at a
@@ -88,14 +88,6 @@ def near(x, y, similarity: float) -> Column:
     return (F.least(x["size"], y["size"]) >= similarity * F.greatest(x["size"], y["size"]) - 1e-6) & (apart <= APART)
 
 
-def possible(x, y, similarity: float) -> Column:
-    """Whether parity sketches allow the similarity: sets of sizes m and n that have it
-    differ in ``(1 - s) / (1 + s) * (m + n)`` elements at most, and so do their sketches.
-    Nothing alike is ruled out, and of small sets hardly anything else is let through."""
-    differ = reduce(lambda a, b: a + b, (F.bit_count(F.get(x["odd"], i).bitwiseXOR(F.get(y["odd"], i))) for i in range(SKETCH // 64)))
-    return differ <= (1 - similarity) / (1 + similarity) * (x["size"] + y["size"]) + 1e-6
-
-
 def forest(classes: DataFrame, similarity: float) -> DataFrame:
     """``rep, size, s1, s2, region, large, next``: for each set and tree the sets after it
     in the tree's order that may be similar, nearest first, and the region of its
@@ -140,8 +132,7 @@ def linked(classes: DataFrame, sets_of, similarity: float) -> DataFrame:
     slim = classes.select("rep", "size", "odd")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        x, y = slim.select(F.col("rep").alias("a"), F.struct("size", "odd").alias("x")), slim.select(F.col("rep").alias("b"), F.struct("size", "odd").alias("y"))
-        likely = cut(pairs.join(x, "a").join(y, "b").where(possible(F.col("x"), F.col("y"), similarity)).select("a", "b"), "forest-pairs")
+        likely = cut(possible_pairs(pairs, slim, similarity), "forest-pairs")
         wanted = likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
         # a share of exactly the similarity counts, whatever its product rounds to
         return cut(similar_pairs(likely, sets_of(wanted), similarity - 1e-9), "forest-links", free=True)

@@ -20,11 +20,12 @@ Null ids sort below all others and are kept. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import components, cut
 
@@ -194,7 +195,7 @@ def prefixes(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
                     fps.append([int(np.uint64(majority(every)).view(np.int64))])
                     x = np.unique(every)
                     sizes.append(len(x))
-                    odd.append(parity(x))
+                    odd.append(np.frombuffer(parity(x), np.int64))
                     cold.append(len(x))
                     if len(known) and len(x):
                         i = np.minimum(np.searchsorted(known, x), len(known) - 1)
@@ -203,11 +204,11 @@ def prefixes(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
                     # texts without shingles are alike and share a key
                     keys.append((x[: len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1] if len(x) else np.zeros(1, np.uint64)).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(fps, pa.list_(pa.int64())), pa.array(odd, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(cold, pa.int32())],
+                    [b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(fps, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())), pa.array(cold, pa.int32())],
                     names=["doc_id", "same", "size", "fp", "odd", "keys", "cold"],
                 )
 
-    return texts.select("doc_id", "same", "text").mapInArrow(run, "doc_id long, same string, size int, fp array<long>, odd binary, keys array<long>, cold int")
+    return texts.select("doc_id", "same", "text").mapInArrow(run, "doc_id long, same string, size int, fp array<long>, odd array<long>, keys array<long>, cold int")
 
 
 def company(rows: DataFrame) -> DataFrame:
@@ -246,20 +247,33 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, shingles binary")
 
 
-def possible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``a, b`` that their parity sketches (``rep, size, odd``) do not rule out:
-    sets of sizes m and n of that similarity differ in ``(1 - s) / (1 + s) * (m + n)``
-    elements at most. A sketch is much smaller than a set, so few sets travel."""
+def possible(x, y, similarity: float) -> Column:
+    """Whether the parity sketches of two sets (``size, odd``) allow the similarity: sets of
+    sizes m and n that have it differ in ``(1 - s) / (1 + s) * (m + n)`` elements at most,
+    and so do their sketches. Nothing alike is ruled out, and of small sets hardly
+    anything else is let through. A sketch is much smaller than a set, so few sets travel."""
+    return _sketches_allow(x, y, similarity, SKETCH // 64)
+
+
+def _sketches_allow(x, y, similarity: float, longs: int) -> Column:
+    differ = reduce(lambda a, b: a + b, (F.bit_count(F.get(x["odd"], i).bitwiseXOR(F.get(y["odd"], i))) for i in range(longs)))
+    return differ <= (1 - similarity) / (1 + similarity) * (x["size"] + y["size"]) + 1e-6
+
+
+#: 64-bit words of a folded sketch.
+FOLDED = 8
+
+
+def folded(odd: str) -> Column:
+    """A parity sketch of fewer residues: words of the whole one, one upon the other."""
+    whole = [F.get(odd, i) for i in range(SKETCH // 64)]
+    return F.array(*[reduce(lambda a, b: a.bitwiseXOR(b), whole[i::FOLDED]) for i in range(FOLDED)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH // 8) for i in (3, 4))
-            most = (1 - similarity) / (1 + similarity) * b.column(2).to_numpy() + 1e-6
-            yield b.select(["a", "b"]).filter(pa.array(np.bitwise_count(x ^ y).sum(1) <= most))
 
-    left = sketches.select(F.col("rep").alias("a"), F.col("size").alias("m"), F.col("odd").alias("x"))
-    right = sketches.select(F.col("rep").alias("b"), F.col("size").alias("n"), F.col("odd").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("m") + F.col("n")).alias("total"), "x", "y").mapInArrow(run, "a long, b long")
+def possible_pairs(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``a, b`` that their sketches (``rep, size, odd``) do not rule out."""
+    x, y = (sketches.select(F.col("rep").alias(c), F.struct("size", "odd").alias(s)) for c, s in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").where(possible(F.col("x"), F.col("y"), similarity)).select("a", "b")
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -319,18 +333,20 @@ def similar_links(rows: DataFrame, chosen: DataFrame, shingle: int, similarity:
     ends = ends.select("key", F.explode(F.array(F.struct("centre.rep", "centre.size", "centre.at"), "low")).alias("end"))
     stars = index.join(ends, "key").where("rep <> end.rep").where(enough("size", "at", "end.size", "end.at")).select(*sort("rep", "end.rep"))
     tried = cut(stars.unionByName(prints).distinct(), "similar-stars", free=True)
-    pairs = cut(possible(tried, drawn, similarity), "similar-possible")
+    pairs = cut(possible_pairs(tried, drawn, similarity), "similar-possible")
     sets = sets_of(pairs)
     found = cut(similar_pairs(pairs, sets, similarity), "similar-star-links")
     label = components(found, "similar-components")
     named = index.join(label, F.col("rep") == F.col("id"), "left").select("key", "rep", "size", "at", F.coalesce("component", "rep").alias("part"), "before")
     mixed = named.groupBy("key").agg(F.min("part").alias("first"), F.max("part").alias("last")).where("first < last").select("key")
-    mixed = cut(named.join(mixed, "key", "left_semi"), "similar-mixed")
-    x, y = mixed.toDF("key", "a", "m", "i", "p", "s"), mixed.toDF("key", "b", "n", "j", "q", "t")
+    mixed = cut(named.join(mixed, "key", "left_semi").join(drawn.select("rep", folded("odd").alias("odd")), "rep"), "similar-mixed", free=True)
+    x, y = mixed.alias("x"), mixed.alias("y")
+    of = lambda t: {c: F.col(f"{t}.{c}") for c in ("size", "odd")}
     # a pair whose keys before this one are the same, too, meets there
-    first = ~F.coalesce(F.col("s") == F.col("t"), F.lit(False))
-    rest = x.join(y, (x.key == y.key) & (F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & first & enough("m", "i", "n", "j")).select("a", "b").distinct()
-    rest = cut(possible(rest.join(tried, ["a", "b"], "left_anti"), drawn, similarity), "similar-rest", free=True)
+    first = ~F.coalesce(F.col("x.before") == F.col("y.before"), F.lit(False))
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.part") != F.col("y.part")) & first & enough("x.size", "x.at", "y.size", "y.at")
+    rest = x.join(y, met & _sketches_allow(of("x"), of("y"), similarity, FOLDED)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    rest = cut(possible_pairs(rest.join(tried, ["a", "b"], "left_anti"), drawn, similarity), "similar-rest", free=True)
     return components(found.unionByName(similar_pairs(rest, sets.unionByName(sets_of(rest, sets)), similarity)), "similar-components")
 
 
