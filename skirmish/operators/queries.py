@@ -6,9 +6,11 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skirmish.functions.ratings import rating_gain, win_chance
-from skirmish.plans import players, ranked
+from skirmish.functions import surface
+from skirmish.functions.ratings import RatingModel, rating_gain, win_chance
+from skirmish.plans import players, ranked, vetoes
 from skirmish.plans.ranked import REFERENCE
+from skirmish.plans.series import FIELD
 from skirmish.sources import arena
 
 from . import folds, levels, models
@@ -86,10 +88,13 @@ def player_levels(spark: SparkSession, sf_dir: str, today: int = 11000) -> DataF
 POOL = "pool AS (SELECT team_id, concat(arena, CAST(game_id % 2 AS VARCHAR(20))) AS arena, avg(rating) AS rating FROM ratings GROUP BY team_id, concat(arena, CAST(game_id % 2 AS VARCHAR(20))))"
 
 
-def _selection(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """Arenas and chances of a series for every ordered pair of teams. Pairs grow
-    with the square of teams, not with games."""
-    mean = arena.run(spark, sf_dir, f"WITH {POOL} SELECT * FROM pool")
+def _selection(spark: SparkSession, sf_dir: str, kind: str, teams: list[int] | None = None) -> DataFrame:
+    """Arenas and chances of a series for every ordered pair of the teams named, or of
+    the field of sixteen (``series.FIELD``)."""
+    if teams is None:
+        mean = arena.run(spark, sf_dir, f"WITH {FIELD}, {POOL} SELECT p.* FROM pool p JOIN field f ON f.team_id = p.team_id")
+    else:
+        mean = arena.run(spark, sf_dir, f"WITH {POOL} SELECT * FROM pool").where(F.col("team_id").isin(*teams))
     other = mean.select(F.col("team_id").alias("opponent_id"), "arena", F.col("rating").alias("other"))
     pairs = mean.join(other, "arena").where("team_id <> opponent_id").groupBy("team_id", "opponent_id")
     pool = pairs.agg(F.array_sort(F.collect_list(F.struct(F.round(win_chance(F.col("rating"), F.col("other")), 9).alias("p"), "arena"))).alias("pool"))
@@ -97,8 +102,8 @@ def _selection(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return chosen.select("team_id", "opponent_id", F.array_join(F.transform("maps", lambda m: m["arena"]), ",").alias("maps"), F.round(models.series_chance(F.col("maps"), kind), 6).alias("chance"))
 
 
-def _selection_sql(kind: str) -> str:
-    """The same acts as steps of SQL, each over what the one before left."""
+def _selection_chain(kind: str, base: str) -> str:
+    """The same acts as steps of SQL over ``s0``, each over what the one before left."""
     steps, picks, left = [], [], "s0"
     for i, act in enumerate(models.SERIES[kind].split()):
         key = "0" if act == "d" else "p" if act in ("1b", "2p") else "-p"
@@ -114,21 +119,63 @@ def _selection_sql(kind: str) -> str:
     else:
         ways = [[i in won for i in range(5)] for size in (3, 4, 5) for won in combinations(range(5), size)]
         chance = " + ".join("(" + " * ".join(p[i] if w else f"(1 - {p[i]})" for i, w in enumerate(way)) + ")" for way in ways)
-    return arena.duck_sql(f"""WITH {POOL}, s0 AS (SELECT a.team_id, b.team_id AS opponent_id, a.arena, round(1 / (1 + pow(10, (b.rating - a.rating) / 1000)), 9) AS p FROM pool a JOIN pool b ON a.arena = b.arena AND a.team_id <> b.team_id),
+    return f"""{base},
         {", ".join(steps)}, taken AS (SELECT *, row_number() OVER (PARTITION BY team_id, opponent_id ORDER BY act) AS rn FROM ({" UNION ALL ".join(picks)}))
-        SELECT team_id, opponent_id, string_agg(arena, ',' ORDER BY rn) AS maps, round(CASE WHEN count(*) >= {n} THEN {chance} ELSE 0.5 END, 6) AS chance FROM taken GROUP BY team_id, opponent_id""")
+        SELECT team_id, opponent_id, string_agg(arena, ',' ORDER BY rn) AS maps, string_agg(printf('%.6f', p), ',' ORDER BY rn) AS chances, round(CASE WHEN count(*) >= {n} THEN {chance} ELSE 0.5 END, 6) AS chance FROM taken GROUP BY team_id, opponent_id"""
+
+
+def _selection_sql(kind: str) -> str:
+    base = f"""WITH {FIELD}, {POOL}, fielded AS (SELECT p.* FROM pool p JOIN field f ON f.team_id = p.team_id), s0 AS (SELECT a.team_id, b.team_id AS opponent_id, a.arena, round(1 / (1 + pow(10, (b.rating - a.rating) / 1000)), 9) AS p FROM fielded a JOIN fielded b ON a.arena = b.arena AND a.team_id <> b.team_id)"""
+    return arena.duck_sql("SELECT team_id, opponent_id, maps, chance FROM (" + _selection_chain(kind, base) + ")")
+
+
+def map_selection(spark: SparkSession, sf_dir: str, teams: list[int] | None = None) -> DataFrame:
+    return _selection(spark, sf_dir, "bo3", teams)
+
+
+def map_selection_bo5(spark: SparkSession, sf_dir: str, teams: list[int] | None = None) -> DataFrame:
+    return _selection(spark, sf_dir, "bo5", teams)
+
+
+def map_selection_advantage(spark: SparkSession, sf_dir: str, teams: list[int] | None = None) -> DataFrame:
+    return _selection(spark, sf_dir, "bo5_advantage", teams)
+
+
+def series_prediction(spark: SparkSession, sf_dir: str, team: str = "T7", opponent: str = "T8", kind: str = "bo3", arenas: list[str] | None = None, elo: DataFrame | None = None) -> DataFrame:
+    """A series of two teams over their current ratings: the arenas given, or those that
+    bans and picks leave, and the chance of ``team``. An arena in which either has no
+    rating is even, and so is a series that hasn't its number of arenas."""
+    names = arena.run(spark, sf_dir, f"WITH {vetoes.HALLS} SELECT t.team_id, t.slug, h.arena FROM teams t JOIN (SELECT DISTINCT arena FROM hall_games) h ON t.team_id IS NOT NULL").where(F.col("slug").isin(team, opponent))
+    elo = elo if elo is not None else vetoes.elo_sides(spark, sf_dir)
+    now = elo.groupBy("team_id", "arena").agg(F.max_by("rating", F.struct("played_at", "game_id")).alias("rating"))
+    rated = names.join(now, ["team_id", "arena"], "left").groupBy("arena").agg(F.max(F.when(F.col("slug") == team, F.col("rating"))).alias("own"), F.max(F.when(F.col("slug") == opponent, F.col("rating"))).alias("other"))
+    p = F.round(F.coalesce(win_chance(F.col("own"), F.col("other")), F.lit(0.5)), 9).alias("p")
+    pool = rated.select(p, "arena").groupBy().agg(F.array_sort(F.collect_list(F.struct("p", "arena"))).alias("pool"))
+    if arenas is None:
+        chosen = models.select_maps(F.col("pool"), models.SERIES[kind])
+    else:
+        chosen = F.flatten(F.transform(F.array(*map(F.lit, arenas)), lambda a: F.filter("pool", lambda x: x["arena"] == a)))
+    maps = pool.select(chosen.alias("maps"))
+    return maps.select(F.lit(team).alias("team"), F.lit(opponent).alias("opponent"), F.array_join(F.transform("maps", lambda m: m["arena"]), ",").alias("maps"), F.array_join(F.transform("maps", lambda m: F.format_number(m["p"], 6)), ",").alias("chances"), F.round(models.series_chance(F.col("maps"), kind), 6).alias("chance"))
 
 
-def map_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _selection(spark, sf_dir, "bo3")
+#: Another configuration of the rating model.
+MILD = RatingModel(k=40.0, scale=400.0, start=1500.0, margin=3.0)
 
 
-def map_selection_bo5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _selection(spark, sf_dir, "bo5")
+def elo_configured(spark: SparkSession, sf_dir: str, model: RatingModel = MILD) -> DataFrame:
+    """Every game rated by another configuration of the model."""
+    rated = folds.rate_games(arena.frame(spark, sf_dir, "games"), model=model)
+    return rated.select("game_id", *[F.round(c, 4).alias(c) for c in ("winner_before", "loser_before", "gain")])
 
 
-def map_selection_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _selection(spark, sf_dir, "bo5_advantage")
+def elo_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two configurations side by side as functions of the session."""
+    surface.register(spark, "usual_")
+    surface.register(spark, "mild_", MILD)
+    return arena.run(spark, sf_dir, """WITH p AS (SELECT game_id, CAST(max(CASE WHEN won = 1 THEN rating END) AS DOUBLE) AS w, CAST(max(CASE WHEN won = 0 THEN rating END) AS DOUBLE) AS l, CAST(max(margin) AS DOUBLE) AS ahead FROM ratings GROUP BY game_id)
+        SELECT game_id, round(usual_gain(w, l, ahead), 6) AS usual, round(mild_gain(w, l, ahead), 6) AS mild, round(usual_best_of_3(usual_chance(w, l), usual_chance(l, w), mild_chance(w, l)), 6) AS three,
+               round(usual_best_of_5(usual_chance(w, l), usual_chance(l, w), mild_chance(w, l), 0.5D, usual_chance(w, l)), 6) AS five FROM p""")
 
 
 def fold_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +185,7 @@ def fold_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("arena", "season", "g.game_id", F.round(rating_gain(F.lit(1000.0), F.lit(1000.0), F.col("g.winner_rounds") - F.col("g.loser_rounds")), 6).alias("gain"))
 
 
-QUERIES = {f.__name__: f for f in (elo_ratings, elo_current, player_kalman, thinned_series, ridge_weights, vpm_folds, map_selection, map_selection_bo5, map_selection_advantage, vpm_weights, player_levels, fold_gain)}
+QUERIES = {f.__name__: f for f in (elo_ratings, elo_current, player_kalman, thinned_series, ridge_weights, vpm_folds, map_selection, map_selection_bo5, map_selection_advantage, vpm_weights, player_levels, fold_gain, series_prediction, elo_configured, elo_functions)}
 _KALMAN = """WITH numbered_stats AS MATERIALIZED (SELECT player_id, event_id, day, value AS y, CAST(kills AS DOUBLE) AS rounds, row_number() OVER (PARTITION BY player_id ORDER BY moment, event_id) AS n, greatest(1, coalesce(day - lag(day) OVER (PARTITION BY player_id ORDER BY moment, event_id), 1)) AS step FROM stats),
 ahead AS (
   SELECT DISTINCT player_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(1 AS BIGINT) AS step, CAST(0 AS DOUBLE) AS mp, CAST(0 AS DOUBLE) AS vp, CAST(0 AS DOUBLE) AS m, CAST(10 AS DOUBLE) AS v FROM numbered_stats
@@ -155,6 +202,8 @@ back AS (
     JOIN (SELECT f.*, f.v * pow(0.995, nx.step) / greatest(nx.vp, 1e-12) AS c FROM filtered f JOIN filtered nx ON nx.player_id = f.player_id AND nx.n = f.n + 1) f ON f.player_id = b.player_id AND f.n = b.n - 1
 )
 SELECT f.player_id, f.event_id, f.n AS game_num, round(f.m, 5) AS kf_mean, round(sqrt(f.v), 5) AS kf_std, round(b.sm, 5) AS smooth_mean, round(sqrt(b.sv), 5) AS smooth_std FROM filtered f JOIN back b ON b.player_id = f.player_id AND b.n = f.n"""
+#: The filter alone.
+FILTER_SQL = arena.duck_sql(_KALMAN[: _KALMAN.index(",\nback AS (")] + " SELECT player_id, event_id, n AS game_num, round(m, 5) AS kf_mean, round(sqrt(v), 5) AS kf_std FROM filtered", recursive=True)
 _THIN = """WITH points AS MATERIALIZED (SELECT team_id, game_id, played_at, rating, row_number() OVER (PARTITION BY team_id ORDER BY played_at, game_id) AS n FROM ratings),
 walk AS (
   SELECT team_id, n, game_id, played_at, rating, 1 AS kept, played_at AS last_at, rating AS last_rating FROM points WHERE n = 1
@@ -171,7 +220,18 @@ folded AS MATERIALIZED (SELECT r.*, CAST(CASE WHEN rn <= n - 5 * test THEN 0 ELS
 """ + " UNION ALL ".join(
     f"SELECT fold, min(day) AS first_day, max(day) AS last_day, count(*) AS n, '{a.replace('1.0', '1')}' AS a, '{b.replace('1.0', '1')}' AS b, round(sum(weight * {a} * {b}), 3) AS value FROM folded GROUP BY fold"
     for i, a in enumerate(_NAMES) for b in _NAMES[i:])
+_MILD = REFERENCE.replace("74 *", "40 *").replace("5.95", "3.0").replace("/ 1000)", "/ 400)").replace("1000.0", "1500.0")
+_TWO = f"""WITH {vetoes.HALLS}, now AS (SELECT team_id, arena, rating FROM (SELECT *, row_number() OVER (PARTITION BY team_id, arena ORDER BY played_at DESC, game_id DESC) AS rn FROM elo_sides) WHERE rn = 1),
+  s0 AS (SELECT 1 AS team_id, 2 AS opponent_id, h.arena, round(coalesce(1 / (1 + pow(10, (b.rating - a.rating) / 1000)), 0.5), 9) AS p FROM (SELECT DISTINCT arena FROM hall_games) h
+    LEFT JOIN (SELECT n.* FROM now n JOIN teams t ON t.team_id = n.team_id WHERE t.slug = 'T7') a ON a.arena = h.arena LEFT JOIN (SELECT n.* FROM now n JOIN teams t ON t.team_id = n.team_id WHERE t.slug = 'T8') b ON b.arena = h.arena)"""
 ORACLE = {
+    "series_prediction": vetoes._reference(_selection_chain("bo3", _TWO).replace("SELECT team_id, opponent_id, string_agg", "SELECT 'T7' AS team, 'T8' AS opponent, string_agg")),
+    "elo_configured": arena.duck_sql(_MILD + " SELECT game_id, round(winner_before, 4) AS winner_before, round(loser_before, 4) AS loser_before, round(gain, 4) AS gain FROM rated", recursive=True),
+    "elo_functions": arena.duck_sql("""WITH p AS (SELECT game_id, max(CASE WHEN won = 1 THEN rating END) AS w, max(CASE WHEN won = 0 THEN rating END) AS l, max(margin) AS ahead FROM ratings GROUP BY game_id),
+        q AS (SELECT *, 1 / (1 + pow(10, (l - w) / 1000.0)) AS a, 1 / (1 + pow(10, (w - l) / 1000.0)) AS b, 1 / (1 + pow(10, (l - w) / 400.0)) AS c FROM p),
+        g AS (SELECT *, a * b + a * (1 - b) * c + (1 - a) * b * c AS three, a * b * c AS all3, a * b * (1 - c) + a * (1 - b) * c + (1 - a) * b * c AS two, a * (1 - b) * (1 - c) + (1 - a) * b * (1 - c) + (1 - a) * (1 - b) * c AS one FROM q)
+        SELECT game_id, round(74 * ln(5.95 * sqrt(greatest(ahead, 0) + 1)) * (1 - a), 6) AS usual, round(40 * ln(3.0 * sqrt(greatest(ahead, 0) + 1)) * (1 - c), 6) AS mild, round(three, 6) AS three,
+               round(all3 + two * (1 - 0.5 * (1 - a)) + one * 0.5 * a, 6) AS five FROM g"""),
     "vpm_folds": arena.duck_sql(_GRAM, args={"today": 11000}),
     "player_kalman": arena.duck_sql(_KALMAN, recursive=True),
     "thinned_series": arena.duck_sql(_THIN, recursive=True),

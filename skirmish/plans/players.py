@@ -61,6 +61,15 @@ DPM = DPM.replace("MEDIAN_RATING", """
   SELECT rating AS median FROM placed WHERE rn = nth""")
 WEIGHTS = {"w_kpr": 2.5, "w_dpr": -2.0, "w_apr": 0.8, "w_fk_att_rate": 0.3, "w_fk_win_rate": 0.4, "w_adr_pr": 0.01, "w_kast01": 1.2}
 
+#: Arenas of the derived games.
+ARENAS = ("AF", "AO", "NF", "NO", "RF", "RO")
+#: The team that won more games of an event's last match.
+_WINNERS = """ended AS (SELECT event_name, season, max_by(match_id, completed_at * 1000000000 + match_id) AS match_id FROM matches WHERE :season IS NULL OR season = :season GROUP BY event_name, season),
+        score AS (SELECT s.match_id, s.team_id, CAST(sum(s.won) AS BIGINT) AS won FROM sides s JOIN ended e ON e.match_id = s.match_id GROUP BY s.match_id, s.team_id),
+        top AS (SELECT match_id, team_id, won, row_number() OVER (PARTITION BY match_id ORDER BY won DESC, team_id DESC) AS rn FROM score),
+        winners AS (SELECT e.event_name, e.season, e.match_id, t.team_id AS winner_id, t.won, CASE WHEN lower(e.event_name) LIKE '%urgent%' THEN 'Champions' WHEN e.event_name LIKE '2%' THEN 'Masters' ELSE 'Domestic' END AS kind
+          FROM ended e JOIN top t ON t.match_id = e.match_id AND t.rn = 1)"""
+
 ASKED: dict[str, tuple[str, dict]] = {
     "vpm_components": (f"WITH {COMPONENTS} SELECT row_id, player_id, {', '.join(f'round({n}, 6) AS {n}' for n in BETAS)} FROM components WHERE :season IS NULL OR season = :season", {"season": None}),
     "vpm_pre_means": (f"WITH {PRE} SELECT row_id, player_id, {', '.join(f'round({f}, 6) AS {f}' for f in _FEATURES)} FROM pre", {}),
@@ -84,13 +93,10 @@ ASKED: dict[str, tuple[str, dict]] = {
         rolling AS (SELECT day, arena, sum(games) OVER (PARTITION BY arena ORDER BY day RANGE BETWEEN 30 PRECEDING AND CURRENT ROW) AS games FROM grid),
         totals AS (SELECT day, sum(games) AS total FROM rolling GROUP BY day)
         SELECT r.day, r.arena, CAST(r.games AS BIGINT) AS games, round(CAST(r.games AS DOUBLE) * 100 / nullif(t.total, 0), 2) AS share FROM rolling r JOIN totals t ON r.day = t.day""", {"since": 9862, "until": 10226}),
-    "popularity_pivot": ("""SELECT day, CAST(sum(CASE WHEN arena = 'AF' THEN 1 ELSE 0 END) AS BIGINT) AS af, CAST(sum(CASE WHEN arena = 'NO' THEN 1 ELSE 0 END) AS BIGINT) AS no_, CAST(sum(CASE WHEN arena = 'RF' THEN 1 ELSE 0 END) AS BIGINT) AS rf, count(*) AS total
-        FROM games WHERE :season IS NULL OR season = :season GROUP BY day""", {"season": None}),
-    "event_winners": ("""WITH ended AS (SELECT event_name, season, max_by(match_id, completed_at * 1000000000 + match_id) AS match_id FROM matches WHERE :season IS NULL OR season = :season GROUP BY event_name, season),
-        score AS (SELECT s.match_id, s.team_id, CAST(sum(s.won) AS BIGINT) AS won FROM sides s JOIN ended e ON e.match_id = s.match_id GROUP BY s.match_id, s.team_id),
-        top AS (SELECT match_id, team_id, won, row_number() OVER (PARTITION BY match_id ORDER BY won DESC, team_id DESC) AS rn FROM score)
-        SELECT e.event_name, e.season, e.match_id, t.team_id AS winner_id, t.won, CASE WHEN lower(e.event_name) LIKE '%urgent%' THEN 'Champions' WHEN e.event_name LIKE '2%' THEN 'Masters' ELSE 'Domestic' END AS kind
-        FROM ended e JOIN top t ON t.match_id = e.match_id AND t.rn = 1""", {"season": None}),
+    "popularity_pivot": ("SELECT day, " + ", ".join(f"CAST(sum(CASE WHEN arena = '{x}' THEN 1 ELSE 0 END) AS BIGINT) AS of_{x.lower()}" for x in ARENAS) + ", count(*) AS total FROM games WHERE :season IS NULL OR season = :season GROUP BY day", {"season": None}),
+    "event_winners": (f"""WITH {_WINNERS} SELECT event_name, season, match_id, winner_id, won, kind FROM winners""", {"season": None}),
+    "team_titles": (f"""WITH {_WINNERS} SELECT t.team, t.slug, count(CASE WHEN w.kind = 'Champions' THEN 1 END) AS champions, count(CASE WHEN w.kind = 'Masters' THEN 1 END) AS masters, count(CASE WHEN w.kind = 'Domestic' THEN 1 END) AS domestic,
+          count(CASE WHEN w.kind <> 'Domestic' THEN 1 END) AS international, count(*) AS total FROM winners w JOIN teams t ON t.team_id = w.winner_id WHERE :team IS NULL OR t.slug = :team GROUP BY t.team, t.slug""", {"season": None, "team": None}),
     "registry_listing": ("""SELECT event_name, season, min(completed_at) AS begins, max(completed_at) AS ends, count(*) AS matches, CASE WHEN max(completed_at) < :now THEN 'completed' WHEN min(completed_at) <= :now THEN 'ongoing' ELSE 'upcoming' END AS status
         FROM matches GROUP BY event_name, season ORDER BY 2 DESC, 1""", {"now": 880000000}),
     "player_search": ("""SELECT c_custkey AS player_id, c_name AS player FROM customer WHERE :term <> '' AND position(lower(:term) IN lower(c_name)) > 0 ORDER BY 2, 1 LIMIT {limit}""", {"term": "#00000001", "limit": 10}),

@@ -3,13 +3,16 @@
 Each is one statement over ``elo_sides`` (one row a side of a rated game:
 ``game_id, arena, season, played_at, team_id, opponent_id, won, before,
 rating``), the arena tables and named parameters. A null parameter means "all".
-``ask`` runs one; pass it a stored ``elo_sides`` to rate the games only once.
+``ask`` runs one; pass it a ``stored`` ``elo_sides`` to rate the games only once.
+Without one, only the games of the season and arenas asked for are rated. Peaks are
+joined back with their season, so an equal rating of another season gives no row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from skirmish.functions.ratings import DEFAULT, RatingModel
 from skirmish.operators import folds
 from skirmish.plans import players
 from skirmish.sources import arena
@@ -36,8 +39,8 @@ _LATEST = "latest AS (SELECT team_id, arena, season, rating, played_at FROM (SEL
 _PEAKS = """WITH tops AS (SELECT team_id, arena, season, {f}(rating) AS rating FROM elo_sides WHERE :season IS NULL OR season = :season GROUP BY team_id, arena, season),
     back AS (SELECT p.season, p.team_id, p.arena, p.rating, min(e.played_at) AS reached_at FROM tops p JOIN elo_sides e ON e.team_id = p.team_id AND e.arena = p.arena AND e.season = p.season AND e.rating = p.rating GROUP BY p.season, p.team_id, p.arena, p.rating)
     SELECT t.team, b.arena, b.season, round(b.rating, 4) AS rating, b.reached_at FROM back b JOIN teams t ON b.team_id = t.team_id ORDER BY round(b.rating, 4) {o}, t.team, b.arena, b.season LIMIT {n}"""
-_BY_YEAR = """WITH tops AS (SELECT team_id, arena, season, {f}(rating) AS rating FROM elo_sides GROUP BY team_id, arena, season)
-    SELECT t.team, x.arena, x.season, round(x.rating, 4) AS rating FROM (SELECT *, row_number() OVER (PARTITION BY season ORDER BY round(rating, 4) {o}, team_id, arena) AS rn FROM tops) x JOIN teams t ON x.team_id = t.team_id WHERE x.rn <= :per_year"""
+_BY_YEAR = """WITH tops AS (SELECT team_id, arena, season, rating, played_at, row_number() OVER (PARTITION BY team_id, arena, season ORDER BY round(rating, 4) {o}, played_at, game_id) AS nth FROM elo_sides)
+    SELECT t.team, x.arena, x.season, round(x.rating, 4) AS rating, x.played_at AS reached_at FROM (SELECT *, row_number() OVER (PARTITION BY season ORDER BY round(rating, 4) {o}, team_id, arena) AS rn FROM tops WHERE nth = 1) x JOIN teams t ON x.team_id = t.team_id WHERE x.rn <= :per_year"""
 _TEAMS = """SELECT t.team, x.season, x.arena, round(x.rating, 4) AS rating, x.played_at FROM (
       SELECT *, row_number() OVER (PARTITION BY team_id, season ORDER BY round(rating, 4) {o}, played_at, game_id) AS rn FROM elo_sides WHERE :season IS NULL OR season = :season) x
     JOIN teams t ON x.team_id = t.team_id WHERE x.rn = 1"""
@@ -64,8 +67,8 @@ ASKED: dict[str, tuple[str, dict]] = {
         SELECT g.team, g.arena, round(coalesce(b.rating, 1000.0), 4) AS rating FROM grid g LEFT JOIN before_it b ON b.team_id = g.team_id AND b.arena = g.arena""", {"slugs": ["T1", "T2", "T3", "T4"], "at": 870000000, "season": 1997}),
     "top_map_ratings": (_PEAKS.format(f="max", o="DESC", n="{limit}"), {"season": None, "limit": 10}),
     "worst_map_ratings": (_PEAKS.format(f="min", o="ASC", n="{limit}"), {"season": None, "limit": 10}),
-    "top_maps_by_year": (_BY_YEAR.format(f="max", o="DESC"), {"per_year": 10}),
-    "worst_maps_by_year": (_BY_YEAR.format(f="min", o="ASC"), {"per_year": 10}),
+    "top_maps_by_year": (_BY_YEAR.format(o="DESC"), {"per_year": 10}),
+    "worst_maps_by_year": (_BY_YEAR.format(o="ASC"), {"per_year": 10}),
     "elo_variances": ("""SELECT t.team, x.arena, x.season, round(x.best, 4) AS best, round(x.worst, 4) AS worst, round(x.best - x.worst, 4) AS spread FROM (
           SELECT team_id, arena, season, max(rating) AS best, min(rating) AS worst FROM elo_sides WHERE :season IS NULL OR season = :season GROUP BY team_id, arena, season) x
         JOIN teams t ON x.team_id = t.team_id ORDER BY 6 DESC, 1, 2, 3 LIMIT {limit}""", {"season": None, "limit": 10}),
@@ -82,13 +85,29 @@ ASKED: dict[str, tuple[str, dict]] = {
         FROM grid g LEFT JOIN latest l ON l.team_id = g.team_id AND l.arena = g.arena AND l.season = g.season""", {"season": None}),
     "veto_elo": ("""SELECT v.match_id, v.step, v.action, v.arena, round(w.before - l.before, 4) AS edge_before FROM veto_steps v
         JOIN elo_sides w ON w.game_id = v.match_id * 100 + v.step AND w.won = 1 JOIN elo_sides l ON l.game_id = w.game_id AND l.won = 0 WHERE :action IS NULL OR v.action = :action""", {"action": None}),
+    "team_radar": ("""WITH best AS (SELECT e.arena, t.slug, max(e.rating) AS rating FROM elo_sides e JOIN teams t ON e.team_id = t.team_id WHERE array_contains(:slugs, t.slug) AND (:season IS NULL OR e.season = :season) GROUP BY e.arena, t.slug),
+        arenas AS (SELECT DISTINCT arena FROM games), chosen AS (SELECT slug FROM teams WHERE array_contains(:slugs, slug))
+        SELECT a.arena, c.slug, round(coalesce(b.rating, 0), 4) AS rating FROM arenas a JOIN chosen c ON a.arena IS NOT NULL LEFT JOIN best b ON b.arena = a.arena AND b.slug = c.slug""", {"slugs": ["T1", "T2", "T3"], "season": None}),
     "elo_matrix": ("""SELECT t.slug, e.arena, round(min(e.rating), 4) AS rating FROM (SELECT team_id, arena, season, rating FROM (SELECT *, row_number() OVER (PARTITION BY team_id, arena, season ORDER BY played_at DESC, game_id DESC) AS rn FROM elo_sides) WHERE rn = 1) e JOIN teams t ON e.team_id = t.team_id GROUP BY t.slug, e.arena""", {}),
 }
 ASKED |= players.ASKED
 
 
-def elo_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.rated_sides(folds.rate_games(arena.frame(spark, sf_dir, "games")))
+def elo_sides(spark: SparkSession, sf_dir: str, season: int | None = None, arenas: list[str] | None = None, model: RatingModel = DEFAULT) -> DataFrame:
+    """Both sides of every rated game. A season and arenas are rated for themselves, so
+    the games of others are left out before they are dealt and sorted."""
+    games = arena.frame(spark, sf_dir, "games")
+    if season is not None:
+        games = games.where(F.col("season") == season)
+    if arenas is not None:
+        games = games.where(F.col("arena").isin(*arenas))
+    return folds.rated_sides(folds.rate_games(games, model=model))
+
+
+def stored(elo: DataFrame, path: str) -> DataFrame:
+    """Write rated sides in folders by arena and season; a question reads only its own."""
+    elo.repartition("arena", "season").write.partitionBy("arena", "season").parquet(path)
+    return elo.sparkSession.read.schema(elo.schema).parquet(path).select(*elo.columns)
 
 
 def _split(name: str, args: dict) -> tuple[str, dict]:
@@ -104,8 +123,11 @@ def _split(name: str, args: dict) -> tuple[str, dict]:
 def ask(spark: SparkSession, sf_dir: str, name: str, elo: DataFrame | None = None, **args) -> DataFrame:
     """The named question with these arguments."""
     sql, filled = _split(name, args)
-    given = {"elo_sides": elo if elo is not None else elo_sides(spark, sf_dir)} if "elo_sides" in sql else {}
-    return arena.run(spark, sf_dir, sql, args=filled, **given)
+    if "elo_sides" not in sql:
+        return arena.run(spark, sf_dir, sql, args=filled)
+    of = [filled["arena"]] if filled.get("arena") is not None else filled.get("arenas")
+    elo = elo if elo is not None else elo_sides(spark, sf_dir, filled.get("season"), of)
+    return arena.run(spark, sf_dir, sql, args=filled, elo_sides=elo)
 
 
 def reference(name: str, **args) -> str:

@@ -29,8 +29,8 @@ PLANS: dict[str, str] = {
         SELECT id AS match_id, arena, rating FROM filled WHERE kind = 1 AND rating IS NOT NULL""",
     "case_key_opponent": """SELECT g.game_id, t.team AS opponent FROM games g
         JOIN teams t ON CASE WHEN g.winner_id = 3 THEN g.loser_id ELSE g.winner_id END = t.team_id WHERE g.winner_id = 3 OR g.loser_id = 3""",
-    "self_join_opponent": """SELECT a.game_id, a.team_id, b.team_id AS opponent_id, a.rating - b.rating AS ahead FROM ratings a
-        JOIN ratings b ON a.game_id = b.game_id AND a.team_id <> b.team_id""",
+    "self_join_opponent": """WITH pairs AS (SELECT game_id, max(CASE WHEN won = 1 THEN team_id END) AS w, max(CASE WHEN won = 0 THEN team_id END) AS l, max(CASE WHEN won = 1 THEN rating END) - max(CASE WHEN won = 0 THEN rating END) AS ahead FROM ratings GROUP BY game_id)
+        SELECT game_id, w AS team_id, l AS opponent_id, ahead FROM pairs UNION ALL SELECT game_id, l, w, -ahead FROM pairs""",
     "perspective_union": "SELECT team_id, arena, count(*) AS games, CAST(sum(won) AS BIGINT) AS wins FROM sides GROUP BY team_id, arena",
     "team_map_record": """SELECT s.team_id, t.team, s.arena, CAST(sum(s.won) AS BIGINT) AS wins, CAST(sum(1 - s.won) AS BIGINT) AS losses, round(avg(s.won) * 100, 6) AS win_rate, max_by(s.rating, s.played_at * 1000000000 + s.game_id) AS rating
         FROM ratings s JOIN teams t ON s.team_id = t.team_id GROUP BY s.team_id, t.team, s.arena""",
@@ -51,7 +51,7 @@ PLANS: dict[str, str] = {
     "distinct_events_ordered": """SELECT e.event_name, coalesce(o.place, 0) AS place FROM (SELECT DISTINCT event_name FROM matches) e
         LEFT JOIN (SELECT * FROM (VALUES ('1-URGENT', 5), ('2-HIGH', 4), ('3-MEDIUM', 3), ('4-NOT SPECIFIED', 2), ('5-LOW', 1)) AS t(name, place)) o ON e.event_name = o.name ORDER BY 2 DESC, 1""",
     "teams_by_region": "SELECT region, count(*) AS teams, min(team) AS first_team, CAST(sum(CASE WHEN is_active THEN 1 ELSE 0 END) AS BIGINT) AS active FROM teams GROUP BY region",
-    "regions_of_arena": "SELECT g.arena, t.region, count(DISTINCT t.team_id) AS teams FROM games g JOIN teams t ON g.winner_id = t.team_id GROUP BY g.arena, t.region",
+    "regions_of_arena": "SELECT s.arena, t.region, count(*) AS teams FROM (SELECT DISTINCT arena, team_id FROM sides) s JOIN teams t ON s.team_id = t.team_id GROUP BY s.arena, t.region",
     "null_side_report": "SELECT v.match_id, v.step, v.action, m.event_name FROM veto_steps v JOIN matches m ON v.match_id = m.match_id WHERE v.side IS NULL AND v.action <> 'decider'",
     "tournament_winners": """SELECT m.event_name, m.season, max_by(g.winner_id, g.played_at * 1000000000 + g.game_id) AS winner_id, CASE WHEN m.event_name LIKE '1%' THEN 'Champions' WHEN m.event_name LIKE '2%' THEN 'Masters' ELSE 'Domestic' END AS kind
         FROM matches m JOIN games g ON g.match_id = m.match_id GROUP BY m.event_name, m.season""",

@@ -19,6 +19,10 @@ def _extreme(order: str) -> str:
     return f"""SELECT team_id, season, arena, rating FROM (SELECT *, row_number() OVER (PARTITION BY team_id, season ORDER BY rating {order}, played_at, game_id) AS rn FROM ratings) WHERE rn = 1 ORDER BY rating {order}, team_id, season LIMIT 25"""
 
 
+#: The field of an event: the sixteen teams of the highest mean rating. Pairs are asked
+#: of a field, since those of all teams grow with their square.
+FIELD = "field AS (SELECT team_id FROM (SELECT team_id, round(avg(rating), 6) AS mean FROM ratings GROUP BY team_id) means ORDER BY mean DESC, team_id LIMIT 16)"
+
 PLANS: dict[str, str] = {
     "win_streaks": _streaks(1),
     "lose_streaks": _streaks(0),
@@ -30,8 +34,8 @@ PLANS: dict[str, str] = {
     "worst_teams": _extreme("ASC"),
     "latest_per_group": "SELECT team_id, arena, season, rating FROM (SELECT *, row_number() OVER (PARTITION BY team_id, arena, season ORDER BY played_at DESC, game_id DESC) AS rn FROM ratings) WHERE rn = 1",
     "rating_history": "SELECT r.game_id, t.team, o.team AS opponent, r.arena, r.won, r.rating, r.played_at FROM ratings r JOIN teams t ON r.team_id = t.team_id JOIN teams o ON r.opponent_id = o.team_id",
-    "biggest_upsets": """SELECT w.game_id, w.team_id AS winner_id, l.team_id AS loser_id, abs(l.rating - w.rating) AS gap FROM ratings w JOIN ratings l ON w.game_id = l.game_id AND w.won = 1 AND l.won = 0
-        WHERE l.rating > w.rating ORDER BY gap DESC, w.game_id LIMIT 10""",
+    "biggest_upsets": """WITH pairs AS (SELECT game_id, max(CASE WHEN won = 1 THEN team_id END) AS winner_id, max(CASE WHEN won = 0 THEN team_id END) AS loser_id, max(CASE WHEN won = 0 THEN rating END) - max(CASE WHEN won = 1 THEN rating END) AS gap FROM ratings GROUP BY game_id)
+        SELECT game_id, winner_id, loser_id, gap FROM pairs WHERE gap > 0 ORDER BY gap DESC, game_id LIMIT 10""",
     "biggest_spreads": "SELECT team_id, arena, season, max(rating) - min(rating) AS spread FROM ratings GROUP BY team_id, arena, season ORDER BY spread DESC, team_id, arena, season LIMIT 10",
     "peak_players": """SELECT player_id, game_num, form FROM (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY form DESC, game_num) AS rn FROM (
           SELECT player_id, CAST(row_number() OVER (PARTITION BY player_id ORDER BY moment, event_id) AS BIGINT) AS game_num, round(avg(value) OVER (PARTITION BY player_id ORDER BY moment, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS form FROM stats) WHERE game_num >= 10) WHERE rn = 1""",
@@ -58,22 +62,23 @@ PLANS: dict[str, str] = {
     "step_series": """WITH points AS (SELECT team_id, game_id, played_at * 1000 AS moment, rating, lag(rating) OVER (PARTITION BY team_id ORDER BY played_at, game_id) AS before, lag(played_at) OVER (PARTITION BY team_id ORDER BY played_at, game_id) AS earlier FROM ratings)
         SELECT team_id, moment, rating FROM points UNION ALL SELECT team_id, moment - 1 AS moment, before AS rating FROM points WHERE before IS NOT NULL AND earlier * 1000 <> moment""",
     "win_probability": """SELECT game_id, round(1 / (1 + power(10, (lr - wr) / 1000.0)), 6) AS expected, round(74 * ln(5.95 * sqrt(greatest(margin, 0) + 1)) * (1 - 1 / (1 + power(10, (lr - wr) / 1000.0))), 6) AS delta
-        FROM (SELECT w.game_id, w.rating AS wr, l.rating AS lr, w.margin FROM ratings w JOIN ratings l ON w.game_id = l.game_id AND w.won = 1 AND l.won = 0)""",
-    "series_probability": """WITH p AS (SELECT team_id, opponent_id, max(CASE WHEN arena = 'AF' THEN q END) AS a, max(CASE WHEN arena = 'NO' THEN q END) AS b, max(CASE WHEN arena = 'RF' THEN q END) AS c FROM (
-          SELECT x.team_id, y.team_id AS opponent_id, x.arena, 1 / (1 + power(10, (y.rating - x.rating) / 1000.0)) AS q FROM
-          (SELECT team_id, arena, avg(rating) AS rating FROM ratings GROUP BY team_id, arena) x JOIN (SELECT team_id, arena, avg(rating) AS rating FROM ratings GROUP BY team_id, arena) y ON x.arena = y.arena AND x.team_id <> y.team_id) GROUP BY team_id, opponent_id)
+        FROM (SELECT game_id, max(CASE WHEN won = 1 THEN rating END) AS wr, max(CASE WHEN won = 0 THEN rating END) AS lr, max(margin) AS margin FROM ratings GROUP BY game_id)""",
+    "series_probability": f"""WITH {FIELD}, means AS (SELECT r.team_id, r.arena, avg(r.rating) AS rating FROM ratings r JOIN field f ON f.team_id = r.team_id GROUP BY r.team_id, r.arena),
+        p AS (SELECT team_id, opponent_id, max(CASE WHEN arena = 'AF' THEN q END) AS a, max(CASE WHEN arena = 'NO' THEN q END) AS b, max(CASE WHEN arena = 'RF' THEN q END) AS c FROM (
+          SELECT x.team_id, y.team_id AS opponent_id, x.arena, 1 / (1 + power(10, (y.rating - x.rating) / 1000.0)) AS q FROM means x JOIN means y ON x.arena = y.arena AND x.team_id <> y.team_id) odds GROUP BY team_id, opponent_id)
         SELECT team_id, opponent_id, round(a * b + a * (1 - b) * c + (1 - a) * b * c, 6) AS best_of_3, round(a * b * c, 6) AS clean_sweep FROM p""",
     "player_components": "SELECT event_id, player_id, round(kills / greatest(1, value), 6) AS per_round, round(kills / nullif(kills + value, 0), 6) AS duel_share FROM stats",
     "decayed_means": """WITH last_day AS (SELECT max(day) AS last FROM stats), d AS (SELECT event_id, player_id, moment, value, kills, day - last AS ago FROM stats CROSS JOIN last_day)
         SELECT event_id, player_id, round(sum(kills * value * power(0.985, -ago)) OVER w / sum(value * power(0.985, -ago)) OVER w, 6) AS pre FROM d WINDOW w AS (PARTITION BY player_id ORDER BY moment, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
-    "training_rows": """WITH side AS (SELECT game_id, team_id, CAST(sum(rating) AS DOUBLE) AS feature, max(margin) AS margin, max(day) AS day FROM ratings GROUP BY game_id, team_id)
-        SELECT a.game_id, a.team_id, a.feature - b.feature AS x, CAST(a.margin AS DOUBLE) / 24 AS y_raw, round(power(0.998, 11000 - a.day) * 24, 9) AS weight FROM side a JOIN side b ON a.game_id = b.game_id AND a.team_id <> b.team_id""",
+    "training_rows": """WITH pairs AS (SELECT game_id, max(CASE WHEN won = 1 THEN team_id END) AS w, max(CASE WHEN won = 0 THEN team_id END) AS l, CAST(max(CASE WHEN won = 1 THEN rating END) - max(CASE WHEN won = 0 THEN rating END) AS DOUBLE) AS x, max(margin) AS margin, max(day) AS day FROM ratings GROUP BY game_id),
+        both_teams AS (SELECT game_id, w AS team_id, x, margin, day FROM pairs UNION ALL SELECT game_id, l, -x, -margin, day FROM pairs)
+        SELECT game_id, team_id, x + 0.0 AS x, CAST(margin AS DOUBLE) / 24 AS y_raw, round(power(0.998, 11000 - day) * 24, 9) AS weight FROM both_teams""",
     "gram_matrix": """SELECT round(sum(w * x * x), 2) AS xx, round(sum(w * x * y), 2) AS xy, round(sum(w * x), 3) AS sx, round(sum(w * y), 3) AS sy, round(sum(w), 3) AS sw FROM (
         SELECT CAST(kills AS DOUBLE) AS x, value AS y, power(0.998, 19800 - day) AS w FROM stats)""",
     "centred_by_date": "SELECT event_id, day, round(value - avg(value) OVER (PARTITION BY day), 6) AS centred FROM stats",
     "veto_scores": """SELECT v.match_id, v.step, v.side, v.action, CAST(CASE WHEN v.action = 'pick' THEN max(o.edge) - v.edge ELSE v.edge - min(o.edge) END AS BIGINT) AS lost FROM veto_steps v
         JOIN veto_steps o ON o.match_id = v.match_id AND (o.step >= v.step OR o.side IS NULL OR o.action = 'decider') WHERE v.side IS NOT NULL AND v.action <> 'decider' GROUP BY v.match_id, v.step, v.side, v.action, v.edge""",
-    "pairwise_matrix": """WITH r AS (SELECT team_id, avg(rating) AS rating FROM ratings GROUP BY team_id)
+    "pairwise_matrix": f"""WITH {FIELD}, r AS (SELECT x.team_id, avg(x.rating) AS rating FROM ratings x JOIN field f ON f.team_id = x.team_id GROUP BY x.team_id)
         SELECT a.team_id, b.team_id AS opponent_id, round(1 / (1 + power(10, (b.rating - a.rating) / 1000.0)), 6) AS chance FROM r a JOIN r b ON a.team_id <> b.team_id""",
 }
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skirmish.operators import folds, levels, models, queries
-from skirmish.plans import players, ranked
+from skirmish.plans import players, ranked, vetoes
 
 SF = "/root/testdata/sf0.001"
 
@@ -121,3 +121,27 @@ def test_levels_kept_by_player(spark, tmp_path):
     for wrong in ([], [1, 2, 3, 4, 5, 6]):
         with pytest.raises(ValueError):
             levels.series(kept, wrong)
+
+
+def test_a_season_is_rated_alone(spark, tmp_path):
+    """A season's games are chosen before they are rated, and read alone from stored ratings."""
+    plan = ranked.ask(spark, SF, "rankings", arena="AF", season=1997)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("MapInPandas") :]
+    assert "1997" in below and "AF" in below
+    kept = ranked.stored(ranked.elo_sides(spark, SF), str(tmp_path / "elo"))
+    asked = ranked.ask(spark, SF, "rankings", elo=kept, arena="AF", season=1997)
+    assert "PartitionFilters: [" in asked._jdf.queryExecution().executedPlan().toString() and "1997" in asked._jdf.queryExecution().executedPlan().toString()
+    whole = {tuple(r) for r in ranked.ask(spark, SF, "rankings").where("season = 1997 and arena = 'AF'").collect()}
+    assert {tuple(r) for r in asked.collect()} == whole == {tuple(r) for r in ranked.ask(spark, SF, "rankings", arena="AF", season=1997).collect()}
+
+
+def test_a_series_of_two(spark):
+    elo = vetoes.elo_sides(spark, SF).cache()
+    given = queries.series_prediction(spark, SF, arenas=["H3", "H1", "H2"], elo=elo).first()
+    assert given.maps == "H3,H1,H2" and 0 < given.chance < 1
+    assert queries.series_prediction(spark, SF, arenas=["H3"], elo=elo).first().chance == 0.5
+    nobody = queries.series_prediction(spark, SF, opponent="none", elo=elo).first()
+    assert nobody.chance == 0.5 and nobody.chances == "0.500000,0.500000,0.500000"
+    five = queries.series_prediction(spark, SF, kind="bo5", elo=elo).first()
+    assert len(five.maps.split(",")) == 5
+    assert queries.map_selection(spark, SF, teams=[1, 2, 3]).count() == 6
