@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from skirmish.functions import texts
 from skirmish.operators import folds, models
+from skirmish.plans import vetoes
 from skirmish.plans.ranked import REFERENCE
-from skirmish.sources import arena, tables
+from skirmish.sources import arena, match_pages, tables
 from skirmish.streaming import incremental, keyed
 
 QUERIES: dict = {}
@@ -316,3 +317,44 @@ def latest_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Current rows after a merge of newer and older ones."""
     rows = arena.run(spark, sf_dir, "SELECT team_id, arena, rating, played_at, game_id, season FROM ratings")
     return incremental.merge_latest(rows.where("season <= 1998"), rows.where("season >= 1997"), ["team_id", "arena"], ["played_at", "game_id"]).select("team_id", "arena", "rating", "game_id")
+
+
+def _match_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every match as a page of its feed: teams, score, time, vetoes and its first game's players."""
+    steps = arena.run(spark, sf_dir, f"""WITH {vetoes.STEPS} SELECT s.match_id, s.step, CASE WHEN s.action = 'decider' THEN concat(s.map, ' remains') ELSE concat(t.slug, ' ', s.action, ' ', s.map) END AS said
+        FROM steps s LEFT JOIN teams t ON t.team_id = CASE s.side WHEN 1 THEN s.team_1 ELSE s.team_2 END""")
+    said = steps.groupBy("match_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "said"))), lambda x: x["said"]), "; ").alias("vetoes"))
+    heads = arena.run(spark, sf_dir, """WITH counted AS (SELECT match_id, count(*) AS n, CAST(sum(game_number % 2) AS BIGINT) AS won, max(CASE WHEN game_number = 1 THEN winner_id END) AS team_1, max(CASE WHEN game_number = 1 THEN loser_id END) AS team_2 FROM games GROUP BY match_id)
+        SELECT c.match_id, a.team AS team_1, b.team AS team_2, c.won, c.n, m.completed_at FROM counted c JOIN matches m ON m.match_id = c.match_id JOIN teams a ON a.team_id = c.team_1 JOIN teams b ON b.team_id = c.team_2""")
+    lines = arena.run(spark, sf_dir, "SELECT match_id, player_id, kills, deaths, adr FROM player_games WHERE game_id = match_id * 100 + 1")
+    row = F.concat(F.lit("<TR><td class=player>P"), "player_id", F.lit("<td class='number x'>"), "kills", F.lit(" (2)<td class=number>"), "deaths", F.lit("</td><td class=number>"), F.coalesce(F.col("adr").cast("string"), F.lit("&nbsp;")), F.lit("</tr>"))
+    stats = lines.groupBy("match_id").agg(F.array_join(F.array_sort(F.collect_list(row)), "").alias("stats"))
+    at = F.timestamp_seconds(F.col("completed_at") + F.col("match_id") % 1440 * 60)
+    team = lambda c: F.concat(F.lit('<a class="link team">'), F.replace(c, F.lit("#"), F.lit("&#35;")), F.lit("<br></a>"))
+    html = F.concat(
+        F.lit("<html><style>.team{}</style><!-- <b class=team>no</b> --><div>"), team("team_1"), F.lit("<span class=score> "), "won", F.lit("</span>"), team("team_2"), F.lit("<span class=score>"), F.col("n") - F.col("won"), F.lit("</span></div>"),
+        F.when(F.col("n") != 3, F.concat(F.lit("<i class=format>Bo"), "n", F.lit("</i>"))).otherwise(""), F.lit("<p class=date>"), F.date_format(at, "EEEE, MMMM d"), F.lit("</p><p class=time>\n"), F.date_format(at, "h:mm a"), F.lit("  UTC</p>"),
+        F.coalesce(F.concat(F.lit("<div class=vetoes>"), "vetoes", F.lit("</div>")), F.lit("")), F.lit("<table>"), "stats", F.lit("</table></html>"))
+    joined = heads.join(said, "match_id", "left").join(stats, "match_id")
+    return joined.select(F.col("match_id").alias("page_id"), html.alias("html"), F.year(at).alias("year"))
+
+
+@_query("""WITH counted AS (SELECT match_id, count(*) AS n, CAST(sum(game_number % 2) AS BIGINT) AS won, max(CASE WHEN game_number = 1 THEN winner_id END) AS team_1, max(CASE WHEN game_number = 1 THEN loser_id END) AS team_2 FROM games GROUP BY match_id)
+    SELECT c.match_id AS page_id, a.team AS team_1, b.team AS team_2, c.won AS score_1, c.n - c.won AS score_2, c.n AS best_of, m.completed_at + m.match_id % 1440 * 60 AS starts FROM counted c JOIN matches m ON m.match_id = c.match_id JOIN teams a ON a.team_id = c.team_1 JOIN teams b ON b.team_id = c.team_2""")
+def match_pages_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Teams, score, number of games and time of every match, read from its page."""
+    pages = _match_pages(spark, sf_dir)
+    found = match_pages.fields(pages).join(pages.select("page_id", "year"), "page_id")
+    return match_pages.matches(found, F.max("year")).withColumn("starts", F.unix_timestamp("starts"))
+
+
+@_query(f"""WITH {vetoes.STEPS} SELECT s.match_id AS page_id, s.step, CASE WHEN s.action <> 'decider' THEN t.slug END AS team, s.action, s.map FROM steps s LEFT JOIN teams t ON t.team_id = CASE s.side WHEN 1 THEN s.team_1 ELSE s.team_2 END""")
+def match_page_vetoes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steps of every veto, read from its match's page."""
+    return match_pages.vetoes(match_pages.fields(_match_pages(spark, sf_dir)))
+
+
+@_query("SELECT match_id AS page_id, concat('P', CAST(player_id AS VARCHAR)) AS player, kills, deaths, adr FROM player_games WHERE game_id = match_id * 100 + 1")
+def match_page_players(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The players' numbers of every match, read from its page."""
+    return match_pages.player_rows(match_pages.fields(_match_pages(spark, sf_dir)), ("kills", "deaths", "adr"))

@@ -1,10 +1,11 @@
 """Keyed writes, versions, JSON, page feeds and the incremental rating."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from skirmish.functions.ratings import RatingModel
 from skirmish.operators import folds
-from skirmish.sources import tables
+from skirmish.sources import match_pages, tables
 from skirmish.streaming import incremental, keyed
 
 GAMES = "game_id long, arena string, season long, winner_id long, loser_id long, played_at long, winner_rounds long, loser_rounds long"
@@ -137,3 +138,14 @@ def test_models_of_ratings(spark):
     assert row.winner_before == 500 and row.gain == pytest.approx(mild.gain(500, 500, 8)) and folds.rate_games(games).first().winner_before == 1000
     with pytest.raises(ValueError):
         RatingModel(k=0)
+
+
+def test_odd_match_pages(spark):
+    html = """<table><tr><td class="player">A&amp;B<td class=number>13 (2)<td class=number>-<td class=number>4</tr><tr><td class=player>C</table>
+      <div class="team x">One <b>of</b>\n two</div><script>var x = "<i class=team>no</i>"</script><div class=team>Two</div></p><div class=vetoes>;One of two bans Dune; nonsense; Two pick Cove ;Mire Two remains</div>"""
+    pages = spark.createDataFrame([(1, html), (2, None), (3, ""), (4, "<div class=team>alone")], "page_id long, html string")
+    found = match_pages.fields(pages).cache()
+    assert pairs(match_pages.player_rows(found)) == [(1, "A&B", 13, None, 4), (1, "C", None, None, None)]
+    assert pairs(match_pages.vetoes(found).drop("page_id")) == [(2, "One of two", "ban", "Dune"), (4, "Two", "pick", "Cove"), (5, None, "decider", "Mire Two")]
+    row = match_pages.matches(found, F.lit(2024)).collect()
+    assert [(r.page_id, r.team_1, r.team_2, r.score_1, r.best_of, r.starts) for r in row] == [(1, "One of two", "Two", 0, 3, None)]
