@@ -97,6 +97,15 @@ ASKED: dict[str, tuple[str, dict]] = {
     "event_winners": (f"""WITH {_WINNERS} SELECT event_name, season, match_id, winner_id, won, kind FROM winners""", {"season": None}),
     "team_titles": (f"""WITH {_WINNERS} SELECT t.team, t.slug, count(CASE WHEN w.kind = 'Champions' THEN 1 END) AS champions, count(CASE WHEN w.kind = 'Masters' THEN 1 END) AS masters, count(CASE WHEN w.kind = 'Domestic' THEN 1 END) AS domestic,
           count(CASE WHEN w.kind <> 'Domestic' THEN 1 END) AS international, count(*) AS total FROM winners w JOIN teams t ON t.team_id = w.winner_id WHERE :team IS NULL OR t.slug = :team GROUP BY t.team, t.slug""", {"season": None, "team": None}),
+    "compressed_series": ("""WITH spans AS (SELECT season, min(day) AS begins, max(day) AS ends FROM games GROUP BY season),
+        axis AS (SELECT season, begins, ends, coalesce(sum(ends - begins) OVER (ORDER BY season ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift FROM spans),
+        points AS (SELECT r.game_id, r.arena, r.season, r.day, r.rating, CAST(floor(r.day / 30) AS BIGINT) AS bin FROM ratings r JOIN teams t ON t.team_id = r.team_id WHERE t.slug = :team),
+        events_of AS (SELECT event_name, season, floor(completed_at / 86400 / 20) AS part, CAST(floor(min(completed_at) / 86400) AS BIGINT) AS begins, CAST(floor(max(completed_at) / 86400) AS BIGINT) AS ends, CAST(floor(min(completed_at) / 2592000) AS BIGINT) AS first_bin, CAST(floor(max(completed_at) / 2592000) AS BIGINT) AS last_bin
+          FROM matches WHERE event_name = :event GROUP BY event_name, season, floor(completed_at / 86400 / 20)),
+        bands AS (SELECT begins, ends, DAYS(first_bin, last_bin) AS bin FROM events_of),
+        hit AS (SELECT p.game_id, p.arena, min(b.begins) AS begins, max(b.ends) AS ends FROM points p JOIN bands b ON b.bin = p.bin AND p.day BETWEEN b.begins AND b.ends GROUP BY p.game_id, p.arena)
+        SELECT p.game_id, p.arena, p.rating, CAST(a.shift + p.day - a.begins AS BIGINT) AS x, CAST(a.shift + h.begins - a.begins AS BIGINT) AS band_from, CAST(a.shift + h.ends - a.begins AS BIGINT) AS band_to
+        FROM points p JOIN axis a ON a.season = p.season AND p.day BETWEEN a.begins AND a.ends LEFT JOIN hit h ON h.game_id = p.game_id AND h.arena = p.arena""", {"team": "T7", "event": "1-URGENT"}),
     "registry_listing": ("""SELECT event_name, season, min(completed_at) AS begins, max(completed_at) AS ends, count(*) AS matches, CASE WHEN max(completed_at) < :now THEN 'completed' WHEN min(completed_at) <= :now THEN 'ongoing' ELSE 'upcoming' END AS status
         FROM matches GROUP BY event_name, season ORDER BY 2 DESC, 1""", {"now": 880000000}),
     "player_search": ("""SELECT c_custkey AS player_id, c_name AS player FROM customer WHERE :term <> '' AND position(lower(:term) IN lower(c_name)) > 0 ORDER BY 2, 1 LIMIT {limit}""", {"term": "#00000001", "limit": 10}),

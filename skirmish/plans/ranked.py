@@ -88,6 +88,16 @@ ASKED: dict[str, tuple[str, dict]] = {
     "team_radar": ("""WITH best AS (SELECT e.arena, t.slug, max(e.rating) AS rating FROM elo_sides e JOIN teams t ON e.team_id = t.team_id WHERE array_contains(:slugs, t.slug) AND (:season IS NULL OR e.season = :season) GROUP BY e.arena, t.slug),
         arenas AS (SELECT DISTINCT arena FROM games), chosen AS (SELECT slug FROM teams WHERE array_contains(:slugs, slug))
         SELECT a.arena, c.slug, round(coalesce(b.rating, 0), 4) AS rating FROM arenas a JOIN chosen c ON a.arena IS NOT NULL LEFT JOIN best b ON b.arena = a.arena AND b.slug = c.slug""", {"slugs": ["T1", "T2", "T3"], "season": None}),
+    "forecast_scorecard": ("""WITH halves AS (SELECT season, floor((min(played_at) + max(played_at)) / 2) AS middle FROM games GROUP BY season),
+        latest AS (SELECT team_id, season, rating FROM (SELECT e.*, row_number() OVER (PARTITION BY e.team_id, e.arena, e.season ORDER BY e.played_at DESC, e.game_id DESC) AS rn FROM elo_sides e JOIN halves h ON h.season = e.season AND e.played_at <= h.middle) x WHERE rn = 1),
+        forecast AS (SELECT season, team_id, row_number() OVER (PARTITION BY season ORDER BY round(mean, 6) DESC, team_id) AS predicted FROM (SELECT season, team_id, avg(rating) AS mean FROM latest GROUP BY season, team_id) means),
+        results AS (SELECT season, team_id, row_number() OVER (PARTITION BY season ORDER BY ahead DESC, team_id) AS actual FROM (
+          SELECT s.season, s.team_id, sum(s.margin) AS ahead FROM sides s JOIN halves h ON h.season = s.season AND s.played_at > h.middle GROUP BY s.season, s.team_id) sums),
+        compared AS (SELECT coalesce(r.season, f.season) AS season, coalesce(r.team_id, f.team_id) AS team_id, r.actual, f.predicted FROM results r FULL JOIN forecast f ON f.season = r.season AND f.team_id = r.team_id),
+        totals AS (SELECT season, max(CASE WHEN actual = 1 THEN predicted END) AS winner_rank, max(CASE WHEN actual = 2 THEN predicted END) AS runner_up_rank, count(CASE WHEN actual <= :top AND predicted <= :top THEN 1 END) AS top_correct FROM compared GROUP BY season)
+        SELECT c.season, t.team, c.actual, coalesce(c.predicted, :unranked) AS predicted, coalesce(c.predicted, :unranked) - c.actual AS displaced,
+               CASE WHEN c.actual = c.predicted THEN 'as predicted' WHEN c.predicted < c.actual THEN 'underperformed' ELSE 'overperformed' END AS verdict, x.winner_rank, x.runner_up_rank, x.top_correct
+        FROM compared c JOIN totals x ON x.season = c.season JOIN teams t ON t.team_id = c.team_id WHERE (c.actual <= :top OR c.predicted <= :top) AND (:season IS NULL OR c.season = :season)""", {"season": None, "top": 4, "unranked": 100}),
     "elo_matrix": ("""SELECT t.slug, e.arena, round(min(e.rating), 4) AS rating FROM (SELECT team_id, arena, season, rating FROM (SELECT *, row_number() OVER (PARTITION BY team_id, arena, season ORDER BY played_at DESC, game_id DESC) AS rn FROM elo_sides) WHERE rn = 1) e JOIN teams t ON e.team_id = t.team_id GROUP BY t.slug, e.arena""", {}),
 }
 ASKED |= players.ASKED
