@@ -29,7 +29,7 @@ _NO_DISPLAY = re.compile(r"style\s*=\s*[\"'][^\"']*display\s*:\s*none|aria-hidde
 #: Class names that say what a block has or is like, not what it is.
 _STATE = re.compile(r"(?:has|with|without|no|is|show|hide)-")
 _FURNITURE = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|adverti[sz]ement|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|side-?bar|widget|related|recommend\w*|share|sharing|social|comments?|replies|disqus|respond|subscribe|newsletter|signup|login|search|pagination|pager|tags?-list|copyright|legal|toolbar|complementary|contentinfo|navigation)(?:[^a-z]|$)"
+    r"(?:^|[^a-z])(?:ads?|advert\w*|adverti[sz]ement|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|side-?bar|widget|related|recommend\w*|share|sharing|social|comments?|discussions?|replies|disqus|respond|subscribe|newsletter|signup|login|search|pagination|pager|tags?-list|copyright|legal|toolbar|complementary|contentinfo|navigation)(?:[^a-z]|$)"
 )
 _MAIN = re.compile(r"(?:^|[^a-z])(?:article|post|entry|story|main|content)(?:-?(?:body|content|text))?(?:[^a-z]|$)")
 # fixed values: HTML element names by their role
@@ -142,7 +142,8 @@ def hidden(attributes: str) -> bool:
 def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
     """``text, link density, furniture, article, heading`` of each text block."""
     out, parts = [], []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, bool, bool, bool]] = []  # and whether only a class name says furniture
+    begun = False  # the first article or main element
     inside = [0, 0]  # open elements that are furniture, and that name an article
     linked = in_link = 0
     heading = False
@@ -194,8 +195,15 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
                             break
                 else:
                     hint = " ".join(x for h in _HINT.findall(m[3] or "") for x in h.strip("\"'").lower().split() if not _STATE.match(x))
-                    furniture = name in FURNITURE_TAGS or (name not in ("body", "html", "article", "main") and bool(_FURNITURE.search(hint))) or hidden(m[3] or "")
-                    stack.append((name, furniture, name in ("article", "main") or bool(_MAIN.search(hint))))
+                    surely = name in FURNITURE_TAGS or hidden(m[3] or "")
+                    main = name in ("article", "main")
+                    if main and not begun and not surely:
+                        # what holds the page's article is its layout, whatever its classes are called
+                        begun = True
+                        inside[0] -= sum(s[3] for s in stack)
+                        stack = [(t, f and not by_name, a, False) for t, f, a, by_name in stack]
+                    by_name = not surely and not main and name not in ("body", "html") and bool(_FURNITURE.search(hint))
+                    stack.append((name, surely or by_name, main or bool(_MAIN.search(hint)), by_name))
                     inside[0] += stack[-1][1]
                     inside[1] += stack[-1][2]
     close()

@@ -145,3 +145,18 @@ def test_deep_nesting_is_read_in_proportion():
         main_text("<div>word word" * n, tree)
         took.append(time.process_time() - began)
     assert took[1] < 30 * took[0]
+
+
+def test_names_of_a_wrapper_do_not_hide_the_article():
+    tree = html_text.trained()
+    body = "<h1>The title of it</h1><p>" + "A sentence of some words that is long enough to be text. " * 3 + "</p>"
+    want = html_text.main_text(f"<article>{body}</article>", tree)
+    for name in ("wrap promo-layout", "post comments-open", "page-header-fixed", "content share-bar-left"):
+        assert html_text.main_text(f'<div class="{name}"><nav><a href="/">Home</a></nav><article>{body}</article></div>', tree) == want
+    after = '<div class="related"><article><h3>Another story</h3><p>Its first words stand here as a teaser for readers.</p></article></div>'
+    discussed = '<section id="discussion"><h2>Replies</h2><p>I think that this is a fine text, and that more of it should come.</p></section>'
+    for more in (after, discussed, f'<div class="comments">{discussed}</div>'):
+        assert html_text.main_text(f"<article>{body}</article>{more}", tree) == want
+        assert html_text.main_text(f'<div class="wrap promo-layout"><article>{body}</article>{more}</div>', tree) == want
+    hidden_part = f'<div class="promo" hidden><article>{body}</article></div>'
+    assert html_text.main_text(hidden_part, tree) == ""
