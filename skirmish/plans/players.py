@@ -108,6 +108,16 @@ ASKED: dict[str, tuple[str, dict]] = {
         FROM points p JOIN axis a ON a.season = p.season AND p.day BETWEEN a.begins AND a.ends LEFT JOIN hit h ON h.game_id = p.game_id AND h.arena = p.arena""", {"team": "T7", "event": "1-URGENT"}),
     "registry_listing": ("""SELECT event_name, season, min(completed_at) AS begins, max(completed_at) AS ends, count(*) AS matches, CASE WHEN max(completed_at) < :now THEN 'completed' WHEN min(completed_at) <= :now THEN 'ongoing' ELSE 'upcoming' END AS status
         FROM matches GROUP BY event_name, season ORDER BY 2 DESC, 1""", {"now": 880000000}),
-    "player_search": ("""SELECT c_custkey AS player_id, c_name AS player FROM customer WHERE :term <> '' AND position(lower(:term) IN lower(c_name)) > 0 ORDER BY 2, 1 LIMIT {limit}""", {"term": "#00000001", "limit": 10}),
+    "player_search": ("""SELECT c_custkey AS player_id, c_name AS player FROM customer WHERE :term <> '' AND c_name ILIKE concat('%', :term, '%') ORDER BY 2, 1 LIMIT {limit}""", {"term": "#0000_001", "limit": 10}),
+    "latest_of_players": ("""SELECT player_id, row_id, game_id, team_id, role, played_at FROM (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY played_at DESC, row_id DESC) AS rn FROM player_games WHERE :season IS NULL OR season = :season) x WHERE rn = 1""", {"season": None}),
+    "sampled_series": ("""SELECT team_id, arena, game_id, rating FROM (SELECT *, row_number() OVER (PARTITION BY team_id, arena ORDER BY played_at, game_id) AS rn, count(*) OVER (PARTITION BY team_id, arena) AS n FROM ratings) x WHERE (rn - 1) % :every = 0 OR rn = n""", {"every": 5}),
+    "issue_summary": ("""WITH issues AS (SELECT CASE WHEN v.action = 'decider' AND v.side IS NOT NULL THEN 'decider with a side' WHEN v.action <> 'decider' AND v.side IS NULL THEN 'no side' WHEN m.match_id IS NULL THEN 'no match' END AS issue, v.action, v.match_id
+          FROM veto_steps v LEFT JOIN matches m ON m.match_id = v.match_id UNION ALL SELECT 'no numbers' AS issue, role AS action, match_id FROM player_games WHERE adr IS NULL OR kast IS NULL)
+        SELECT issue, action, count(*) AS times, count(DISTINCT match_id) AS matches, min(match_id) AS first_match FROM issues WHERE issue IS NOT NULL GROUP BY issue, action""", {}),
+    "season_rollover": ("""WITH spans AS (SELECT season, min(day) AS begins, max(day) AS ends FROM games GROUP BY season), newest AS (SELECT max(season) AS season FROM spans)
+        SELECT s.season, s.begins, CASE WHEN s.season = n.season THEN CAST(:today AS BIGINT) ELSE s.ends END AS ends, 0 AS is_active FROM spans s JOIN newest n ON n.season IS NOT NULL
+        UNION ALL SELECT season + 1, CAST(:today AS BIGINT), CAST(NULL AS BIGINT), 1 FROM newest""", {"today": 10700}),
+    "games_by_month": ("""SELECT CAST(date_trunc('year', l_shipdate) AS DATE) AS season_start, CAST(extract(MONTH FROM l_shipdate) AS BIGINT) AS month_number, count(*) AS games, CAST(max(l_shipdate) + INTERVAL '30' DAY AS DATE) AS until,
+          CAST(sum(CASE WHEN l_shipdate >= date_trunc('year', l_shipdate) + INTERVAL '180' DAY THEN 1 ELSE 0 END) AS BIGINT) AS late FROM lineitem GROUP BY CAST(date_trunc('year', l_shipdate) AS DATE), CAST(extract(MONTH FROM l_shipdate) AS BIGINT)""", {}),
     "matches_between": ("""SELECT m.match_id, m.event_name, m.completed_at FROM matches m WHERE (:event IS NULL OR m.event_name = :event) AND m.completed_at BETWEEN :since AND :until""", {"event": None, "since": 820454400, "until": 852076799}),
 }

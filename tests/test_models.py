@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from skirmish.operators import folds, levels, models, queries
+from skirmish.operators import folds, levels, models, player_state, queries
 from skirmish.plans import players, ranked, vetoes
 
 SF = "/root/testdata/sf0.001"
@@ -145,3 +145,19 @@ def test_a_series_of_two(spark):
     five = queries.series_prediction(spark, SF, kind="bo5", elo=elo).first()
     assert len(five.maps.split(",")) == 5
     assert queries.map_selection(spark, SF, teams=[1, 2, 3]).count() == 6
+
+
+def test_models_are_kept_by_version(spark):
+    fit = lambda v, w: spark.createDataFrame([("intercept", 0.5, 1.0, 0.25, 3.0, v), ("pre_kpr", w, 1.0, 0.25, 3.0, v)], "feature string, weight double, alpha double, r2 double, rmse double, version string")
+    first = player_state.kept_models(None, player_state.model_row(fit("aa", 2.0)))
+    both = player_state.kept_models(first, player_state.model_row(fit("bb", 3.0)))
+    again = {r.version: r for r in player_state.kept_models(both, player_state.model_row(fit("bb", 4.0), "Rebuilt.")).collect()}
+    assert set(again) == {"aa", "bb"} and again["bb"].weights == {"intercept": 0.5, "pre_kpr": 4.0} and again["aa"].components == ["intercept", "pre_kpr"]
+    assert again["bb"].notes == "Rebuilt. cv_r2=0.250000, rmse=3.000000"
+
+
+def test_player_state_of_absent_players_stays(spark):
+    seen = spark.createDataFrame([(1, 1, 10, 10, 1.0, 24.0), (2, 2, 10, 10, 2.0, 24.0)], "player_id long, event_id long, day long, moment long, y double, rounds double")
+    _, state = player_state.filtered(seen)
+    _, later = player_state.filtered(seen.where("player_id = 1").selectExpr("player_id", "event_id + 5 AS event_id", "day + 3 AS day", "moment + 3 AS moment", "y", "rounds"), state)
+    assert {r.player_id: (r.games, r.last_day) for r in later.collect()} == {1: (2, 13), 2: (1, 10)}
