@@ -82,7 +82,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], damping: float = 0.85,
     seeds = kinds.join(F.broadcast(totals), "kind").select("kind", "host", (F.col("seed") / F.col("total")).alias("seed"))
     forward = cut(host_edges(pages), "url-edges")
     both = forward.select(F.lit("trust").alias("kind"), "src", "dst").unionByName(forward.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst")))
-    edges = both.join(both.groupBy("kind", "src").agg(F.count("*").alias("n")), ["kind", "src"]).select("kind", "src", "dst", (1 / F.col("n")).alias("weight"))
+    # every round reads them
+    edges = cut(both.join(both.groupBy("kind", "src").agg(F.count("*").alias("n")), ["kind", "src"]).select("kind", "src", "dst", (1 / F.col("n")).alias("weight")), "url-weights")
     rank = propagate(seeds, edges, damping, rounds, tolerance)
     scores = rank.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("rank")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("rank")).otherwise(0.0)).alias("distrust"))
     blocked = F.coalesce("distrust", F.lit(0.0)) > F.coalesce("trust", F.lit(0.0)) * (1 + margin)
