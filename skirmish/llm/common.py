@@ -49,6 +49,15 @@ def cut(df: DataFrame, name: str, free: bool = False, codec: str | None = None)
     return spark.read.schema(schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote and that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def with_columns_of(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; extra or clashing columns of the input go."""
     return docs.select(*names)

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import cut
+from .common import cut, discard
 
 #: Frequent units that are broadcast, at most, and their length in characters.
 HEAD, LONGEST = 300_000, 48
@@ -40,6 +41,10 @@ SAMPLED = 4
 PAIRS = 2_000_000
 
 _BLANK = "\\s\x1c-\x1f\x85\xa0"
+_EDGES = frozenset(" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f")
+#: A space that may not be cut has one of these beside it, or a blank that ASCII hasn't.
+_PAIRS = [p for c in sorted(_EDGES) for p in (c + " ", " " + c)]
+_RARE_BLANKS = [chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -65,11 +70,15 @@ class Cutter:
         if marks:
             ways.append(f"(?<={_LETTER.pattern})(?=[{re.escape(''.join(marks))}])")
         self.split = re.compile("|".join(ways) or "(?!)").split
-        self.unsafe = re.compile(f"[{_BLANK}] | [{_BLANK}]| \\Z").search if not spaced else lambda text: True
+        self.spaced = spaced
 
     def words(self, text: str) -> list[str] | None:
         """The text's words, where each space before one may be cut; else None."""
-        return None if self.unsafe(" " + text) else text.split(" ")
+        if self.spaced or text[0] in _EDGES or text[-1] in _EDGES or any(p in text for p in _PAIRS):
+            return None
+        if not text.isascii() and any(c in text for c in _RARE_BLANKS):
+            return None
+        return text.split(" ")
 
 
 class Tokenizers:
@@ -138,14 +147,17 @@ def frequent(docs: DataFrame, paths: tuple[str, str]) -> list[str]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows by a hash of id and text. Should two share it, each finds its own units and
-    some of the other's, which it never asks for."""
-    return docs.select("doc_id", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("key"))
+    """Rows by 96 bits of hashes of id and text: the 64 of ``key``, and 32 that stand above
+    each place (``mark``), so that rows of one key are told apart. Repeated rows are alike."""
+    row = [F.col("doc_id").cast("string"), F.col("text")]
+    return docs.select("doc_id", "text", F.xxhash64(*row).alias("key"), F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.lit(1), *row), 33), 32).alias("mark"))
 
 
 def units(docs: DataFrame, head, paths: tuple[str, str]) -> DataFrame:
-    """``unit, key, n``: how often each text holds a unit; frequent ones once a task,
-    without a key. A text that has no tokens has one row without a unit."""
+    """``unit, key, at, n``: how often each text holds a unit, and its place among the text's
+    units that aren't frequent, in alphabetical order from 1 on, added to the text's mark;
+    frequent ones once a task, without a key. A text that has no tokens has one row
+    without a unit, at 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = tokenizers(*paths)
@@ -153,13 +165,13 @@ def units(docs: DataFrame, head, paths: tuple[str, str]) -> DataFrame:
         words = {u[1:] for u in head.value if u[0] == " "}
         others = {u for u in head.value if u[0] != " "}
         held, parts = Counter(), Counter()  # frequent words, and other frequent units
-        pack = lambda u, k, n: pa.RecordBatch.from_arrays([pa.array(u, pa.string()), pa.array(k, pa.int64()), pa.array(n, pa.int64())], names=["unit", "key", "n"])
+        pack = lambda u, k, a, n: pa.RecordBatch.from_arrays([pa.array(u, pa.string()), pa.array(k, pa.int64()), pa.array(a, pa.int64()), pa.array(n, pa.int64())], names=["unit", "key", "at", "n"])
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
-                unit, of, times = [], [], []
-                for t, key in zip(batch.column(0)[at : at + 200].to_pylist(), batch.column(1)[at : at + 200].to_pylist(), strict=True):
+                unit, of, place, times = [], [], [], []
+                for t, key, mark in zip(*[batch.column(i)[at : at + 200].to_pylist() for i in range(3)], strict=True):
                     if not both.exact(t):
-                        unit.append(None), of.append(key), times.append(0)
+                        unit.append(None), of.append(key), place.append(mark), times.append(0)
                         continue
                     rare = Counter()
                     whole = both.cutter.words(t)
@@ -171,17 +183,23 @@ def units(docs: DataFrame, head, paths: tuple[str, str]) -> DataFrame:
                             n = held.pop(w)
                             for u in split(" " + w):
                                 rare[u] += n
+                    own = []
                     for u, n in rare.items():
                         if u in others or (u[0] == " " and u[1:] in words):
                             parts[u] += n
                         else:
-                            unit.append(u), of.append(key), times.append(n)
-                yield pack(unit, of, times)
+                            own.append(u)
+                    own.sort()
+                    unit += own
+                    of += [key] * len(own)
+                    place += range(mark + 1, mark + 1 + len(own))
+                    times += [rare[u] for u in own]
+                yield pack(unit, of, place, times)
         for w, n in held.items():
             parts[" " + w] += n
-        yield pack(list(parts), [None] * len(parts), list(parts.values()))
+        yield pack(list(parts), [None] * len(parts), [None] * len(parts), list(parts.values()))
 
-    return docs.where("text <> ''").select("text", "key").mapInArrow(run, "unit string, key long, n long")
+    return docs.where("text <> ''").select("text", "key", "mark").mapInArrow(run, "unit string, key long, at long, n long")
 
 
 def encoded(vocabulary: DataFrame, paths: tuple[str, str]) -> DataFrame:
@@ -245,60 +263,87 @@ def pair_counts(units_of: DataFrame) -> DataFrame:
 
 
 def valued(units_of: DataFrame, counts: DataFrame) -> DataFrame:
-    """``unit, row``: each unit's groups and what its links are worth, as one text that
-    is small to ship."""
+    """``unit, groups`` and the numbers of each unit: its tokens, groups and links, and
+    what its links are worth."""
     found = units_of.select("unit", F.explode("links").alias("l")).join(counts, (F.col("l.a") == F.col("a")) & (F.col("l.b") == F.col("b")))
     worth = found.groupBy("unit").agg(F.count("*").alias("n_links"), F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
-    return units_of.join(worth, "unit").select("unit", F.concat_ws(" ", "groups", *NUMBERS).alias("row"))
+    return units_of.join(worth, "unit").select("unit", "groups", *[F.col(c).cast("long").alias(c) for c in NUMBERS])
 
 
 #: What is summed over the units of a text.
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
-def parted(rows: list[str]) -> tuple[list[str], np.ndarray]:
-    """The groups and the numbers of unit rows."""
-    parts = [r.split(" ") for r in rows]
-    return [p[0] for p in parts], np.array([p[1:] for p in parts], np.int64).reshape(-1, len(NUMBERS))
+class Head:
+    """The frequent units of a worker, by word and otherwise, made once for all its tasks."""
+
+    made: tuple[str, Head] | None = None
+
+    def __init__(self, names: list[str], groups: list[str], numbers: np.ndarray) -> None:
+        self.groups, self.numbers = groups, numbers
+        self.of_word = {u[1:]: i for i, u in enumerate(names) if u[0] == " "}.get
+        self.other = {u: i for i, u in enumerate(names) if u[0] != " "}.get
+
+    @classmethod
+    def of(cls, held: tuple) -> Head:
+        if cls.made is None or cls.made[0] != held[0]:
+            cls.made = (held[0], cls(*held[1:]))
+        return cls.made[1]
 
 
 def gathered(docs: DataFrame, own: DataFrame, head, paths: tuple[str, str]) -> DataFrame:
     """A row for each text: its units' groups in order, and their numbers summed.
-    ``own``: ``key, own``, the rows of a text's units that are not in ``head``."""
+    ``own``: the rows of a text's units that are not in ``head``, by their place and mark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = tokenizers(*paths).cutter
-        names, rows = head.value
-        of_word = {u[1:]: i for i, u in enumerate(names) if u[0] == " "}.get
-        place = {u: i for i, u in enumerate(names) if u[0] != " "}.get
-        groups, numbers = parted(rows)
+        known = Head.of(head.value)
+        of_word, other, groups = known.of_word, known.other, known.groups
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 b = batch.slice(at, 100)
                 texts, sums = [], np.zeros((b.num_rows, len(NUMBERS)), np.int64)
-                for row, (t, mine) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                    mine = mine or []
-                    if not t or any(m["unit"] is None for m in mine):
+                lists = b.column(2)
+                ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+                places, strings, *numbers = lists.flatten().flatten()
+                places, strings, numbers = places.to_numpy(zero_copy_only=False), strings.to_pylist(), np.stack([x.to_numpy(zero_copy_only=False) for x in numbers], axis=1).astype(np.int64)
+                for row, (t, mark) in enumerate(zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                    span = slice(int(ends[row - 1]) if row else 0, int(ends[row]))
+                    mine, first = np.unique(places[span].astype(np.int64) - mark, return_index=True)
+                    fits = (mine >= 0) & (mine < 1 << 32)  # rows of another text with this key are not its own
+                    mine, first = mine[fits], first[fits] + span.start
+                    if not t or (len(mine) and mine[0] == 0):
                         texts.append("")
                         continue
-                    local = {m["unit"]: i for i, m in enumerate(mine, len(names))}
-                    inside = lambda text: [i if (i := of_word(u[1:]) if u[0] == " " else place(u)) is not None else local[u] for u in cutter.split(text)]  # noqa: B023, E731
                     words = cutter.words(t)
-                    if words is None:
-                        found = inside(" " + t)
+                    found = [None] if words is None else list(map(of_word, words))
+                    unknown = set()
+                    if None in found:
+                        pairs = [(" " + t, None)] if words is None else zip(words, found, strict=True)
+                        mixed = []
+                        for w, i in pairs:
+                            if i is not None:
+                                mixed.append(i)
+                                continue
+                            for u in cutter.split(" " + w if words is not None else w):
+                                j = of_word(u[1:]) if u[0] == " " else other(u)
+                                if j is None:
+                                    unknown.add(u)
+                                mixed.append(u if j is None else j)
+                        found = mixed
+                    if unknown:
+                        rare = {u: strings[i] for u, i in zip(sorted(unknown), first.tolist(), strict=True)}
+                        texts.append(";".join([rare[i] if i in rare else groups[i] for i in found]))
+                        found = [i for i in found if i not in rare]
                     else:
-                        found = list(map(of_word, words))
-                        if None in found:
-                            found = [i for w, known in zip(words, found, strict=True) for i in ([known] if known is not None else inside(" " + w))]
-                    own_groups, own_numbers = parted([m["row"] for m in mine])
-                    where = np.array(found, np.int64)
-                    rare = where >= len(names)
-                    sums[row] = numbers[where[~rare]].sum(0) + own_numbers[where[rare] - len(names)].sum(0)
-                    texts.append(";".join([groups[i] if i < len(names) else own_groups[i - len(names)] for i in found]))
+                        texts.append(";".join([groups[i] for i in found]))
+                    sums[row] = known.numbers[np.array(found, np.int64)].sum(0) + numbers[first].sum(0)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), *[pa.array(x) for x in np.ascontiguousarray(sums.T)]], names=["doc_id", "groups", *NUMBERS])
 
-    rows = docs.join(own, "key", "left").select("doc_id", "text", "own")
-    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, groups string, " + ", ".join(f"{c} long" for c in NUMBERS))
+    void = F.array().cast("array<struct<at:long,groups:string," + ",".join(f"{c}:long" for c in NUMBERS) + ">>")
+    rows = docs.join(own, "key", "left").select("doc_id", "text", F.coalesce("own", void).alias("own"), "mark")
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, groups string, " + ", ".join(f"{c} long" for c in NUMBERS)
+    return rows.mapInArrow(run, schema)
 
 
 def align(docs: DataFrame, first: str, second: str) -> DataFrame:
@@ -319,9 +364,13 @@ def align(docs: DataFrame, first: str, second: str) -> DataFrame:
     if counts.count() <= PAIRS:
         counts = F.broadcast(counts)
     table = valued(units_of.where("common"), counts).toArrow()
-    head = spark.sparkContext.broadcast((table["unit"].to_pylist(), table["row"].to_pylist()))
-    rare = held.where("key is not null").select("unit", "key")
-    own = rare.where("unit is not null").join(valued(units_of.where("not common"), counts), "unit").select("key", "unit", "row")
-    void = rare.where("unit is null").select("key", "unit", F.lit("").alias("row"))
-    own = own.unionByName(void).groupBy("key").agg(F.collect_list(F.struct("unit", "row")).alias("own"))
+    numbers = np.stack([table[c].to_numpy() for c in NUMBERS], axis=1).astype(np.int64) if table.num_rows else np.zeros((0, len(NUMBERS)), np.int64)
+    head = spark.sparkContext.broadcast((uuid.uuid4().hex, table["unit"].to_pylist(), table["groups"].to_pylist(), numbers))
+    rare = held.where("key is not null")
+    times = [(F.col(c) * F.col("n")).alias(c) for c in NUMBERS]
+    own = rare.where("unit is not null").join(valued(units_of.where("not common"), counts), "unit").select("key", "at", "groups", *times)
+    void = rare.where("unit is null").select("key", "at", F.lit("").alias("groups"), *[F.lit(0).cast("long").alias(c) for c in NUMBERS])
+    rows = cut(own.unionByName(void), "align-own", free=True, codec="zstd")
+    discard(held, tokens, units_of)
+    own = rows.groupBy("key").agg(F.collect_list(F.struct("at", "groups", *NUMBERS)).alias("own"))
     return gathered(keyed, own, head, paths)
