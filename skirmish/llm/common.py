@@ -58,6 +58,13 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def by_key(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join by key that is never broadcast. Spark takes a table for
+    as large as its compressed files, and for no larger once arrays in it are exploded, so
+    it would gather millions of rows on the driver for a few megabytes that it expects."""
+    return df.hint("merge")
+
+
 def with_columns_of(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; extra or clashing columns of the input go."""
     return docs.select(*names)
@@ -74,11 +81,11 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 60)
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large star: every larger neighbour of a node moves to the smallest of node and neighbours
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(by_key(low), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: a node and its smaller neighbours move to the smallest of these
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         pair = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
-        small = large.join(low, "a").select(F.explode(pair).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        small = large.join(by_key(low), "a").select(F.explode(pair).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         now = cut(small, name)
         total = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if total == before:

@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import components, cut
+from .common import by_key, components, cut
 
 #: Rows of one signature bucket that are compared directly; a larger bucket is first cut by the bits outside its segment (``links``).
 DIRECT_BUCKET = 64
@@ -107,11 +107,11 @@ def links(classes: DataFrame, radius: int, per_word: int = 2) -> DataFrame:
     width = 64 // per_word
     index = _variants(classes, width, per_word)
     sizes = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    found = cut(index.join(sizes, "key").join(classes, "rep"), "simhash-buckets")
+    found = cut(index.join(by_key(sizes), "key").join(by_key(classes), "rep"), "simhash-buckets")
 
     def pairs(rows: DataFrame, on: list[str]) -> DataFrame:
         left, right = rows.select(*on, F.col("rep").alias("a"), F.col("fp").alias("fa")), rows.select(*on, F.col("rep").alias("b"), F.col("fp").alias("fb"))
-        return left.join(right, on).where("a < b").where(distance("fa", "fb", 1) <= radius).select("a", "b")
+        return left.join(by_key(right), on).where("a < b").where(distance("fa", "fb", 1) <= radius).select("a", "b")
 
     small, large = found.where(F.col("n") <= DIRECT_BUCKET), found.where(F.col("n") > DIRECT_BUCKET)
     near = pairs(small, ["key"])
@@ -139,8 +139,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: in
     prints = cut(fingerprints(docs, shingle, (seed,)), "simhash-prints")
     classes = cut(classes_of(prints), "simhash-classes")
     linked = components(links(classes, radius, max(1, (radius + 2) // 2)), "simhash-links")
-    labelled = classes.join(linked, classes.rep == linked.id, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(labelled, "fp").select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
+    labelled = classes.join(by_key(linked), classes.rep == linked.id, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(by_key(labelled), "fp").select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: Share of texts, one in so many, whose shingles are counted to tell frequent ones.

@@ -3,8 +3,8 @@ import random
 import numpy as np
 import xxhash
 
-from skirmish.llm import simhash
-from skirmish.llm.common import components
+from skirmish.llm import common, simhash
+from skirmish.llm.common import components, cut
 from skirmish.llm.queries import QUERIES
 from tests.llm.conftest import SF, table
 
@@ -121,3 +121,20 @@ def test_similar_classes_lose_no_pair_in_large_buckets(spark):
     want = grouped(list(sets), [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
     got = {x.doc_id: x.component_id for x in simhash.similar_classes(table(spark, rows)).collect()}
     assert got == want
+
+
+def test_nothing_exploded_is_broadcast(spark, monkeypatch):
+    """Tables of a few megabytes on disk, and what is exploded from them, are not gathered on the driver."""
+    plans = []
+
+    def seen(df, name, **how):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, name, **how)
+
+    monkeypatch.setattr(simhash, "cut", seen)
+    monkeypatch.setattr(common, "cut", seen)
+    rows = [(i, f"a b c d e f g {i % 7}") for i in range(40)]
+    out = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    joined = [p for p in plans if "Join" in p]
+    assert len(joined) >= 3 and not any("Broadcast" in p for p in joined)
