@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skirmish.llm.common import cut
+from skirmish.llm.common import by_key, cut
 from skirmish.llm.mixing import mix
 from skirmish.llm.packing import pack
 from skirmish.llm.quality_crf import learned, scored
@@ -58,7 +58,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = similar_classes(docs).where("first and doc_id is not null").select("doc_id", "same").distinct()
     hidden = _hidden(docs)
     named = hidden.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("same", F.md5(F.coalesce("text", F.lit(""))))
-    return _shown(named.join(kept, ["doc_id", "same"], "left_semi").dropDuplicates(["doc_id", "same"]), docs).unionByName(docs.where("doc_id is null"))
+    return _shown(named.join(by_key(kept), ["doc_id", "same"], "left_semi").dropDuplicates(["doc_id", "same"]), docs).unionByName(docs.where("doc_id is null"))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

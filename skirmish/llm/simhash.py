@@ -273,7 +273,7 @@ def folded(odd: str) -> Column:
 def possible_pairs(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``a, b`` that their sketches (``rep, size, odd``) do not rule out."""
     x, y = (sketches.select(F.col("rep").alias(c), F.struct("size", "odd").alias(s)) for c, s in (("a", "x"), ("b", "y")))
-    return pairs.join(x, "a").join(y, "b").where(possible(F.col("x"), F.col("y"), similarity)).select("a", "b")
+    return pairs.join(by_key(x), "a").join(by_key(y), "b").where(possible(F.col("x"), F.col("y"), similarity)).select("a", "b")
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -292,7 +292,7 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
 
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(by_key(left), "a").join(by_key(right), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def similar_links(rows: DataFrame, chosen: DataFrame, shingle: int, similarity: float, radius: int = 3) -> DataFrame:
@@ -307,7 +307,7 @@ def similar_links(rows: DataFrame, chosen: DataFrame, shingle: int, similarity:
     too. So a group of near copies costs rows in proportion, and no link is left
     out."""
     # texts are long, so only their keys are joined to numbers
-    drawn = cut(prefixes(rows, shingle, similarity).dropDuplicates(["doc_id", "same"]).join(chosen, ["doc_id", "same"]).select("rep", "size", "fp", "odd", "keys", "cold"), "similar-prefixes", free=True)
+    drawn = cut(prefixes(rows, shingle, similarity).dropDuplicates(["doc_id", "same"]).join(by_key(chosen), ["doc_id", "same"]).select("rep", "size", "fp", "odd", "keys", "cold"), "similar-prefixes", free=True)
     salt = F.when(F.col("at") >= F.col("cold"), 1 + F.pmod("rep", F.lit(64))).otherwise(F.lit(0)).cast("int")
     placed = drawn.select("rep", "size", "cold", F.posexplode("keys").alias("at", "key")).select("rep", "size", "at", "key", salt.alias("salt"))
     before = F.lag("key").over(Window.partitionBy("rep").orderBy("at"))
@@ -320,33 +320,33 @@ def similar_links(rows: DataFrame, chosen: DataFrame, shingle: int, similarity:
     def sets_of(pairs: DataFrame, but: DataFrame | None = None) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
         if but is not None:
-            wanted = wanted.join(but.select(F.col("id").alias("rep")), "rep", "left_anti")
-        named = cut(chosen.join(wanted, "rep", "left_semi"), "similar-wanted")
+            wanted = wanted.join(by_key(but.select(F.col("id").alias("rep"))), "rep", "left_anti")
+        named = cut(chosen.join(by_key(wanted), "rep", "left_semi"), "similar-wanted")
         # repeated rows meet by this join's keys already
-        return cut(shingle_sets(rows.join(named, ["doc_id", "same"]).dropDuplicates(["doc_id", "same"]).select("rep", "text"), shingle), "similar-sets", free=True)
+        return cut(shingle_sets(rows.join(by_key(named), ["doc_id", "same"]).dropDuplicates(["doc_id", "same"]).select("rep", "text"), shingle), "similar-sets", free=True)
 
     sort = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     classes = cut(drawn.groupBy("fp").agg(F.min("rep").alias("rep")), "similar-prints")
-    equal = drawn.select("rep", "fp").join(classes.withColumnRenamed("rep", "head"), "fp").where("rep <> head").select(*sort("rep", "head"))
+    equal = drawn.select("rep", "fp").join(by_key(classes.withColumnRenamed("rep", "head")), "fp").where("rep <> head").select(*sort("rep", "head"))
     prints = links(classes, radius, max(1, (radius + 2) // 2)).unionByName(equal)
     ends = index.groupBy("key").agg(F.min(F.struct("at", "size", "rep")).alias("centre"), F.min(F.struct("rep", "size", "at")).alias("low"))
     ends = ends.select("key", F.explode(F.array(F.struct("centre.rep", "centre.size", "centre.at"), "low")).alias("end"))
-    stars = index.join(ends, "key").where("rep <> end.rep").where(enough("size", "at", "end.size", "end.at")).select(*sort("rep", "end.rep"))
+    stars = index.join(by_key(ends), "key").where("rep <> end.rep").where(enough("size", "at", "end.size", "end.at")).select(*sort("rep", "end.rep"))
     tried = cut(stars.unionByName(prints).distinct(), "similar-stars", free=True)
     pairs = cut(possible_pairs(tried, drawn, similarity), "similar-possible")
     sets = sets_of(pairs)
     found = cut(similar_pairs(pairs, sets, similarity), "similar-star-links")
     label = components(found, "similar-components")
-    named = index.join(label, F.col("rep") == F.col("id"), "left").select("key", "rep", "size", "at", F.coalesce("component", "rep").alias("part"), "before")
+    named = index.join(by_key(label), F.col("rep") == F.col("id"), "left").select("key", "rep", "size", "at", F.coalesce("component", "rep").alias("part"), "before")
     mixed = named.groupBy("key").agg(F.min("part").alias("first"), F.max("part").alias("last")).where("first < last").select("key")
-    mixed = cut(named.join(mixed, "key", "left_semi").join(drawn.select("rep", folded("odd").alias("odd")), "rep"), "similar-mixed", free=True)
-    x, y = mixed.alias("x"), mixed.alias("y")
+    mixed = cut(named.join(by_key(mixed), "key", "left_semi").join(by_key(drawn.select("rep", folded("odd").alias("odd"))), "rep"), "similar-mixed", free=True)
+    x, y = mixed.alias("x"), by_key(mixed.alias("y"))
     of = lambda t: {c: F.col(f"{t}.{c}") for c in ("size", "odd")}
     # a pair whose keys before this one are the same, too, meets there
     first = ~F.coalesce(F.col("x.before") == F.col("y.before"), F.lit(False))
     met = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.part") != F.col("y.part")) & first & enough("x.size", "x.at", "y.size", "y.at")
     rest = x.join(y, met & _sketches_allow(of("x"), of("y"), similarity, FOLDED)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    rest = cut(possible_pairs(rest.join(tried, ["a", "b"], "left_anti"), drawn, similarity), "similar-rest", free=True)
+    rest = cut(possible_pairs(rest.join(by_key(tried), ["a", "b"], "left_anti"), drawn, similarity), "similar-rest", free=True)
     return components(found.unionByName(similar_pairs(rest, sets.unionByName(sets_of(rest, sets)), similarity)), "similar-components")
 
 
@@ -361,7 +361,7 @@ def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     equal = cut(hashed.groupBy("same").agg(F.min("doc_id").alias("id_of")).withColumn("rep", F.monotonically_increasing_id()), "simhash-equal")
     chosen = equal.where("id_of is not null").select(F.col("id_of").alias("doc_id"), "same", "rep")
     linked = similar_links(rows, chosen, shingle, similarity)
-    members = equal.join(linked, equal.rep == linked.id, "left").select("same", "id_of", F.coalesce("component", "rep").alias("part"))
+    members = equal.join(by_key(linked), equal.rep == linked.id, "left").select("same", "id_of", F.coalesce("component", "rep").alias("part"))
     heads = members.groupBy("part").agg(F.min(F.struct("id_of", "same")).alias("head"))
-    label = members.join(heads, "part").select("same", F.col("head.id_of").alias("component_id"), F.col("head.same").alias("head"))
-    return hashed.join(label, "same").select("doc_id", "component_id", "same", (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("same") == F.col("head"))).alias("first"))
+    label = members.join(by_key(heads), "part").select("same", F.col("head.id_of").alias("component_id"), F.col("head.same").alias("head"))
+    return hashed.join(by_key(label), "same").select("doc_id", "component_id", "same", (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("same") == F.col("head"))).alias("first"))

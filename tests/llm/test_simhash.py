@@ -123,8 +123,8 @@ def test_similar_classes_lose_no_pair_in_large_buckets(spark):
     assert got == want
 
 
-def test_nothing_exploded_is_broadcast(spark, monkeypatch):
-    """Tables of a few megabytes on disk, and what is exploded from them, are not gathered on the driver."""
+def joins_of(monkeypatch, run):
+    """The plans with joins among those of all that ``run`` writes and gives."""
     plans = []
 
     def seen(df, name, **how):
@@ -133,8 +133,20 @@ def test_nothing_exploded_is_broadcast(spark, monkeypatch):
 
     monkeypatch.setattr(simhash, "cut", seen)
     monkeypatch.setattr(common, "cut", seen)
-    rows = [(i, f"a b c d e f g {i % 7}") for i in range(40)]
-    out = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
-    plans.append(out._jdf.queryExecution().executedPlan().toString())
-    joined = [p for p in plans if "Join" in p]
+    plans.append(run()._jdf.queryExecution().executedPlan().toString())
+    return [p for p in plans if "Join" in p]
+
+
+def few(spark):
+    return spark.createDataFrame([(i, f"a b c d e f g {i % 7}") for i in range(40)], "doc_id long, text string")
+
+
+def test_nothing_exploded_is_broadcast(spark, monkeypatch):
+    """Tables of a few megabytes on disk, and what is exploded from them, are not gathered on the driver."""
+    joined = joins_of(monkeypatch, lambda: simhash.near_duplicates(few(spark)))
     assert len(joined) >= 3 and not any("Broadcast" in p for p in joined)
+
+
+def test_similar_classes_broadcast_nothing(spark, monkeypatch):
+    joined = joins_of(monkeypatch, lambda: simhash.similar_classes(few(spark)))
+    assert len(joined) >= 8 and not any("Broadcast" in p for p in joined)
