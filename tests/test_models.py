@@ -5,8 +5,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from skirmish import catalog
 from skirmish.operators import folds, levels, models, player_state, queries
 from skirmish.plans import players, ranked, vetoes
+from skirmish.sources import arena
 
 SF = "/root/testdata/sf0.001"
 
@@ -161,3 +163,16 @@ def test_player_state_of_absent_players_stays(spark):
     _, state = player_state.filtered(seen)
     _, later = player_state.filtered(seen.where("player_id = 1").selectExpr("player_id", "event_id + 5 AS event_id", "day + 3 AS day", "moment + 3 AS moment", "y", "rounds"), state)
     assert {r.player_id: (r.games, r.last_day) for r in later.collect()} == {1: (2, 13), 2: (1, 10)}
+
+
+def every_pair(spark, query, *columns):
+    """Whether the query has each ordered pair of teams that meet on these columns, and no other."""
+    teams = arena.frame(spark, SF, "ratings").select("team_id", *columns).distinct()
+    other = teams.withColumnRenamed("team_id", "opponent_id")
+    want = (teams.join(other, list(columns)) if columns else teams.crossJoin(other)).where("team_id <> opponent_id").select("team_id", "opponent_id").distinct()
+    got = catalog.QUERIES[query](spark, SF).select("team_id", "opponent_id")
+    return got.count() == want.count() and not got.exceptAll(want).count()
+
+
+def test_series_probability_has_every_pair(spark):
+    assert every_pair(spark, "series_probability", "arena")
