@@ -165,14 +165,22 @@ def test_player_state_of_absent_players_stays(spark):
     assert {r.player_id: (r.games, r.last_day) for r in later.collect()} == {1: (2, 13), 2: (1, 10)}
 
 
+#: A hundred teams.
+MORE = "/root/testdata/sf0.01"
+
+
 def every_pair(spark, query, *columns):
     """Whether the query has each ordered pair of teams that meet on these columns, and no other."""
-    teams = arena.frame(spark, SF, "ratings").select("team_id", *columns).distinct()
+    teams = arena.frame(spark, MORE, "ratings").select("team_id", *columns).distinct()
     other = teams.withColumnRenamed("team_id", "opponent_id")
     want = (teams.join(other, list(columns)) if columns else teams.crossJoin(other)).where("team_id <> opponent_id").select("team_id", "opponent_id").distinct()
-    got = catalog.QUERIES[query](spark, SF).select("team_id", "opponent_id")
+    got = catalog.QUERIES[query](spark, MORE).select("team_id", "opponent_id")
     return got.count() == want.count() and not got.exceptAll(want).count()
 
 
 def test_series_probability_has_every_pair(spark):
     assert every_pair(spark, "series_probability", "arena")
+
+
+def test_pairwise_matrix_has_every_pair(spark):
+    assert every_pair(spark, "pairwise_matrix")
