@@ -184,3 +184,7 @@ def test_series_probability_has_every_pair(spark):
 
 def test_pairwise_matrix_has_every_pair(spark):
     assert every_pair(spark, "pairwise_matrix")
+
+
+def test_map_selection_has_every_pair(spark):
+    assert every_pair(spark, "map_selection", "arena")
