@@ -188,3 +188,7 @@ def test_pairwise_matrix_has_every_pair(spark):
 
 def test_map_selection_has_every_pair(spark):
     assert every_pair(spark, "map_selection", "arena")
+
+
+def test_map_selection_bo5_has_every_pair(spark):
+    assert every_pair(spark, "map_selection_bo5", "arena")
