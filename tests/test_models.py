@@ -192,3 +192,7 @@ def test_map_selection_has_every_pair(spark):
 
 def test_map_selection_bo5_has_every_pair(spark):
     assert every_pair(spark, "map_selection_bo5", "arena")
+
+
+def test_map_selection_advantage_has_every_pair(spark):
+    assert every_pair(spark, "map_selection_advantage", "arena")
