@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import components, cut
+from .common import by_key, components, cut
 from .simhash import parity, possible, possible_pairs, shingle_hashes, shingle_sets, similar_pairs
 
 TREES, DEPTH, LEAST, REGION = 40, 6, 3, 16
@@ -124,6 +124,17 @@ def stars(large: DataFrame, similarity: float) -> DataFrame:
     return large.join(ends, "region").where(F.col("rep") != F.col("end.rep")).where(near(own, F.col("end"), similarity)).select(*_sorted("rep", "end.rep"))
 
 
+def unlinked(met: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` of each ``rep`` and the sets in its ``next`` that are not in one class of
+    ``label`` (``id, component``). Sets meet their classes, not pairs: the pairs of a set,
+    ``TREES * REGION`` at most, are an array in its row."""
+    own = met.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("others"))
+    own = own.join(by_key(label), F.col("rep") == F.col("id"), "left").select("others", F.struct("rep", F.coalesce("component", "rep").alias("part")).alias("of"))
+    held = own.select(F.explode("others").alias("other"), "of").groupBy("other").agg(F.collect_list("of").alias("reps"))
+    held = held.join(by_key(label), F.col("other") == F.col("id"), "left").withColumn("part", F.coalesce("component", "other"))
+    return held.select("other", F.explode(F.filter("reps", lambda x: x["part"] != F.col("part"))).alias("x")).select(*_sorted("other", "x.rep")).distinct()
+
+
 def linked(classes: DataFrame, sets_of, similarity: float) -> DataFrame:
     """``id, component`` of all sets on a link. ``classes``: ``rep, size, high, low,
     bits, odd``, one row a set; ``sets_of(reps)`` gives their sets."""
@@ -142,10 +153,8 @@ def linked(classes: DataFrame, sets_of, similarity: float) -> DataFrame:
     found = confirmed(tried)
     # what is in one class by now needs no further link
     label = components(found, "forest-components")
-    part = label.select(F.col("id").alias("a"), F.col("component").alias("p")), label.select(F.col("id").alias("b"), F.col("component").alias("q"))
-    apart = lambda pairs: pairs.join(part[0], "a", "left").join(part[1], "b", "left").where("coalesce(p, a) <> coalesce(q, b)").select("a", "b")
     # large regions are joined by themselves
-    others = apart(met.where("not large").select("rep", F.explode(F.slice("next", 2, REGION)).alias("other")).select(*_sorted("rep", "other")).distinct())
+    others = unlinked(met.where("not large").select("rep", F.slice("next", 2, REGION).alias("next")), label)
     named = large.join(label, F.col("rep") == F.col("id"), "left").select("region", "rep", "size", "s1", "s2", F.coalesce("component", "rep").alias("part"))
     mixed = named.groupBy("region").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("region")
     mixed = cut(named.join(mixed, "region", "left_semi").join(classes.select("rep", "odd"), "rep"), "forest-mixed")

@@ -86,3 +86,19 @@ def test_close_to_the_threshold(spark):
 def test_odd_rows(spark, odd, odd_rows, nothing):
     assert got(lsh_forest.near_duplicates(odd)) == classes(odd_rows)
     assert got(lsh_forest.near_duplicates(nothing)) == []
+
+
+def test_pairs_of_one_class_are_left_out_before_they_meet_it(spark):
+    r = random.Random(8)
+    met = [(r.randrange(60), [r.randrange(60) for _ in range(r.randrange(6))]) for _ in range(200)]
+    met = [(a, [b for b in others if b != a]) for a, others in met]
+    part = {i: i % 5 for i in range(40)}
+    label = spark.createDataFrame(list(part.items()), "id long, component long")
+    got = lsh_forest.unlinked(spark.createDataFrame(met, "rep long, next array<long>"), label)
+    want = {(min(a, b), max(a, b)) for a, others in met for b in others if part.get(a, a) != part.get(b, b)}
+    found = [(x.a, x.b) for x in got.collect()]
+    assert set(found) == want and len(found) == len(want)
+    # a join takes a row a set, so it makes no more
+    lines = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    joins = [i for i, line in enumerate(lines) if "Join LeftOuter" in line]
+    assert len(joins) == 2 and all("Aggregate [" in next(x for x in lines[i + 1 :] if "Project" not in x and "Filter" not in x) for i in joins)
