@@ -22,11 +22,15 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import WORD_BREAKS, cut
 
 PLACE_BITS = 26
+#: Characters in a part of the order of ids, about.
+PART_CHARS = 8_000_000
 
 
 def _numbered_ranks(text: Column, k: int) -> Column:
@@ -104,28 +108,50 @@ def next_ids(ids: DataFrame) -> DataFrame:
     return ranged.withColumn("next_id", F.lead("doc_id").over(here)).join(following, "part").select("doc_id", F.coalesce("next_id", "follows").alias("next_id"))
 
 
+def openers(known: DataFrame) -> list[int]:
+    """The first ids of the parts that the order of ids is cut into, of about
+    ``PART_CHARS`` characters each."""
+    rows, chars = known.agg(F.count("*"), F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()
+    parts = max(1, min(-(-(chars + rows) // PART_CHARS), rows))
+    cuts = known.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] if parts > 1 else []
+    firsts = known.groupBy(_part(F.col("doc_id"), sorted(set(cuts))).alias("part")).agg(F.min("doc_id").alias("first")).select("first").collect()
+    return sorted(r[0] for r in firsts) or [0]
+
+
+def _part(doc_id: Column, firsts: list[int]) -> Column:
+    """How many of ``firsts``, in order, are not above an id: first by runs of them, then in one run."""
+    if not firsts:
+        return F.lit(0)
+    width = math.isqrt(len(firsts))
+    runs = [firsts[i : i + width] for i in range(0, len(firsts), width)]
+    longs = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<bigint>")
+    reached = lambda xs: F.size(F.filter(xs, lambda x: x <= doc_id))
+    whole = reached(longs([r[0] for r in runs])) - 1
+    return _let(whole, lambda i: F.when(i < 0, 0).otherwise(i * width + reached(F.get(F.array(*map(longs, runs)), i))))
+
+
 def compare_edits(docs: DataFrame, k: int = 2, tuple_size: int = 2, sketches: int = 64, text: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edit: the last half replaced by as
-    much of the next document's opening. A whole text is dealt once, to learn
-    how much of its opening is wanted; then only halves travel."""
+    much of the next document's opening. Texts are dealt once, by parts of the
+    order of ids; the first rows of a part also end the one before it, so that
+    every row meets the next document in its part."""
     sig = lambda c: signature(F.col(c), k, tuple_size, sketches)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     known = rows.where("doc_id is not null")
+    firsts = openers(known)
+    own = known.withColumn("part", _part(F.col("doc_id"), firsts) - 1)
+    lent = F.when(F.col("doc_id").isin(firsts), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    dealt = own.select("doc_id", "text", "part", F.explode(lent).alias("lent")).withColumn("part", F.when(F.col("lent"), F.pmod(F.col("part") - 1, F.lit(len(firsts)))).otherwise(F.col("part")))
+    # a text is sketched where it arrives
+    dealt = dealt.repartitionById(len(firsts), "part").withColumn("tag", F.xxhash64("text")).withColumn("sig", sig("text"))
+    # from the greatest id down; of several rows with one id the greatest hash comes last
+    down = Window.partitionBy("part").orderBy(F.desc("lent"), F.desc("doc_id"), "tag")
+    met = dealt.withColumn("above", F.lag(F.struct("lent", "doc_id", "text", "sig")).over(down))
+    met = met.withColumn("above", F.when((F.col("above.lent") != F.col("lent")) | (F.col("above.doc_id") != F.col("doc_id")), F.col("above")))
+    met = met.withColumn("next", F.last("above", ignorenulls=True).over(down)).where("not lent")
+    known = met.select("doc_id", "text", "sig", F.col("next.text").alias("opening"), F.col("next.sig").alias("next_sig"))
+    alone = rows.where("doc_id is null").select("doc_id", "text", sig("text").alias("sig"), F.col("text").alias("opening")).withColumn("next_sig", F.col("sig"))
     half = F.floor(F.length("text") / 2).cast("int")
-    halves = cut(known.groupBy("doc_id").agg(F.max(half).alias("wanted")), "order-minhash-halves")
-    order = cut(next_ids(halves), "order-minhash-order")
-    asked = order.join(halves, "doc_id").select(F.col("doc_id").alias("before"), F.col("next_id").alias("doc_id"), "wanted")
-    opening = F.substring("text", F.lit(1), F.col("wanted"))
-    openings = known.join(asked, "doc_id").groupBy("before").agg(F.max_by(opening, F.xxhash64("text")).alias("opening"))
-    # a text is sketched where it is read; only its first half waits for the opening
-    head = F.substring("text", F.lit(1), F.length("text") - half)
-    read = lambda r, *more: r.select("doc_id", F.xxhash64("text").alias("tag"), F.length("text").cast("long").alias("n_chars"), sig("text").alias("sig"), head.alias("head"), *more)
-    both = read(known).join(openings.withColumnRenamed("before", "doc_id"), "doc_id").unionByName(read(rows.where("doc_id is null"), F.col("text").alias("opening")))
-    tail = F.substring("opening", F.lit(1), F.floor(F.col("n_chars") / 2).cast("int"))
-    edited = both.select("doc_id", "tag", "n_chars", "sig", F.concat("head", tail).alias("edited"))
-    edited = edited.select("doc_id", "tag", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sig", sig("edited").alias("edited_sig"))
-    prints = cut(edited, "order-minhash-signatures")
-    next_prints = prints.where("doc_id is not null").groupBy(F.col("doc_id").alias("next_id")).agg(F.max_by("sig", "tag").alias("next_sig"))
-    ahead = order.join(next_prints, "next_id").select("doc_id", "next_sig")
-    out = prints.join(ahead, "doc_id", "left").withColumn("next_sig", F.coalesce("next_sig", "sig"))
-    return out.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("sig")).alias("fingerprint"), fingerprint(F.col("edited_sig")).alias("edited_fingerprint"), likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"), likeness(F.col("sig"), F.col("next_sig")).alias("near_next"))
+    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("opening", F.lit(1), half))
+    out = known.unionByName(alone).withColumn("edited", edited).withColumn("edited_sig", sig("edited"))
+    return out.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("sig")).alias("fingerprint"), fingerprint(F.col("edited_sig")).alias("edited_fingerprint"), likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"), likeness(F.col("sig"), F.col("next_sig")).alias("near_next"))

@@ -97,3 +97,30 @@ def test_next_ids(spark):
     frame = table(spark, [(i * 7 % 101, "x") for i in range(101)] + [(None, "y"), (3, "z")])
     got = {r.doc_id: r.next_id for r in order_minhash.next_ids(frame).collect()}
     assert got == {i: (i + 1) % 101 for i in range(101)}
+
+
+def test_edits_do_not_depend_on_the_parts_and_texts_are_dealt_once(spark, odd, odd_rows, monkeypatch):
+    docs = odd.unionByName(table(spark, [(i * i * 7 - 400, f"text {i} " * (i % 9)) for i in range(40)] + [(2**62 + 1, "far"), (2**62, "further")]))
+    rows = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
+    first = {}
+    for i, t in rows:
+        if i is not None:
+            first[i] = max(first.get(i, t), t, key=lambda x: chained([x]))
+    ids = sorted(first)
+    follows = {i: first[ids[(at + 1) % len(ids)]] for at, i in enumerate(ids)}
+    edit = lambda i, t: t[: len(t) - len(t) // 2] + (t if i is None else follows[i])[: len(t) // 2]
+    expected = sorted((str(i), len(t), hashlib.sha256(edit(i, t).encode()).hexdigest()) for i, t in rows)
+    answers = []
+    for chars in (8_000_000, 500, 1):
+        monkeypatch.setattr(order_minhash, "PART_CHARS", chars, raising=False)
+        found = order_minhash.compare_edits(docs)
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+        got = found.collect()
+        assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in got) == expected
+        answers.append(sorted(map(repr, got)))
+    assert answers[0] == answers[1] == answers[2]
+    known = docs.select("doc_id", "text").where("doc_id is not null").na.fill("")
+    firsts = order_minhash.openers(known)
+    assert len(firsts) > 20
+    for r in known.select("doc_id", order_minhash._part(F.col("doc_id"), firsts).alias("part")).collect():
+        assert r.part == sum(x <= r.doc_id for x in firsts)
