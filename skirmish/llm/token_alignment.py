@@ -24,9 +24,11 @@ from collections import Counter
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -42,8 +44,8 @@ PAIRS = 2_000_000
 
 _BLANK = "\\s\x1c-\x1f\x85\xa0"
 _EDGES = frozenset(" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f")
-#: A space that may not be cut has one of these beside it, or a blank that ASCII hasn't.
-_PAIRS = [p for c in sorted(_EDGES) for p in (c + " ", " " + c)]
+#: A space that may not be cut has another or one of these beside it, or a blank that ASCII hasn't.
+_PAIRS = [(c, c + " ", " " + c) for c in sorted(_EDGES - {" "})]
 _RARE_BLANKS = [chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -74,11 +76,19 @@ class Cutter:
 
     def words(self, text: str) -> list[str] | None:
         """The text's words, where each space before one may be cut; else None."""
-        if self.spaced or text[0] in _EDGES or text[-1] in _EDGES or any(p in text for p in _PAIRS):
+        if self.spaced or text[0] in _EDGES or text[-1] in _EDGES:
             return None
+        for c, after, before in _PAIRS:
+            if c in text and (after in text or before in text):  # one character is found much faster than two
+                return None
         if not text.isascii() and any(c in text for c in _RARE_BLANKS):
             return None
-        return text.split(" ")
+        words = text.split(" ")
+        return None if "" in words else words
+
+    def parts(self, word: str) -> list[str]:
+        """The units of a word and the space before it; between letters there is no cut."""
+        return [" " + word] if word.isalpha() else self.split(" " + word)
 
 
 class Tokenizers:
@@ -95,26 +105,53 @@ class Tokenizers:
         n = self.second.piece_size()
         plain = [i for i in range(n) if not (self.second.is_byte(i) or self.second.is_control(i) or self.second.is_unknown(i))]
         self.cutter = Cutter([self.second.id_to_piece(i) for i in plain])
-        self.second_bytes = [bytes([int(self.second.id_to_piece(i)[3:5], 16)]) if self.second.is_byte(i) else self.second.id_to_piece(i).replace("▁", " ").encode() for i in range(n)]
+        second_bytes = [bytes([int(self.second.id_to_piece(i)[3:5], 16)]) if self.second.is_byte(i) else self.second.id_to_piece(i).replace("▁", " ").encode() for i in range(n)]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         odd = [b for b in range(256) if b not in set(shown)]
         letter = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(odd)}
-        self.first_bytes = {i: bytes(letter[c] for c in t) for t, i in self.first.get_vocab().items() if all(c in letter for c in t)}
+        vocab = self.first.get_vocab()
+        first_bytes = [b""] * (max(vocab.values()) + 1)
+        for t, i in vocab.items():
+            if all(c in letter for c in t):
+                first_bytes[i] = bytes(letter[c] for c in t)
+        #: The bytes of each id of a tokenizer, and how many they are.
+        self.bytes = [(side, np.array([len(x) for x in side], np.int32)) for side in (first_bytes, second_bytes)]
         self.line = self.second.encode("\n")
+        self.as_is = self._as_is()
+
+    def _as_is(self) -> bool:
+        """Whether the second tokenizer's rules of normalizing are none but the space before a text."""
+        try:
+            from sentencepiece.sentencepiece_model_pb2 import ModelProto
+        except ImportError:
+            return False
+        model = ModelProto.FromString(self.second.serialized_model_proto())
+        rules = model.normalizer_spec
+        return not rules.precompiled_charsmap and rules.add_dummy_prefix and rules.escape_whitespaces and not rules.remove_extra_whitespaces and not model.trainer_spec.treat_whitespace_as_suffix
 
     def exact(self, text: str) -> bool:
         """Whether the second tokenizer sees the text as it is, with a space before it."""
-        return "▁" not in text and self.second.normalize(text) == "▁" + text.replace(" ", "▁")
-
-    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both for each unit. The second puts a space before every text; after a
-        line end, which it merges with nothing, a unit stands as it does inside a text."""
-        first = [e.ids for e in self.first.encode_batch(units, add_special_tokens=False)]
-        second = [ids[len(self.line) :] for ids in self.second.encode(["\n" + u for u in units], num_threads=1)]
-        for u, a, b in zip(units, first, second, strict=True):
-            if b"".join([self.first_bytes[i] for i in a]) != (whole := u.encode()) or b"".join([self.second_bytes[i] for i in b]) != whole:
-                raise ValueError(f"the tokens of {u!r} do not give it back")
-        return first, second
+        return "▁" not in text and (self.as_is or self.second.normalize(text) == "▁" + text.replace(" ", "▁"))
+
+    def encode(self, units: pa.StringArray) -> list[pa.ListArray]:
+        """Ids and their lengths in bytes, of the first and of the second, for each unit. The
+        second puts a space before every text; after a line end, which it merges with nothing,
+        a unit stands as it does inside a text."""
+        texts = units.to_pylist()
+        first = [e.ids for e in self.first.encode_batch_fast(texts, add_special_tokens=False)]
+        second = [ids[len(self.line) :] for ids in self.second.encode(["\n" + u for u in texts], num_threads=1)]
+        whole, ends = "".join(texts).encode(), np.cumsum(pc.binary_length(units).to_numpy(zero_copy_only=False))
+        out = []
+        for ids, (parts, lengths) in zip((first, second), self.bytes, strict=True):
+            at = np.zeros(len(ids) + 1, np.int32)
+            np.cumsum([len(x) for x in ids], out=at[1:])
+            flat = np.fromiter(chain.from_iterable(ids), np.int32, at[-1])
+            long = lengths[flat]
+            # the same bytes in all, and the same end of each unit
+            if b"".join([parts[i] for i in flat.tolist()]) != whole or not np.array_equal(np.append(0, np.cumsum(long))[at[1:]], ends):
+                raise ValueError(f"the tokens of a unit do not give it back, among {len(texts)} from {texts[0]!r} on")
+            out += [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (flat, long)]
+        return out
 
 
 @cache
@@ -122,8 +159,8 @@ def tokenizers(first: str, second: str) -> Tokenizers:
     return Tokenizers(first, second)
 
 
-def frequent(docs: DataFrame, paths: tuple[str, str]) -> list[str]:
-    """The units that sampled texts hold most often."""
+def frequent(docs: DataFrame, paths: tuple[str, str]) -> pa.ChunkedArray:
+    """The units that sampled texts hold most often, the most frequent first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = tokenizers(*paths).cutter
@@ -136,14 +173,20 @@ def frequent(docs: DataFrame, paths: tuple[str, str]) -> list[str]:
                 else:
                     words.update(whole)
             for w, n in words.items():
-                parts = cutter.split(" " + w)
+                parts = cutter.parts(w)
                 for u in parts if len(parts) == 1 else [" " + w, *parts]:
                     c[u] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["unit", "n"])
 
     texts = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).where("text <> ''").select("text")
     counted = texts.mapInArrow(run, "unit string, n long").where(F.length("unit") <= LONGEST).groupBy("unit").agg(F.sum("n").alias("n")).where("n > 1")
-    return counted.orderBy(F.desc("n"), "unit").limit(HEAD).select("unit").toArrow().column(0).to_pylist()
+    return counted.orderBy(F.desc("n"), "unit").limit(HEAD).select("unit").toArrow().column(0)
+
+
+def _words(names: pa.ChunkedArray) -> tuple[list[str], list[str]]:
+    """The units that a space begins, without it, and the others."""
+    units = names.to_pylist()
+    return [u[1:] for u in units if u[0] == " "], [u for u in units if u[0] != " "]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -161,42 +204,46 @@ def units(docs: DataFrame, head, paths: tuple[str, str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = tokenizers(*paths)
-        split = both.cutter.split
-        words = {u[1:] for u in head.value if u[0] == " "}
-        others = {u for u in head.value if u[0] != " "}
-        held, parts = Counter(), Counter()  # frequent words, and other frequent units
+        cutter = both.cutter
+        words, others = head.value
+        of_word, others = {w: i for i, w in enumerate(words)}, set(others)
+        held, parts = np.zeros(len(words) + 1, np.int64), Counter()  # frequent words, the first for all that aren't, and other frequent units
         pack = lambda u, k, a, n: pa.RecordBatch.from_arrays([pa.array(u, pa.string()), pa.array(k, pa.int64()), pa.array(a, pa.int64()), pa.array(n, pa.int64())], names=["unit", "key", "at", "n"])
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
-                unit, of, place, times = [], [], [], []
+                unit, of, place, times, seen = [], [], [], [], []
                 for t, key, mark in zip(*[batch.column(i)[at : at + 200].to_pylist() for i in range(3)], strict=True):
                     if not both.exact(t):
                         unit.append(None), of.append(key), place.append(mark), times.append(0)
                         continue
-                    rare = Counter()
-                    whole = both.cutter.words(t)
+                    own, mixed = Counter(), Counter()  # rare units, and those not known to be
+                    whole = cutter.words(t)
                     if whole is None:
-                        rare.update(split(" " + t))
+                        mixed.update(cutter.split(" " + t))
                     else:
-                        held.update(whole)
-                        for w in set(whole) - words:
-                            n = held.pop(w)
-                            for u in split(" " + w):
-                                rare[u] += n
-                    own = []
-                    for u, n in rare.items():
-                        if u in others or (u[0] == " " and u[1:] in words):
+                        found = np.fromiter(map(of_word.get, whole, repeat(-1)), np.int32, len(whole))
+                        seen.append(found)
+                        for w, n in Counter([whole[i] for i in np.flatnonzero(found < 0).tolist()]).items():
+                            if w.isalpha():
+                                own[" " + w] = n
+                            else:
+                                for u in cutter.split(" " + w):
+                                    mixed[u] += n
+                    for u, n in mixed.items():
+                        if u in others or (u[0] == " " and u[1:] in of_word):
                             parts[u] += n
                         else:
-                            own.append(u)
-                    own.sort()
-                    unit += own
-                    of += [key] * len(own)
-                    place += range(mark + 1, mark + 1 + len(own))
-                    times += [rare[u] for u in own]
+                            own[u] += n
+                    names = sorted(own)
+                    unit += names
+                    of += [key] * len(names)
+                    place += range(mark + 1, mark + 1 + len(names))
+                    times += [own[u] for u in names]
+                if seen:
+                    held += np.bincount(np.concatenate(seen) + 1, minlength=len(held))
                 yield pack(unit, of, place, times)
-        for w, n in held.items():
-            parts[" " + w] += n
+        for i in np.flatnonzero(held[1:]).tolist():
+            parts[" " + words[i]] += int(held[i + 1])
         yield pack(list(parts), [None] * len(parts), [None] * len(parts), list(parts.values()))
 
     return docs.where("text <> ''").select("text", "key", "mark").mapInArrow(run, "unit string, key long, at long, n long")
@@ -207,13 +254,10 @@ def encoded(vocabulary: DataFrame, paths: tuple[str, str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = tokenizers(*paths)
-        ints = pa.list_(pa.int32())
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 b = batch.slice(at, 1000)
-                first, second = both.encode(b.column(0).to_pylist())
-                long_a, long_b = [[len(both.first_bytes[i]) for i in ids] for ids in first], [[len(both.second_bytes[i]) for i in ids] for ids in second]
-                yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(x, ints) for x in (first, long_a, second, long_b)]], names=["unit", "n", "common", "a", "a_long", "b", "b_long"])
+                yield pa.RecordBatch.from_arrays([*b.columns, *both.encode(b.column(0))], names=["unit", "n", "common", "a", "a_long", "b", "b_long"])
 
     return vocabulary.select("unit", "n", "common").mapInArrow(run, "unit string, n long, common boolean, a array<int>, a_long array<int>, b array<int>, b_long array<int>")
 
@@ -279,10 +323,10 @@ class Head:
 
     made: tuple[str, Head] | None = None
 
-    def __init__(self, names: list[str], groups: list[str], numbers: np.ndarray) -> None:
+    def __init__(self, words: list[str], others: list[str], groups: list[str], numbers: np.ndarray) -> None:
         self.groups, self.numbers = groups, numbers
-        self.of_word = {u[1:]: i for i, u in enumerate(names) if u[0] == " "}.get
-        self.other = {u: i for i, u in enumerate(names) if u[0] != " "}.get
+        self.of_word = {w: i for i, w in enumerate(words)}.get
+        self.other = {u: i for i, u in enumerate(others, len(words))}.get
 
     @classmethod
     def of(cls, held: tuple) -> Head:
@@ -325,7 +369,11 @@ def gathered(docs: DataFrame, own: DataFrame, head, paths: tuple[str, str]) -> D
                             if i is not None:
                                 mixed.append(i)
                                 continue
-                            for u in cutter.split(" " + w if words is not None else w):
+                            if words is not None and w.isalpha():
+                                unknown.add(u := " " + w)
+                                mixed.append(u)
+                                continue
+                            for u in cutter.split(w if words is None else " " + w):
                                 j = of_word(u[1:]) if u[0] == " " else other(u)
                                 if j is None:
                                     unknown.add(u)
@@ -337,7 +385,7 @@ def gathered(docs: DataFrame, own: DataFrame, head, paths: tuple[str, str]) -> D
                         found = [i for i in found if i not in rare]
                     else:
                         texts.append(";".join([groups[i] for i in found]))
-                    sums[row] = known.numbers[np.array(found, np.int64)].sum(0) + numbers[first].sum(0)
+                    sums[row] = known.numbers.take(np.array(found, np.int64), 0).sum(0) + numbers[first].sum(0)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), *[pa.array(x) for x in np.ascontiguousarray(sums.T)]], names=["doc_id", "groups", *NUMBERS])
 
     void = F.array().cast("array<struct<at:long,groups:string," + ",".join(f"{c}:long" for c in NUMBERS) + ">>")
@@ -352,7 +400,8 @@ def align(docs: DataFrame, first: str, second: str) -> DataFrame:
     ``first`` is a byte-level vocabulary, ``second`` a sentence-piece model."""
     spark, paths = docs.sparkSession, (first, second)
     keyed = _keyed(docs)
-    common = spark.sparkContext.broadcast(frequent(keyed, paths))
+    names = frequent(keyed, paths)
+    common = spark.sparkContext.broadcast(_words(names))
     held = cut(units(keyed, common, paths), "align-units", codec="zstd")
     vocabulary = held.where("unit is not null").groupBy("unit").agg(F.sum("n").alias("n"), F.max(F.col("key").isNull()).alias("common"))
     tokens = cut(encoded(vocabulary, paths).withColumn("number", F.monotonically_increasing_id()), "align-tokens", free=True, codec="zstd")
@@ -364,8 +413,11 @@ def align(docs: DataFrame, first: str, second: str) -> DataFrame:
     if counts.count() <= PAIRS:
         counts = F.broadcast(counts)
     table = valued(units_of.where("common"), counts).toArrow()
+    # words come first, and frequent ones before others, so that what is read often lies together
+    other, rank = pc.invert(pc.starts_with(table["unit"], " ")), pc.index_in(table["unit"], names)
+    table = table.append_column("other", other).append_column("rank", rank).sort_by([("other", "ascending"), ("rank", "ascending")])
     numbers = np.stack([table[c].to_numpy() for c in NUMBERS], axis=1).astype(np.int64) if table.num_rows else np.zeros((0, len(NUMBERS)), np.int64)
-    head = spark.sparkContext.broadcast((uuid.uuid4().hex, table["unit"].to_pylist(), table["groups"].to_pylist(), numbers))
+    head = spark.sparkContext.broadcast((uuid.uuid4().hex, *_words(table["unit"]), table["groups"].to_pylist(), numbers))
     rare = held.where("key is not null")
     times = [(F.col(c) * F.col("n")).alias(c) for c in NUMBERS]
     own = rare.where("unit is not null").join(valued(units_of.where("not common"), counts), "unit").select("key", "at", "groups", *times)

@@ -109,3 +109,48 @@ def test_cutter_keeps_pairs_of_a_piece_together():
     split = token_alignment.Cutter(["ab", "e.", "▁a"]).split
     assert split(" e.x a, b") == [" e.x", " a", ",", " b"]
     assert token_alignment.Cutter(["x▁y", "a\nb"]).split("x y\nz") == ["x y\nz"]
+
+
+class Counted:
+    """A tokenizer that counts the calls of ``normalize``."""
+
+    def __init__(self, inner):
+        self.inner, self.calls = inner, 0
+
+    def normalize(self, text):
+        self.calls += 1
+        return self.inner.normalize(text)
+
+
+def test_texts_are_not_normalized_where_the_model_has_no_rules():
+    both = token_alignment.Tokenizers(A, B)
+    r, bits = random.Random(3), ["a", " ", "  ", "\n", "▁", "é", "e\u0301", "\xa0", "ﬁ", "\x00", "<s>", "🙂", "Ⅷ", "\u3000", "\t"]
+    texts = ODD + ["".join(r.choice(bits) for _ in range(r.randrange(1, 20))) for _ in range(500)]
+    want = ["▁" not in t and both.second.normalize(t) == "▁" + t.replace(" ", "▁") for t in texts]
+    both.second = Counted(both.second)
+    assert [both.exact(t) for t in texts] == want and both.second.calls == 0
+    both.as_is = False
+    assert [both.exact(t) for t in texts] == want and both.second.calls > 0
+
+
+def test_words_without_marks_are_not_searched_for_cuts():
+    cutter = token_alignment.Cutter(["ab"])
+    words = ["ab", "Übung", "中文", "a1", "a,b", "x_", "don't", "²", "e\u0301", "a\nb", "-"]
+    want, split, asked = [cutter.split(" " + w) for w in words], cutter.split, []
+    cutter.split = lambda t: asked.append(t) or split(t)
+    assert [cutter.parts(w) for w in words] == want
+    assert asked == [" " + w for w in words[3:]]
+
+
+def test_units_are_encoded_to_flat_lists():
+    both = token_alignment.Tokenizers(A, B)
+    units = [" the", ",", " anatnd", "\n", " é́🙂", " <|endoftext|>", " 12"]
+    got = [x.to_pylist() for x in both.encode(token_alignment.pa.array(units))]
+    first = [both.first.encode(u, add_special_tokens=False).ids for u in units]
+    second = [both.second.encode("\n" + u)[len(both.line) :] for u in units]
+    assert got[0] == first and got[2] == second
+    for u, *long in zip(units, got[1], got[3], strict=True):
+        assert [sum(x) for x in long] == [len(u.encode())] * 2
+    both.bytes[1][0][second[0][0]] = b"?"
+    with pytest.raises(ValueError, match="do not give it back"):
+        both.encode(token_alignment.pa.array(units))
