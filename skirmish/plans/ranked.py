@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skirmish.functions.ratings import DEFAULT, RatingModel
 from skirmish.operators import folds
-from skirmish.plans import players
+from skirmish.plans import by_team, players
 from skirmish.sources import arena
 
 #: The same ratings for the reference engine: the fold as a recursive statement.
@@ -133,6 +133,8 @@ def _split(name: str, args: dict) -> tuple[str, dict]:
 def ask(spark: SparkSession, sf_dir: str, name: str, elo: DataFrame | None = None, **args) -> DataFrame:
     """The named question with these arguments."""
     sql, filled = _split(name, args)
+    if name in by_team.PLANS:
+        return by_team.PLANS[name](spark, sf_dir, **filled)
     if "elo_sides" not in sql:
         return arena.run(spark, sf_dir, sql, args=filled)
     of = [filled["arena"]] if filled.get("arena") is not None else filled.get("arenas")

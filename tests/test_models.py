@@ -196,3 +196,26 @@ def test_map_selection_bo5_has_every_pair(spark):
 
 def test_map_selection_advantage_has_every_pair(spark):
     assert every_pair(spark, "map_selection_advantage", "arena")
+
+
+def dealt_by(found):
+    """The keys by which a query's plan deals rows."""
+    import re
+
+    return re.findall(r"Exchange hashpartitioning\(([a-z_]+)#", found._jdf.queryExecution().executedPlan().toString())
+
+
+def test_pre_means_deal_sides_not_players(spark):
+    keys = dealt_by(ranked.ask(spark, SF, "vpm_pre_means"))
+    assert "team_id" in keys and "player_id" not in keys
+
+
+def test_whole_keys_of_batches(monkeypatch):
+    """Tables hold whole keys, null ones too, however the batches cut them."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(folds, "ROWS", 3)
+    key = [None, None, 1, 1, 1, 1, 1, 1, 1, 2, 3, 3]
+    batches = [pa.RecordBatch.from_pydict({"k": pa.array(key[i : i + 2], pa.int64())}) for i in range(0, 12, 2)]
+    found = [t["k"].to_pylist() for t in folds.whole(batches, "k")]
+    assert sum(found, []) == key and all(a[-1] != b[0] for a, b in zip(found, found[1:], strict=False)) and len(found) > 1
