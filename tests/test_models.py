@@ -219,3 +219,21 @@ def test_whole_keys_of_batches(monkeypatch):
     batches = [pa.RecordBatch.from_pydict({"k": pa.array(key[i : i + 2], pa.int64())}) for i in range(0, 12, 2)]
     found = [t["k"].to_pylist() for t in folds.whole(batches, "k")]
     assert sum(found, []) == key and all(a[-1] != b[0] for a, b in zip(found, found[1:], strict=False)) and len(found) > 1
+
+
+def test_observations_deal_sides_not_players(spark):
+    keys = dealt_by(ranked.ask(spark, SF, "vpm_observations"))
+    assert "team_id" in keys and "player_id" not in keys
+
+
+@pytest.mark.parametrize("name", ["top_players", "peak_levels", "compared_players"])
+def test_levels_deal_sides_not_players(spark, name):
+    """Players are dealt only where few rows of them are left, if at all."""
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    folded = plan[plan.rindex("MapInArrow") :] if name == "compared_players" else plan[plan.index("MapInArrow") :]
+    assert "hashpartitioning(team_id" in folded and "hashpartitioning(player_id" not in folded
+
+
+def test_given_ratings_are_those_of_the_engine(spark):
+    given = ranked.ask(spark, SF, "vpm_observations", elo=ranked.elo_sides(spark, SF))
+    assert given.exceptAll(ranked.ask(spark, SF, "vpm_observations")).count() == 0 < given.count()
