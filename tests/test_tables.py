@@ -149,3 +149,16 @@ def test_odd_match_pages(spark):
     assert pairs(match_pages.vetoes(found).drop("page_id")) == [(2, "One of two", "ban", "Dune"), (4, "Two", "pick", "Cove"), (5, None, "decider", "Mire Two")]
     row = match_pages.matches(found, F.lit(2024)).collect()
     assert [(r.page_id, r.team_1, r.team_2, r.score_1, r.best_of, r.starts) for r in row] == [(1, "One of two", "Two", 0, 3, None)]
+
+
+def test_decayed_means_of_nothing(spark, tmp_path):
+    """A player whose first values are 0: the quotient is undefined, as in the SQL."""
+    from skirmish import catalog
+
+    rows = [(1, "2024-01-01 00:00:00", 7, "a", 0.0, '{"k": 3}'), (2, "2024-01-02 00:00:00", 7, "a", 2.0, '{"k": 3}'), (3, "2024-01-03 00:00:00", 7, "a", 1.0, '{"k": 5}')]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn("ts", F.col("ts").cast("timestamp"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    for t in ("supplier", "nation", "region", "lineitem", "orders", "documents", "pages", "customer", "part"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    got = {r.event_id: r.pre for r in catalog.QUERIES["decayed_means"](spark, str(tmp_path)).collect()}
+    assert got[1] is None and got[2] != got[2] and got[3] == 3.0
