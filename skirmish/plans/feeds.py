@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from skirmish.functions import texts
 from skirmish.operators import folds, models
-from skirmish.plans import vetoes
+from skirmish.plans import relational, vetoes
 from skirmish.plans.ranked import REFERENCE
 from skirmish.sources import arena, match_pages, tables
 from skirmish.streaming import incremental, keyed
@@ -88,6 +88,13 @@ def teams_named(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", texts.named_team(F.col("text"), TEAMS).alias("team"))
 
 
+@_query(relational.PLANS["text_identifiers"])
+def text_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text's initial, a key of it and its length without blanks, letter by letter."""
+    text = F.col("text")
+    return _table(spark, sf_dir, "documents").select("doc_id", texts.capital(F.substring(text, 1, 1)).alias("initial"), F.md5(texts.lowered(texts.trimmed(text))).alias("folded"), F.length(F.replace(text, F.lit(" "), F.lit(""))).cast("long").alias("letters"))
+
+
 @_query("SELECT c_custkey AS player_id, regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS folded FROM customer")
 def names_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spellings of a name as one key."""
