@@ -237,3 +237,20 @@ def test_levels_deal_sides_not_players(spark, name):
 def test_given_ratings_are_those_of_the_engine(spark):
     given = ranked.ask(spark, SF, "vpm_observations", elo=ranked.elo_sides(spark, SF))
     assert given.exceptAll(ranked.ask(spark, SF, "vpm_observations")).count() == 0 < given.count()
+
+
+@pytest.mark.parametrize("name", ["map_selection", "map_selection_bo5", "map_selection_advantage", "series_probability"])
+def test_pairs_are_never_dealt(spark, name):
+    """Pairs come from blocks of teams that meet, and are not grouped from rows by arena."""
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "opponent_id" not in "".join(line for line in plan.splitlines() if "Exchange" in line) and "MapInArrow" in plan
+
+
+def test_blocks_of_teams_meet(spark, monkeypatch):
+    """Teams of one block and of others, without arenas in common and without ratings."""
+    from skirmish.operators import pairs
+
+    monkeypatch.setattr(pairs, "BLOCK", 1)
+    rows = [(1, "a", 1000.0), (1, "b", 1100.0), (2, "a", 1000.0), (3, "c", 900.0), (4, "b", 1100.0), (5, None, 1.0), (None, "a", 1.0)]
+    got = {(r.team_id, r.opponent_id): (r.maps, r.chance) for r in pairs.of_teams(spark.createDataFrame(rows, "team_id long, arena string, rating double"), "maps string, chance double", pairs.selected(["1p", "2p", "1p"], 3)).collect()}
+    assert got == {(1, 2): ("a", 0.5), (2, 1): ("a", 0.5), (1, 4): ("b", 0.5), (4, 1): ("b", 0.5)}
