@@ -254,3 +254,8 @@ def test_blocks_of_teams_meet(spark, monkeypatch):
     rows = [(1, "a", 1000.0), (1, "b", 1100.0), (2, "a", 1000.0), (3, "c", 900.0), (4, "b", 1100.0), (5, None, 1.0), (None, "a", 1.0)]
     got = {(r.team_id, r.opponent_id): (r.maps, r.chance) for r in pairs.of_teams(spark.createDataFrame(rows, "team_id long, arena string, rating double"), "maps string, chance double", pairs.selected(["1p", "2p", "1p"], 3)).collect()}
     assert got == {(1, 2): ("a", 0.5), (2, 1): ("a", 0.5), (1, 4): ("b", 0.5), (4, 1): ("b", 0.5)}
+
+
+def test_training_rows_deal_sides_not_players(spark):
+    keys = dealt_by(ranked.ask(spark, SF, "vpm_training_rows"))
+    assert "team_id" in keys and "player_id" not in keys
