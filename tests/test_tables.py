@@ -162,3 +162,12 @@ def test_decayed_means_of_nothing(spark, tmp_path):
         (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
     got = {r.event_id: r.pre for r in catalog.QUERIES["decayed_means"](spark, str(tmp_path)).collect()}
     assert got[1] is None and got[2] != got[2] and got[3] == 3.0
+
+
+@pytest.mark.parametrize("name", ["match_pages_read", "match_page_players"])
+def test_pages_are_made_and_read_once(spark, name):
+    """One pass over a page gives all that is asked of it."""
+    from skirmish import catalog
+
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "BatchEvalPythonUDTF" not in plan and plan.count("AS html") == 1
